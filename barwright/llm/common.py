@@ -66,8 +66,15 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def slices(iterator: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a task derives from a batch stays small."""
+def slices(iterator: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what a task derives from a batch stays small: at most `rows` rows, and `size` bytes if that is
+    more than one row."""
     for batch in iterator:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        waiting = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.llm import language_id, pii, quality
+from barwright.llm.chat import format_chat, parse, unescape
+from barwright.llm.common import held_out
 from barwright.llm.decontamination import decontaminate
 from barwright.llm.line_dedup import dedup_lines
+from barwright.llm.near_dedup import near_duplicates
 from barwright.llm.packing import pack
+from barwright.llm.top_k import top_k
+from barwright.llm.warc import read_warc, write_warc
 
 #: Length of a packed sequence, and the id that ends each document.
 SEQUENCE, END_ID = 2048, 1
@@ -29,6 +35,19 @@ def sha256(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *counts, sha256(pii.listed(base)).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = write_warc(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_warc(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "lines.n_lines", "lines.n_dropped", sha256(F.col("lines.kept")).alias("kept_sha256"))
@@ -39,14 +58,90 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", F.col("size").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    prototypes = language_id.learn(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.predict(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return docs.select("doc_id", "hits.n_words", "hits.n_hit", "hits.n_items", "hits.items_sha256", "hits.contaminated")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Learned from those of docs that have labels and are not held out."""
+    labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    return quality.train(docs, labels)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), "score")
+    # The threshold of the contract; the score is computed once, below the projection.
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def _read_back(batches):
+    """Digests of formatted conversations, part by part: only running hashes are kept between parts."""
+    import hashlib
+
+    import pyarrow as pa
+
+    turns = loss = None
+    n_turns = loss_chars = chars = 0
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if turns is None:
+                turns, loss, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            text = row["formatted"]
+            for role, said in parse(text):
+                turns.update(f"{role}\n{said}\n".encode())
+                n_turns += 1
+            for span in row["loss"]:
+                said = unescape(text[span["start"] : span["stop"]])
+                loss.update(said.encode())
+                loss_chars += len(said)
+            chars += len(text)
+            if row["last"]:
+                out.append({"conv_id": row["conv_id"], "n_turns": n_turns, "turns_sha256": turns.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": chars})
+                turns = None
+        kinds = [("conv_id", batch.schema.field("conv_id").type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+        yield from pa.Table.from_pylist(out, pa.schema(kinds)).to_batches()
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
+    return format_chat(turns).mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), "embedding")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_packing, op6_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k)}
+
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM firsts
+"""
 
 OP3_SQL = """
 WITH lines AS (
@@ -89,5 +184,31 @@ FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN named n ON w.doc_i
 """
 
 
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(20 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL, "op10_top_k": OP10_SQL}
