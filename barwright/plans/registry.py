@@ -4,14 +4,508 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barwright.functions import scalar as S
+from barwright.operators import decide, drift, evaluate, features, fit, hmm, quality, report, resample, risk
+from barwright.operators import orderflow as O
+from barwright.plans import frames, oracle
+from barwright.plans.frames import SAMPLE_MODEL
+from barwright.sources import bars as bar_source
+from barwright.sources import schema
 
 Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    FOUND[f.__name__] = f
+    return f
+
+
+def r6(x: Column | str) -> Column:
+    """Six places; no negative zero."""
+    return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *columns: str) -> list[Column]:
+    return [r6(c).alias(c) for c in columns]
+
+
+@query
+def f6_features(spark, d):
+    rows = frames.featured(spark, d)
+    return rows.select("symbol", "ts", "bar_no", *rounded(rows, *schema.FEATURES), "ready")
+
+
+@query
+def o0_hourly_bars(spark, d):
+    return frames.bars(spark, d)
+
+
+@query
+def f0_log_return_z(spark, d):
+    return features.window_features(frames.bars(spark, d)).select("symbol", "ts", r6("log_return").alias("log_return"), r6("log_return_z").alias("log_return_z"))
+
+
+@query
+def f1_realised_vol_z(spark, d):
+    return features.window_features(frames.bars(spark, d)).select("symbol", "ts", r6("realised_vol").alias("realised_vol"), r6("realised_vol_z").alias("realised_vol_z"))
+
+
+@query
+def f5_volume_z(spark, d):
+    return features.window_features(frames.bars(spark, d)).select("symbol", "ts", r6("volume_z").alias("volume_z"))
+
+
+@query
+def w1_rolling_stats(spark, d):
+    rows = frames.bars(spark, d)
+    return rows.select("symbol", "ts", r6(features.rolling_mean(F.col("close"), 20, ["symbol"])).alias("mean20"), r6(features.rolling_std(F.col("close"), 20, ["symbol"])).alias("std20"))
+
+
+@query
+def w2_z_score(spark, d):
+    return frames.bars(spark, d).select("symbol", "ts", r6(S.finite(features.z_score(F.col("close"), 50, ["symbol"]))).alias("z50"))
+
+
+@query
+def w3_rsi(spark, d):
+    rows = features.wilder(bar_source.numbered(frames.bars(spark, d)))
+    return rows.select("symbol", "ts", r6("rsi").alias("rsi"), r6((F.col("rsi") - 50) / 50).alias("rsi_deviation"))
+
+
+@query
+def w4_atr(spark, d):
+    return features.wilder(bar_source.numbered(frames.bars(spark, d))).select("symbol", "ts", r6("atr").alias("atr"))
+
+
+@query
+def w5_session_vwap(spark, d):
+    rows = frames.bars(spark, d).withColumn("session_id", schema.session_id(F.col("ts")))
+    return features.session_vwap(rows).select("symbol", "ts", F.col("session_id").cast("string").alias("session_id"), F.round("vwap", 9).alias("vwap"))
+
+
+@query
+def f6_features_by_halo(spark, d):
+    rows = frames.featured(spark, d, halo_rows=256, block=64)
+    return rows.select("symbol", "ts", "bar_no", *rounded(rows, *schema.FEATURES), "ready")
+
+
+@query
+def f8_parity(spark, d):
+    return features.parity(frames.featured(spark, d), frames.featured(spark, d, halo_rows=512)).select("feature", "within")
+
+
+@query
+def f6_features_never_reset(spark, d):
+    rows = frames.featured(spark, d, session=None)
+    return rows.select("symbol", "ts", r6("vwap_distance").alias("vwap_distance"))
+
+
+@query
+def p_scalars(spark, d):
+    bars = frames.bars(spark, d).withColumn("previous", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")))
+    change = F.coalesce(F.col("close") - F.col("previous"), F.lit(0.0))
+    return bars.select(
+        "symbol", "ts", r6(S.true_range(F.col("high"), F.col("low"), F.col("previous"))).alias("true_range"), r6(S.typical_price(F.col("high"), F.col("low"), F.col("close"))).alias("typical_price"),
+        r6(S.clip(change, -1, 1)).alias("clipped"), r6(S.gain(change)).alias("gain"), r6(S.loss(change)).alias("loss"),
+    )
+
+
+@query
+def p13_percentile(spark, d):
+    return frames.trades(spark, d).groupBy("account").agg(r6(F.percentile("pnl", 0.05)).alias("p5"), r6(F.percentile("pnl", 0.5)).alias("p50"), r6(F.percentile("pnl", 0.95)).alias("p95"))
+
+
+@query
+def p15_profile_match(spark, d):
+    named = frames.table(spark, d, "orders").select("o_orderkey", F.concat(F.element_at(F.array(*(F.lit(x) for x in ("mnq ", "es ", "Crude CL ", "xx "))), (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit("12-26")).alias("instrument"))
+    return schema.match_profile(named, schema.instruments(spark)).select("o_orderkey", "profile")
+
+
+@query
+def s3_s4_clean_bars(spark, d):
+    """Bars from text cells, some of which do not parse."""
+    raw = frames.table(spark, d, "events").withColumn("bad", F.col("event_id") % 17)
+    cell = lambda bad: F.when(F.col("bad") == bad, "n/a").otherwise((F.lit(100) + F.col("value")).cast("string"))
+    text = raw.select(
+        F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.when(F.col("bad") == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        cell(1).alias("open"), cell(2).alias("high"), cell(3).alias("low"), cell(4).alias("close"), F.when(F.col("bad") == 5, "").otherwise(F.regexp_extract("props", "[0-9]+", 0)).alias("volume"),
+    )
+    return bar_source.cleaned(bar_source.coerced(text)).select("symbol", "seq", "ts", r6("close").alias("close"), "volume")
+
+
+@query
+def s5_bar_numbers(spark, d):
+    return bar_source.numbered(frames.bars(spark, d)).select("symbol", "ts", "bar_no")
+
+
+@query
+def v_quality(spark, d):
+    return quality.quality(frames.bars(spark, d))
+
+
+@query
+def v8_report(spark, d):
+    rows = quality.report(frames.bars(spark, d))
+    return rows.select("symbol", "n_bars", "clean", F.array_join("issues", ",").alias("issues"))
+
+
+@query
+def v9_training_status(spark, d):
+    bars = frames.bars(spark, d)
+    return quality.training_status(bars, features.features(bars))
+
+
+@query
+def m1_emissions(spark, d):
+    rows = hmm.emissions(frames.featured(spark, d), SAMPLE_MODEL)
+    return rows.select("symbol", "ts", *(r6(F.col("log_emission")[i]).alias(f"state_{i}") for i in range(3)))
+
+
+@query
+def m1_emissions_by_model_table(spark, d):
+    rows = hmm.emissions_from(frames.featured(spark, d), frames.models(spark, d))
+    return rows.select("symbol", "ts", *(r6(F.col("log_emission")[i]).alias(f"state_{i}") for i in range(3)))
+
+
+@query
+def m2_forward_filter(spark, d):
+    rows = hmm.filtered(frames.featured(spark, d), SAMPLE_MODEL, block=256)
+    return rows.select("symbol", "ts", *(r6(F.col("state_probs")[i]).alias(f"p{i}") for i in range(3)), "state", r6("confidence").alias("confidence"), r6("step_ll").alias("step_ll"))
+
+
+@query
+def m3_log_likelihood(spark, d):
+    rows = hmm.likelihood(hmm.filtered(frames.featured(spark, d), SAMPLE_MODEL))
+    return rows.select("symbol", F.round("log_likelihood", 3).alias("log_likelihood"), "n_bars")
+
+
+@query
+def m5_viterbi(spark, d):
+    return hmm.viterbi(frames.featured(spark, d), SAMPLE_MODEL, block=256).select("symbol", "ts", "state")
+
+
+@query
+def m6_trained_models(spark, d):
+    """Models of every symbol, trained on its features."""
+    rows = features.trainable(frames.featured(spark, d))
+    return fit.models(rows, k=3, restarts=2, trained_at="2026-01-01T00:00:00Z", iterations=25)
+
+
+@query
+def m8_validation(spark, d):
+    """Model rows of which some are broken, by symbol."""
+    rows = frames.table(spark, d, "part").select("p_partkey", "p_size").crossJoin(F.broadcast(spark.createDataFrame([SAMPLE_MODEL], schema.MODEL)))
+    broken = rows.withColumns(
+        {
+            "schema_version": F.when(F.col("p_size") == 1, 99).otherwise(F.col("schema_version")),
+            "symbol": F.when(F.col("p_size") == 2, "INVALID").otherwise(F.col("symbol")),
+            "initial_probs": F.when(F.col("p_size") == 3, F.slice("initial_probs", 1, 2)).otherwise(F.col("initial_probs")),
+            "means": F.when(F.col("p_size") == 4, F.slice("means", 1, 2)).otherwise(F.col("means")),
+            "feature_mean": F.when(F.col("p_size") == 5, F.lit(None).cast("array<double>")).otherwise(F.col("feature_mean")),
+        }
+    )
+    return hmm.validated(broken).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query
+def m10_request_errors(spark, d):
+    """Requests from the bars, of which some are not valid: how many of each code."""
+    rows = frames.bars(spark, d)
+    n = F.col("bar") % 10
+    rows = rows.withColumn("bar", F.hour("ts"))
+    asked = rows.select(F.when(n == 0, "unknown").otherwise("infer").alias("type"), F.when(n == 1, "ZZ").otherwise(F.col("symbol")).alias("symbol"), F.when(n == 2, F.array("open", "close")).otherwise(F.array("open", "high", "low", "close", "open", "close")).alias("features"))
+    good, errors = hmm.answered(asked, frames.models(spark, d))
+    return errors.groupBy("code").agg(F.count("*").alias("n")).unionByName(good.select(F.lit("OK").alias("code")).groupBy("code").agg(F.count("*").alias("n")))
+
+
+@query
+def m10_batch_scoring(spark, d):
+    rows = hmm.response(hmm.filtered(frames.featured(spark, d), SAMPLE_MODEL))
+    return rows.select("symbol", "ts", "state", "confidence")
+
+
+def _scored(spark, d):
+    return hmm.filtered(frames.featured(spark, d), SAMPLE_MODEL)
+
+
+@query
+def d2_occupancy(spark, d):
+    return drift.occupancy(drift.latest(_scored(spark, d)), 3).select("symbol", r6("occupancy_drift").alias("occupancy_drift"))
+
+
+@query
+def d3_transition_drift(spark, d):
+    return drift.transitions(drift.latest(_scored(spark, d)), frames.models(spark, d)).select("symbol", r6("transition_drift").alias("transition_drift"))
+
+
+@query
+def d4_likelihood_drop(spark, d):
+    return drift.likelihood_drop(drift.latest(_scored(spark, d)), frames.models(spark, d)).select("symbol", r6("likelihood_drop").alias("likelihood_drop"))
+
+
+@query
+def d5_feature_drift(spark, d):
+    return drift.feature_drift(drift.latest(frames.featured(spark, d)), frames.models(spark, d)).select("symbol", "feature", r6("drift").alias("drift"))
+
+
+@query
+def d7_retrain_decision(spark, d):
+    rows = drift.decision(drift.metrics(_scored(spark, d), frames.models(spark, d), 3))
+    return rows.select("symbol", "n", "ready", "occupancy_drift", "retrain", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def d8_bars_to_retrain(spark, d):
+    decided = drift.decision(drift.metrics(_scored(spark, d), frames.models(spark, d), 3))
+    return drift.to_retrain(decided, frames.bars(spark, d)).groupBy("symbol").agg(F.count("*").alias("n_bars"))
+
+
+@query
+def r1_simulations(spark, d):
+    rows = resample.simulations(frames.trades(spark, d), n_sims=10, skip_rate=0.1, seed=42)
+    return rows.select("account", "sim", F.round("final_pnl", 2).alias("final_pnl"), F.round("max_dd", 2).alias("max_dd"), "max_losses")
+
+
+@query
+def r1_simulations_with_slippage(spark, d):
+    rows = resample.simulations(frames.trades(spark, d), n_sims=5, skip_rate=0.05, slippage=20.0, seed=7)
+    return rows.select("account", "sim", F.round("final_pnl", 4).alias("final_pnl"))
+
+
+@query
+def r5_stress_summary(spark, d):
+    rows = resample.summary(resample.simulations(frames.trades(spark, d), n_sims=10, seed=42))
+    return rows.select("account", "n_sims", *(r6(c).alias(c) for c in ("mean_pnl", "p5_pnl", "median_pnl", "p95_pnl", "mean_dd", "p5_dd", "median_dd", "p95_dd")), "max_losses", r6("pass_rate").alias("pass_rate"))
+
+
+def _curve(spark, d):
+    order = Window.partitionBy("account").orderBy("ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = frames.trades(spark, d)
+    return rows.withColumns({"at": F.struct("ts", "trade_id"), "cum": F.sum("pnl").over(order)})
+
+
+@query
+def r3_max_drawdown(spark, d):
+    return resample.max_drawdown(_curve(spark, d), ["account"]).select("account", F.round("max_dd", 2).alias("max_dd"))
+
+
+@query
+def r4_losing_streak(spark, d):
+    return resample.losing_streaks(_curve(spark, d), ["account"])
+
+
+@query
+def o1_prevailing_quotes(spark, d):
+    return O.with_quotes(frames.ticks(spark, d)).select("symbol", "seq", "ts", "price", "bid", "ask")
+
+
+@query
+def o2_trade_sides(spark, d):
+    return frames.sided(spark, d).select("symbol", "seq", "buy_vol", "sell_vol")
+
+
+@query
+def o3_bar_flow(spark, d):
+    return frames.flow(spark, d).select("symbol", "ts", "buy_vol", "sell_vol", "delta", "total", r6("imbalance").alias("imbalance"))
+
+
+@query
+def o4_cumulative_delta(spark, d):
+    return O.cumulative_delta(frames.flow(spark, d)).select("symbol", "ts", "cum_delta")
+
+
+@query
+def o5_large_orders(spark, d):
+    return O.large_orders(frames.ticks(spark, d).where("kind = 'L'"))
+
+
+@query
+def o6_bar_proxy(spark, d):
+    flow = frames.flow(spark, d).where(F.hour("ts") < 12)
+    return O.bar_proxy(frames.bars(spark, d), flow).select("symbol", "ts", r6("delta").alias("delta"), r6("imbalance").alias("imbalance"))
+
+
+@query
+def o7_delta_z(spark, d):
+    return O.delta_z(frames.flow(spark, d)).select("symbol", "ts", r6("delta_z").alias("delta_z"), "n_deltas")
+
+
+@query
+def o8_confirmation(spark, d):
+    rows = O.delta_z(frames.flow(spark, d)).withColumn("signal", F.when(F.hour("ts") % 2 == 0, 1).otherwise(-1))
+    return rows.select("symbol", "ts", "signal", O.confirmation(F.col("signal"), F.col("delta_z"), F.col("imbalance"), F.col("n_deltas"), delta_threshold=0.5).alias("confirmation"))
+
+
+@query
+def t1_hysteresis(spark, d):
+    rows = decide.hysteresis(_scored(spark, d).select("symbol", "ts", "bar_no", "session_id", "state", "confidence"))
+    return rows.select("symbol", "ts", "regime", "flips")
+
+
+@query
+def t2_rule_based(spark, d):
+    rows = decide.rule_based(features.wilder(bar_source.numbered(frames.bars(spark, d))))
+    return rows.select("symbol", "ts", F.round("sma_fast", 9).alias("sma_fast"), F.round("sma_slow", 9).alias("sma_slow"), "rule_state", "rule_signal")
+
+
+@query
+def t4_signals(spark, d):
+    rows = _scored(spark, d).withColumnRenamed("state", "regime")
+    return decide.signals(rows).select("symbol", "ts", "regime", "label", "signal")
+
+
+@query
+def t5_source_priority(spark, d):
+    scored = _scored(spark, d)
+    rules = decide.rule_based(scored).select("symbol", "bar_no", F.col("rule_state").alias("state"), F.col("rule_confidence").alias("confidence"))
+    model = scored.where(F.col("bar_no") % 3 > 0).select("symbol", "bar_no", "state", "confidence")
+    external = scored.where(F.col("bar_no") % 20 == 0).select("symbol", "bar_no", F.lit(1).alias("state"), F.lit(0.9).alias("confidence"))
+    rows = decide.source_priority(scored.select("symbol", "ts", "bar_no"), external, model, rules)
+    return rows.groupBy("symbol", "source").agg(F.count("*").alias("n"))
+
+
+def _profiled(spark, d):
+    """Scored bars under the first instruments' names, one for each event type."""
+    rows = _scored(spark, d)
+    names = rows.select("symbol").distinct().orderBy("symbol").limit(100).collect()
+    pairs = {r.symbol: schema.SYMBOLS[i % len(schema.SYMBOLS)] for i, r in enumerate(names)}
+    return rows.withColumn("symbol", F.coalesce(*(F.when(F.col("symbol") == a, F.lit(b)) for a, b in pairs.items()))).withColumnRenamed("state", "regime")
+
+
+@query
+def t6_t7_stops_and_sizes(spark, d):
+    rows = decide.sizes(decide.stops(_profiled(spark, d), schema.instruments(spark)))
+    return rows.select("symbol", "ts", r6("stop_distance").alias("stop_distance"), r6("target_distance").alias("target_distance"), "size")
+
+
+@query
+def t8_mode_overrides(spark, d):
+    """Bars of each instrument under the evaluation mode's thresholds."""
+    rows = _profiled(spark, d).join(F.broadcast(schema.instruments(spark, "evaluation")), "symbol")
+    return rows.groupBy("symbol", "confidence_threshold", "max_flips", "flatten_minutes").agg(F.count_if(F.col("confidence") >= F.col("confidence_threshold")).alias("n_confident"))
+
+
+@query
+def t9_session_id(spark, d):
+    return frames.bars(spark, d).select("symbol", "ts", schema.session_id(F.col("ts"), "UTC", "18:00").cast("string").alias("session_id"))
+
+
+@query
+def t10_flatten(spark, d):
+    end = F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 17 HOURS")
+    due = decide.flatten_due(F.col("ts"), end, F.lit(120), F.col("seq") % 2 == 0)
+    return frames.ticks(spark, d).select("symbol", "seq", due.alias("flatten"))
+
+
+@query
+def t11_decisions(spark, d):
+    scored = _scored(spark, d)
+    regimes = decide.hysteresis(scored)
+    flow = O.delta_z(frames.flow(spark, d)).select("symbol", "ts", "delta_z", "imbalance", "n_deltas")
+    rows = decide.signals(regimes).join(flow, ["symbol", "ts"], "left")
+    confirmed = O.confirmation(F.col("signal"), F.coalesce("delta_z", F.lit(0.0)), F.coalesce("imbalance", F.lit(0.0)), F.coalesce("n_deltas", F.lit(0)))
+    rows = rows.withColumns({"confirmation": confirmed, "flatten": F.hour("ts") == 16, "lock": F.when(F.dayofmonth("ts") == 13, "daily"), "can_enter": F.lit(True)})
+    return decide.decisions(rows).select("symbol", "ts", "gate", "action")
+
+
+@query
+def k1_paired_fills(spark, d):
+    return risk.paired_fills(frames.fills(spark, d), schema.instruments(spark)).select("account", "symbol", "seq", F.round("pnl", 4).alias("pnl"))
+
+
+@query
+def k2_daily(spark, d):
+    rows = risk.daily(frames.trades(spark, d))
+    return rows.select("account", "trade_id", "ts", F.round("day_pnl", 2).alias("day_pnl"), "day_trades", "losses")
+
+
+@query
+def k3_risk_state(spark, d):
+    rows = risk.risk_state(risk.daily(frames.trades(spark, d)), max_loss=20.0, profit_lock=60.0, max_trades=3, max_losses=2)
+    return rows.groupBy("account", "risk_state").agg(F.count("*").alias("n"))
+
+
+def _risk_events(spark, d):
+    kinds = F.array(*(F.lit(x) for x in ("signal", "entry", "exit", "signal", "stop", "clear", "entry", "exit")))
+    return frames.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.element_at(kinds, (F.col("o_orderkey") % 8 + 1).cast("int")).alias("kind"), F.lit(None).cast("string").alias("after_exit"))
+
+
+@query
+def k4_live_state(spark, d):
+    return risk.live_state(_risk_events(spark, d)).select("account", "seq", "live_state", "can_enter")
+
+
+@query
+def k5_k7_evaluation(spark, d):
+    rows = risk.evaluation(frames.trades(spark, d), trailing_limit=40.0, daily_limit=25.0, target=300.0)
+    return rows.select("account", "trade_id", "ts", *(F.round(c, 2).alias(c) for c in ("cum_pnl", "peak", "trailing_dd")), "lock", r6("progress").alias("progress"), "target_reached")
+
+
+@query
+def x1_window_plan(spark, d):
+    return evaluate.window_plan(bar_source.numbered(frames.bars(spark, d)), 300, 100, 100)
+
+
+@query
+def x2_window_assignment(spark, d):
+    rows = evaluate.assign(bar_source.numbered(frames.bars(spark, d)), 300, 100, 100)
+    return rows.groupBy("symbol", "window_idx", "part").agg(F.count("*").alias("n"), F.min("bar_no").alias("first"), F.max("bar_no").alias("last"))
+
+
+@query
+def x4_stability(spark, d):
+    return evaluate.stability(_scored(spark, d)).select("symbol", r6("stability").alias("stability"))
+
+
+@query
+def x5_dominant_regime(spark, d):
+    return evaluate.dominant(_scored(spark, d))
+
+
+@query
+def x7_walk_forward(spark, d):
+    """Windows of the long feature series, each fitted and judged."""
+    windows, _ = evaluate.walk_forward(frames.featured(spark, d), 2, 300, 100, 100, restarts=1, iterations=10)
+    return windows
+
+
+def _log(spark, d):
+    return frames.table(spark, d, "events").select(F.col("event_type").alias("symbol"), (F.col("event_id") % 50 == 0).alias("is_error"), (F.col("event_id") % 7).cast("double").alias("latency_ms"))
+
+
+@query
+def b1_model_details(spark, d):
+    return report.model_details(frames.models(spark, d))
+
+
+@query
+def b2_transition_table(spark, d):
+    return report.transition_table(frames.models(spark, d))
+
+
+@query
+def b3_request_counts(spark, d):
+    return report.request_counts(_log(spark, d))
+
+
+@query
+def b4_overview(spark, d):
+    names = frames.table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct().unionByName(schema.instruments(spark).select("symbol"))
+    return report.overview(names, frames.models(spark, d).where("symbol <> 'click'"), _log(spark, d))
+
+
+@query
+def m12_model_status(spark, d):
+    return report.status(frames.models(spark, d), _log(spark, d))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in oracle.SQL.items() if name in FOUND}

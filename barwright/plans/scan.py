@@ -40,11 +40,15 @@ class Scan:
         raise NotImplementedError
 
 
-def blocked(frame: DataFrame, scan: Scan, keys: list[str], needs: list[str], block: int = BLOCK, backward: bool = False) -> DataFrame:
+def blocked(frame: DataFrame, scan: Scan, keys: list[str], needs: list[str], block: int = BLOCK, backward: bool = False, settle: str | None = None, until: float = 1e-12, rounds: int = 4) -> DataFrame:
     """frame (keys, bar_no, `needs`, others) with the scan's columns. bar_no numbers each series from 0 without gaps or repeats.
 
     Only keys, bar_no and `needs` travel to the kernels; their results come back by (keys, bar_no). backward scans from the
     last bar to the first.
+
+    settle names a result column that holds the state after each bar, for recursions that are not quite associative: where a
+    block's own end differs from the state that the next block was given by more than `until`, all blocks are replayed from
+    the ends found, at most `rounds` times; normally none is.
     """
     cut = frame.select(*keys, "bar_no", *needs).withColumn("block", F.floor(F.col("bar_no") / block).cast("long"))
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
@@ -71,7 +75,22 @@ def blocked(frame: DataFrame, scan: Scan, keys: list[str], needs: list[str], blo
     summaries = cut.groupBy(*keys, "block").applyInPandas(summarise, f"{head}, block long, summary array<double>")
     states = summaries.groupBy(*keys).applyInPandas(chain, f"{head}, block long, state array<double>")
     out = ", ".join(f"{c} {t}" for c, t in scan.columns.items())
-    replayed = cut.join(states, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(replay, f"{head}, bar_no {kinds['bar_no']}, {out}")
+
+    def replayed_from(states: DataFrame) -> DataFrame:
+        return cut.join(states, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(replay, f"{head}, bar_no {kinds['bar_no']}, {out}")
+
+    replayed = replayed_from(states)
+    for _ in range(rounds if settle else 0):
+        states, replayed = states.persist(), replayed.persist()
+        at = -F.col("bar_no") if backward else F.col("bar_no")
+        ends = replayed.withColumn("block", F.floor(F.col("bar_no") / block).cast("long")).groupBy(*keys, "block").agg(F.max_by(settle, at).alias("end"))
+        following = ends.select(*keys, (F.col("block") + (-1 if backward else 1)).alias("block"), "end")
+        both = states.join(following, [*keys, "block"], "left").withColumn("end", F.coalesce("end", "state"))
+        gap = F.exists(F.zip_with("state", "end", lambda x, y: F.abs(x - y) > until), lambda far: far)
+        if both.where(gap).limit(1).count() == 0:
+            break
+        states = both.select(*keys, "block", F.col("end").alias("state"))
+        replayed = replayed_from(states)
     return frame.join(replayed, [*keys, "bar_no"])
 
 
