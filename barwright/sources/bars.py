@@ -60,8 +60,8 @@ def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) ->
     header = spark.read.option("header", False).csv(path).limit(1).collect()
     names = normalised([x or "" for x in header[0]]) if header else normalised([])
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    located = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
-    named = located.toDF(*names, "__file", "__block")
+    located = raw.select("*", F.col("_metadata.file_path").alias("__file"))
+    named = located.toDF(*names, "__file")
     owner = F.lit(symbol) if symbol else symbol_of(F.element_at(F.split("__file", "/"), -1))
     seq = F.monotonically_increasing_id()
     return coerced(named).select(owner.alias("symbol"), "ts", seq.alias("seq"), "open", "high", "low", "close", "volume")
