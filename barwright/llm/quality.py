@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from barwright.llm.common import stored
 
 #: Rows of the embedding table, their width, and the lengths of character n-grams.
-BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
+BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3)
 #: Bound of the training sample: this many documents, and this many features over all of them.
 SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 8_000_000
 EPOCHS, RATE = 8, 0.5
@@ -27,14 +27,15 @@ EPOCHS, RATE = 8, 0.5
 REPEAT, REPEAT_WEIGHT, LENGTH_SHARE = 0, 16, 0.1
 
 
+def bucket(feature: str, kind: int) -> int:
+    """The row of a word (kind 0) or of an n-gram of `kind` characters."""
+    return zlib.crc32(feature.encode("utf-8", "replace"), kind) % BUCKETS
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, with marks for its beginning and end."""
-    data = f"<{word}>".encode("utf-8", "replace")
-    found = [zlib.crc32(data) % BUCKETS]
     marked = f"<{word}>"
-    for size in GRAMS:
-        found += [zlib.crc32(marked[i : i + size].encode("utf-8", "replace"), size) % BUCKETS for i in range(len(marked) - size + 1)]
-    return found
+    return [bucket(marked, 0), *(bucket(marked[i : i + n], n) for n in GRAMS for i in range(len(marked) - n + 1))]
 
 
 def repeats(words: list[str]) -> int:
@@ -47,15 +48,37 @@ def length_bucket(words: list[str]) -> int:
     return zlib.crc32(b"words", len(words).bit_length()) % BUCKETS
 
 
-class _Words(dict):
-    """Word -> what `value` makes of its features; bounded."""
+class _Grams(dict):
+    """n-gram -> its weight; there are far fewer n-grams than words."""
+
+    def __init__(self, weights: list[float], size: int):
+        self.weights, self.size = weights, size
 
-    def __init__(self, value):
-        self.value = value
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[gram] = self.weights[bucket(gram, self.size)]
+        return found
 
-    def __missing__(self, word: str):
-        found = self.value(features(word))
+
+class _Words(dict):
+    """Word -> the sum of its features' weights and their number, as one complex number; two generations are kept."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.older = weights.tolist(), {}
+        self.grams = [(n, _Grams(self.weights, n).__getitem__) for n in GRAMS]
+
+    def __missing__(self, word: str) -> complex:
+        found = self.older.get(word)
+        if found is None:
+            marked = f"<{word}>"
+            end, total, count = len(marked) + 1, self.weights[bucket(marked, 0)], 1
+            for n, weight in self.grams:
+                total += sum(map(weight, [marked[i : i + n] for i in range(end - n)]))
+                count += max(0, end - n)
+            found = complex(total, count)
         if len(self) >= 300_000:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = found
@@ -66,12 +89,11 @@ def _counts(texts: DataFrame) -> DataFrame:
     """label, buckets, counts of each labelled text."""
 
     def count(batches):
-        words = _Words(lambda found: np.array(found, np.int64))
         for batch in batches:
             buckets, counts = [], []
             for text in batch.column("text").to_pylist():
                 split = (text or "").split()
-                all_of = np.concatenate([words[w] for w in split]) if split else np.zeros(0, np.int64)
+                all_of = np.concatenate([features(w) for w in split]).astype(np.int64) if split else np.zeros(0, np.int64)
                 extra = [np.full(REPEAT_WEIGHT * repeats(split), REPEAT), np.full(round(LENGTH_SHARE * len(all_of)), length_bucket(split))]
                 present, times = np.unique(np.concatenate([all_of, *extra]), return_counts=True)
                 buckets.append(present.astype(np.int32))
@@ -145,9 +167,7 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
 
     def rate(text: pa.Array) -> pa.Array:
         if not state:
-            weights = shared.value.weights
-            # One complex number holds a word's sum of weights and its number of features.
-            state["words"] = _Words(lambda found: complex(weights[found].sum(), len(found)))
+            state["words"] = _Words(shared.value.weights)
         words, weights, sums = state["words"], shared.value.weights, []
         for whole in text.to_pylist():
             split = (whole or "").split()
