@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import regime_label, regime_signal
+from barwright.operators.features import by_halo
 from barwright.plans import scan
 
 #: Fixed values of the rule-based classifier and of the stops by regime (stop factor, target factor).
@@ -112,30 +113,29 @@ def _by_session(rows: DataFrame, kernel: _Hysteresis) -> DataFrame:
 
 
 def _averages(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("symbol").orderBy("ts", "seq")
-    past = order.rowsBetween(1 - ATR_ROWS, 0)
-    return rows.withColumns(
+    order = Window.partitionBy("symbol", "bucket").orderBy("ts", "seq")
+    averaged = by_halo(rows, halo=ATR_ROWS).withColumns(
         {
             "sma_fast": F.avg("close").over(order.rowsBetween(1 - FAST, 0)),
             "sma_slow": F.avg("close").over(order.rowsBetween(1 - SLOW, 0)),
-            "__n": F.row_number().over(order),
-            "__q": F.percentile("atr", F.array(F.lit(0.5), F.lit(0.75))).over(past),
+            "__q": F.percentile("atr", F.array(F.lit(0.5), F.lit(0.75))).over(order.rowsBetween(1 - ATR_ROWS, 0)),
         }
     )
+    return averaged.where(~F.col("in_halo")).drop("bucket", "in_halo")
 
 
 def rule_based(rows: DataFrame) -> DataFrame:
-    """rows (symbol, ts, seq, close, atr) with rule_state, rule_confidence and rule_signal, from ATR quantiles and moving averages."""
+    """rows (symbol, ts, seq, bar_no, close, atr) with rule_state, rule_confidence and rule_signal, from ATR quantiles and moving averages."""
     out = _averages(rows)
     strength = F.abs(F.col("sma_fast") - F.col("sma_slow")) / F.greatest("sma_slow", F.lit(1e-10))
     calm = (F.col("atr") < F.col("__q")[0]) & (strength < TREND)
-    ready = F.col("__n") >= SLOW
+    ready = F.col("bar_no") >= SLOW - 1
     out = out.withColumn("rule_state", F.when(~ready | calm, 0).when(F.col("atr") >= F.col("__q")[1], 2).otherwise(1))
     close, slow, fast = F.col("close"), F.col("sma_slow"), F.col("sma_fast")
     trend = F.when(fast > slow, 1).when(fast < slow, -1).otherwise(0)
     fade = F.when(close < slow * (1 - FADE), 1).when(close > slow * (1 + FADE), -1).otherwise(0)
     signal = F.when(~ready, 0).when(F.col("rule_state") == 1, trend).when(F.col("rule_state") == 2, fade).otherwise(0)
-    return out.withColumns({"rule_signal": signal, "rule_confidence": F.lit(RULE_CONFIDENCE)}).drop("__n", "__q")
+    return out.withColumns({"rule_signal": signal, "rule_confidence": F.lit(RULE_CONFIDENCE)}).drop("__q")
 
 
 def signals(rows: DataFrame, labels: Column | None = None, k: int = 3) -> DataFrame:

@@ -17,8 +17,8 @@ from barwright.sources.schema import FEATURES, session_id
 #: Fixed by the feature contract: windows of the z-scores, of realised volatility and of volume, and Wilder's period.
 Z_WINDOW, VOL_WINDOW, VOLUME_WINDOW, PERIOD = 100, 20, 20, 14
 WARM_UP = 100
-#: Rows before a bar that its features depend on, recursions aside.
-HALO = Z_WINDOW + VOL_WINDOW
+#: Rows before a bar that its features depend on, recursions aside, and rows of a bucket.
+HALO, BUCKET = Z_WINDOW + VOL_WINDOW, 65_536
 
 
 def order(by: list[str]):
@@ -38,12 +38,13 @@ def z_score(x: Column, n: int, by: list[str]) -> Column:
     return (x - rolling_mean(x, n, by)) / F.greatest(rolling_std(x, n, by), F.lit(S.SMALL))
 
 
-def by_halo(bars: DataFrame, rows: int = 4096, halo: int = HALO) -> DataFrame:
+def by_halo(bars: DataFrame, rows: int = BUCKET, halo: int = HALO) -> DataFrame:
     """bars with `bucket` and `in_halo`: windows over (symbol, bucket) then see what windows over symbol see, `halo` rows back.
 
     Every bucket repeats the last `halo` rows before it; drop rows with in_halo once the windows are computed. A symbol with
-    any number of bars so becomes many groups. Needs bar_no.
+    any number of bars so becomes many groups, and a short one stays a single group. Needs bar_no.
     """
+    rows = max(rows, halo)
     home = F.floor(F.col("bar_no") / rows)
     copies = F.array(F.struct(home.alias("bucket"), F.lit(False).alias("in_halo")), F.struct((home + 1).alias("bucket"), F.lit(True).alias("in_halo")))
     near = F.pmod(F.col("bar_no"), F.lit(rows)) >= rows - halo
@@ -80,49 +81,59 @@ def session_vwap(bars: DataFrame) -> DataFrame:
     return bars.withColumn("vwap", F.sum(price * F.col("volume")).over(running) / F.greatest(F.sum("volume").over(running), F.lit(S.SMALL)))
 
 
-def wilder(bars: DataFrame, block: int = scan.BLOCK) -> DataFrame:
-    """bars (with bar_no) with rsi and atr, Wilder's smoothing over 14 bars.
+_AVERAGED = ("gain", "loss", "tr")
+_STEPS = [f"__{x}_{c}" for c in _AVERAGED for x in "ab"]
 
-    RSI is 50 until 14 changes are known; then average gains and losses start from their means. ATR is the true range until 14
-    are known. Both recursions are affine, and run as one blocked scan.
-    """
-    by = order(["symbol"])
-    previous = F.lag("close").over(by)
+
+def wilder_steps(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """bars (with bar_no) with the true range and the affine steps of Wilder's averages: null before the seed, then the seed."""
+    window = order(list(by))
+    previous = F.lag("close").over(window)
     change = F.coalesce(F.col("close") - previous, F.lit(0.0))
     rows = bars.withColumns({"tr": S.true_range(F.col("high"), F.col("low"), previous), "gain": S.gain(change), "loss": S.loss(change)})
-    last = by.rowsBetween(1 - PERIOD, 0)
-    rows = rows.withColumns({f"__mean_{c}": F.avg(c).over(last) for c in ("tr", "gain", "loss")})
+    rows = rows.withColumns({f"__mean_{c}": F.avg(c).over(window.rowsBetween(1 - PERIOD, 0)) for c in _AVERAGED})
     steps = {}
     for c, seed in (("gain", PERIOD), ("loss", PERIOD), ("tr", PERIOD - 1)):
         n = F.col("bar_no")
         steps[f"__a_{c}"] = F.when(n > seed, F.lit((PERIOD - 1) / PERIOD)).when(n == seed, F.lit(0.0))
         steps[f"__b_{c}"] = F.when(n > seed, F.col(c) / PERIOD).when(n == seed, F.col(f"__mean_{c}"))
-    rows = rows.withColumns(steps)
-    affine = scan.affine(*((f"__a_{c}", f"__b_{c}", f"avg_{c}") for c in ("gain", "loss", "tr")))
-    rows = scan.blocked(rows, affine, ["symbol"], list(steps), block)
+    return rows.withColumns(steps).drop("gain", "loss", *(f"__mean_{c}" for c in _AVERAGED))
+
+
+def wilder_averages(stepped: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """wilder_steps() rows with rsi and atr."""
+    affine = scan.affine(*((f"__a_{c}", f"__b_{c}", f"avg_{c}") for c in _AVERAGED))
+    rows = scan.blocked(stepped, affine, ["symbol"], _STEPS, block)
     up, down = F.col("avg_gain"), F.col("avg_loss")
     flat = F.when(up > 0, 100.0).otherwise(50.0)
     rsi = F.when(F.col("bar_no") < PERIOD, 50.0).when(down < S.SMALL, flat).otherwise(100 - 100 / (1 + up / down))
     atr = F.when(F.col("bar_no") < PERIOD - 1, F.col("tr")).otherwise(F.col("avg_tr"))
-    drop = [*steps, "__mean_tr", "__mean_gain", "__mean_loss", "avg_gain", "avg_loss", "avg_tr", "gain", "loss", "tr"]
-    return rows.withColumns({"rsi": rsi, "atr": atr}).drop(*drop)
+    return rows.withColumns({"rsi": rsi, "atr": atr}).drop(*_STEPS, "tr", *(f"avg_{c}" for c in _AVERAGED))
+
+
+def wilder(bars: DataFrame, block: int = scan.BLOCK, halo_rows: int = BUCKET) -> DataFrame:
+    """bars (with bar_no) with rsi and atr, Wilder's smoothing over 14 bars.
+
+    RSI is 50 until 14 changes are known; then average gains and losses start from their means. ATR is the true range until 14
+    are known. Both recursions are affine, and run as one blocked scan.
+    """
+    rows = wilder_steps(by_halo(bars, halo_rows, 2 * PERIOD), ("symbol", "bucket")).where(~F.col("in_halo")).drop("bucket", "in_halo")
+    return wilder_averages(rows, block)
 
 
-def features(bars: DataFrame, session: str | None = "UTC", session_start: str = "00:00", contract_edges: bool = False, halo_rows: int | None = None, block: int = scan.BLOCK) -> DataFrame:
+def features(bars: DataFrame, session: str | None = "UTC", session_start: str = "00:00", contract_edges: bool = False, halo_rows: int = BUCKET, block: int = scan.BLOCK) -> DataFrame:
     """bars with bar_no, session_id, rsi, atr, vwap, the six features, `features` (their array) and `ready`.
 
     session: time zone whose days, from session_start on, reset the VWAP; None never resets it. contract_edges: on a bar
-    without volume the close stands for the VWAP and the volume feature is 0. halo_rows: cut the window features into buckets
-    of that many bars, for series that one task should not hold. Values that are not finite become 0.
+    without volume the close stands for the VWAP and the volume feature is 0. Row windows see buckets of `halo_rows` bars, so
+    no task holds a whole long series. Values that are not finite become 0.
     """
     rows = numbered(bars)
     rows = rows.withColumn("session_id", session_id(F.col("ts"), session, session_start) if session else F.lit("1970-01-01").cast("date"))
-    if halo_rows:
-        rows = window_features(by_halo(rows, halo_rows), ("symbol", "bucket")).where(~F.col("in_halo")).drop("bucket", "in_halo")
-        rows = rows.withColumn("volume_z", F.when(F.col("bar_no") == 0, 0.0).otherwise(F.col("volume_z")))
-    else:
-        rows = window_features(rows)
-    rows = session_vwap(wilder(rows, block))
+    cut = ("symbol", "bucket")
+    rows = wilder_steps(window_features(by_halo(rows, halo_rows), cut), cut).where(~F.col("in_halo")).drop("bucket", "in_halo")
+    rows = rows.withColumn("volume_z", F.when(F.col("bar_no") == 0, 0.0).otherwise(F.col("volume_z")))
+    rows = session_vwap(wilder_averages(rows, block))
     empty = F.col("volume") <= 0
     vwap = F.when(empty, F.col("close")).otherwise(F.col("vwap")) if contract_edges else F.col("vwap")
     atr = S.denominator(F.col("atr"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.operators.features import by_halo
+from barwright.sources.bars import numbered
+
 #: Fixed by the contract: sizes looked back on, how many are needed, and how many times the mean is large.
 SIZES, LEAST_SIZES, LARGE = 200, 10, 3.0
 
@@ -70,12 +73,12 @@ def cumulative_delta(flow: DataFrame, session: Column | None = None) -> DataFram
 
 def large_orders(trades: DataFrame, width: str = "1 hour") -> DataFrame:
     """symbol, ts, large_orders: at each bar's last trade, how many of the last 200 sizes reach three times their mean; 0 for fewer than 10."""
-    sizes = trades.where("volume > 0").withColumn("w", F.window("ts", width).getField("start"))
-    last = Window.partitionBy("symbol").orderBy("ts", "seq")
-    frame = last.rowsBetween(1 - SIZES, 0)
-    ends = F.coalesce(F.lead("w").over(last) != F.col("w"), F.lit(True))
+    sizes = numbered(trades.where("volume > 0").withColumn("w", F.window("ts", width).getField("start")))
+    ends = F.max("bar_no").over(Window.partitionBy("symbol", "w")) == F.col("bar_no")
+    rows = by_halo(sizes.withColumn("__ends", ends), halo=SIZES)
+    frame = Window.partitionBy("symbol", "bucket").orderBy("ts", "seq").rowsBetween(1 - SIZES, 0)
     # The list of sizes is made for every row by the frame, but kept and counted only on a bar's last trade.
-    rows = sizes.withColumns({"__ends": ends, "__sizes": F.collect_list("volume").over(frame), "__mean": F.avg("volume").over(frame)}).where("__ends")
+    rows = rows.withColumns({"__sizes": F.collect_list("volume").over(frame), "__mean": F.avg("volume").over(frame)}).where("__ends and not in_halo")
     n = F.size(F.filter("__sizes", lambda v: v >= LARGE * F.col("__mean")))
     return rows.select("symbol", F.col("w").alias("ts"), F.when(F.size("__sizes") >= LEAST_SIZES, n).otherwise(0).alias("large_orders"))
 

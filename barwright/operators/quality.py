@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.operators.features import by_halo, trainable
+from barwright.sources.bars import numbered
+
 #: Fixed limits: bars of a usable series, times the median interval that make a gap, deviations that make an outlier.
 LEAST_BARS, GAP_FACTOR, SIGMAS, LEAST_RETURNS, LEAST_TRAINING = 200, 3.0, 10.0, 20, 500
 
@@ -24,12 +27,13 @@ def _checks(n: str = "n_bars") -> dict[str, Column]:
 
 
 def with_steps(bars: DataFrame) -> DataFrame:
-    """bars with `gap` (seconds since the bar before) and `ret` (log return; null where a price is not positive)."""
-    order = Window.partitionBy("symbol").orderBy("ts", "seq")
+    """Clean bars with `gap` (seconds since the bar before) and `ret` (log return; null where a price is not positive)."""
+    bars = by_halo(numbered(bars), halo=1)
+    order = Window.partitionBy("symbol", "bucket").orderBy("ts", "seq")
     before = F.lag(F.struct("ts", "close")).over(order)
     gap = F.col("ts").cast("timestamp").cast("double") - before["ts"].cast("timestamp").cast("double")
     ratio = F.when((F.col("close") > 0) & (before["close"] > 0), F.log(F.col("close") / before["close"]))
-    return bars.withColumns({"gap": gap, "ret": ratio})
+    return bars.withColumns({"gap": gap, "ret": ratio}).where(~F.col("in_halo")).drop("bucket", "in_halo", "bar_no")
 
 
 def quality_counts(bars: DataFrame) -> DataFrame:
@@ -68,8 +72,6 @@ def report(bars: DataFrame) -> DataFrame:
 
 def training_status(bars: DataFrame, featured: DataFrame, least: int = LEAST_TRAINING) -> DataFrame:
     """symbol, n_bars, n_trainable, status: whether a symbol has bars enough before and after the warm-up."""
-    from barwright.operators.features import trainable
-
     after = trainable(featured).groupBy("symbol").agg(F.count("*").alias("n_trainable"))
     joined = bars.groupBy("symbol").agg(F.count("*").alias("n_bars")).join(after, "symbol", "left").fillna(0, ["n_trainable"])
     enough = F.when(F.col("n_bars") < least, "too_few_bars").when(F.col("n_trainable") < least, "too_few_after_warm_up").otherwise("ok")
