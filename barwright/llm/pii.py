@@ -125,7 +125,7 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
 
     Of N documents df(c) hold the entity c and df(t) the term t; joint(c, t) hold t in a context of c. A term carries
     ln(N joint / (df(c) df(t))) / ln(N / df(c)) of c. Only terms found in `support` different contexts of c are judged:
-    copies of one text are one context. All documents count, whole.
+    copies of one text are one context. All documents count, whole; rows that repeat one count again in N and df(t).
     """
     keyed = _keyed(docs.select("doc_id", "text"))
     n_docs = docs.count()
@@ -136,17 +136,24 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
     mentions = with_base_spans(keyed).select("__k1", "__k2", F.explode_outer("__base").alias("m")).where("m is not null")
     mentions = stored(mentions.select("__k1", "__k2", "m.entity", F.xxhash64(around).alias("context"), F.array_distinct(_terms(inner)).alias("terms")), "mentions")
     entities = mentions.groupBy("entity").agg(F.count_distinct("__k1", "__k2").alias("df_c"))
-    pairs = mentions.select("__k1", "__k2", "entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term")
-    joint = pairs.agg(F.count_distinct("context").alias("contexts"), F.count_distinct("__k1", "__k2").alias("joint"))
-    joint = stored(joint.where(F.col("contexts") >= support).join(entities, "entity"), "joint")
-    wanted = stored(joint.select("term").distinct(), "terms")
-    words = keyed.select("__k1", "__k2", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
-    holders = stored(small_join(words, wanted, ["term"], "left_semi", limit=BROADCAST_ROWS // 4), "holders")
-    frequency = holders.distinct().groupBy("term").agg(F.count("*").alias("df_t"))
+    pairs = mentions.select("__k1", "__k2", "entity", "context", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("__k1", "__k2").alias("joint"))
+    # A term is in at least as many documents as have it near any entity: what cannot reach the threshold even so is left out.
+    near = pairs.groupBy("term").agg(F.count_distinct("__k1", "__k2").alias("df_t"))
     n = F.lit(float(max(n_docs, 1)))
     carries = F.log(n * F.col("joint") / (F.col("df_c") * F.col("df_t"))) / F.log(n / F.col("df_c"))
-    judged = joint.join(frequency, "term").where(F.col("df_c") < n).groupBy("term").agg(F.max(carries).alias("carries"))
-    return stored(judged.where(F.col("carries") >= discloses), "disclosing"), holders
+    joint = joint.where(F.col("contexts") >= support).join(entities, "entity").where(F.col("df_c") < n).join(near, "term")
+    joint = stored(joint.where(carries >= discloses).drop("df_t"), "joint")
+    frequency = _held(keyed, stored(joint.select("term").distinct(), "terms")).groupBy("term").agg(F.count("*").alias("df_t"))
+    judged = joint.join(frequency, "term").groupBy("term").agg(F.max(carries).alias("carries"))
+    disclosing = stored(judged.where(F.col("carries") >= discloses), "disclosing")
+    return disclosing, stored(_held(keyed, disclosing.select("term")), "holders")
+
+
+def _held(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """__k1, __k2, term: the wanted terms that each document holds, once each."""
+    words = keyed.select("__k1", "__k2", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
+    return small_join(words, wanted, ["term"], "left_semi", limit=BROADCAST_ROWS // 4)
 
 
 def _term_spans(terms: Column) -> Column:
