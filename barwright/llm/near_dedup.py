@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     """
     sketch = sketches(docs, size)
     whole = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # Stored, so that the join below is one of two plain shuffles, which AQE can split where copies are very many.
+    classes = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     members = stored(whole.join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
     forest = members.where("sig is not null").select("rep", "sig").mapInArrow(_labels, "label binary, rep long")
     walked = forest.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep")
