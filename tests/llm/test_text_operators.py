@@ -208,6 +208,15 @@ def test_language_by_held_out_texts(spark):
     assert {x.language.lang_pred for x in language_id.predict(spark.createDataFrame(asked, "text string, lang string"), {}).collect()} == {"und"}
 
 
+def test_quality_features_hold_n_grams_of_two_to_four_letters():
+    found = quality.features("abcd")
+    grams = [g for n in (2, 3, 4) for g in ("<abcd>"[i : i + n] for i in range(7 - n))]
+    assert found == [quality.bucket("<abcd>", 0), *(quality.bucket(g, len(g)) for g in grams)]
+    weights = quality.np.random.default_rng(1).normal(size=quality.BUCKETS)
+    value = quality._Words(weights)["abcd"]
+    assert value.imag == len(found) and abs(value.real - weights[found].sum()) < 1e-9
+
+
 def test_quality_by_held_out_texts(spark, documents):
     r = random.Random(6)
     junk = lambda: r.choice([lambda: re.sub(" ", "### ", sentence(r, 40)), lambda: sentence(r, 30).upper() + "!!", lambda: " ".join([r.choice(WORDS)] * 60)])()
