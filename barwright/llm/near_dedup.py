@@ -1,8 +1,8 @@
 """Near duplicates by an LSH forest: sorted signature orders, longest-common-prefix neighbours, and exact confirmation.
 
-Documents with equal shingle sets are one node. Each node's MinHash signature is laid out in TREES rotated orders; each order is
-sorted by range, so that nodes with a long common prefix are neighbours. A region is a run of nodes that agree on the first
-DEPTH values of an order. In it a node meets its neighbour, with which it shares the longest prefix, and the region's first node.
+Documents with equal shingle sets are one node. Each node's MinHash signature is laid out in several rotated orders; each order
+is sorted by range, so that nodes with a long common prefix are neighbours. A region is a run of nodes that agree on the first
+values of an order; how many orders and values, follows from the similarity (plan()). In it a node meets its neighbour, with which it shares the longest prefix, and the region's first node.
 Pairs whose signatures are far apart are passed over; the others are confirmed on the full sets, and give components.
 Regions that still hold several components then go deeper: their nodes are compared in blocks, across components only, on
 signatures and then on full sets; so no pair that shares a region is left out, and no region's pairs are ever listed.
@@ -10,6 +10,9 @@ signatures and then on full sets; so no pair that shares a region is left out, a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,19 +21,52 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import slices, small_join, stored, utf8
 
-#: Values in a signature; sorted orders; values that two nodes must share at the head of an order. A pair at similarity
-#: 0.85 misses all regions with probability (1 - 0.85 ** 3) ** 12, about 1 in 90,000.
-VALUES, TREES, DEPTH = 64, 12, 3
-#: Signature values that must agree before a pair is confirmed on full sets: over five deviations below the mean at 0.85.
-AGREE = 40
+#: Values in a signature; the most values that two nodes must share at the head of an order.
+VALUES, DEPTH = 64, 3
+#: Bounds of the probability that a pair at the least similarity shares no region, and that its signatures agree too little.
+NO_REGION, TOO_FAR = 1.1e-5, 5e-6
 #: Nodes of a region that are compared with one another in one task.
 BLOCK = 256
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of a label: the order's number, DEPTH values of two bytes, one byte of each other value.
-LABEL = 1 + 2 * DEPTH + VALUES - DEPTH
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Sorted orders; values at the head of an order that make a region; values that agree before a pair is confirmed."""
+
+    trees: int
+    depth: int
+    agree: int
+
+    @property
+    def head(self) -> int:
+        """Bytes of a label's head: the order's number and two bytes of each value."""
+        return 1 + 2 * self.depth
+
+    @property
+    def label(self) -> int:
+        """Bytes of a label: its head, and one byte of each other value."""
+        return self.head + VALUES - self.depth
+
+
+def plan(percent: int) -> Plan:
+    """The fewest orders that keep to NO_REGION, and the most values in agreement that keep to TOO_FAR, at this similarity.
+
+    The heads of the orders share no values, so regions are missed independently; where there are too few values for that, heads
+    are shorter. Below 17 percent no plan keeps to the bounds, which is an error.
+    """
+    like = percent / 100
+    agree, lost = 0, 0.0
+    while agree < VALUES and (lost := lost + comb(VALUES, agree) * like**agree * (1 - like) ** (VALUES - agree)) <= TOO_FAR:
+        agree += 1
+    for depth in range(DEPTH, 0, -1):
+        for trees in range(1, VALUES // depth + 1):
+            if (1 - like**depth) ** trees <= NO_REGION:
+                return Plan(trees, depth, agree)
+    raise ValueError(f"no {VALUES} values find pairs of a similarity of {percent} percent with certainty enough")
 
 
 class _WordHashes(dict):
@@ -93,22 +129,22 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "sketches")
 
 
-def _labels(batches):
-    spread = VALUES // TREES
+def _labels(batches, by: Plan):
+    spread = VALUES // by.trees
     for batch in slices(batches, 2048):
         values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
         n = len(values)
-        out = np.empty((TREES, n, LABEL), np.uint8)
-        for tree in range(TREES):
+        out = np.empty((by.trees, n, by.label), np.uint8)
+        for tree in range(by.trees):
             turned = np.roll(values, -tree * spread, axis=1)
             out[tree, :, 0] = tree
-            out[tree, :, 1 : 1 + 2 * DEPTH] = turned[:, :DEPTH].astype(">u2").view(np.uint8).reshape(n, 2 * DEPTH)
-            out[tree, :, 1 + 2 * DEPTH :] = turned[:, DEPTH:].astype(np.uint8)
-        flat = pa.Array.from_buffers(pa.binary(LABEL), n * TREES, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
-        yield pa.record_batch([flat, pa.array(np.tile(batch.column("rep").to_numpy(), TREES))], names=["label", "rep"])
+            out[tree, :, 1 : by.head] = turned[:, :by.depth].astype(">u2").view(np.uint8).reshape(n, 2 * by.depth)
+            out[tree, :, by.head :] = turned[:, by.depth:].astype(np.uint8)
+        flat = pa.Array.from_buffers(pa.binary(by.label), n * by.trees, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+        yield pa.record_batch([flat, pa.array(np.tile(batch.column("rep").to_numpy(), by.trees))], names=["label", "rep"])
 
 
-def _walk(batches):
+def _walk(batches, by: Plan):
     """Along one sorted stretch: candidate pairs (kind 0), the nodes of regions (kind 1), and the stretch's ends (kind 2)."""
     from pyspark import TaskContext
 
@@ -120,18 +156,18 @@ def _walk(batches):
 
     def region_of(labels):
         head = np.zeros((len(labels), 8), np.uint8)
-        head[:, 1:] = labels[:, : 1 + 2 * DEPTH]
+        head[:, 8 - by.head :] = labels[:, : by.head]
         return head.view(">i8").ravel().astype(np.int64)
 
     def met(labels, reps, i, j):
-        close = ((labels[i, 1 + 2 * DEPTH :] == labels[j, 1 + 2 * DEPTH :]).sum(axis=1) + DEPTH >= AGREE) & (reps[i] != reps[j])
+        close = ((labels[i, by.head :] == labels[j, by.head :]).sum(axis=1) + by.depth >= by.agree) & (reps[i] != reps[j])
         i, j = i[close], j[close]
         return np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, LABEL)
+        labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, by.label)
         reps = batch.column("rep").to_numpy()
         opens = opening is None
         if opens:
@@ -167,7 +203,7 @@ def _walk(batches):
         yield rows(2, [part, part], [e[1] for e in ends], [0, 1], [e[0] for e in ends])
 
 
-def _seams(found: DataFrame) -> list[tuple[int, int]]:
+def _seams(found: DataFrame, by: Plan) -> list[tuple[int, int]]:
     """Candidate pairs across neighbouring stretches; two rows a stretch are all that the driver sees."""
     ends: dict[int, dict[int, tuple[bytes, int]]] = {}
     for row in found.where("kind = 2").select("region", "a", "b", "label").collect():
@@ -175,7 +211,7 @@ def _seams(found: DataFrame) -> list[tuple[int, int]]:
     pairs, order = [], sorted(ends)
     for left, right in zip(order, order[1:], strict=False):
         (x, a), (y, b) = ends[left][1], ends[right][0]
-        if x[: 1 + 2 * DEPTH] == y[: 1 + 2 * DEPTH] and a != b and DEPTH + sum(p == q for p, q in zip(x[1 + 2 * DEPTH :], y[1 + 2 * DEPTH :], strict=True)) >= AGREE:
+        if x[: by.head] == y[: by.head] and a != b and by.depth + sum(p == q for p, q in zip(x[by.head :], y[by.head :], strict=True)) >= by.agree:
             pairs.append((min(a, b), max(a, b)))
     return pairs
 
@@ -230,7 +266,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int, by: Plan) -> DataFrame:
     """Links between components within a region. members: region, node."""
     known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -257,7 +293,7 @@ def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, size: int, p
 
         found = []
         for x in range(len(sets)):
-            near = np.flatnonzero((marks[x + 1 :] == marks[x]).sum(axis=1) >= AGREE) + x + 1
+            near = np.flatnonzero((marks[x + 1 :] == marks[x]).sum(axis=1) >= by.agree) + x + 1
             for y in near:
                 if (not across or own[x] != own[y]) and root(group[x]) != root(group[y]) and linked(sets[x], sets[y], percent):
                     parent[root(group[x])] = root(group[y])
@@ -276,20 +312,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     component. Rows that repeat a doc_id are one document. A null doc_id is linked with nothing: its component_id is null
     and kept true. An empty table gives no rows.
     """
+    by = plan(percent)
     sketch = sketches(docs, size)
     whole = sketch.where("n_shingles > 0 and doc_id is not null")
     # Stored, so that the join below is one of two plain shuffles, which AQE can split where copies are very many.
     classes = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     members = stored(whole.join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
-    forest = members.where("sig is not null").select("rep", "sig").mapInArrow(_labels, "label binary, rep long")
+    forest = members.where("sig is not null").select("rep", "sig").mapInArrow(lambda batches: _labels(batches, by), "label binary, rep long")
     walked = forest.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep")
-    found = stored(walked.mapInArrow(_walk, "kind int, region long, a long, b long, label binary"), "forest")
-    seams = docs.sparkSession.createDataFrame(_seams(found), "a long, b long")
+    found = stored(walked.mapInArrow(lambda batches: _walk(batches, by), "kind int, region long, a long, b long, label binary"), "forest")
+    seams = docs.sparkSession.createDataFrame(_seams(found, by), "a long, b long")
     pairs = stored(found.where("kind = 0").select("a", "b").unionByName(seams).distinct(), "pairs")
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = stored(_confirmed(pairs, texts, size, percent), "links")
     labels = stored(components(links), "components")
-    more = stored(_deeper(found.where("kind = 1").select("region", F.col("a").alias("node")).distinct(), labels, docs, size, percent), "links")
+    more = stored(_deeper(found.where("kind = 1").select("region", F.col("a").alias("node")).distinct(), labels, docs, size, percent, by), "links")
     # Links between components, joined to them: only what is new runs through the components again.
     raised = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = stored(components(raised.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")

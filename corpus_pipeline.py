@@ -19,6 +19,8 @@ from barwright.llm.queries import END_ID, SEQUENCE, quality_model, read, tokeniz
 
 #: Documents that score lower are rejected.
 LEAST_QUALITY = 0.7
+#: Documents whose sets of word shingles are as alike as this, in percent, are near duplicates.
+LEAST_LIKENESS = 80
 
 #: The stages learn a model, tokenize and follow chains of links, which SQL cannot express.
 ORACLE_SQL = None
@@ -42,7 +44,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat it, one."""
-    found = stored(near_duplicates(docs.select("doc_id", "text")), "near")
+    found = stored(near_duplicates(docs.select("doc_id", "text"), percent=LEAST_LIKENESS), "near")
     kept = small_join(docs, stored(found.where("not kept").select("doc_id").distinct(), "removed"), ["doc_id"], "left_anti")
     twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.limit(1).count():

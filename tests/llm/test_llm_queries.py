@@ -46,6 +46,17 @@ def test_pipeline_stages_take_odd_rows(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_near_stage_takes_pairs_from_four_fifths_on(spark, documents):
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(104)]
+        # 100 sets of five words each: 90 of 110 shared (0.82), or 88 of 112 (0.79).
+        changed = 10 if i % 2 else 12
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-changed], *(f"v{i}x{k}" for k in range(changed))]))]
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, documents(rows), SF).collect()}
+    assert kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(0, 40, 2)}
+
+
 def test_held_out_rows_follow_crc32(spark):
     import zlib
 

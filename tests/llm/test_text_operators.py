@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barwright.llm import language_id, pii, quality
 from barwright.llm.decontamination import decontaminate
 from barwright.llm.line_dedup import dedup_lines
-from barwright.llm.near_dedup import components, near_duplicates
+from barwright.llm.near_dedup import components, near_duplicates, plan
 from barwright.llm.packing import pack
 from barwright.llm.queries import tokenizer_path
 
@@ -130,6 +130,15 @@ def test_near_duplicates_of_a_large_family(spark, documents):
     assert found == brute.near(rows)
 
 
+def test_near_plan_follows_the_similarity():
+    assert plan(85) == type(plan(85))(12, 3, 40) and plan(80) == type(plan(80))(16, 3, 36)
+    for percent in range(17, 101):
+        by = plan(percent)
+        assert (1 - (percent / 100) ** by.depth) ** by.trees <= 1.1e-5 and by.trees * by.depth <= 64
+    with pytest.raises(ValueError):
+        plan(10)
+
+
 def test_near_duplicates_edges(spark, documents):
     assert near_duplicates(documents([])).count() == 0
     found = near_duplicates(documents([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)])).collect()
