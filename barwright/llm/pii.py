@@ -25,8 +25,8 @@ KINDS = {
 #: A cheap test that a text must pass before its pattern runs.
 HINTS = {"email": "%@%", "ip": "%.%", "card": "%", "phone": "%+%"}
 PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
-#: Code points on each side of a mention that count as its context, and the letters of a term.
-CONTEXT, TERM = 160, (4, 40)
+#: Code points on each side of a mention that count as its context; a term, of letters and digits, lies within one.
+CONTEXT, TERM = 160, (1, 160)
 #: Part of an entity's information that a term must carry to be generalised, and to be removed; contexts that must show it.
 DISCLOSES, NAMES, SUPPORT = 0.8, 0.98, 3
 #: Elements of an array that are summed up in one stretch.
@@ -76,6 +76,17 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(value) if kind in ("email", "ip") else _digits(value))
 
 
+def _whole_words(piece: Column, at_edge: Column, after: bool) -> Column:
+    """The piece beside a mention, of CONTEXT + 1 code points at most, without words that touch the mention or are cut.
+
+    At the outer end a word is whole where the text itself ends (at_edge, and the piece no longer than CONTEXT); else it is joined
+    to another mention or, as the one code point more tells, runs on beyond the context.
+    """
+    inner, outer = (r"^[\p{L}\p{N}]+", r"[\p{L}\p{N}]+$") if after else (r"[\p{L}\p{N}]+$", r"^[\p{L}\p{N}]+")
+    own = F.regexp_replace(piece, inner, "")
+    return F.when(at_edge & (F.char_length(piece) <= CONTEXT), own).otherwise(F.regexp_replace(own, outer, ""))
+
+
 def _spans_of(kind: str) -> Column:
     """The kind's spans from its hits, the pieces between them and its starts."""
     hits, gaps = F.col(f"__{kind}"), F.col(f"__{kind}_gaps")
@@ -87,15 +98,18 @@ def _spans_of(kind: str) -> Column:
         lambda r: F.struct(
             F.lit(kind).alias("kind"), r["at"].alias("start"), (r["at"] + F.char_length(r["v"])).alias("stop"), _entity(kind, r["v"]).alias("entity"),
             F.substring(r["before"], -CONTEXT, CONTEXT).alias("before"), F.substring(r["after"], 1, CONTEXT).alias("after"),
+            _whole_words(F.substring(r["before"], -CONTEXT - 1, CONTEXT + 1), r["at"] == F.char_length(r["before"]), False).alias("words_before"),
+            _whole_words(F.substring(r["after"], 1, CONTEXT + 1), r["at"] + F.char_length(r["v"]) + F.char_length(r["after"]) == F.char_length("__text"), True).alias("words_after"),
         ),
     )
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """docs with __base: structs (kind, start, stop, entity, before, after) of the pattern spans, by kind and start.
+    """docs with __base: structs (kind, start, stop, entity, before, after, words_before, words_after) of the pattern spans, by kind and start.
 
     Matches are leftmost and non-overlapping within each kind; those that fail their kind's test are dropped. Starts and stops
-    count code points, stop exclusive; before and after are the pieces of text around the match.
+    count code points, stop exclusive; before and after are the pieces of text around the match, and
+    words_before and words_after the same without words that are cut.
     """
     for kind, pattern in KINDS.items():
         hits = F.regexp_extract_all(F.col("__text"), F.lit(pattern), F.lit(0))
@@ -110,7 +124,7 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.char_length(w).between(*TERM))
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w).between(*TERM))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -130,8 +144,7 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
     keyed = _keyed(docs.select("doc_id", "text"))
     n_docs = docs.count()
     around = F.concat_ws(" ", F.col("m.before"), F.col("m.after"))
-    # A word cut by the edge of the context, or joined to the mention, is no term of it.
-    inner = F.concat_ws(" ", F.regexp_replace(F.col("m.before"), r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", ""), F.regexp_replace(F.col("m.after"), r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$", ""))
+    inner = F.concat_ws(" ", F.col("m.words_before"), F.col("m.words_after"))
     # explode_outer: plain explode would have the whole search run a second time in a filter on the array's size.
     mentions = with_base_spans(keyed).select("__k1", "__k2", F.explode_outer("__base").alias("m")).where("m is not null")
     mentions = stored(mentions.select("__k1", "__k2", "m.entity", F.xxhash64(around).alias("context"), F.array_distinct(_terms(inner)).alias("terms")), "mentions")
@@ -157,7 +170,7 @@ def _held(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _term_spans(terms: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}])"))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def find_spans(docs: DataFrame, discloses: float = DISCLOSES, names: float = NAMES, support: int = SUPPORT) -> DataFrame:

@@ -65,6 +65,29 @@ def test_pii_terms_that_reveal_an_entity(spark, documents):
     assert pii.sanitise(documents([], extra=False)).count() == 0
 
 
+def test_pii_terms_at_the_ends_of_texts_and_of_any_length(spark, documents):
+    people = ["Jonathan", "Li", "王芳", "k9x2", "n" * 60]
+    rows, i = [], 0
+    for p, name in enumerate(people):
+        for k in range(4):
+            rows += [(i, f"{name} <p{p}@mail.org> asked about topic{p}v{k}"), (i + 1, f"call{p}v{k} of p{p}@mail.org by {name}")]
+            i += 2
+    rows += [(i + k, f"plain words number{k} of asked about call by") for k in range(400)]
+    found = {x.doc_id: x for x in pii.find_spans(documents(rows, extra=False)).collect()}
+    for n, (doc_id, text) in enumerate(rows[: 8 * len(people)]):
+        marked = [text[s.start : s.stop] for s in found[doc_id].spans if s.kind == "term"]
+        assert people[n // 8] in marked, text
+    assert not any(s.kind == "term" for doc_id, _ in rows[8 * len(people) :] for s in found[doc_id].spans)
+
+
+def test_pii_words_cut_by_the_context_are_no_terms(spark):
+    long = "ab " * 60
+    cases = [("Ann <a@b.org> Bo", ["ann", "bo"]), ("Xa@b.org Bo", ["bo"]), (f"Zed{long}a@b.org", None), (f"{long}a@b.org {long}", None), ("w" * 170 + " a@b.org", [])]
+    rows = pii.with_base_spans(spark.createDataFrame([(t,) for t, _ in cases], "__text string")).select("__text", pii._terms(F.concat_ws(" ", "__base.words_before", "__base.words_after")).alias("t"))
+    found = {r[0]: r[1] for r in rows.select("__text", "t").collect()}
+    assert all(set(found[t]) == ({"ab"} if want is None else set(want)) for t, want in cases)
+
+
 # lines
 
 def lines_table():
