@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,100 +14,50 @@ FAST, SLOW, ATR_ROWS, TREND, FADE, RULE_CONFIDENCE = 20, 50, 60, 0.002, 0.005, 0
 STOP_FACTORS = {0: (0.75, 0.75), 2: (1.5, 1.25)}
 
 
-@dataclass(frozen=True)
-class _Hysteresis(scan.Scan):
-    """The regime automaton within one session: state (current, candidate, dwell), counted flips start at 0.
+def _regime_automaton(states: int, dwell: int, flips: int) -> scan.Automaton:
+    """The automaton over (current, candidate, dwell, flips so far), from a state in which no regime is known yet.
 
-    A session's summary is the table of where each start state ends; sessions are the blocks.
+    Codes are the proposals 0 .. states - 1, and `states` for none. A new session sets the flips back.
     """
+    known = [(current, candidate, count, n) for current in range(states) for candidate in range(states) for count in range(dwell + 1) for n in range(flips + 1)]
+    places = {None: 0} | {state: i + 1 for i, state in enumerate(known)}
+
+    def step(state, proposed):
+        if proposed == states or state and state[3] >= flips:
+            return state
+        if state is None:
+            return (proposed, proposed, dwell, 0) if flips else None
+        current, candidate, count, n = state
+        if proposed == current:
+            return (current, current, 0, n)
+        count = min(count + 1, dwell) if proposed == candidate else 1
+        return (proposed, proposed, 0, n + 1) if count >= dwell else (current, proposed, count, n)
+
+    everything = [None, *known]
+    return scan.Automaton(
+        start=[0.0, float("nan")],
+        columns={"regime": "int", "flips": "int"},
+        table=tuple(tuple(places[step(s, p)] for p in range(states + 1)) for s in everything),
+        reset=tuple(places[s and (*s[:3], 0)] for s in everything),
+        read=(tuple(-1 if s is None else s[0] for s in everything), tuple(0 if s is None else s[3] for s in everything)),
+    )
+
 
-    states: int = 3
-    dwell: int = 3
-    flips: int = 6
-
-    def _starts(self):
-        # Before any regime is known, and every (current, candidate, dwell so far).
-        yield (-1, -1, 0)
-        for current in range(self.states):
-            for candidate in range(self.states):
-                for count in range(self.dwell + 1):
-                    yield (current, candidate, count)
-
-    def _code(self, state):
-        current, candidate, count = state
-        return 0 if current < 0 else 1 + (current * self.states + candidate) * (self.dwell + 1) + count
-
-    def _run(self, proposals, state):
-        current, candidate, count = state
-        flips, out = 0, []
-        for proposed in proposals:
-            if proposed >= 0 and flips < self.flips:
-                if current < 0:
-                    current, candidate, count = proposed, proposed, self.dwell
-                elif proposed == current:
-                    candidate, count = current, 0
-                else:
-                    candidate, count = proposed, (min(count + 1, self.dwell) if proposed == candidate else 1)
-                    if count >= self.dwell:
-                        current, count, flips = candidate, 0, flips + 1
-            out.append((current, flips))
-        return (current, candidate, count), out
-
-    def summarise(self, frame):
-        proposals = frame["__proposal"].tolist()
-        return [self._code(self._run(proposals, s)[0]) for s in self._starts()]
-
-    def advance(self, state, summary):
-        return [summary[int(state[0])]]
-
-    def replay(self, frame, state):
-        start = list(self._starts())[int(state[0])]
-        _, out = self._run(frame["__proposal"].tolist(), start)
-        return {"regime": [o[0] for o in out], "flips": [o[1] for o in out]}
-
-
-def hysteresis(proposals: DataFrame, states: int = 3, confidence: float = 0.55, dwell: int = 3, max_flips: int = 6) -> DataFrame:
+def hysteresis(proposals: DataFrame, states: int = 3, confidence: float = 0.55, dwell: int = 3, max_flips: int = 6, block: int = scan.BLOCK) -> DataFrame:
     """proposals (symbol, session_id, bar_no, state, confidence) with regime and flips.
 
     Proposals below the confidence are ignored; another state must be proposed `dwell` times before the regime follows; a
-    session has at most `max_flips` changes; the regime outlives the session. A session is a block: each is reduced to the
-    table of its start and end states, and the tables are chained.
+    session has at most `max_flips` changes; the regime outlives the session. Blocks of bars are reduced to the table of
+    their start and end states, and the tables are chained, so neither a long series nor a long session meets in one task.
     """
-    own = F.when((F.col("confidence") >= confidence) & F.col("state").between(0, states - 1), F.col("state")).otherwise(-1)
-    rows = proposals.withColumn("__proposal", own.cast("int"))
-    kernel = _Hysteresis(start=[0.0], columns={"regime": "int", "flips": "int"}, states=states, dwell=dwell, flips=max_flips)
-    # Sessions are numbered by their first bar, so that blocks follow in time.
-    firsts = rows.groupBy("symbol", "session_id").agg(F.min("bar_no").alias("__first"))
-    rows = rows.join(firsts, ["symbol", "session_id"])
-    return _by_session(rows, kernel).drop("__proposal", "__first")
-
-
-def _by_session(rows: DataFrame, kernel: _Hysteresis) -> DataFrame:
-    import pandas as pd
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    key = f"symbol {kinds['symbol']}, first long"
-    cut = rows.select("symbol", F.col("__first").cast("long").alias("first"), "bar_no", "__proposal")
-
-    def summarise(part):
-        part = part.sort_values("bar_no")
-        return pd.DataFrame({"symbol": [part["symbol"].iloc[0]], "first": [part["first"].iloc[0]], "summary": [[float(x) for x in kernel.summarise(part)]]})
-
-    def chain(part):
-        part = part.sort_values("first")
-        state, states = list(kernel.start), []
-        for summary in part["summary"]:
-            states.append(state)
-            state = kernel.advance(state, list(summary))
-        return part[["symbol", "first"]].assign(state=states)
-
-    def replay(part):
-        part = part.sort_values("bar_no")
-        return part[["symbol", "bar_no"]].assign(**kernel.replay(part, list(part["state"].iloc[0])))
-
-    states = cut.groupBy("symbol", "first").applyInPandas(summarise, f"{key}, summary array<double>").groupBy("symbol").applyInPandas(chain, f"{key}, state array<double>")
-    done = cut.join(states, ["symbol", "first"]).groupBy("symbol", "first").applyInPandas(replay, f"symbol {kinds['symbol']}, bar_no {kinds['bar_no']}, regime int, flips int")
-    return rows.join(done, ["symbol", "bar_no"])
+    own = F.when((F.col("confidence") >= confidence) & F.col("state").between(0, states - 1), F.col("state")).otherwise(states)
+    rows = proposals.withColumns({"__code": own.cast("int"), "__period": period(F.col("session_id"))})
+    return scan.blocked(rows, _regime_automaton(states, dwell, max_flips), ["symbol"], block).drop("__code", "__period")
+
+
+def period(session: Column) -> Column:
+    """A session's mark as a double: 48 bits of its hash, so that neighbouring sessions differ."""
+    return F.shiftrightunsigned(F.xxhash64(session), 16).cast("double")
 
 
 def _averages(rows: DataFrame) -> DataFrame:

@@ -19,29 +19,78 @@ def latest(scored: DataFrame, window: int = WINDOW) -> DataFrame:
     return scored.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= window).drop("__n")
 
 
+def evidence(recent: DataFrame, k: int) -> DataFrame:
+    """One row a symbol with all that the measures need, in one aggregate: n, state counts `c`, counts of state changes `moves`
+    (k times k, by rows), mean_ll, and means and deviations of the features."""
+    order = Window.partitionBy("symbol").orderBy("ts", "seq")
+    rows = recent.withColumn("__from", F.lag("state").over(order)) if "state" in recent.columns else recent.withColumns({"state": F.lit(None).cast("int"), "__from": F.lit(None).cast("int")})
+    both = lambda i, j: F.count_if((F.col("__from") == i) & (F.col("state") == j))
+    found = [f for f in FEATURES if f in recent.columns]
+    return rows.groupBy("symbol").agg(
+        F.count("*").alias("n"),
+        F.array(*(F.count_if(F.col("state") == i) for i in range(k))).alias("c"),
+        F.array(*(both(i, j) for i in range(k) for j in range(k))).alias("moves"),
+        (F.avg("step_ll") if "step_ll" in recent.columns else F.lit(None).cast("double")).alias("mean_ll"),
+        F.array(*(F.avg(f) for f in found)).alias("seen_mean"),
+        F.array(*(F.stddev_samp(f) for f in found)).alias("seen_std"),
+    )
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _occupancy(k: int) -> Column:
+    even = F.col("n") / k
+    return _sum(F.transform("c", lambda c: (c - even) * (c - even) / even)) / k
+
+
+def _transitions() -> Column:
+    """From `moves` and the model's matrix: the sum of p ln(p / q) over all cells, both bounded to [1e-10, 1], by k."""
+    bounded = lambda x: F.least(F.greatest(x, F.lit(SMALL)), F.lit(1.0))
+
+    def row(q: Column, i: Column) -> Column:
+        own = F.slice("moves", i * F.size(q) + 1, F.size(q))
+        total = _sum(F.transform(own, lambda c: c.cast("double")))
+        return _sum(F.zip_with(own, q, lambda c, q: (lambda p: p * F.log(p / bounded(q)))(bounded(F.when(total > 0, c / total).otherwise(0.0)))))
+
+    divergence = _sum(F.transform("transition_matrix", row)) / F.size("transition_matrix")
+    return F.when(F.col("n") < LEAST_STATES, 0.0).otherwise(F.greatest(divergence, F.lit(0.0)))
+
+
+def _likelihood(baseline: str) -> Column:
+    trained = F.col("metadata.log_likelihood")
+    if baseline == "per_bar":
+        trained = trained / F.greatest(F.col("metadata.training_bars"), F.lit(1))
+    drop = (trained - F.col("mean_ll")) / F.greatest(F.lit(1.0), F.abs(trained))
+    return F.when(trained == 0, 0.0).otherwise(F.least(F.greatest(drop, F.lit(0.0)), F.lit(1.0)))
+
+
+def _features() -> Column:
+    """Structs (feature, drift) in the order of the features."""
+
+    def one(name: str, i: int) -> Column:
+        std = F.greatest(F.get("feature_std", F.lit(i)), F.lit(SMALL))
+        ratio = F.abs(F.log(F.greatest(F.coalesce(F.get("seen_std", F.lit(i)), F.lit(0.0)), F.lit(SMALL)) / std))
+        drift = 0.7 * F.abs(F.get("seen_mean", F.lit(i)) - F.get("feature_mean", F.lit(i))) / std + 0.3 * ratio
+        return F.struct(F.lit(name).alias("feature"), F.when(F.col("n") < LEAST_ROWS, 0.0).otherwise(drift).alias("drift"))
+
+    return F.array(*(one(f, i) for i, f in enumerate(FEATURES)))
+
+
+def _with_models(recent: DataFrame, models: DataFrame, k: int) -> DataFrame:
+    """evidence() beside each symbol's model; a symbol without a model falls out. Models are one row a symbol, as the evidence is."""
+    return evidence(recent, k).join(models.select("symbol", "transition_matrix", "feature_mean", "feature_std", "metadata"), "symbol")
+
+
 def occupancy(recent: DataFrame, k: int) -> DataFrame:
     """symbol, occupancy_drift: chi-square distance of the state counts from equal ones, by n and k."""
-    counts = [F.count_if(F.col("state") == i).alias(f"c{i}") for i in range(k)]
-    rows = recent.groupBy("symbol").agg(F.count("*").alias("n"), *counts)
-    even = F.col("n") / k
-    total = sum(((F.col(f"c{i}") - even) * (F.col(f"c{i}") - even) / even for i in range(1, k)), (F.col("c0") - even) * (F.col("c0") - even) / even)
-    return rows.select("symbol", (total / k).alias("occupancy_drift"))
+    return evidence(recent, k).select("symbol", _occupancy(k).alias("occupancy_drift"))
 
 
-def transitions(recent: DataFrame, models: DataFrame) -> DataFrame:
+def transitions(recent: DataFrame, models: DataFrame, k: int = 3) -> DataFrame:
     """symbol, transition_drift: Kullback-Leibler divergence of the observed state changes from the model's matrix, by k."""
-    order = Window.partitionBy("symbol").orderBy("ts", "seq")
-    moves = recent.withColumn("__from", F.lag("state").over(order))
-    counts = moves.where("__from is not null").groupBy("symbol", F.col("__from").cast("int").alias("i"), F.col("state").cast("int").alias("j")).agg(F.count("*").alias("c"))
-    grid = models.select("symbol", "k", F.posexplode("transition_matrix").alias("i", "row")).select("symbol", "k", "i", F.posexplode("row").alias("j", "q"))
-    cells = F.broadcast(grid).join(counts, ["symbol", "i", "j"], "left").fillna(0, ["c"])
-    total = F.sum("c").over(Window.partitionBy("symbol", "i"))
-    bounded = lambda x: F.least(F.greatest(x, F.lit(SMALL)), F.lit(1.0))
-    p = bounded(F.when(total > 0, F.col("c") / total).otherwise(0.0))
-    cells = cells.withColumns({"p": p, "q": bounded(F.col("q"))})
-    n = recent.groupBy("symbol").agg(F.count("*").alias("n"))
-    drift = cells.groupBy("symbol").agg((F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) / F.first("k")).alias("d"))
-    return n.join(drift, "symbol").select("symbol", F.when(F.col("n") < LEAST_STATES, 0.0).otherwise(F.greatest("d", F.lit(0.0))).alias("transition_drift"))
+    return _with_models(recent, models, k).select("symbol", _transitions().alias("transition_drift"))
 
 
 def likelihood_drop(recent: DataFrame, models: DataFrame, baseline: str = "per_bar") -> DataFrame:
@@ -49,35 +98,20 @@ def likelihood_drop(recent: DataFrame, models: DataFrame, baseline: str = "per_b
 
     baseline 'per_bar' divides the model's total by its training bars; 'total' takes it as it is.
     """
-    trained = F.col("metadata.log_likelihood")
-    if baseline == "per_bar":
-        trained = trained / F.greatest(F.col("metadata.training_bars"), F.lit(1))
-    base = models.select("symbol", trained.alias("trained"))
-    joined = recent.groupBy("symbol").agg(F.avg("step_ll").alias("seen")).join(F.broadcast(base), "symbol")
-    drop = (F.col("trained") - F.col("seen")) / F.greatest(F.lit(1.0), F.abs("trained"))
-    return joined.select("symbol", F.when(F.col("trained") == 0, 0.0).otherwise(F.least(F.greatest(drop, F.lit(0.0)), F.lit(1.0))).alias("likelihood_drop"))
+    return _with_models(recent, models, 1).select("symbol", _likelihood(baseline).alias("likelihood_drop"))
 
 
 def feature_drift(recent: DataFrame, models: DataFrame) -> DataFrame:
     """symbol, feature, drift: shift of the mean in training deviations, and the log ratio of deviations, weighed 0.7 and 0.3."""
-    aggregates = [x for f in FEATURES for x in (F.avg(f).alias(f"m_{f}"), F.stddev_samp(f).alias(f"s_{f}"))]
-    seen = recent.groupBy("symbol").agg(F.count("*").alias("n"), *aggregates)
-    rows = seen.select("symbol", "n", F.posexplode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("m"), F.col(f"s_{f}").alias("s")) for f in FEATURES))).alias("i", "x"))
-    joined = rows.join(F.broadcast(models.select("symbol", "feature_mean", "feature_std")), "symbol")
-    trained_mean, trained_std = F.col("feature_mean")[F.col("i")], F.greatest(F.col("feature_std")[F.col("i")], F.lit(SMALL))
-    ratio = F.abs(F.log(F.greatest(F.coalesce("x.s", F.lit(0.0)), F.lit(SMALL)) / trained_std))
-    drift = 0.7 * F.abs(F.col("x.m") - trained_mean) / trained_std + 0.3 * ratio
-    return joined.select("symbol", "x.feature", F.when(F.col("n") < LEAST_ROWS, 0.0).otherwise(drift).alias("drift"))
+    return _with_models(recent, models, 1).select("symbol", F.explode(_features()).alias("x")).select("symbol", "x.feature", "x.drift")
 
 
 def metrics(scored: DataFrame, models: DataFrame, k: int, window: int = WINDOW, baseline: str = "per_bar") -> DataFrame:
-    """One row a symbol: n, ready and the four measures to four places; feature drifts as a map."""
-    recent = latest(scored, window)
-    features = feature_drift(recent, models).groupBy("symbol").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.round("drift", 4).alias("drift"))))).alias("feature_drift"))
-    n = recent.groupBy("symbol").agg(F.count("*").alias("n"))
-    joined = n.join(occupancy(recent, k), "symbol").join(transitions(recent, models), "symbol").join(likelihood_drop(recent, models, baseline), "symbol").join(features, "symbol")
-    rounded = {c: F.round(c, 4) for c in ("occupancy_drift", "transition_drift", "likelihood_drop")}
-    return joined.withColumns(rounded).withColumn("ready", F.col("n") >= min(READY, window))
+    """One row a symbol: n, ready and the four measures to four places; feature drifts as a map. One pass over the last `window` rows."""
+    rows = _with_models(latest(scored, window), models, k)
+    drifts = F.map_from_entries(F.transform(_features(), lambda x: F.struct(x["feature"], F.round(x["drift"], 4))))
+    rounded = {"occupancy_drift": _occupancy(k), "transition_drift": _transitions(), "likelihood_drop": _likelihood(baseline)}
+    return rows.select("symbol", "n", *(F.round(x, 4).alias(name) for name, x in rounded.items()), drifts.alias("feature_drift"), (F.col("n") >= min(READY, window)).alias("ready"))
 
 
 def decision(measured: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
@@ -93,6 +127,3 @@ def to_retrain(decided: DataFrame, bars: DataFrame) -> DataFrame:
     """The bars of the symbols whose models are to be trained again."""
     return bars.join(F.broadcast(decided.where("retrain").select("symbol")), "symbol", "left_semi")
 
-
-def symbol_filter(column: Column, symbols: list[str]) -> Column:
-    return column.isin(symbols)

@@ -1,7 +1,8 @@
 """The six features of a bar, and the rolling and smoothed series behind them.
 
-Frames hold symbol, ts, seq, open, high, low, close, volume. Finite row frames are windows over (ts, seq); Wilder's smoothing is
-a blocked scan. A symbol with very many bars is cut into buckets that carry a halo of earlier rows, see `by_halo`.
+Frames hold symbol, ts, seq, open, high, low, close, volume. Finite row frames are windows over (ts, seq). Wilder's smoothing is a
+weighted running sum over stretches of bars, as windows too: what lies further back than a stretch weighs less than a
+rounding error. A symbol with very many bars is cut into buckets that carry a halo of earlier rows, see `by_halo`.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import scalar as S
-from barwright.plans import scan
 from barwright.sources.bars import numbered
 from barwright.sources.schema import FEATURES, session_id
 
@@ -19,6 +19,8 @@ Z_WINDOW, VOL_WINDOW, VOLUME_WINDOW, PERIOD = 100, 20, 20, 14
 WARM_UP = 100
 #: Rows before a bar that its features depend on, recursions aside, and rows of a bucket.
 HALO, BUCKET = Z_WINDOW + VOL_WINDOW, 65_536
+#: Bars of a stretch of Wilder's smoothing: (13/14)^512 is 3e-17, so two stretches hold all of an average that a double can tell.
+STRETCH = 512
 
 
 def order(by: list[str]):
@@ -81,59 +83,82 @@ def session_vwap(bars: DataFrame) -> DataFrame:
     return bars.withColumn("vwap", F.sum(price * F.col("volume")).over(running) / F.greatest(F.sum("volume").over(running), F.lit(S.SMALL)))
 
 
+def endless_vwap(bars: DataFrame, rows: int = BUCKET) -> DataFrame:
+    """bars (with bar_no) with vwap since the series began: running sums within buckets, and the buckets' totals summed up before them."""
+    worth = S.typical_price(F.col("high"), F.col("low"), F.col("close")) * F.col("volume")
+    cut = bars.withColumn("__bucket", F.floor(F.col("bar_no") / rows))
+    totals = cut.groupBy("symbol", "__bucket").agg(F.sum(worth).alias("pv"), F.sum("volume").alias("v"))
+    before = Window.partitionBy("symbol").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("symbol", "__bucket", F.coalesce(F.sum("pv").over(before), F.lit(0.0)).alias("__pv"), F.coalesce(F.sum("v").over(before), F.lit(0.0)).alias("__v"))
+    running = Window.partitionBy("symbol", "__bucket").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(carried, ["symbol", "__bucket"])
+    vwap = (F.col("__pv") + F.sum(worth).over(running)) / F.greatest(F.col("__v") + F.sum("volume").over(running), F.lit(S.SMALL))
+    return joined.withColumn("vwap", vwap).drop("__bucket", "__pv", "__v")
+
+
 _AVERAGED = ("gain", "loss", "tr")
-_STEPS = [f"__{x}_{c}" for c in _AVERAGED for x in "ab"]
 
 
-def wilder_steps(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """bars (with bar_no) with the true range and the affine steps of Wilder's averages: null before the seed, then the seed."""
-    window = order(list(by))
+def wilder_averages(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """bars (with bar_no) with rsi and atr, from windows over `by`, whose rows may begin with a halo of whole stretches.
+
+    An average is the sum of what entered it times (13/14)^age. In a stretch that is a running sum of entries weighed by
+    (14/13)^place, scaled back; all entries are positive, so nothing cancels. The stretch before adds its last value, decayed.
+    Where nothing has moved for a stretch and more, RSI tells by the rows in sight whether there ever was a gain.
+    """
+    window, n = order(list(by)), F.col("bar_no")
     previous = F.lag("close").over(window)
     change = F.coalesce(F.col("close") - previous, F.lit(0.0))
     rows = bars.withColumns({"tr": S.true_range(F.col("high"), F.col("low"), previous), "gain": S.gain(change), "loss": S.loss(change)})
-    rows = rows.withColumns({f"__mean_{c}": F.avg(c).over(window.rowsBetween(1 - PERIOD, 0)) for c in _AVERAGED})
-    steps = {}
-    for c, seed in (("gain", PERIOD), ("loss", PERIOD), ("tr", PERIOD - 1)):
-        n = F.col("bar_no")
-        steps[f"__a_{c}"] = F.when(n > seed, F.lit((PERIOD - 1) / PERIOD)).when(n == seed, F.lit(0.0))
-        steps[f"__b_{c}"] = F.when(n > seed, F.col(c) / PERIOD).when(n == seed, F.col(f"__mean_{c}"))
-    return rows.withColumns(steps).drop("gain", "loss", *(f"__mean_{c}" for c in _AVERAGED))
-
-
-def wilder_averages(stepped: DataFrame, block: int = scan.BLOCK) -> DataFrame:
-    """wilder_steps() rows with rsi and atr."""
-    affine = scan.affine(*((f"__a_{c}", f"__b_{c}", f"avg_{c}") for c in _AVERAGED))
-    rows = scan.blocked(stepped, affine, ["symbol"], _STEPS, block)
-    up, down = F.col("avg_gain"), F.col("avg_loss")
-    flat = F.when(up > 0, 100.0).otherwise(50.0)
-    rsi = F.when(F.col("bar_no") < PERIOD, 50.0).when(down < S.SMALL, flat).otherwise(100 - 100 / (1 + up / down))
-    atr = F.when(F.col("bar_no") < PERIOD - 1, F.col("tr")).otherwise(F.col("avg_tr"))
-    return rows.withColumns({"rsi": rsi, "atr": atr}).drop(*_STEPS, "tr", *(f"avg_{c}" for c in _AVERAGED))
-
-
-def wilder(bars: DataFrame, block: int = scan.BLOCK, halo_rows: int = BUCKET) -> DataFrame:
+    seeds = {"gain": PERIOD, "loss": PERIOD, "tr": PERIOD - 1}
+    means = {c: F.avg(c).over(window.rowsBetween(1 - PERIOD, 0)) for c in _AVERAGED}
+    rows = rows.withColumns({f"__in_{c}": F.when(n > seeds[c], F.col(c) / PERIOD).when(n == seeds[c], means[c]).otherwise(0.0) for c in _AVERAGED})
+    place, keep = F.pmod(n, F.lit(STRETCH)).cast("double"), (PERIOD - 1) / PERIOD
+    rows = rows.withColumn("__stretch", F.floor(n / STRETCH))
+    within = Window.partitionBy(*by, "__stretch").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__own_{c}": F.sum(F.col(f"__in_{c}") * F.pow(F.lit(1 / keep), place)).over(within) * F.pow(F.lit(keep), place) for c in _AVERAGED})
+    # The order by stretch first lets both windows share one sort.
+    past = Window.partitionBy(*by).orderBy("__stretch", "ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {c: F.coalesce(F.last(F.when(place == STRETCH - 1, F.col(f"__own_{c}")), ignorenulls=True).over(past), F.lit(0.0)) for c in _AVERAGED}
+    rows = rows.withColumns({f"__avg_{c}": F.col(f"__own_{c}") + carried[c] * F.pow(F.lit(keep), place + 1) for c in _AVERAGED})
+    rows = rows.withColumn("__ever_up", F.max("gain").over(past.rowsBetween(Window.unboundedPreceding, 0)) > 0)
+    up, down = F.col("__avg_gain"), F.col("__avg_loss")
+    # A plain recursion's average stays above 0 once there was a gain, however long ago.
+    flat = F.when(F.col("__ever_up"), 100.0).otherwise(50.0)
+    rsi = F.when(n < PERIOD, 50.0).when(down < S.SMALL, flat).otherwise(100 - 100 / (1 + up / down))
+    atr = F.when(n < PERIOD - 1, F.col("tr")).otherwise(F.col("__avg_tr"))
+    own = [f"__{x}_{c}" for x in ("in", "own", "avg") for c in _AVERAGED]
+    return rows.withColumns({"rsi": rsi, "atr": atr}).drop("tr", "gain", "loss", "__stretch", "__ever_up", *own)
+
+
+def _whole_stretches(rows: int) -> int:
+    return -(-max(rows, 1) // STRETCH) * STRETCH
+
+
+def wilder(bars: DataFrame, halo_rows: int = BUCKET) -> DataFrame:
     """bars (with bar_no) with rsi and atr, Wilder's smoothing over 14 bars.
 
     RSI is 50 until 14 changes are known; then average gains and losses start from their means. ATR is the true range until 14
-    are known. Both recursions are affine, and run as one blocked scan.
+    are known. Buckets of `halo_rows` bars (rounded up to whole stretches) repeat the stretch before them.
     """
-    rows = wilder_steps(by_halo(bars, halo_rows, 2 * PERIOD), ("symbol", "bucket")).where(~F.col("in_halo")).drop("bucket", "in_halo")
-    return wilder_averages(rows, block)
+    cut = by_halo(bars, _whole_stretches(halo_rows), STRETCH)
+    return wilder_averages(cut, ("symbol", "bucket")).where(~F.col("in_halo")).drop("bucket", "in_halo")
 
 
-def features(bars: DataFrame, session: str | None = "UTC", session_start: str = "00:00", contract_edges: bool = False, halo_rows: int = BUCKET, block: int = scan.BLOCK) -> DataFrame:
+def features(bars: DataFrame, session: str | None = "UTC", session_start: str = "00:00", contract_edges: bool = False, halo_rows: int = BUCKET) -> DataFrame:
     """bars with bar_no, session_id, rsi, atr, vwap, the six features, `features` (their array) and `ready`.
 
     session: time zone whose days, from session_start on, reset the VWAP; None never resets it. contract_edges: on a bar
-    without volume the close stands for the VWAP and the volume feature is 0. Row windows see buckets of `halo_rows` bars, so
-    no task holds a whole long series. Values that are not finite become 0.
+    without volume the close stands for the VWAP and the volume feature is 0. Row windows see buckets of `halo_rows` bars
+    (rounded up to whole stretches), so no task holds a whole long series. Values that are not finite become 0.
     """
     rows = numbered(bars)
     rows = rows.withColumn("session_id", session_id(F.col("ts"), session, session_start) if session else F.lit("1970-01-01").cast("date"))
     cut = ("symbol", "bucket")
-    rows = wilder_steps(window_features(by_halo(rows, halo_rows), cut), cut).where(~F.col("in_halo")).drop("bucket", "in_halo")
+    rows = by_halo(rows, _whole_stretches(halo_rows), STRETCH)
+    rows = wilder_averages(window_features(rows, cut), cut).where(~F.col("in_halo")).drop("bucket", "in_halo")
     rows = rows.withColumn("volume_z", F.when(F.col("bar_no") == 0, 0.0).otherwise(F.col("volume_z")))
-    rows = session_vwap(wilder_averages(rows, block))
+    rows = session_vwap(rows) if session else endless_vwap(rows)
     empty = F.col("volume") <= 0
     vwap = F.when(empty, F.col("close")).otherwise(F.col("vwap")) if contract_edges else F.col("vwap")
     atr = S.denominator(F.col("atr"))

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import LABELS, SMALL, VARIANCE_FLOOR
+from barwright.plans import scan
 from barwright.sources.schema import MODEL
 
 #: Fixed training parameters: iterations, tolerance of the likelihood, restarts; restart r has seed 42 r + 1.
 ITERATIONS, TOLERANCE, RESTARTS = 200, 1e-4, 5
 
-
-
 FIT = "k int, restart int, initial_probs array<double>, transition_matrix array<array<double>>, means array<array<double>>, variances array<array<double>>, log_likelihood double, converged boolean, n_iterations int, n_rows bigint"
 
 
@@ -24,25 +23,56 @@ def _log_emission(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np
 
 
 def _smooth(log_e: np.ndarray, initial: np.ndarray, move: np.ndarray):
-    """Scaled forward-backward: state posteriors, summed transition posteriors, log likelihood."""
+    """Scaled forward-backward: state posteriors, summed transition posteriors, log likelihood.
+
+    Chunks of bars run side by side: their products give each chunk the state it starts with and the weight of what follows it.
+    """
     n, k = log_e.shape
     top = log_e.max(axis=1, keepdims=True)
     e = np.exp(log_e - top)
-    alpha, scale = np.empty((n, k)), np.empty(n)
-    state = initial * e[0]
-    for t in range(n):
-        if t:
-            state = (state @ move) * e[t]
-        scale[t] = max(state.sum(), 1e-300)
-        alpha[t] = state = state / scale[t]
-    beta, pairs = np.empty((n, k)), np.zeros((k, k))
-    after = beta[n - 1] = np.ones(k)
-    for t in range(n - 2, -1, -1):
-        weighed = e[t + 1] * after / scale[t + 1]
-        pairs += alpha[t][:, None] * move * weighed[None, :]
-        after = beta[t] = move @ weighed
+    cut, sizes = scan.chunks(e)
+    live = np.arange(scan.CHUNK)[None, :] < sizes[:, None]
+    cut[~live] = 1.0
+    # The first bar takes the initial probabilities as they are: a step from an even start by a matrix whose rows are all they.
+    product = np.tile(np.eye(k), (len(cut), 1, 1))
+    for t in range(scan.CHUNK):
+        step = np.broadcast_to(move, product.shape)
+        if t == 0:
+            step = step.copy()
+            step[0] = initial
+        new = (product @ step) * cut[:, t, None, :]
+        product = np.where(live[:, t, None, None], new / np.maximum(new.sum(axis=(1, 2), keepdims=True), 1e-300), product)
+    state, starts = np.full(k, 1 / k), []
+    for p in product:
+        starts.append(state)
+        state = state @ p
+        state = state / max(state.sum(), 1e-300)
+    after, ends = np.ones(k), []
+    for p in product[::-1]:
+        ends.append(after)
+        after = p @ after
+        after = after / max(after.sum(), 1e-300)
+    alpha, scale = np.empty(cut.shape), np.ones(cut.shape[:2])
+    state = np.array(starts)
+    for t in range(scan.CHUNK):
+        new = state @ move
+        if t == 0:
+            new[0] = initial
+        new = new * cut[:, t]
+        scale[:, t] = np.maximum(new.sum(axis=1), 1e-300)
+        state = alpha[:, t] = new / scale[:, t, None]
+    beta, after = np.empty(cut.shape), np.array(ends[::-1])
+    for t in range(scan.CHUNK - 1, -1, -1):
+        beta[:, t] = after
+        new = (cut[:, t] * after) @ move.T
+        after = np.where(live[:, t, None], new / np.maximum(new.sum(axis=1, keepdims=True), 1e-300), after)
+    alpha, beta = alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n]
     gamma = alpha * beta
-    return gamma / gamma.sum(axis=1, keepdims=True), pairs, float(np.log(scale).sum() + top.sum())
+    gamma = gamma / np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300)
+    weighed = e[1:] * beta[1:]
+    joint = alpha[:-1, :, None] * move * weighed[:, None, :]
+    pairs = (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+    return gamma, pairs, float(np.log(scale.ravel()[:n]).sum() + top.sum())
 
 
 def start(x: np.ndarray, k: int, seed: int):
@@ -90,7 +120,6 @@ def fits(rows: DataFrame, keys: list[str], k: int = 3, restarts: int = RESTARTS,
     """keys and FIT columns: one row for each group and restart, canonical. rows: keys, `order`, features.
 
     Each (group, restart) is a task of its own; groups of fewer rows than states, and fits that fail, give no row.
-
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     spread = rows.select(*keys, order, "features", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions import scalar as S
 from barwright.plans import scan
-from barwright.sources.schema import FEATURES, SYMBOLS
+from barwright.sources.schema import SYMBOLS
 
+#: Fixed by the model contract: the version, and below the required fields and error codes.
 SCHEMA_VERSION = 2
 
 
@@ -36,18 +37,13 @@ def emissions_from(rows: DataFrame, models: DataFrame) -> DataFrame:
 def filtered(rows: DataFrame, model: dict, block: int = scan.BLOCK) -> DataFrame:
     """rows (symbol, bar_no, features) with state_probs, step_ll, state and confidence: the forward filter as a blocked scan.
 
-    The first bar goes through the transition matrix too. The filter's floor and its uniform fallback make it not quite linear,
-    so blocks settle on their true ends.
+    The first bar goes through the transition matrix too. Blocks in which the filter's floor or its uniform fallback could act
+    are gone through bar by bar, so the result is that of the plain recursion.
     """
-    found = scan.blocked(emissions(rows, model), scan.forward(model), ["symbol"], ["log_emission"], block, settle="state_probs")
+    found = scan.blocked(emissions(rows, model), scan.forward(model), ["symbol"], block)
     return found.withColumns({"state": S.argmax(F.col("state_probs")), "confidence": F.array_max("state_probs")}).drop("log_emission")
 
 
-def running_likelihood(scored: DataFrame) -> DataFrame:
-    """scored with log_likelihood: the sum of step_ll so far."""
-    return scored.withColumn("log_likelihood", F.sum("step_ll").over(Window.partitionBy("symbol").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def likelihood(scored: DataFrame, *by: str) -> DataFrame:
     """The log likelihood of each series."""
     by = by or ("symbol",)
@@ -56,9 +52,8 @@ def likelihood(scored: DataFrame, *by: str) -> DataFrame:
 
 def viterbi(rows: DataFrame, model: dict, block: int = scan.BLOCK) -> DataFrame:
     """rows with state: the most likely path, the first of equals, by a max-plus scan and a scan back along predecessors."""
-    forward = scan.blocked(emissions(rows, model), scan.max_plus(model), ["symbol"], ["log_emission"], block)
-    traced = scan.blocked(forward, scan.trace(model["k"]), ["symbol"], ["path_score", "came_from"], block, backward=True)
-    return traced.drop("log_emission", "path_score", "came_from")
+    forward = scan.blocked(emissions(rows, model), scan.max_plus(model), ["symbol"], block)
+    return scan.blocked(forward, scan.trace(model["k"]), ["symbol"], block, backward=True).drop("log_emission", "came_from", "best_end")
 
 
 def validation_error(symbols: list[str] = SYMBOLS) -> Column:
@@ -112,6 +107,3 @@ def response(scored: DataFrame) -> DataFrame:
     """Scored rows as response messages: probabilities to six places."""
     return scored.select(F.lit("result").alias("type"), "symbol", "ts", S.rounded(F.col("state_probs")).alias("state_probs"), "state", F.round("confidence", 6).alias("confidence"))
 
-
-def feature_array(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("features", F.array(*FEATURES))

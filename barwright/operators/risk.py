@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.plans import scan
+from barwright.sources.bars import numbered
+
 
 def paired_fills(fills: DataFrame, instruments: DataFrame) -> DataFrame:
     """Exits with pnl: against the entry before them if no other exit came since, else 0. side is 1 or -1 on entries."""
@@ -36,20 +39,81 @@ def risk_state(rows: DataFrame, max_loss: float = 1000.0, profit_lock: float = 1
     return rows.withColumn("risk_state", state)
 
 
-def live_state(events: DataFrame) -> DataFrame:
-    """events (account, ts, seq, kind: signal, entry, exit, stop, clear; after_exit: state an exit leads to) with live_state.
+#: Live states in the order of the automaton, and the codes of events; an exit's code tells whether it breaks a limit.
+LIVE = ("idle", "armed", "in_trade", "locked", "halted", "emergency_stop")
+EVENTS = ("signal", "entry", "exit", "stop", "clear")
+_SIGNAL, _ENTRY, _EXIT, _STOP, _CLEAR, _BREACH, _OTHER = range(7)
+
+
+def _risk_automaton(max_trades: int) -> scan.Automaton:
+    """The live state and the day's entries, counted up to max_trades; a new day sets both back but for an emergency stop."""
+    idle, armed, in_trade, locked, halted, stopped = range(6)
+    number = lambda live, trades: live * (max_trades + 1) + trades
+
+    def step(live: int, trades: int, code: int) -> int:
+        if code == _STOP:
+            live = stopped
+        elif code == _CLEAR:
+            live = idle
+        elif live == stopped:
+            pass
+        elif code == _BREACH:
+            live = locked
+        elif code == _EXIT:
+            live = halted if trades >= max_trades else idle
+        elif code == _SIGNAL and live == idle:
+            live = armed
+        elif code == _ENTRY and live in (idle, armed):
+            live, trades = in_trade, min(trades + 1, max_trades)
+        return number(live, trades)
+
+    everything = [(live, trades) for live in range(6) for trades in range(max_trades + 1)]
+    return scan.Automaton(
+        start=[0.0, float("nan")],
+        columns={"__live": "int", "day_trades": "int"},
+        table=tuple(tuple(step(live, trades, code) for code in range(7)) for live, trades in everything),
+        reset=tuple(number(live, trades) if live == stopped else 0 for live, trades in everything),
+        read=(tuple(live for live, _ in everything), tuple(trades for _, trades in everything)),
+    )
+
 
-    An emergency stop stays until it is cleared; otherwise the state is that of the latest event of its day.
+def _risk_days(events: DataFrame) -> DataFrame:
+    """events with `day` and `__epoch`: days that an emergency stop joins are one epoch, any other day begins its own.
+
+    Stops and clears alone tell where a stop holds: the last of them on each day, carried on over the days, one row a day.
     """
     rows = events.withColumn("day", F.to_date("ts"))
-    ever = Window.partitionBy("account").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    today = Window.partitionBy("account", "day").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last(F.when(F.col("kind").isin("stop", "clear"), F.col("kind")), ignorenulls=True).over(ever)
-    now = F.when(F.col("kind") == "entry", "in_trade").when(F.col("kind") == "exit", F.coalesce("after_exit", F.lit("idle"))).when(F.col("kind") == "clear", "idle")
-    latest = F.last(now, ignorenulls=True).over(today)
-    armed = F.when((F.col("kind") == "signal") & F.coalesce(latest == "idle", F.lit(True)), "armed")
-    rows = rows.withColumn("live_state", F.when(held == "stop", "emergency_stop").otherwise(F.coalesce(armed, latest, F.lit("idle"))))
-    return rows.withColumn("can_enter", F.col("live_state").isin("idle", "armed"))
+    held = F.max_by("kind", F.when(F.col("kind").isin("stop", "clear"), F.struct("ts", "seq")))
+    days = rows.groupBy("account", "day").agg(F.when(F.count_if(F.col("kind").isin("stop", "clear")) > 0, held).alias("__held"))
+    earlier = Window.partitionBy("account").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__new", F.coalesce(F.last("__held", ignorenulls=True).over(earlier) != "stop", F.lit(True)))
+    upto = Window.partitionBy("account").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(days.select("account", "day", F.sum(F.col("__new").cast("int")).over(upto).alias("__epoch")), ["account", "day"])
+
+
+def live_state(events: DataFrame, max_loss: float = 1000.0, profit_lock: float = 1500.0, max_trades: int = 10, max_losses: int = 3, block: int = scan.BLOCK) -> DataFrame:
+    """events (account, ts, seq, kind: signal, entry, exit, stop or clear; pnl of exits) with live_state, day_pnl, day_trades, losses and can_enter.
+
+    A signal arms an idle account, an entry counts only from idle or armed, an exit adds its P&L and locks, halts or frees the
+    account whatever it was. Each day begins anew, but an emergency stop stays, with its day's sums, until it is cleared; then
+    the account is idle. day_trades counts up to max_trades. Other kinds change nothing, a null pnl is 0.
+    """
+    rows = _risk_days(events.withColumn("__pnl", F.when(F.col("kind") == "exit", F.coalesce("pnl", F.lit(0.0)))))
+    by = ["account", "__epoch"]
+    upto = Window.partitionBy(*by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"day_pnl": F.coalesce(F.sum("__pnl").over(upto), F.lit(0.0)), "__island": F.count_if(F.col("__pnl") >= 0).over(upto)})
+    run = Window.partitionBy(*by, "__island").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("losses", F.count_if(F.col("__pnl") < 0).over(run))
+    breach = (F.col("day_pnl") <= -max_loss) | (F.col("losses") >= max_losses)
+    if profit_lock > 0:
+        breach |= F.col("day_pnl") >= profit_lock
+    code = F.when((F.col("kind") == "exit") & breach, _BREACH)
+    for i, kind in enumerate(EVENTS):
+        code = code.when(F.col("kind") == kind, i)
+    rows = rows.withColumns({"__code": code.otherwise(_OTHER), "__period": F.col("__epoch").cast("double")})
+    found = scan.blocked(numbered(rows, "account"), _risk_automaton(max_trades), ["account"], block)
+    found = found.withColumn("live_state", F.element_at(F.array(*(F.lit(x) for x in LIVE)), F.col("__live") + 1))
+    return found.drop("__pnl", "__epoch", "__island", "__code", "__period", "__live", "bar_no").withColumn("can_enter", F.col("live_state").isin("idle", "armed"))
 
 
 def evaluation(trades: DataFrame, trailing_limit: float = 2500.0, daily_limit: float = 1000.0, target: float = 3000.0, order: tuple[str, ...] = ("ts", "trade_id")) -> DataFrame:

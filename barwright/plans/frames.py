@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barwright.operators import orderflow as O
 from barwright.operators.features import features
 from barwright.sources.schema import MODEL
+from barwright.sources.shared import stored
 
 #: A sample model with three states and six features: fixed values of the tests and queries.
 SAMPLE_MODEL = {
@@ -44,7 +45,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.bars_from_ticks(ticks(spark, sf_dir))
+    """Hourly bars of the ticks, stored: what reads them several times reads the table."""
+    return stored(O.bars_from_ticks(ticks(spark, sf_dir)), "bars")
 
 
 def featured(spark: SparkSession, sf_dir: str, **options) -> DataFrame:

@@ -124,23 +124,6 @@ PROFILED = f"""{SCORED}, {PROFILES}, named AS (
 ), profiled AS (SELECT s.* EXCLUDE (symbol), n.symbol FROM scored s JOIN named n ON s.symbol = n.event_type)"""
 
 
-def _simulated(n: int, skip: float, seed: int, slippage: float = 0.0) -> str:
-    number = lambda stream: f"(('0x' || substr(md5(concat_ws('|', '{seed}', sim::VARCHAR, account, trade_id::VARCHAR, '{stream}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
-    pnl = f"pnl + {slippage} * (sqrt(-2.0 * ln({number('first')})) * cos(2 * pi() * {number('second')}))" if slippage else "pnl"
-    where = f"WHERE {number('skip')} >= {skip}" if skip else ""
-    return f"""{TRADES}, drawn AS (
-  SELECT account, sim, trade_id, {pnl} AS pnl, {number("order")} AS u FROM trades, (SELECT unnest(range({n}))::INTEGER AS sim) {where}
-), stepped AS (
-  SELECT *, sum(pnl) OVER w AS cum, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER w AS island FROM drawn WINDOW w AS (PARTITION BY account, sim ORDER BY u, trade_id ROWS UNBOUNDED PRECEDING)
-), measured AS (
-  SELECT *, max(cum) OVER (PARTITION BY account, sim ORDER BY u, trade_id ROWS UNBOUNDED PRECEDING) - cum AS dd,
-    sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account, sim, island) AS streak FROM stepped
-), found AS (SELECT account, sim, sum(pnl) AS final_pnl, max(dd) AS max_dd, max(streak)::BIGINT AS max_losses FROM measured GROUP BY ALL
-), sims AS (
-  SELECT account, sim, coalesce(final_pnl, 0) AS final_pnl, coalesce(max_dd, 0) AS max_dd, coalesce(max_losses, 0) AS max_losses
-  FROM (SELECT DISTINCT account FROM trades) a CROSS JOIN (SELECT unnest(range({n}))::INTEGER AS sim) LEFT JOIN found USING (account, sim))"""
-
-
 _FEATURE_LIST = ", ".join(f"{_r6(f)} AS {f}" for f in NAMES)
 _PLAIN_WINDOWED = f"""{RETURNS}, windowed AS (SELECT *, {_z("log_return", 100)} AS log_return_z, {_z("realised_vol", 100)} AS realised_vol_z,
   CASE WHEN bar_no = 0 THEN 0.0 ELSE least(greatest({_z("volume", 20)}, -3), 3) END AS volume_z FROM vols)"""
@@ -212,7 +195,23 @@ _VITERBI = f"""{FEATURES}, emitted AS (SELECT symbol, ts, bar_no, {", ".join(f"{
   UNION ALL
   SELECT b.symbol, b.bar_no - 1, CASE p.state WHEN 0 THEN b.b0 WHEN 1 THEN b.b1 ELSE b.b2 END FROM path p JOIN best b ON b.symbol = p.symbol AND b.bar_no = p.bar_no WHERE b.bar_no > 0
 )"""
-_KINDS = "['signal', 'entry', 'exit', 'signal', 'stop', 'clear', 'entry', 'exit'][o_orderkey % 8 + 1]"
+#: The risk engine one event after another: every value is what the engine holds after the event before.
+_LIVE = """e AS (
+  SELECT (o_custkey % 100)::VARCHAR AS account, date_trunc('quarter', o_orderdate) AS day, o_orderkey AS seq, ((o_orderkey % 7) - 3) * 10.0::DOUBLE AS pnl,
+    ['signal', 'entry', 'exit', 'entry', 'exit', 'signal', 'stop', 'entry', 'exit', 'clear', 'exit'][o_orderkey % 11 + 1] AS kind FROM orders
+), n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY day, seq) AS i FROM e
+), engine AS (
+  SELECT account, 0::BIGINT AS i, 'idle' AS live, 0.0::DOUBLE AS total, 0 AS trades, 0::BIGINT AS run, NULL::DATE AS day FROM (SELECT DISTINCT account FROM e)
+  UNION ALL
+  SELECT account, i, CASE WHEN kind = 'stop' THEN 'emergency_stop' WHEN kind = 'clear' THEN 'idle' WHEN live = 'emergency_stop' THEN live
+      WHEN kind = 'exit' THEN CASE WHEN total <= -40 OR total >= 50 OR run >= 2 THEN 'locked' WHEN trades >= 3 THEN 'halted' ELSE 'idle' END
+      WHEN kind = 'signal' AND live = 'idle' THEN 'armed' WHEN kind = 'entry' AND live IN ('idle', 'armed') THEN 'in_trade' ELSE live END,
+    total, CASE WHEN kind = 'entry' AND live IN ('idle', 'armed') THEN least(trades + 1, 3) ELSE trades END, run, day
+  FROM (SELECT account, i, kind, live, trades, day, total + CASE WHEN kind = 'exit' THEN pnl ELSE 0 END AS total, CASE WHEN kind <> 'exit' THEN run WHEN pnl < 0 THEN run + 1 ELSE 0 END AS run
+    FROM (SELECT n.account, n.i, n.kind, n.pnl, n.day::DATE AS day, fresh, g.live AS was, CASE WHEN fresh THEN 'idle' ELSE g.live END AS live, CASE WHEN fresh THEN 0.0 ELSE g.total END AS total,
+        CASE WHEN fresh THEN 0 ELSE g.trades END AS trades, CASE WHEN fresh THEN 0 ELSE g.run END AS run
+      FROM (SELECT g.*, n.day::DATE IS DISTINCT FROM g.day AND g.live <> 'emergency_stop' AS fresh FROM engine g JOIN n ON n.account = g.account AND n.i = g.i + 1) g
+        JOIN n ON n.account = g.account AND n.i = g.i + 1)))"""
 
 SQL = {
     "f6_features": f"WITH RECURSIVE {FEATURES} SELECT symbol, ts, bar_no, {_FEATURE_LIST}, bar_no >= 99 AS ready FROM features",
@@ -252,11 +251,6 @@ SQL = {
     "d5_feature_drift": f"WITH RECURSIVE {RECENT}, drifts AS ({_FEATURE_DRIFT_ROWS}) SELECT symbol, feature, {_r6('drift')} AS drift FROM drifts",
     "d7_retrain_decision": f"WITH RECURSIVE {_DECIDED} SELECT symbol, n, ready, occupancy_drift, reasons <> '' AS retrain, reasons FROM reasons",
     "d8_bars_to_retrain": f"WITH RECURSIVE {_DECIDED} SELECT symbol, count(*) AS n_bars FROM bars WHERE symbol IN (SELECT symbol FROM reasons WHERE reasons <> '') GROUP BY symbol",
-    "r1_simulations": f"WITH {_simulated(10, 0.1, 42)} SELECT account, sim, round(final_pnl, 2) AS final_pnl, round(max_dd, 2) AS max_dd, max_losses FROM sims",
-    "r1_simulations_with_slippage": f"WITH {_simulated(5, 0.05, 7, 20.0)} SELECT account, sim, round(final_pnl, 4) AS final_pnl FROM sims",
-    "r5_stress_summary": f"""WITH {_simulated(10, 0.0, 42)} SELECT account, count(*) AS n_sims, (round(avg(final_pnl), 6) + 0.0) AS mean_pnl, (round(quantile_cont(final_pnl, 0.05), 6) + 0.0) AS p5_pnl, (round(quantile_cont(final_pnl, 0.5), 6) + 0.0) AS median_pnl,
-      (round(quantile_cont(final_pnl, 0.95), 6) + 0.0) AS p95_pnl, (round(avg(max_dd), 6) + 0.0) AS mean_dd, (round(quantile_cont(max_dd, 0.05), 6) + 0.0) AS p5_dd, (round(quantile_cont(max_dd, 0.5), 6) + 0.0) AS median_dd, (round(quantile_cont(max_dd, 0.95), 6) + 0.0) AS p95_dd,
-      max(max_losses) AS max_losses, {_r6("avg((final_pnl > 3000 AND max_dd < 2500)::INTEGER)")} AS pass_rate FROM sims GROUP BY account""",
     "r3_max_drawdown": f"WITH {CURVE} SELECT account, round(max(dd), 2) AS max_dd FROM (SELECT account, max(cum) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) - cum AS dd FROM curve) GROUP BY account",
     "r4_losing_streak": f"""WITH {CURVE}, i AS (SELECT account, pnl, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS island FROM curve)
       SELECT account, max(n) AS max_losses FROM (SELECT account, island, count_if(pnl < 0)::BIGINT AS n FROM i GROUP BY ALL) GROUP BY account""",
@@ -298,11 +292,8 @@ SQL = {
     "k2_daily": f"WITH {DAILY} SELECT account, trade_id, ts, round(day_pnl, 2) AS day_pnl, day_trades, losses FROM daily",
     "k3_risk_state": f"""WITH {DAILY} SELECT account, CASE WHEN day_pnl <= -20 THEN 'locked_loss' WHEN day_pnl >= 60 THEN 'locked_profit' WHEN losses >= 2 THEN 'locked_streak' WHEN day_trades >= 3 THEN 'halted' ELSE 'idle' END AS risk_state,
       count(*) AS n FROM daily GROUP BY ALL""",
-    "k4_live_state": f"""WITH e AS (SELECT o_custkey::VARCHAR AS account, o_orderdate AS ts, o_orderkey AS seq, {_KINDS} AS kind FROM orders), l AS (
-      SELECT account, seq, kind, last_value(CASE WHEN kind IN ('stop', 'clear') THEN kind END IGNORE NULLS) OVER (PARTITION BY account ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS held,
-        last_value(CASE kind WHEN 'entry' THEN 'in_trade' WHEN 'exit' THEN 'idle' WHEN 'clear' THEN 'idle' END IGNORE NULLS) OVER (PARTITION BY account, ts::DATE ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS latest FROM e
-      ), s AS (SELECT account, seq, CASE WHEN held = 'stop' THEN 'emergency_stop' WHEN kind = 'signal' AND coalesce(latest, 'idle') = 'idle' THEN 'armed' ELSE coalesce(latest, 'idle') END AS live_state FROM l)
-      SELECT *, live_state IN ('idle', 'armed') AS can_enter FROM s""",
+    "k4_live_state": f"""WITH RECURSIVE {_LIVE} SELECT account, seq, live AS live_state, live IN ('idle', 'armed') AS can_enter, total AS day_pnl, trades::INTEGER AS day_trades, run::BIGINT AS losses
+      FROM engine JOIN n USING (account, i)""",
     "k5_k7_evaluation": f"""WITH {CURVE}, p AS (
       SELECT *, greatest(0, max(cum) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING)) AS peak, sum(pnl) OVER (PARTITION BY account, ts::DATE ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS day_pnl FROM curve
       ), q AS (SELECT *, max((peak - cum >= 40)::INTEGER) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS t, max((day_pnl <= -25)::INTEGER) OVER (PARTITION BY account, ts::DATE ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS d FROM p)

@@ -14,6 +14,7 @@ from barwright.plans import frames, oracle
 from barwright.plans.frames import SAMPLE_MODEL
 from barwright.sources import bars as bar_source
 from barwright.sources import schema
+from barwright.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -89,7 +90,7 @@ def w5_session_vwap(spark, d):
 
 @query
 def f6_features_by_halo(spark, d):
-    rows = frames.featured(spark, d, halo_rows=256, block=64)
+    rows = frames.featured(spark, d, halo_rows=512)
     return rows.select("symbol", "ts", "bar_no", *rounded(rows, *schema.FEATURES), "ready")
 
 
@@ -192,7 +193,7 @@ def m5_viterbi(spark, d):
 def m6_trained_models(spark, d):
     """Models of every symbol, trained on its features."""
     rows = features.trainable(frames.featured(spark, d))
-    return fit.models(rows, k=3, restarts=2, trained_at="2026-01-01T00:00:00Z", iterations=25)
+    return fit.models(stored(rows, "trainable"), k=3, trained_at="2026-01-01T00:00:00Z")
 
 
 @query
@@ -266,19 +267,19 @@ def d8_bars_to_retrain(spark, d):
 
 @query
 def r1_simulations(spark, d):
-    rows = resample.simulations(frames.trades(spark, d), n_sims=10, skip_rate=0.1, seed=42)
+    rows = resample.simulations(frames.trades(spark, d), skip_rate=0.1)
     return rows.select("account", "sim", F.round("final_pnl", 2).alias("final_pnl"), F.round("max_dd", 2).alias("max_dd"), "max_losses")
 
 
 @query
 def r1_simulations_with_slippage(spark, d):
-    rows = resample.simulations(frames.trades(spark, d), n_sims=5, skip_rate=0.05, slippage=20.0, seed=7)
+    rows = resample.simulations(frames.trades(spark, d), skip_rate=0.05, slippage=20.0, seed=7)
     return rows.select("account", "sim", F.round("final_pnl", 4).alias("final_pnl"))
 
 
 @query
 def r5_stress_summary(spark, d):
-    rows = resample.summary(resample.simulations(frames.trades(spark, d), n_sims=10, seed=42))
+    rows = resample.summary(resample.simulations(frames.trades(spark, d)))
     return rows.select("account", "n_sims", *(r6(c).alias(c) for c in ("mean_pnl", "p5_pnl", "median_pnl", "p95_pnl", "mean_dd", "p5_dd", "median_dd", "p95_dd")), "max_losses", r6("pass_rate").alias("pass_rate"))
 
 
@@ -369,11 +370,14 @@ def t5_source_priority(spark, d):
 
 
 def _profiled(spark, d):
-    """Scored bars under the first instruments' names, one for each event type."""
+    """Scored bars under the instruments' names, one for each event type in turn."""
     rows = _scored(spark, d)
-    names = rows.select("symbol").distinct().orderBy("symbol").limit(100).collect()
-    pairs = {r.symbol: schema.SYMBOLS[i % len(schema.SYMBOLS)] for i, r in enumerate(names)}
-    return rows.withColumn("symbol", F.coalesce(*(F.when(F.col("symbol") == a, F.lit(b)) for a, b in pairs.items()))).withColumnRenamed("state", "regime")
+    # One row an event type: their number bounds this window, not the bars'.
+    place = F.row_number().over(Window.orderBy("symbol")) - 1
+    names = frames.table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct()
+    listed = F.array(*(F.lit(s) for s in schema.SYMBOLS))
+    named = names.select("symbol", F.element_at(listed, (F.pmod(place, F.lit(len(schema.SYMBOLS))) + 1).cast("int")).alias("__name"))
+    return rows.join(named, "symbol").drop("symbol").withColumnsRenamed({"__name": "symbol", "state": "regime"})
 
 
 @query
@@ -430,13 +434,18 @@ def k3_risk_state(spark, d):
 
 
 def _risk_events(spark, d):
-    kinds = F.array(*(F.lit(x) for x in ("signal", "entry", "exit", "signal", "stop", "clear", "entry", "exit")))
-    return frames.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("account"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.element_at(kinds, (F.col("o_orderkey") % 8 + 1).cast("int")).alias("kind"), F.lit(None).cast("string").alias("after_exit"))
+    """orders as risk events of a hundred accounts, several on a day: a quarter's orders count as one day's."""
+    kinds = F.array(*(F.lit(x) for x in ("signal", "entry", "exit", "entry", "exit", "signal", "stop", "entry", "exit", "clear", "exit")))
+    return frames.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 100).cast("string").alias("account"), F.date_trunc("quarter", "o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"),
+        F.element_at(kinds, (F.col("o_orderkey") % 11 + 1).cast("int")).alias("kind"), ((F.col("o_orderkey") % 7 - 3) * F.lit(10.0)).alias("pnl"),
+    )
 
 
 @query
 def k4_live_state(spark, d):
-    return risk.live_state(_risk_events(spark, d)).select("account", "seq", "live_state", "can_enter")
+    rows = risk.live_state(_risk_events(spark, d), max_loss=40.0, profit_lock=50.0, max_trades=3, max_losses=2)
+    return rows.select("account", "seq", "live_state", "can_enter", "day_pnl", "day_trades", "losses")
 
 
 @query
@@ -469,10 +478,15 @@ def x5_dominant_regime(spark, d):
 @query
 def x7_walk_forward(spark, d):
     """Windows of the long feature series, each fitted and judged."""
-    windows, _ = evaluate.walk_forward(frames.featured(spark, d), 2, 300, 100, 100, restarts=1, iterations=10)
+    windows, _ = evaluate.walk_forward(stored(frames.featured(spark, d), "features"), train=300, test=100, step=100)
     return windows
 
 
+@query
+def x6_walk_forward_summary(spark, d):
+    return evaluate.walk_forward(stored(frames.featured(spark, d), "features"), train=300, test=100, step=100)[1]
+
+
 def _log(spark, d):
     return frames.table(spark, d, "events").select(F.col("event_type").alias("symbol"), (F.col("event_id") % 50 == 0).alias("is_error"), (F.col("event_id") % 7).cast("double").alias("latency_ms"))
 

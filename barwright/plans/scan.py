@@ -1,8 +1,9 @@
 """Blocked scans: order-dependent recursions over one long series, run in parallel by blocks of bars.
 
 A recursion is given as a Scan. Each block is summarised on its own; the summaries, one row a block, are combined in order to give
-each block the state it starts with; then each block is replayed from that state in the recursion's own order. A series of n
-bars so takes n / block tasks' worth of work twice, and one pass over n / block short rows.
+each block the state it starts with; then each block is replayed from that state in the recursion's own order. All columns
+travel with the rows, so both passes read one shuffle and nothing is joined back. Within a block the kernels work on short
+chunks side by side, as arrays.
 """
 
 from __future__ import annotations
@@ -11,173 +12,204 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bars of a block.
-BLOCK = 4096
+#: Bars of a block, and of the chunks that a kernel works on side by side.
+BLOCK, CHUNK = 4096, 64
+#: Fixed floor of a predicted probability. It can act only where a transition is less likely than TINY: a prediction mixes transitions.
+FLOOR, TINY = 1e-300, 1e-290
 
 
 @dataclass(frozen=True)
 class Scan:
-    """One recursion. State and summary are lists of floats; frames come sorted by bar_no.
+    """One recursion. State and summary are lists of floats; tables hold one block in the order of bar_no.
 
-    summarise(frame) -> summary; advance(state, summary) -> the state after the block; replay(frame, state) -> dict of columns,
-    one value a row; start(frame of no rows is never given) is the state before the first bar.
+    summarise(table) -> summary; advance(state, summary) -> the state after the block; replay(table, state) -> dict of columns,
+    one value a row; start is the state before the first bar.
     """
 
     start: Any
     columns: dict[str, str]
 
-    def summarise(self, frame: pd.DataFrame) -> list[float]:
+    def summarise(self, table: pa.Table) -> list[float]:
         raise NotImplementedError
 
     def advance(self, state: list[float], summary: list[float]) -> list[float]:
         raise NotImplementedError
 
-    def replay(self, frame: pd.DataFrame, state: list[float]) -> dict[str, Any]:
+    def replay(self, table: pa.Table, state: list[float]) -> dict[str, Any]:
         raise NotImplementedError
 
 
-def blocked(frame: DataFrame, scan: Scan, keys: list[str], needs: list[str], block: int = BLOCK, backward: bool = False, settle: str | None = None, until: float = 1e-12, rounds: int = 4) -> DataFrame:
-    """frame (keys, bar_no, `needs`, others) with the scan's columns. bar_no numbers each series from 0 without gaps or repeats.
+def blocked(frame: DataFrame, scan: Scan, keys: list[str], block: int = BLOCK, backward: bool = False) -> DataFrame:
+    """frame (keys, bar_no, what the scan reads, others) with the scan's columns. bar_no numbers each series from 0 without gaps or repeats.
 
-    Only keys, bar_no and `needs` travel to the kernels; their results come back by (keys, bar_no). backward scans from the
-    last bar to the first.
-
-    settle names a result column that holds the state after each bar, for recursions that are not quite associative: where a
-    block's own end differs from the state that the next block was given by more than `until`, all blocks are replayed from
-    the ends found, at most `rounds` times; normally none is.
+    backward runs the blocks from the last to the first; a backward scan's kernels go from the last row of a block to its first.
     """
-    cut = frame.select(*keys, "bar_no", *needs).withColumn("block", F.floor(F.col("bar_no") / block).cast("long"))
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
-    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    ascending = not backward
-
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bar_no", ascending=ascending)
-        own = {k: [rows[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**own, "block": [rows["block"].iloc[0]], "summary": [[float(x) for x in scan.summarise(rows)]]})
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ascending=ascending)
+    rows = frame.withColumn("__block", F.floor(F.col("bar_no") / block).cast("long"))
+    by = [*keys, "__block"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    order = "descending" if backward else "ascending"
+
+    def summarise(table: pa.Table) -> pa.Table:
+        own = table.select(by).slice(0, 1)
+        return own.append_column("summary", pa.array([[float(x) for x in scan.summarise(table.sort_by("bar_no"))]], pa.list_(pa.float64())))
+
+    def chain(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("__block", order)])
         state, states = list(scan.start), []
-        for summary in rows["summary"]:
+        for summary in table.column("summary"):
             states.append([float(x) for x in state])
-            state = scan.advance(state, list(summary))
-        return rows[[*keys, "block"]].assign(state=states)
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bar_no", ascending=ascending)
-        return rows[[*keys, "bar_no"]].assign(**scan.replay(rows, list(rows["state"].iloc[0])))
-
-    summaries = cut.groupBy(*keys, "block").applyInPandas(summarise, f"{head}, block long, summary array<double>")
-    states = summaries.groupBy(*keys).applyInPandas(chain, f"{head}, block long, state array<double>")
-    out = ", ".join(f"{c} {t}" for c, t in scan.columns.items())
-
-    def replayed_from(states: DataFrame) -> DataFrame:
-        return cut.join(states, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(replay, f"{head}, bar_no {kinds['bar_no']}, {out}")
-
-    replayed = replayed_from(states)
-    for _ in range(rounds if settle else 0):
-        states, replayed = states.persist(), replayed.persist()
-        at = -F.col("bar_no") if backward else F.col("bar_no")
-        ends = replayed.withColumn("block", F.floor(F.col("bar_no") / block).cast("long")).groupBy(*keys, "block").agg(F.max_by(settle, at).alias("end"))
-        following = ends.select(*keys, (F.col("block") + (-1 if backward else 1)).alias("block"), "end")
-        both = states.join(following, [*keys, "block"], "left").withColumn("end", F.coalesce("end", "state"))
-        gap = F.exists(F.zip_with("state", "end", lambda x, y: F.abs(x - y) > until), lambda far: far)
-        if both.where(gap).limit(1).count() == 0:
-            break
-        states = both.select(*keys, "block", F.col("end").alias("state"))
-        replayed = replayed_from(states)
-    return frame.join(replayed, [*keys, "bar_no"])
-
-
-@dataclass(frozen=True)
-class Affine(Scan):
-    """x' = a x + b for several columns at once; a null a (no state yet) leaves the state null.
-
-    pairs: (a column, b column, result column).
-    """
-
-    pairs: tuple[tuple[str, str, str], ...] = ()
-
-    def summarise(self, frame):
-        out = []
-        for a, b, _ in self.pairs:
-            scale, shift = 1.0, 0.0
-            for x, y in zip(frame[a].to_numpy(float), frame[b].to_numpy(float), strict=True):
-                if x == x:
-                    scale, shift = x * scale, x * shift + y
-            out += [scale, shift]
-        return out
-
-    def advance(self, state, summary):
-        return [summary[2 * i] * x + summary[2 * i + 1] if summary[2 * i] else summary[2 * i + 1] for i, x in enumerate(state)]
-
-    def replay(self, frame, state):
-        out = {}
-        for (a, b, name), x in zip(self.pairs, state, strict=True):
-            values = []
-            for scale, shift in zip(frame[a].to_numpy(float), frame[b].to_numpy(float), strict=True):
-                if scale == scale:
-                    x = scale * x + shift if scale else shift
-                values.append(x)
-            out[name] = values
-        return out
-
-
-def affine(*pairs: tuple[str, str, str]) -> Affine:
-    return Affine(start=[0.0] * len(pairs), columns={p[2]: "double" for p in pairs}, pairs=pairs)
+            state = scan.advance(state, summary.as_py())
+        return table.select(by).append_column("state", pa.array(states, pa.list_(pa.float64())))
+
+    out = pa_types(scan.columns)
+
+    def replay(table: pa.Table, state: pa.Table) -> pa.Table:
+        table = table.sort_by("bar_no").drop_columns(["__block"])
+        found = scan.replay(table, state.column("state")[0].as_py()) if len(table) else {c: [] for c in out}
+        for name, kind in out.items():
+            table = table.append_column(name, _column(found[name], kind))
+        return table
+
+    grouped = rows.groupBy(*by)
+    states = grouped.applyInArrow(summarise, f"{head}, summary array<double>").groupBy(*keys).applyInArrow(chain, f"{head}, state array<double>")
+    schema = ", ".join([*(f"`{f.name}` {kinds[f.name]}" for f in frame.schema.fields), *(f"`{c}` {t}" for c, t in scan.columns.items())])
+    return grouped.cogroup(states.groupBy(*by)).applyInArrow(replay, schema)
+
+
+_ARROW = {"double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+
+
+def pa_types(columns: dict[str, str]) -> dict[str, pa.DataType]:
+    return {name: _ARROW[kind] for name, kind in columns.items()}
+
+
+def _column(values: Any, kind: pa.DataType) -> pa.Array:
+    """A column from a list or an array; a matrix gives a list a row."""
+    if isinstance(values, np.ndarray) and values.ndim == 2:
+        flat = pa.array(np.ascontiguousarray(values).ravel(), kind.value_type)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), flat)
+    return pa.array(values, kind)
+
+
+def matrix(table: pa.Table, name: str, kind: Any = float) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
+def chunks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows dealt out to chunks of CHUNK rows (the last one filled up with zeros), and how many rows each chunk has."""
+    n = len(values)
+    count = -(-n // CHUNK)
+    out = np.zeros((count * CHUNK, values.shape[1]))
+    out[:n] = values
+    sizes = np.full(count, CHUNK)
+    sizes[-1] = n - CHUNK * (count - 1)
+    return out.reshape(count, CHUNK, -1), sizes
+
+
+def through(state: np.ndarray, product: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """A distribution after a stretch given as rows that sum to 1 and the logarithms of what they were divided by; and its log weight."""
+    with np.errstate(divide="ignore"):
+        weights = np.log(state) + logs
+    top = weights.max()
+    out = np.exp(weights - top) @ product
+    total = out.sum()
+    return out / total, float(top + np.log(total))
+
+
+def products(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For each chunk the product of its transition and emission matrices, by rows that sum to 1, and the rows' log weights;
+    and whether neither the floor nor the uniform fallback can act in them."""
+    cut, sizes = chunks(e)
+    top = cut.max(axis=2, keepdims=True)
+    with np.errstate(all="ignore"):
+        weights = np.exp(cut - top)
+        k = e.shape[1]
+        total, logs, safe = np.tile(np.eye(k), (len(cut), 1, 1)), np.zeros((len(cut), k)), bool(np.isfinite(e).all() and (move >= TINY).all())
+        for t in range(CHUNK):
+            live = t < sizes
+            new = (total @ move) * weights[:, t, None, :]
+            scale = new.sum(axis=2)
+            total = np.where(live[:, None, None], new / scale[:, :, None], total)
+            logs += np.where(live[:, None], np.log(scale) + top[:, t], 0.0)
+    return total, logs, safe
+
+
+def plain_filter(e: np.ndarray, move: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward filter bar by bar, with its floor, and uniform where every state underflows."""
+    k = e.shape[1]
+    out, steps = np.empty((len(e), k)), np.empty(len(e))
+    for t, row in enumerate(e):
+        with np.errstate(all="ignore"):
+            joint = np.log(np.maximum(alpha @ move, FLOOR)) + row
+            top = joint.max()
+            weights = np.exp(joint - top) if np.isfinite(top) else np.zeros(k)
+            total = weights.sum()
+        good = bool(np.isfinite(total) and total > 0)
+        alpha = weights / total if good else np.full(k, 1 / k)
+        out[t], steps[t] = alpha, top + np.log(total) if good else 0.0
+    return out, steps
 
 
 @dataclass(frozen=True)
 class Forward(Scan):
     """Forward filter of a hidden Markov model over log emissions: predict, weigh, normalise.
 
-    Frames hold `log_emission`, an array of k values a bar. A block's summary is the product of its transition-and-emission
-    matrices, scaled; it is exact but where the filter's floor or its uniform fallback would act within a block.
+    Tables hold `log_emission`, an array of k values a bar. A block's summary is the product of its transition-and-emission
+    matrices. Where the filter's floor or its uniform fallback could act (transitions of zero, emissions that are no numbers), the
+    recursion is not linear: such a block hands its emissions on instead, and is gone through bar by bar, in the chain and
+    in its replay. Trained models have no such transitions.
     """
 
     k: int = 3
-    initial: tuple[float, ...] = ()
     transition: tuple[tuple[float, ...], ...] = ()
 
-    def summarise(self, frame):
-        move = np.array(self.transition)
-        total = np.eye(self.k)
-        for e in frame["log_emission"]:
-            e = np.asarray(e, float)
-            total = total @ move * np.exp(e - e.max())[None, :]
-            scale = total.max()
-            total = total / scale if scale > 0 else np.full_like(total, 1.0 / self.k)
-        return total.ravel()
+    def summarise(self, table):
+        e, move = matrix(table, "log_emission"), np.array(self.transition)
+        product, logs, safe = products(e, move)
+        if not safe:
+            return [0.0, *e.ravel()]
+        whole, scale = np.eye(self.k), np.zeros(self.k)
+        for p, g in zip(product, logs, strict=True):
+            whole, steps = zip(*(through(row, p, g) for row in whole), strict=True)
+            scale = scale + np.array(steps)
+        return [1.0, *np.ravel(whole), *scale]
 
     def advance(self, state, summary):
-        out = np.asarray(state) @ np.asarray(summary).reshape(self.k, self.k)
-        total = out.sum()
-        return (out / total if np.isfinite(total) and total > 0 else np.full(self.k, 1 / self.k)).tolist()
-
-    def replay(self, frame, state):
-        move, alpha = np.array(self.transition), np.asarray(state, float)
-        probabilities, likelihood = [], []
-        for e in frame["log_emission"]:
-            joint = np.log(np.maximum(alpha @ move, 1e-300)) + np.asarray(e, float)
-            top = joint.max()
-            weights = np.exp(joint - top) if np.isfinite(top) else np.zeros(self.k)
-            total = weights.sum()
-            if np.isfinite(total) and total > 0:
-                alpha, step = weights / total, top + float(np.log(total))
-            else:
-                alpha, step = np.full(self.k, 1 / self.k), 0.0
-            probabilities.append(alpha.tolist())
-            likelihood.append(step)
-        return {"state_probs": probabilities, "step_ll": likelihood}
+        state, rest = np.asarray(state), np.array(summary[1:])
+        if summary[0]:
+            return through(state, rest[: self.k**2].reshape(self.k, self.k), rest[self.k**2 :])[0].tolist()
+        return plain_filter(rest.reshape(-1, self.k), np.array(self.transition), state)[0][-1].tolist()
+
+    def replay(self, table, state):
+        e, move, alpha = matrix(table, "log_emission"), np.array(self.transition), np.asarray(state, float)
+        product, logs, safe = products(e, move)
+        if not safe:
+            found, steps = plain_filter(e, move, alpha)
+            return {"state_probs": found, "step_ll": steps}
+        starts = [alpha]
+        for p, g in zip(product[:-1], logs[:-1], strict=True):
+            starts.append(through(starts[-1], p, g)[0])
+        cut, _ = chunks(e)
+        alpha, found, steps = np.array(starts), np.empty(cut.shape), np.empty(cut.shape[:2])
+        for t in range(CHUNK):
+            joint = np.log(np.maximum(alpha @ move, FLOOR)) + cut[:, t]
+            top = joint.max(axis=1, keepdims=True)
+            weights = np.exp(joint - top)
+            total = weights.sum(axis=1, keepdims=True)
+            alpha = found[:, t] = weights / total
+            steps[:, t] = (top + np.log(total))[:, 0]
+        return {"state_probs": found.reshape(-1, self.k)[: len(e)], "step_ll": steps.ravel()[: len(e)]}
 
 
 def forward(model: dict) -> Forward:
-    return Forward(start=list(model["initial_probs"]), columns={"state_probs": "array<double>", "step_ll": "double"}, k=model["k"], initial=tuple(model["initial_probs"]), transition=tuple(map(tuple, model["transition_matrix"])))
+    return Forward(start=list(model["initial_probs"]), columns={"state_probs": "array<double>", "step_ll": "double"}, k=model["k"], transition=tuple(map(tuple, model["transition_matrix"])))
 
 
 _NONE = -1e300
@@ -185,73 +217,121 @@ _NONE = -1e300
 
 @dataclass(frozen=True)
 class MaxPlus(Scan):
-    """Scores of the best path to each state, and each bar's best predecessor (first of equals)."""
+    """Scores of the best path to each state: each bar's best predecessor of every state and its own best state (first of equals)."""
 
     k: int = 3
     log_initial: tuple[float, ...] = ()
     log_transition: tuple[tuple[float, ...], ...] = ()
 
-    def _steps(self, frame):
-        move = np.array(self.log_transition)
-        for number, e in zip(frame["bar_no"], frame["log_emission"], strict=True):
-            yield number, move, np.asarray(e, float)
-
-    def summarise(self, frame):
-        total = np.where(np.eye(self.k, dtype=bool), 0.0, _NONE)
-        for number, move, e in self._steps(frame):
-            if number == 0:  # every state before the first bar leads to the initial scores
-                total = np.tile(np.array(self.log_initial) + e, (self.k, 1))
-            else:
-                total = (total[:, :, None] + move[None]).max(axis=1) + e[None]
-        return total.ravel()
+    def _products(self, table):
+        e, move = matrix(table, "log_emission"), np.array(self.log_transition)
+        cut, sizes = chunks(e)
+        total = np.tile(np.where(np.eye(self.k, dtype=bool), 0.0, _NONE), (len(cut), 1, 1))
+        for t in range(CHUNK):
+            new = (total[:, :, :, None] + move).max(axis=2) + cut[:, t, None, :]
+            if t == 0 and table.column("bar_no")[0].as_py() == 0:  # every state before the first bar leads to the initial scores
+                new[0] = np.array(self.log_initial) + cut[0, 0]
+            total = np.where((t < sizes)[:, None, None], new, total)
+        return cut, move, total
+
+    def summarise(self, table):
+        _, _, product = self._products(table)
+        whole = product[0]
+        for p in product[1:]:
+            whole = (whole[:, :, None] + p).max(axis=1)
+        return whole.ravel()
 
     def advance(self, state, summary):
         return (np.asarray(state)[:, None] + np.asarray(summary).reshape(self.k, self.k)).max(axis=0).tolist()
 
-    def replay(self, frame, state):
-        score, scores, back = np.asarray(state, float), [], []
-        for number, move, e in self._steps(frame):
-            if number == 0:
-                score, came = np.array(self.log_initial) + e, np.zeros(self.k, int)
-            else:
-                both = score[:, None] + move
-                came, score = both.argmax(axis=0), both.max(axis=0) + e
-            scores.append(score.tolist())
-            back.append(came.tolist())
-        return {"path_score": scores, "came_from": back}
+    def replay(self, table, state):
+        cut, move, product = self._products(table)
+        starts = [np.asarray(state, float)]
+        for p in product[:-1]:
+            starts.append((starts[-1][:, None] + p).max(axis=0))
+        score, came, best = np.array(starts), np.zeros(cut.shape, np.int32), np.empty(cut.shape[:2], np.int32)
+        for t in range(CHUNK):
+            both = score[:, :, None] + move
+            score, came[:, t] = both.max(axis=1) + cut[:, t], both.argmax(axis=1)
+            if t == 0 and table.column("bar_no")[0].as_py() == 0:
+                score[0], came[0, 0] = np.array(self.log_initial) + cut[0, 0], 0
+            best[:, t] = score.argmax(axis=1)
+        n = len(table)
+        return {"came_from": came.reshape(-1, self.k)[:n], "best_end": best.ravel()[:n]}
 
 
 def max_plus(model: dict) -> MaxPlus:
-    log = lambda x: float(np.log(max(x, 1e-300)))
-    return MaxPlus(start=[0.0] * model["k"], columns={"path_score": "array<double>", "came_from": "array<int>"}, k=model["k"], log_initial=tuple(map(log, model["initial_probs"])), log_transition=tuple(tuple(map(log, row)) for row in model["transition_matrix"]))
+    log = lambda x: float(np.log(max(x, FLOOR)))
+    return MaxPlus(start=[0.0] * model["k"], columns={"came_from": "array<int>", "best_end": "int"}, k=model["k"], log_initial=tuple(map(log, model["initial_probs"])), log_transition=tuple(tuple(map(log, row)) for row in model["transition_matrix"]))
 
 
 @dataclass(frozen=True)
 class Trace(Scan):
     """The best path read from its end: each bar's state from the next bar's predecessor table. Run backward.
 
-    The state carried is the state of the bar at hand (k marks the end of the series). Frames hold path_score and came_from.
+    The state carried is the state of the bar at hand (k marks the end of the series). Tables hold came_from and best_end.
     """
 
     k: int = 3
 
-    def _through(self, frame, state):
-        for scores, back in zip(frame["path_score"], frame["came_from"], strict=True):
-            own = int(np.argmax(scores)) if state == self.k else state
-            yield own
-            state = int(back[own])
-        self_state = state
-        yield self_state
-
-    def summarise(self, frame):
-        return [list(self._through(frame, s))[-1] for s in range(self.k + 1)]
+    def summarise(self, table):
+        came, last = matrix(table, "came_from", int), table.column("best_end")[-1].as_py()
+        reached = np.array([*range(self.k), last])
+        for row in came[::-1]:
+            reached = row[reached]
+        return reached
 
     def advance(self, state, summary):
         return [summary[int(state[0])]]
 
-    def replay(self, frame, state):
-        return {"state": list(self._through(frame, int(state[0])))[:-1]}
+    def replay(self, table, state):
+        came, at, path = matrix(table, "came_from", int).tolist(), int(state[0]), []
+        if at == self.k:
+            at = table.column("best_end")[-1].as_py()
+        for row in reversed(came):
+            path.append(at)
+            at = row[at]
+        return {"state": np.array(path[::-1], np.int32)}
 
 
 def trace(k: int) -> Trace:
     return Trace(start=[float(k)], columns={"state": "int"}, k=k)
+
+
+@dataclass(frozen=True)
+class Automaton(Scan):
+    """A finite automaton over `__code`, a number a row, that enters each period anew. A block's summary is the table of its end states.
+
+    table[state][code] is the next state, reset[state] the state in which a new period begins; a period is a run of equal
+    `__period` (a double). The state carried is the automaton's and the period it was reached in. Each column of the result
+    reads a list by the state reached.
+    """
+
+    table: tuple[tuple[int, ...], ...] = ()
+    reset: tuple[int, ...] = ()
+    read: tuple[tuple[Any, ...], ...] = ()
+
+    def _inputs(self, table):
+        period = table.column("__period").to_numpy()
+        return table.column("__code").to_numpy(), period, np.concatenate(([False], period[1:] != period[:-1]))
+
+    def summarise(self, table):
+        codes, period, new = self._inputs(table)
+        steps, reset = np.array(self.table).T, np.array(self.reset)
+        reached = np.arange(len(self.table))
+        for code, anew in zip(codes.tolist(), new.tolist(), strict=True):
+            reached = steps[code][reset[reached] if anew else reached]
+        return [period[0], period[-1], *reached]
+
+    def advance(self, state, summary):
+        at = int(state[0]) if state[1] == summary[0] else self.reset[int(state[0])]
+        return [summary[2 + at], summary[1]]
+
+    def replay(self, table, state):
+        codes, period, new = self._inputs(table)
+        at, path = int(state[0]), []
+        new[0] = state[1] != period[0]
+        for code, anew in zip(codes.tolist(), new.tolist(), strict=True):
+            at = self.table[self.reset[at] if anew else at][code]
+            path.append(at)
+        return {name: [values[at] for at in path] for name, values in zip(self.columns, self.read, strict=True)}

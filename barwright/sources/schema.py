@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BARS = "symbol string, ts timestamp, seq bigint, open double, high double, low double, close double, volume double"
 TICKS = "symbol string, ts timestamp, seq bigint, kind string, price double, volume double"
@@ -67,14 +66,10 @@ def session_id(ts: Column, zone: Column | str = "UTC", start: Column | str = "00
 def match_profile(frame: DataFrame, profiles: DataFrame, name: str = "instrument", override: str | None = None) -> DataFrame:
     """frame with `profile`: the first symbol, in the dimension's order, that the upper-cased name contains; an explicit override wins.
 
-    Eight symbols are eight conditions in the plan, so nothing is joined row by row.
+    The dimension becomes one array, joined as a single broadcast row: however many profiles there are, each name is looked through once.
     """
-    known = [r.symbol for r in profiles.orderBy("priority").select("symbol").limit(1000).collect()]
-    found = F.coalesce(*(F.when(F.upper(F.col(name)).contains(s), F.lit(s)) for s in known))
+    listed = profiles.agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "symbol"))), lambda p: p["symbol"]).alias("__known"))
+    found = F.try_element_at(F.filter("__known", lambda s: F.contains(F.upper(F.col(name)), s)), F.lit(1))
     if override:
-        found = F.coalesce(F.when(F.col(override).isin(known), F.col(override)), found)
-    return frame.withColumn("profile", found)
-
-
-def struct_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+        found = F.coalesce(F.when(F.array_contains("__known", F.col(override)), F.col(override)), found)
+    return frame.crossJoin(F.broadcast(listed)).withColumn("profile", found).drop("__known")

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 from helpers import START, bars, sequential_features, walk
+from pyspark.sql import functions as F
 
 from barwright.operators import features as P
+from barwright.sources.bars import numbered
 from barwright.sources.schema import FEATURES
 
 
@@ -10,17 +12,29 @@ def table(df):
     return np.array([[r[f] for f in FEATURES] for r in df.orderBy("symbol", "bar_no").select(*FEATURES).collect()])
 
 
-@pytest.mark.parametrize("block", [1, 7, 4096])
-def test_features_equal_the_sequential_ones(spark, block):
-    rows = walk(120 if block == 1 else 320)
-    found = table(P.features(bars(spark, rows), block=block))
+@pytest.mark.parametrize("n", [1, 13, 15, 320, 1400])
+def test_features_equal_the_sequential_ones(spark, n):
+    rows = walk(n)
+    found = table(P.features(bars(spark, rows)))
     assert np.abs(found - sequential_features(rows)).max() < 1e-6
 
 
 def test_halo_buckets_change_nothing(spark):
-    rows = walk(700)
-    plain, cut = P.features(bars(spark, rows)), P.features(bars(spark, rows), halo_rows=150, block=64)
+    rows = walk(2600)
+    plain, cut = P.features(bars(spark, rows)), P.features(bars(spark, rows), halo_rows=512)
     assert all(r.within for r in P.parity(plain, cut, 1e-9).collect())
+    endless = P.endless_vwap(numbered(bars(spark, rows)), rows=100)
+    whole = P.endless_vwap(numbered(bars(spark, rows)))
+    gap = endless.select("seq", F.col("vwap").alias("a")).join(whole.select("seq", F.col("vwap").alias("b")), "seq").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
+    assert gap < 1e-8
+
+
+def test_averages_after_long_falls_and_rests(spark):
+    """Gains that end for longer than two stretches, and a rest in which nothing moves at all."""
+    close = [*(100 + i % 3 for i in range(50)), *(100 - 0.01 * i for i in range(1300)), *[87.0] * 1200, 87.5, 87.2]
+    rows = [("NQ", r[1], i, c, c, c, c, 10.0) for i, (r, c) in enumerate(zip(walk(len(close)), map(float, close)))]
+    found = table(P.features(bars(spark, rows)))
+    assert np.abs(found - sequential_features(rows))[:, [2, 4, 5]].max() < 1e-6
 
 
 def test_bounds_warm_up_and_numbers(spark):

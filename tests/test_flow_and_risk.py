@@ -79,6 +79,59 @@ def test_hysteresis_equals_the_sequential_automaton(spark, per_session):
     assert {r.regime for r in decide.hysteresis(proposals(spark, states, per_session, 0.1)).collect()} == {-1}
 
 
+@pytest.mark.parametrize("block", [3, 16, 4096])
+def test_hysteresis_in_any_blocks(spark, block):
+    states = [0, 0, 1, 1, 1, 2, 1, 2, 2, 2, 0] * 6
+    found = decide.hysteresis(proposals(spark, states, 20), max_flips=2, block=block).orderBy("bar_no").collect()
+    assert [(r.regime, r.flips) for r in found] == sequential_hysteresis(states, 20)
+
+
+RISK = "account string, ts timestamp, seq bigint, kind string, pnl double"
+
+
+def risk_events(seed, n=300, days=12):
+    import random
+
+    r = random.Random(seed)
+    kinds = ["signal", "entry", "exit", "entry", "exit", "stop", "clear", "other"]
+    return [(f"a{i % 3}", T0 + timedelta(days=i * days // n), i, r.choices(kinds, [3, 4, 4, 4, 4, 1, 1, 1])[0], r.choice([None, -30.0, -5.0, 10.0, 40.0])) for i in range(n)]
+
+
+def sequential_risk(rows, max_loss, profit_lock, max_trades, max_losses):
+    held, out = {}, {}
+    for account, ts, seq, kind, pnl in rows:
+        s = held.setdefault(account, {"live": "idle", "day": None, "pnl": 0.0, "trades": 0, "losses": 0})
+        if ts.date() != s["day"]:
+            s["day"] = ts.date()
+            if s["live"] != "emergency_stop":
+                s |= {"live": "idle", "pnl": 0.0, "trades": 0, "losses": 0}
+        if kind in ("stop", "clear"):
+            s["live"] = "emergency_stop" if kind == "stop" else "idle"
+        elif kind == "exit":
+            s["pnl"] += pnl or 0.0
+            s["losses"] = s["losses"] + 1 if (pnl or 0) < 0 else 0
+            locked = s["pnl"] <= -max_loss or s["pnl"] >= profit_lock or s["losses"] >= max_losses
+            if s["live"] != "emergency_stop":
+                s["live"] = "locked" if locked else "halted" if s["trades"] >= max_trades else "idle"
+        elif kind == "entry" and s["live"] in ("idle", "armed"):
+            s["live"], s["trades"] = "in_trade", min(s["trades"] + 1, max_trades)
+        elif kind == "signal" and s["live"] == "idle":
+            s["live"] = "armed"
+        out[seq] = (s["live"], s["pnl"], s["trades"], s["losses"])
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_live_states_follow_the_automaton(spark, block):
+    for seed in (1, 2):
+        rows = risk_events(seed)
+        found = risk.live_state(spark.createDataFrame(rows, RISK).repartition(4), 60, 70, 2, 3, block).collect()
+        assert {r.seq: (r.live_state, r.day_pnl, r.day_trades, r.losses) for r in found} == sequential_risk(rows, 60, 70, 2, 3)
+    locked = [("a", T0, 1, "entry", None), ("a", T0, 2, "exit", -2000.0), ("a", T0, 3, "entry", None), ("a", T0 + timedelta(days=1), 4, "entry", None)]
+    assert [r.live_state for r in risk.live_state(spark.createDataFrame(locked, RISK)).orderBy("seq").collect()] == ["in_trade", "locked", "locked", "in_trade"]
+    assert risk.live_state(spark.createDataFrame([], RISK)).count() == 0
+
+
 def trades(spark, pnls, account="a", day_every=1000):
     rows = [(account, i, T0 + timedelta(days=i // day_every, minutes=i), float(p)) for i, p in enumerate(pnls)]
     return spark.createDataFrame(rows, schema.TRADES)
@@ -110,6 +163,33 @@ def test_simulations(spark):
     assert resample.summary(resample.simulations(trades(spark, []), 5)).count() == 0
 
 
+@pytest.mark.parametrize(("skip", "slip"), [(0.0, 0.0), (0.3, 0.0), (0.2, 5.0)])
+def test_simulations_equal_plain_ones(spark, skip, slip):
+    """Each simulation again, one trade after another, from the same hashes."""
+    import numpy as np
+
+    pnls = [(-1) ** i * (i % 7) for i in range(50)]
+    df = trades(spark, pnls).withColumn("h", F.xxhash64("account", "trade_id"))
+    known = sorted((r.h, r.pnl) for r in df.collect())
+    hashes = np.array([h for h, _ in known]).view(np.uint64)
+    sims = np.arange(40)
+    unit = lambda stream: ((resample.draws(9, stream, sims, hashes) >> np.uint64(11)) + 0.5) / 2.0**53
+    order, skips = resample.draws(9, 0, sims, hashes), unit(1)
+    noise = np.sqrt(-2 * np.log(unit(2))) * np.cos(2 * np.pi * unit(3))
+    found = {r.sim: r for r in resample.simulations(df, 40, skip, slip, 9).collect()}
+    for s in sims:
+        total, peak, fall, run, longest = 0.0, None, 0.0, 0, 0
+        for i in sorted(range(50), key=lambda i: (int(order[s, i]) >> 6, i)):
+            if skips[s, i] < skip:
+                continue
+            pnl = known[i][1] + slip * noise[s, i]
+            total += pnl
+            peak = total if peak is None else max(peak, total)
+            fall, run = max(fall, peak - total), run + 1 if pnl < 0 else 0
+            longest = max(longest, run)
+        assert abs(found[s].final_pnl - total) < 1e-9 and abs(found[s].max_dd - fall) < 1e-9 and found[s].max_losses == longest
+
+
 def test_drawdown_and_streak(spark):
     curve = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate([0, 10, 5, 8, 3])], "account string, at int, cum double")
     assert resample.max_drawdown(curve, ["account"]).first().max_dd == 7

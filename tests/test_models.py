@@ -24,6 +24,44 @@ def test_forward_filter_equals_the_sequential_one(spark, block, scale):
     assert np.allclose([sum(r.state_probs) for r in found], 1)
 
 
+def test_forward_filter_where_its_floor_acts(spark):
+    """A model that forbids changes of state, and bars that only another state explains: the recursion is not linear there."""
+    model = SAMPLE_MODEL | {"transition_matrix": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], "initial_probs": [1.0, 0.0, 0.0]}
+    x = np.random.default_rng(8).standard_normal((200, 6))
+    x[60:63] *= 90
+    x[130] *= 300
+    x[150:] *= 40
+    probabilities, steps = sequential_filter(x, model)
+    for block in (5, 64, 500):
+        found = hmm.filtered(vectors(spark, x), model, block).orderBy("bar_no").collect()
+        assert np.abs(np.array([r.state_probs for r in found]) - probabilities).max() < 1e-9
+        assert np.allclose([r.step_ll for r in found], steps)
+    far = np.full((5, 6), 1e200)
+    assert all(np.allclose(r.state_probs, 1 / 3) and r.step_ll == 0 for r in hmm.filtered(vectors(spark, far), model, 2).collect())
+
+
+@pytest.mark.parametrize("n", [2, 63, 64, 65, 200])
+def test_smoothing_in_chunks_equals_the_plain_one(n):
+    random = np.random.default_rng(n)
+    log_e, initial, move = 5 * random.standard_normal((n, 3)), np.array([0.2, 0.5, 0.3]), np.array(SAMPLE_MODEL["transition_matrix"])
+    alpha, beta = np.empty((n, 3)), np.ones((n, 3))
+    e = np.exp(log_e)
+    for t in range(n):
+        alpha[t] = (initial if t == 0 else alpha[t - 1] @ move) * e[t]
+        alpha[t] /= alpha[t].sum()
+    for t in range(n - 2, -1, -1):
+        beta[t] = move @ (e[t + 1] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    gamma = alpha * beta / (alpha * beta).sum(axis=1, keepdims=True)
+    pairs = sum((p := np.outer(alpha[t], e[t + 1] * beta[t + 1]) * move) / p.sum() for t in range(n - 1))
+    state, total = initial * e[0], 0.0
+    for t in range(n):
+        state = initial * e[0] if t == 0 else (state @ move) * e[t]
+        total, state = total + np.log(state.sum()), state / state.sum()
+    found = fit._smooth(log_e, initial, move)
+    assert np.allclose(found[0], gamma) and np.allclose(found[1], pairs) and np.isclose(found[2], total)
+
+
 @pytest.mark.parametrize("block", [1, 7, 500])
 def test_best_path_equals_the_sequential_one(spark, block):
     x = 2 * np.random.default_rng(1).standard_normal((50, 6))
