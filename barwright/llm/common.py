@@ -1,37 +1,23 @@
-"""What the corpus operators share: tables in the cluster's shared folder, checked broadcasts, row hashes."""
+"""What the corpus operators share: checked broadcasts, row hashes, and batches of bounded size.
+
+Operators that add a column replace one of the same name in their input; columns whose names begin with two underscores are their
+own while they work, and input columns of such names may be replaced or dropped. All other columns stay as they are.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of two or three longs that one broadcast may hold (about 50 MB); beyond it the operators join by shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Only where it is unset, as in tests, one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='corpus-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from barwright.sources.shared import new_path, shared_dir, stored
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["BROADCAST_ROWS", "held_out", "new_path", "pieces", "shared_dir", "slices", "small_join", "stored", "texts", "utf8"]
 
-
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of two or three longs that one broadcast may hold (about 50 MB); beyond it the operators join by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -78,3 +64,9 @@ def slices(iterator: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 <<
                 waiting += [part.slice(half), part.slice(0, half)]
             else:
                 yield part
+
+
+def pieces(text: pa.Array, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.Array]:
+    """A column in stretches of at most `rows` values, and of `size` bytes if that is more than one value."""
+    for part in slices(iter([pa.record_batch([text], names=["text"])]), rows, size):
+        yield part.column(0)

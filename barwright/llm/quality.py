@@ -1,4 +1,4 @@
-"""Document quality by supervised subword embeddings: hashed vectors of words and character n-grams, averaged, then a softmax.
+"""Document quality by supervised subword embeddings: hashed vectors of words, word pairs and character n-grams, averaged, then a softmax.
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled documents. As the softmax acts on a
 mean of vectors, each feature's part of the logit is one number once training ends, and scoring adds numbers up.
@@ -8,23 +8,20 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import stored
+from barwright.llm.common import pieces, slices, stored
 
 #: Rows of the embedding table, their width, and the lengths of character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
 #: Bound of the training sample: this many documents, and this many features over all of them.
 SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 8_000_000
 EPOCHS, RATE = 8, 0.5
-#: The bucket of repeated words, how many features each repeat counts for, and what share of features tells the length.
-REPEAT, REPEAT_WEIGHT, LENGTH_SHARE = 0, 16, 0.1
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bucket(feature: str, kind: int) -> int:
@@ -38,14 +35,15 @@ def features(word: str) -> list[int]:
     return [bucket(marked, 0), *(bucket(marked[i : i + n], n) for n in GRAMS for i in range(len(marked) - n + 1))]
 
 
-def repeats(words: list[str]) -> int:
-    """How many word pairs are one word twice: a word n-gram that all such pairs share."""
-    return sum(map(eq, words, islice(words, 1, None)))
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the neighbouring words' pairs, from the words' hashes. A word twice is one and the same pair whatever the word."""
+    first, second = hashes[:-1], hashes[1:]
+    mixed = (first * _PAIR + second) * _PAIR
+    return np.where(first == second, 0, mixed >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
-def length_bucket(words: list[str]) -> int:
-    """One feature for texts of about as many words: 0, 1, 2-3, 4-7 and so on."""
-    return zlib.crc32(b"words", len(words).bit_length()) % BUCKETS
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace"))
 
 
 class _Grams(dict):
@@ -62,13 +60,13 @@ class _Grams(dict):
 
 
 class _Words(dict):
-    """Word -> the sum of its features' weights and their number, as one complex number; two generations are kept."""
+    """Word -> the sum of its features' weights, their number, and the word's hash; two generations are kept."""
 
     def __init__(self, weights: np.ndarray):
         self.weights, self.older = weights.tolist(), {}
         self.grams = [(n, _Grams(self.weights, n).__getitem__) for n in GRAMS]
 
-    def __missing__(self, word: str) -> complex:
+    def __missing__(self, word: str) -> tuple[float, int, int]:
         found = self.older.get(word)
         if found is None:
             marked = f"<{word}>"
@@ -76,7 +74,7 @@ class _Words(dict):
             for n, weight in self.grams:
                 total += sum(map(weight, [marked[i : i + n] for i in range(end - n)]))
                 count += max(0, end - n)
-            found = complex(total, count)
+            found = (total, count, word_hash(word))
         if len(self) >= 300_000:
             self.older = dict(self)
             self.clear()
@@ -86,21 +84,21 @@ class _Words(dict):
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """label, buckets, counts of each labelled text."""
+    """at (where the text stands in the sample's order), label, buckets, counts of each labelled text."""
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             buckets, counts = [], []
             for text in batch.column("text").to_pylist():
                 split = (text or "").split()
-                all_of = np.concatenate([features(w) for w in split]).astype(np.int64) if split else np.zeros(0, np.int64)
-                extra = [np.full(REPEAT_WEIGHT * repeats(split), REPEAT), np.full(round(LENGTH_SHARE * len(all_of)), length_bucket(split))]
-                present, times = np.unique(np.concatenate([all_of, *extra]), return_counts=True)
+                hashes = np.fromiter(map(word_hash, split), np.uint64, len(split))
+                present, times = np.unique(np.concatenate([*(np.array(features(w), np.int64) for w in split), pair_buckets(hashes)]).astype(np.int64), return_counts=True)
                 buckets.append(present.astype(np.int32))
                 counts.append(times.astype(np.int32))
-            yield pa.record_batch([batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["label", "buckets", "counts"])
+            yield pa.record_batch([batch.column("at"), batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["at", "label", "buckets", "counts"])
 
-    return texts.mapInArrow(count, "label int, buckets array<int>, counts array<int>")
+    kind = "struct<h: bigint, doc_id: " + texts.schema["at"].dataType["doc_id"].dataType.simpleString() + ", text: bigint>"
+    return texts.mapInArrow(count, f"at {kind}, label int, buckets array<int>, counts array<int>")
 
 
 @dataclass(frozen=True)
@@ -114,17 +112,19 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_features: int = SAMPLE_FEATURES, epochs: int = EPOCHS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, label 0 or 1).
 
-    The sample is the `rows` distinct labels with the smallest hashes of doc_id, or as many of their texts as have
-    `most_features` features in all: the driver holds no more, whatever the tables. Null ids and other labels teach nothing, null
-    texts are empty; with no sample every score is 0.5, with one label scores lean to it.
+    The sample is the `rows` distinct labels with the smallest hashes of doc_id, or as many of their texts, in that order, as have
+    `most_features` features in all: the driver holds no more, whatever the tables. It does not depend on how the tables are
+    partitioned or ordered. Null ids and other labels teach nothing, null texts are empty, rows that repeat id and text teach
+    once; with no sample every score is 0.5, with one label scores lean to it.
     """
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows), "sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    at = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(at.alias("at"), "text", "label").dropDuplicates(["at", "label"])
     sample, total = [], 0
-    for row in stored(_counts(texts), "features").coalesce(1).toLocalIterator():
+    for row in stored(_counts(texts), "features").orderBy("at", "label").limit(rows).toLocalIterator():
         total += len(row.buckets)
-        if total > most_features or len(sample) == rows:
+        if total > most_features:
             break
         sample.append((row.label, np.array(row.buckets, np.int64), np.array(row.counts, np.float32)))
     return fit(sample, epochs)
@@ -159,8 +159,8 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
 def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
     """docs with a double column `into`: how likely label 1 is, from 0 to 1.
 
-    Every word of the whole text counts; null, empty and blank texts get the score of the bias alone. All columns and rows of
-    docs stay in their partitions.
+    Every word of the whole text counts; null, empty and blank texts get the score of the bias alone. All rows and columns of
+    docs stay in their partitions; a column `into` of docs is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
@@ -168,14 +168,17 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
     def rate(text: pa.Array) -> pa.Array:
         if not state:
             state["words"] = _Words(shared.value.weights)
-        words, weights, sums = state["words"], shared.value.weights, []
-        for whole in text.to_pylist():
-            split = (whole or "").split()
-            total = sum(map(words.__getitem__, split), 0j)
-            twice, long = REPEAT_WEIGHT * repeats(split), round(LENGTH_SHARE * total.imag)
-            total += complex(twice * weights[REPEAT] + long * weights[length_bucket(split)], twice + long)
-            sums.append(total.real / total.imag if total.imag else 0.0)
-        logits = np.array(sums, np.float64) + shared.value.bias
+        words, weights, means = state["words"], shared.value.weights, []
+        for part in pieces(text, 512):
+            for whole in part.to_pylist():
+                split = (whole or "").split()
+                if not split:
+                    means.append(0.0)
+                    continue
+                sums, counts, hashes = zip(*map(words.__getitem__, split), strict=True)
+                pairs = pair_buckets(np.array(hashes, np.uint64))
+                means.append((sum(sums) + weights[pairs].sum()) / (sum(counts) + len(pairs)))
+        logits = np.array(means, np.float64) + shared.value.bias
         return pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))), pa.float64())
 
     return docs.withColumn(into, F.arrow_udf(rate, "double")(F.col("text")))
