@@ -25,7 +25,7 @@ KINDS = {
 #: A cheap test that a text must pass before its pattern runs.
 HINTS = {"email": "%@%", "ip": "%.%", "card": "%", "phone": "%+%"}
 PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
-#: Code points on each side of a mention that count as its context; a term, of letters and digits, lies within one.
+#: Code points on each side of a mention that count as its context; a term, of letters, marks and digits, lies within one.
 CONTEXT, TERM = 160, (1, 160)
 #: Part of an entity's information that a term must carry to be generalised, and to be removed; contexts that must show it.
 DISCLOSES, NAMES, SUPPORT = 0.8, 0.98, 3
@@ -82,7 +82,7 @@ def _whole_words(piece: Column, at_edge: Column, after: bool) -> Column:
     At the outer end a word is whole where the text itself ends (at_edge, and the piece no longer than CONTEXT); else it is joined
     to another mention or, as the one code point more tells, runs on beyond the context.
     """
-    inner, outer = (r"^[\p{L}\p{N}]+", r"[\p{L}\p{N}]+$") if after else (r"[\p{L}\p{N}]+$", r"^[\p{L}\p{N}]+")
+    inner, outer = (r"^[\p{L}\p{M}\p{N}]+", r"[\p{L}\p{M}\p{N}]+$") if after else (r"[\p{L}\p{M}\p{N}]+$", r"^[\p{L}\p{M}\p{N}]+")
     own = F.regexp_replace(piece, inner, "")
     return F.when(at_edge & (F.char_length(piece) <= CONTEXT), own).otherwise(F.regexp_replace(own, outer, ""))
 
@@ -124,7 +124,7 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w).between(*TERM))
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.char_length(w).between(*TERM))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -139,10 +139,13 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
 
     Of N documents df(c) hold the entity c and df(t) the term t; joint(c, t) hold t in a context of c. A term carries
     ln(N joint / (df(c) df(t))) / ln(N / df(c)) of c. Only terms found in `support` different contexts of c are judged:
-    copies of one text are one context. All documents count, whole; rows that repeat one count again in N and df(t).
+    copies of one text are one context. All documents count, whole; rows that repeat a document (id and text) count once,
+    in N and in every df and joint.
     """
     keyed = _keyed(docs.select("doc_id", "text"))
-    n_docs = docs.count()
+    copies = stored(keyed.groupBy("__k1", "__k2").agg(F.count("*").alias("__n")), "documents")
+    n_docs = copies.count()
+    repeated = stored(copies.where("__n > 1"), "repeated")
     around = F.concat_ws(" ", F.col("m.before"), F.col("m.after"))
     inner = F.concat_ws(" ", F.col("m.words_before"), F.col("m.words_after"))
     # explode_outer: plain explode would have the whole search run a second time in a filter on the array's size.
@@ -157,10 +160,12 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
     carries = F.log(n * F.col("joint") / (F.col("df_c") * F.col("df_t"))) / F.log(n / F.col("df_c"))
     joint = joint.where(F.col("contexts") >= support).join(entities, "entity").where(F.col("df_c") < n).join(near, "term")
     joint = stored(joint.where(carries >= discloses).drop("df_t"), "joint")
-    frequency = _held(keyed, stored(joint.select("term").distinct(), "terms")).groupBy("term").agg(F.count("*").alias("df_t"))
+    # A document's rows share its one count; rows that nothing repeats need no partner.
+    rows = small_join(_held(keyed, stored(joint.select("term").distinct(), "terms")), repeated, ["__k1", "__k2"], "left", limit=BROADCAST_ROWS // 2)
+    frequency = rows.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("__n", F.lit(1)))).alias("df_t"))
     judged = joint.join(frequency, "term").groupBy("term").agg(F.max(carries).alias("carries"))
     disclosing = stored(judged.where(F.col("carries") >= discloses), "disclosing")
-    return disclosing, stored(_held(keyed, disclosing.select("term")), "holders")
+    return disclosing, stored(_held(keyed, disclosing.select("term")).distinct(), "holders")
 
 
 def _held(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -170,7 +175,7 @@ def _held(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _term_spans(terms: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
 
 
 def find_spans(docs: DataFrame, discloses: float = DISCLOSES, names: float = NAMES, support: int = SUPPORT) -> DataFrame:
@@ -178,7 +183,8 @@ def find_spans(docs: DataFrame, discloses: float = DISCLOSES, names: float = NAM
 
     Pattern spans are generalised; a term that discloses an entity is generalised wherever it stands outside pattern spans, in
     any document, or removed if it carries `names` of the entity or more. Null and empty texts have no spans; repeated rows
-    get the same spans; an empty table gives no rows. All rows and columns of docs stay.
+    get the same spans and change no others; an empty table gives no rows. All rows and columns of docs stay, but a column
+    `spans` is replaced.
     """
     disclosing, holders = disclosing_terms(docs, discloses, support)
     held = holders.join(disclosing, "term").select("__k1", "__k2", F.when(F.col("carries") >= names, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"), "term")
@@ -206,7 +212,8 @@ def find_spans(docs: DataFrame, discloses: float = DISCLOSES, names: float = NAM
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """find_spans() with `sanitised`: the text with each span replaced by its kind in brackets, or cut out.
 
-    Where spans of different kinds overlap, the first one stands and what overlaps it is skipped. Null texts stay null.
+    Where spans of different kinds overlap, the first one stands and what overlaps it is skipped. Null texts stay null. Columns
+    `spans` and `sanitised` of docs are replaced.
     """
     found = find_spans(docs, **thresholds)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["action"].alias("action"))))
