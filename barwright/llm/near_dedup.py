@@ -4,8 +4,11 @@ Documents with equal shingle sets are one node. Each node's MinHash signature is
 is sorted by range, so that nodes with a long common prefix are neighbours. A region is a run of nodes that agree on the first
 values of an order; how many orders and values, follows from the similarity (plan()). In it a node meets its neighbour, with which it shares the longest prefix, and the region's first node.
 Pairs whose signatures are far apart are passed over; the others are confirmed on the full sets, and give components.
-Regions that still hold several components then go deeper: their nodes are compared in blocks, across components only, on
-signatures and then on full sets; so no pair that shares a region is left out, and no region's pairs are ever listed.
+
+Regions that still hold several components go deeper: their nodes get longer signatures, and more orders of them, and meet the
+NEAREST nodes before them in each order, across components only. In a region of few nodes that is every pair; the more nodes a
+region holds, the longer the prefix that neighbours share, so the depth follows each region's density, while the work for a
+node stays the same. No group's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from barwright.llm.common import slices, small_join, stored, utf8
 VALUES, DEPTH = 64, 3
 #: Bounds of the probability that a pair at the least similarity shares no region, and that its signatures agree too little.
 NO_REGION, TOO_FAR = 1.1e-5, 5e-6
-#: Nodes of a region that are compared with one another in one task.
-BLOCK = 256
+#: Where regions are mixed: values of a longer signature (one byte each), its orders, and how many nodes before it a node meets.
+WIDE, ORDERS, NEAREST = 256, 32, 16
 _RANDOM = np.random.default_rng(20240229)
-_FACTORS = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,6 +55,14 @@ class Plan:
         return self.head + VALUES - self.depth
 
 
+def least_agreement(like: float, values: int) -> int:
+    """The most values that two signatures may be asked to share, so that a pair at this similarity fails with TOO_FAR at most."""
+    agree, lost = 0, 0.0
+    while agree < values and (lost := lost + comb(values, agree) * like**agree * (1 - like) ** (values - agree)) <= TOO_FAR:
+        agree += 1
+    return agree
+
+
 def plan(percent: int) -> Plan:
     """The fewest orders that keep to NO_REGION, and the most values in agreement that keep to TOO_FAR, at this similarity.
 
@@ -59,9 +70,7 @@ def plan(percent: int) -> Plan:
     are shorter. Below 17 percent no plan keeps to the bounds, which is an error.
     """
     like = percent / 100
-    agree, lost = 0, 0.0
-    while agree < VALUES and (lost := lost + comb(VALUES, agree) * like**agree * (1 - like) ** (VALUES - agree)) <= TOO_FAR:
-        agree += 1
+    agree = least_agreement(like, VALUES)
     for depth in range(DEPTH, 0, -1):
         for trees in range(1, VALUES // depth + 1):
             if (1 - like**depth) ** trees <= NO_REGION:
@@ -94,11 +103,11 @@ def shingles(text: bytes, hashes: dict, size: int = 5) -> np.ndarray:
     return np.unique(runs ^ (runs >> np.uint64(32)))
 
 
-def signature(shingle_set: np.ndarray) -> np.ndarray:
-    """VALUES minima under different hash functions, two bytes of each."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingle_set), 1 << 14):
-        mixed = np.multiply.outer(_FACTORS, shingle_set[start : start + (1 << 14)]) + _SHIFTS[:, None]
+def signature(shingle_set: np.ndarray, values: int = VALUES) -> np.ndarray:
+    """`values` minima under different hash functions, two bytes of each; a longer signature begins with the shorter one."""
+    least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(shingle_set), 1 << 12):
+        mixed = np.multiply.outer(_FACTORS[:values], shingle_set[start : start + (1 << 12)]) + _SHIFTS[:values, None]
         np.minimum(least, mixed.min(axis=1), out=least)
     return ((least * _STEP) >> np.uint64(48)).astype(np.uint16)
 
@@ -111,8 +120,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _print(found: np.ndarray) -> bytes:
+    """128-bit fingerprint of a shingle set."""
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128-bit fingerprint of the set), sig; stored."""
+    """doc_id, text_hash, n_shingles, f1, f2 (128-bit fingerprint of the set), sig; stored."""
 
     def sketch(batches):
         hashes = _WordHashes()
@@ -121,12 +135,13 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             for text in utf8(batch.column("text")):
                 found = shingles(text, hashes, size)
                 counts.append(len(found))
-                prints.append(xxhash.xxh3_128_digest(found.tobytes()))
+                prints.append(_print(found))
                 signatures.append(signature(found).tobytes() if len(found) else None)
             both = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(signatures, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "sig"])
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return stored(rows.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, sig binary"), "sketches")
 
 
 def _labels(batches, by: Plan):
@@ -216,10 +231,22 @@ def _seams(found: DataFrame, by: Plan) -> list[tuple[int, int]]:
     return pairs
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the given nodes; stored."""
-    found = small_join(docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text")), nodes, ["node"], "left_semi")
-    return stored(found.dropDuplicates(["node"]), "texts")
+def _texts(docs: DataFrame, nodes: DataFrame, shared: DataFrame | None, size: int) -> DataFrame:
+    """node, text of the given nodes; stored. A node is its smallest doc_id; ids with several texts are told apart by fingerprint."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    found = small_join(rows, nodes, ["node"], "left_semi").dropDuplicates(["node"])
+    if shared is not None:
+
+        def identify(batches):
+            hashes = _WordHashes()
+            for batch in slices(batches, 512):
+                both = np.frombuffer(b"".join(_print(shingles(t, hashes, size)) for t in utf8(batch.column("text"))), "<i8").reshape(-1, 2)
+                yield pa.record_batch([batch.column("node"), batch.column("text"), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["rep", "text", "f1", "f2"])
+
+        doubtful = small_join(rows, shared.select(F.col("rep").alias("node")).distinct(), ["node"], "left_semi")
+        told = doubtful.mapInArrow(identify, "rep long, text string, f1 long, f2 long").join(shared, ["rep", "f1", "f2"]).select("node", "text")
+        found = found.unionByName(small_join(told, nodes, ["node"], "left_semi").dropDuplicates(["node"]))
+    return stored(found, "texts")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -266,73 +293,154 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int, by: Plan) -> DataFrame:
-    """Links between components within a region. members: region, node."""
+def _wide_labels(batches, by: Plan, size: int):
+    """label, node, component: each node's longer signature in every order, behind the head of the order's region.
+
+    The first orders are the forest's own, so whoever shared a region there does so here.
+    """
+    hashes, spread = _WordHashes(), VALUES // by.trees
+    for batch in slices(batches, 512):
+        values = np.array([signature(shingles(text, hashes, size), WIDE) for text in utf8(batch.column("text"))], np.uint16).reshape(-1, WIDE)
+        n, low = len(values), values.astype(np.uint8)
+        out = np.zeros((ORDERS, n, 1 + 2 * DEPTH + WIDE), np.uint8)
+        for order in range(ORDERS):
+            turned = np.roll(low, -order * (WIDE // ORDERS), axis=1)
+            out[order, :, 0] = order
+            if order < by.trees:
+                out[order, :, 1 : by.head] = np.roll(values[:, :VALUES], -order * spread, axis=1)[:, : by.depth].astype(">u2").view(np.uint8).reshape(n, 2 * by.depth)
+            else:
+                out[order, :, 1 : 1 + by.depth] = turned[:, : by.depth]
+            out[order, :, 1 + 2 * DEPTH :] = turned
+        width = out.shape[2]
+        flat = pa.Array.from_buffers(pa.binary(width), n * ORDERS, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+        yield pa.record_batch([flat, *(pa.array(np.tile(batch.column(c).to_numpy(), ORDERS)) for c in ("node", "component"))], names=["label", "node", "component"])
+
+
+def _wide_met(labels: np.ndarray, node: np.ndarray, component: np.ndarray, first: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row from `first` on and one of the NEAREST rows before it: of one region and two components, with signatures that agree."""
+    head, a, b = 1 + 2 * DEPTH, [], []
+    for back in range(1, NEAREST + 1):
+        i = np.arange(max(first, back), len(labels))
+        j = i - back
+        same = (component[i] != component[j]) & (labels[i, :head] == labels[j, :head]).all(axis=1)
+        i, j = i[same], j[same]
+        close = (labels[i, head:] == labels[j, head:]).sum(axis=1) >= agree
+        a.append(np.minimum(node[i[close]], node[j[close]]))
+        b.append(np.maximum(node[i[close]], node[j[close]]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _wide_walk(batches, agree: int):
+    """Along one sorted stretch: candidate pairs (part null), and the stretch's first and last rows (part and its end)."""
+    from pyspark import TaskContext
+
+    part, held, opening = TaskContext.get().partitionId(), None, None
+    names = ["a", "b", "part", "last", "label"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+
+    def ends(rows, last):
+        n = len(rows[1])
+        return pa.record_batch([pa.array(rows[1]), pa.array(rows[2]), pa.array([part] * n, kinds[2]), pa.array([last] * n, kinds[3]), pa.array([x.tobytes() for x in rows[0]], kinds[4])], names=names)
+
+    for batch in slices(batches, 4096):
+        if not batch.num_rows:
+            continue
+        labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        rows, first = (labels, batch.column("node").to_numpy(), batch.column("component").to_numpy()), 0
+        if held is not None:
+            first = len(held[1])
+            rows = tuple(np.concatenate(pair) for pair in zip(held, rows, strict=True))
+        if opening is None or len(opening[1]) < NEAREST:
+            opening = tuple(x[:NEAREST].copy() for x in rows)
+        a, b = _wide_met(*rows, first, agree)
+        if len(a):
+            a, b = np.unique(np.stack((a, b), axis=1), axis=0).T
+            empty = [pa.nulls(len(a), k) for k in kinds[2:]]
+            yield pa.record_batch([pa.array(a.copy()), pa.array(b.copy()), *empty], names=names)
+        held = tuple(x[-NEAREST:].copy() for x in rows)
+    if held is not None:
+        yield ends(opening, False)
+        yield ends(held, True)
+
+
+def _wide_seams(ends: DataFrame, agree: int) -> DataFrame:
+    """Candidate pairs across neighbouring stretches: NEAREST rows on both sides of each seam meet, seam by seam."""
+    parts = [r.part for r in ends.select("part").distinct().orderBy("part").collect()]
+    if len(parts) < 2:
+        return ends.select("a", "b").limit(0)
+    session = ends.sparkSession
+    seams = session.createDataFrame([(p, True, i) for i, p in enumerate(parts[:-1])] + [(p, False, i) for i, p in enumerate(parts[1:])], "part int, last boolean, seam int")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("a", "ascending")])
+        labels = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(len(table), -1)
+        a, b = _wide_met(labels, table.column("a").to_numpy(), table.column("b").to_numpy(), 0, agree)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return ends.join(F.broadcast(seams), ["part", "last"]).groupBy("seam").applyInArrow(meet, "a long, b long").where("a <> b")
+
+
+def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: DataFrame | None, size: int, percent: int, by: Plan) -> DataFrame:
+    """Links between components that share a region. members: region, node."""
     known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = stored(mixed.where("n > 2 and low < high").select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "regions")
-    nodes = stored(small_join(known, mixed, ["region"]), "nodes")
-    texts = _texts(docs, nodes.select("node").distinct())
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = nodes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component").distinct()
-
-    def compare(table: pa.Table) -> pa.Table:
-        hashes = _WordHashes()
-        sets = [shingles(text, hashes, size) for text in utf8(table.column("text"))]
-        marks = np.array([signature(s) if len(s) else np.zeros(VALUES, np.uint16) for s in sets]).reshape(-1, VALUES)
-        own, node = table.column("own").to_numpy(), table.column("node").to_numpy()
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        parent = {c: c for c in table.column("component").to_pylist()}
-        group = table.column("component").to_pylist()
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        found = []
-        for x in range(len(sets)):
-            near = np.flatnonzero((marks[x + 1 :] == marks[x]).sum(axis=1) >= by.agree) + x + 1
-            for y in near:
-                if (not across or own[x] != own[y]) and root(group[x]) != root(group[y]) and linked(sets[x], sets[y], percent):
-                    parent[root(group[x])] = root(group[y])
-                    found.append((int(node[x]), int(node[y])))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
-
-    return cells.join(texts, "node").groupBy("region", "i", "j").applyInArrow(compare, "a long, b long")
+    mixed = stored(mixed.where("n > 2 and low < high").select("region"), "regions")
+    nodes = stored(small_join(known, mixed, ["region"], "left_semi").select("node", "component").distinct(), "nodes")
+    texts = _texts(docs, nodes.select("node"), shared, size)
+    like = percent / 100
+    agree = least_agreement(like + (1 - like) / 256, WIDE)
+    spread = texts.join(nodes, "node").mapInArrow(lambda batches: _wide_labels(batches, by, size), "label binary, node long, component long")
+    walked = spread.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    found = stored(walked.mapInArrow(lambda batches: _wide_walk(batches, agree), "a long, b long, part int, last boolean, label binary"), "forest")
+    pairs = found.where("part is null").select("a", "b").unionByName(_wide_seams(found.where("part is not null"), agree)).distinct()
+    return _confirmed(stored(pairs, "pairs"), texts, size, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash, root: one row for each row of docs (doc_id, text).
 
     Words are runs of other bytes than ASCII white space, A-Z in lower case; a document's set holds its distinct runs of `size`
     words, or its whole sequence if shorter. Documents with 100 * intersection >= `percent` * union are linked; component_id
     is the smallest doc_id reachable, and kept marks that document. Null, empty and blank texts have no set and are their own
-    component. Rows that repeat a doc_id are one document. A null doc_id is linked with nothing: its component_id is null
-    and kept true. An empty table gives no rows.
+    component. Rows that repeat a doc_id with an equal set are one document; rows of one doc_id with different texts are
+    documents of their own. root tells components apart where such ids give two the same component_id, and is null where
+    there is no set; text_hash is the text's 64-bit hash. A null doc_id is linked with nothing: its component_id is null and
+    kept true. An empty table gives no rows; other columns of docs are not read.
     """
     by = plan(percent)
     sketch = sketches(docs, size)
     whole = sketch.where("n_shingles > 0 and doc_id is not null")
     # Stored, so that the join below is one of two plain shuffles, which AQE can split where copies are very many.
-    classes = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = stored(whole.join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
-    forest = members.where("sig is not null").select("rep", "sig").mapInArrow(lambda batches: _labels(batches, by), "label binary, rep long")
+    classes = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
+    doubtful = stored(classes.groupBy("rep").count().where("count > 1").select("rep"), "doubtful")
+    shared = None
+    if doubtful.limit(1).count():
+        shared = stored(small_join(classes.select("rep", "f1", "f2"), doubtful, ["rep"], "left_semi").withColumn("node", F.xxhash64("f1", "f2", "rep")), "shared")
+        classes = stored(classes.join(shared.select("f1", "f2", "node"), ["f1", "f2"], "left").withColumn("node", F.coalesce("node", "rep")), "classes")
+    else:
+        classes = classes.withColumn("node", F.col("rep"))
+    members = stored(whole.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).drop("f1", "f2"), "members")
+    forest = classes.select(F.col("node").alias("rep"), "sig").mapInArrow(lambda batches: _labels(batches, by), "label binary, rep long")
     walked = forest.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep")
     found = stored(walked.mapInArrow(lambda batches: _walk(batches, by), "kind int, region long, a long, b long, label binary"), "forest")
     seams = docs.sparkSession.createDataFrame(_seams(found, by), "a long, b long")
     pairs = stored(found.where("kind = 0").select("a", "b").unionByName(seams).distinct(), "pairs")
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shared, size)
     links = stored(_confirmed(pairs, texts, size, percent), "links")
     labels = stored(components(links), "components")
-    more = stored(_deeper(found.where("kind = 1").select("region", F.col("a").alias("node")).distinct(), labels, docs, size, percent, by), "links")
+    more = stored(_deeper(found.where("kind = 1").select("region", F.col("a").alias("node")).distinct(), labels, docs, shared, size, percent, by), "links")
     # Links between components, joined to them: only what is new runs through the components again.
     raised = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = stored(components(raised.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
     first = labels.select("node", F.col("component").alias("c1")).unionByName(merged.select(F.col("node"), F.col("node").alias("c1"))).groupBy("node").agg(F.min("c1").alias("c1"))
-    final = first.join(merged.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left").select(F.col("node").alias("rep"), F.coalesce("c2", "c1").alias("component_id"))
-    placed = small_join(members.select("doc_id", "n_shingles", "rep"), stored(final, "final"), ["rep"], "left")
-    rows = placed.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    final = first.join(merged.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left").select("node", F.coalesce("c2", "c1").alias("root"))
+    placed = small_join(members, stored(final, "final"), ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    if shared is None:
+        rows = placed.withColumn("component_id", F.col("root"))
+    else:
+        # A root made from a fingerprint is no doc_id: the smallest one of its members is looked up.
+        least = small_join(classes.select("node", "rep"), stored(final, "final"), ["node"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("component_id"))
+        rows = placed.join(least, "root")
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", "root"]
+    alone = sketch.where("n_shingles = 0 or doc_id is null").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("long")})
+    return rows.select(*columns).unionByName(alone.select(*columns))
