@@ -7,6 +7,8 @@ reach a query's current k-th score are compacted away before the next dimension
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,9 @@ from barwright.llm.common import stored
 
 #: Dimensions that are added up between two prunings, and candidates scanned at once.
 DIMENSIONS, CANDIDATES = 16, 4096
+#: Queries that meet a block of candidates at once (8 MB of products), bytes of queries that are broadcast together, and blocks of
+#: queries in one plan; what more blocks find is stored first.
+TOGETHER, QUERY_BYTES, PLANNED = 256, 32 << 20, 4
 #: Sums of products below this are exact in float64.
 EXACT = float(1 << 52)
 
@@ -50,14 +55,16 @@ class Best:
         vertical = np.ascontiguousarray(vertical[self.order])
         left = self._left(vertical)
         exact = float(np.abs(self.matrix).max(initial=0)) * float(np.abs(vertical).max(initial=0)) * max(1, len(vertical)) < EXACT
-        first = self.matrix[:, :DIMENSIONS] @ vertical[:DIMENSIONS] if exact else None
+        first = None
         for q, (own, weights) in enumerate(zip(self.ids, self.matrix, strict=True)):
+            if exact and q % TOGETHER == 0:
+                first = self.matrix[q : q + TOGETHER, :DIMENSIONS] @ vertical[:DIMENSIONS]
             if not exact:
                 self._keep(q, *self._plainly(q, own, ids, vertical))
                 continue
             scores, names = self.found[q]
             least = scores[-1] if len(scores) == self.k else -np.inf
-            total, alive = first[q], np.flatnonzero(ids != own)
+            total, alive = first[q % TOGETHER], np.flatnonzero(ids != own)
             total = total[alive]
             for block, start in enumerate(range(DIMENSIONS, len(vertical) + DIMENSIONS, DIMENSIONS)):
                 reach = total + left[block, alive] * self.left[block, q]
@@ -100,34 +107,47 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block_queries: int = 16_384) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k candidates with the highest integer inner product.
 
     Components become floor(scale * x). Vectors that are null, or hold null or non-finite components, take no part. Ties go to
     the smaller vec_id. A query meets every row of its own length but those with its own vec_id; repeated rows count each;
-    rows with a null vec_id take no part; a repeated query id counts once. Fewer than k candidates are all returned.
-    Scores outside a long are held at its ends.
-    Queries are taken in blocks of about `block_queries` vectors, broadcast one after another: each block passes over all
-    candidates, and each task sends on k rows a query at most.
+    rows with a null vec_id take no part; a repeated query id counts once. Fewer than k candidates are all returned; other
+    columns are not read. Scores outside a long are held at its ends.
+    Queries are taken in blocks of about `query_bytes`, which are all that the driver and a broadcast hold: each block passes
+    over all candidates, each task sends on k rows a query at most, and beyond some blocks results are stored as they come.
     """
     session = vectors.sparkSession
     usable = lambda df: df.select("vec_id", quantised(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
     asked = stored(usable(queries).dropDuplicates(["vec_id"]), "queries")
-    n_blocks = max(1, -(-asked.count() // block_queries))
-    parts = [_against(usable(vectors), session, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block), k) for block in range(n_blocks)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    size = asked.agg(F.sum(F.size("v").cast("long") * 8 + 8)).first()[0] or 0
+    n_blocks = max(1, -(-size // query_bytes))
+    candidates, parts = usable(vectors), []
+    if n_blocks > 1:
+        candidates = stored(candidates, "vectors")
+    for block in range(n_blocks):
+        part, shared = _against(candidates, session, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block), k)
+        if n_blocks > PLANNED:
+            part = stored(_ranked(part, k), "found")
+            shared.destroy()
+        parts.append(part)
+    return _ranked(reduce(DataFrame.unionByName, parts), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
 
-def _against(candidates: DataFrame, session, block: DataFrame, k: int) -> DataFrame:
+def _against(candidates: DataFrame, session, block: DataFrame, k: int):
+    """query_id, vec_id, score of each task's best, and the broadcast of the block's queries: by length, ids and a matrix."""
     table = block.toArrow().combine_chunks()
-    listed: dict[int, list] = {}
-    for name, vector in zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist(), strict=True):
-        listed.setdefault(len(vector), []).append((name, vector))
-    shared = session.sparkContext.broadcast({size: (np.array([n for n, _ in rows], np.int64), np.array([v for _, v in rows], np.float64).reshape(len(rows), size)) for size, rows in listed.items()})
+    column, held = table.column("v").combine_chunks(), {}
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        held[int(size)] = (table.column("vec_id").to_numpy()[rows], _matrix(column.take(pa.array(rows))).reshape(len(rows), int(size)))
+    shared = session.sparkContext.broadcast(held)
 
     def search(batches):
         best = {size: Best(ids, matrix, k) for size, (ids, matrix) in shared.value.items()}
@@ -144,4 +164,4 @@ def _against(candidates: DataFrame, session, block: DataFrame, k: int) -> DataFr
         for found in best.values():
             yield found.rows()
 
-    return candidates.mapInArrow(search, "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(search, "query_id long, vec_id long, score long"), shared
