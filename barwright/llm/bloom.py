@@ -15,16 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PROBES = 4
+#: Bits that a key sets, and bits of a filter for each key that it is to hold.
+PROBES, BITS_A_KEY = 4, 10
 #: Bytes of a filter that are merged and shuffled as one row.
 CHUNK = 1 << 17
 #: Each filter has at most this many bits (256 MB), so its broadcast is bounded; a fuller filter only sends more suspects on.
 MAX_BITS = 1 << 31
 
 
-def bits_for(keys: int) -> int:
-    """About ten bits a key, as a power of two between one chunk and MAX_BITS."""
-    return min(MAX_BITS, max(CHUNK * 8, 1 << int(np.ceil(np.log2(max(1, keys) * 10)))))
+def bits_for(keys: int, most: int = MAX_BITS) -> int:
+    """BITS_A_KEY for each key at least, as a power of two between one chunk and `most`."""
+    return min(most, max(CHUNK * 8, 1 << int(np.ceil(np.log2(max(1, keys) * BITS_A_KEY)))))
 
 
 def _positions(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:

@@ -5,10 +5,12 @@ Two Bloom filters mark line hashes seen once and seen twice; only lines in the s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import bloom
@@ -16,6 +18,8 @@ from barwright.llm.common import BROADCAST_ROWS, slices, stored, utf8
 
 #: Fixed by the contract: the characters stripped from both ends of a line.
 EDGE = b" \t\n\x0b\x0c\r"
+#: Passes over the documents at most, each for one range of hashes.
+RANGES = 16
 
 
 def _key(line: bytes, least: int) -> bytes | None:
@@ -41,22 +45,38 @@ def _document_keys(batch: pa.RecordBatch, least: int):
     return *_hashes(keys), np.asarray(owners, np.int64)
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, most_bits: int = bloom.MAX_BITS) -> DataFrame:
     """The lines to remove: h1, h2 (the halves of the key's 128-bit hash), keeper (the largest doc_id that holds it).
 
     A line's key is the line stripped of white space with A-Z in lower case; keys of at least `min_chars` code points found
     in at least `min_docs` distinct doc_ids count. Null texts hold no such line; a null doc_id counts as no document and is
     never the keeper. Rows that repeat a doc_id are one document. The table is stored.
+    Where a filter of `most_bits` is too small for all lines, their hashes are split into ranges, each with a pass and filters of
+    its own. Beyond RANGES passes the filters fill up: more lines are then suspects and are shuffled, and the result is the same.
     """
     docs = docs.select("doc_id", "text")
     size = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
     lines = docs.select(size).first()[0] or 0
-    field = bloom.repeated(docs, lambda batches: (_document_keys(b, min_chars)[:2] for b in slices(batches, 2048)), bloom.bits_for(lines))
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    ranges = min(RANGES, max(1, -(-lines * bloom.BITS_A_KEY // most_bits)))
+    return reduce(DataFrame.unionByName, [_repeated_in_range(docs, min_chars, min_docs, bloom.bits_for(-(-lines // ranges), most_bits), r, ranges) for r in range(ranges)])
 
-    def suspects(batches):
+
+def _repeated_in_range(docs: DataFrame, min_chars: int, min_docs: int, bits: int, number: int, ranges: int) -> DataFrame:
+    """The repeated lines whose hashes lie in one of the ranges; stored, so that its filters are gone when the next range comes."""
+
+    def keys(batches):
         for batch in slices(batches, 2048):
             h1, h2, owner = _document_keys(batch, min_chars)
+            if ranges > 1:
+                own = (h2 >> np.uint64(40)) % np.uint64(ranges) == number
+                h1, h2, owner = h1[own], h2[own], owner[own]
+            yield batch, h1, h2, owner
+
+    field = bloom.repeated(docs, lambda batches: ((h1, h2) for _, h1, h2, _ in keys(batches)), bits)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def suspects(batches):
+        for batch, h1, h2, owner in keys(batches):
             maybe = bloom.has(shared.value, h1, h2)
             ids = batch.column("doc_id").take(pa.array(owner[maybe]))
             yield pa.record_batch({"h1": pa.array(h1[maybe].view("<i8")), "h2": pa.array(h2[maybe].view("<i8")), "doc_id": ids})
@@ -64,7 +84,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     schema = f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     found = docs.mapInArrow(suspects, schema).groupBy("h1", "h2")
     exact = found.agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    return stored(exact.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "lines")
+    out = stored(exact.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "lines")
+    shared.destroy()
+    return out
 
 
 def _sieve(min_chars: int, known):
@@ -97,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, into: s
     """docs with a struct column `into`: n_lines, n_dropped, kept (the text without the lines that go).
 
     Lines are split at \\n; a null or empty text is one empty line. A document keeps all its other lines, in order. All
-    columns of docs stay; repeated rows are treated alike; an empty table gives an empty one.
+    columns of docs stay, but a column `into` is replaced; repeated rows are treated alike; an empty table gives an empty one.
     Up to `broadcast_rows` repeated lines are broadcast; beyond it each document gets its own list by two joins.
     """
     gone = repeated_lines(docs, min_chars, min_docs)
@@ -141,7 +163,3 @@ def _dedup_by_join(docs: DataFrame, gone: DataFrame, min_chars: int, into: str)
     joined = docs.join(lists, docs["doc_id"].eqNullSafe(lists["__id"]), "left")
     cut = F.arrow_udf(_sieve(min_chars, known), RESULT)(docs["text"], docs["doc_id"], F.col("__gone"))
     return joined.withColumn(into, cut).drop("__id", "__gone")
-
-
-def digest(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
