@@ -93,7 +93,7 @@ def format_chat(turns: DataFrame, trained_role: str = "assistant", part_bytes: i
     """conv_id, part, last, n_turns, formatted, loss: each conversation's text, in parts of whole turns.
 
     Rows are taken by turn, ties by role and then text, nulls first and as empty; a null conv_id is a conversation of its own,
-    repeated rows are turns of their own, an empty table gives no rows. loss holds the code points of `formatted` under the
+    repeated rows are turns of their own, an empty table gives no rows; conv_id may be of any type that can be sorted, other columns are not read. loss holds the code points of `formatted` under the
     loss mask, one span for each text of `trained_role`. A conversation has one part unless it passes `part_bytes` in a
     batch or crosses a batch: then its parts follow each other, and the last one says so. Rows stream through a sorted
     partition, so a conversation with a third of all rows needs no more memory than any other.
@@ -122,13 +122,11 @@ def format_chat(turns: DataFrame, trained_role: str = "assistant", part_bytes: i
                 if held is not None:
                     held[2] = not (held[0] == row[0])
                     row[1] = 0 if held[2] else held[1] + 1
-                    yield _batch(held, kind_type)
+                    yield _batch(held, conv.type)
                 held = row
         if held is not None:
-            yield _batch(held, kind_type)
+            yield _batch(held, conv.type)
 
-    kind_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    kind_type = {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, kind_type)
     return ordered.mapInArrow(_gathered(build), SCHEMA.format(kind))
 
 

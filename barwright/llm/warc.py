@@ -8,6 +8,7 @@ so a task that runs twice leaves at most an unused file.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import new_path, slices, stored
+from barwright.llm.common import new_path, slices, small_join, stored
 
 #: Ranges whose gap is at most this many bytes are read at once, up to the size of a read.
 GAP, READ = 64 << 10, 4 << 20
@@ -28,9 +29,10 @@ RECORDS = "page_id {0}, url string, record_type string, payload_digest string, p
 
 
 def _filesystem(path: str):
+    """The file system and path behind a URI; Hadoop's names for S3 stand for pyarrow's own."""
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(path)
+    return FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
 
 
 def _clean(value: str) -> str:
@@ -68,8 +70,6 @@ def originals(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     counted = rows.where(F.length("__payload") >= least_bytes).groupBy("__digest")
     repeated = counted.agg(F.max("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     repeated = stored(repeated, "payloads")
-    from barwright.llm.common import small_join
-
     joined = small_join(rows, repeated, ["__digest"], "left")
     return joined.withColumn("__refers", F.when(F.col("__first") != F.col("page_id"), F.col("__first"))).drop("__first")
 

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -30,6 +31,35 @@ def base_spans(text):
     return [(k, m.start(), m.end()) for k, p in KINDS.items() for m in re.finditer(p, text or "") if holds(k, m.group())]
 
 
+def _words(text):
+    return re.findall(r"\w+", text.lower())
+
+
+def disclosing(rows, discloses, support):
+    """Terms that carry enough of an e-mail address, by sets of documents; for ASCII texts with whole contexts (each of one mention)."""
+    texts = sorted(set(rows))
+    holds, contexts, joint = defaultdict(set), defaultdict(set), defaultdict(set)
+    for doc in texts:
+        for m in re.finditer(KINDS["email"], doc[1]):
+            entity, around = m.group().lower(), (doc[1][max(0, m.start() - 160) : m.start()], doc[1][m.end() : m.end() + 160])
+            holds[entity].add(doc)
+            for term in set(_words(" ".join(around))):
+                contexts[entity, term].add(around)
+                joint[entity, term].add(doc)
+    n, out = len(texts), set()
+    for (entity, term), where in joint.items():
+        if len(contexts[entity, term]) >= support and len(holds[entity]) < n:
+            df = sum(term in _words(doc[1]) for doc in texts)
+            if math.log(n * len(where) / (len(holds[entity]) * df)) / math.log(n / len(holds[entity])) >= discloses:
+                out.add(term)
+    return out
+
+
+def term_spans(text, terms):
+    base = base_spans(text)
+    return [(m.start(), m.end()) for m in re.finditer(r"\w+", text) if m.group().lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in base)]
+
+
 def line_dedup(rows):
     """doc_id -> (n_lines, n_dropped, kept)."""
     key = lambda line: line.strip(" \t\n\v\f\r").translate(LOWER)

@@ -104,9 +104,10 @@ def test_top_k_equals_all_scores(spark, dimensions, scale):
     rows += [(300 + i, rows[7][1]) for i in range(30)] + [(400, None), (500, [None] * dimensions), (600, [float("nan")] * dimensions), (700, [float("inf")] * dimensions), (800, [1.0, 2.0]), (900, [0.5, 0.25]), (1000, []), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     asked = [i for i, _ in rows if i is not None and i % 100 == 0]
-    for block in (16_384, 2):
-        found = top_k(df, df.where("vec_id % 100 = 0"), k=10, block_queries=block).collect()
+    for size in (32 << 20, 8 * dimensions * 2):
+        found = top_k(df, df.where("vec_id % 100 = 0"), k=10, query_bytes=size).collect()
         assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found) == brute_top_k(rows, asked, 10)
     assert top_k(df.limit(0), df.limit(0)).count() == 0
-    few = top_k(df.where("vec_id < 4"), df.where("vec_id = 0"), k=10).collect()
+    more = df.withColumns({"score": F.lit("x"), "rank": F.lit(1), "query_id": F.lit(2)})
+    few = top_k(more.where("vec_id < 4"), df.where("vec_id = 0"), k=10).collect()
     assert len(few) == 3
