@@ -43,13 +43,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat it, one."""
-    found = stored(near_duplicates(docs.select("doc_id", "text"), percent=LEAST_LIKENESS), "near")
-    kept = small_join(docs, stored(found.where("not kept").select("doc_id").distinct(), "removed"), ["doc_id"], "left_anti")
-    twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat it, one.
+
+    A row goes or stays by its doc_id and text together: another text under the same id has its own fate.
+    """
+    key = ["doc_id", "__text_hash"]
+    found = stored(near_duplicates(docs.select("doc_id", "text"), percent=LEAST_LIKENESS).withColumnRenamed("text_hash", "__text_hash"), "near")
+    # Groups of which several rows would stay: rows that repeat one document, or two texts of one id that are alike.
+    kept = found.where("kept and root is not null")
+    twice = stored(kept.groupBy("root").agg(F.count("*").alias("n"), F.min("__text_hash").alias("first")).where("n > 1"), "twice")
+    spare = small_join(kept, twice.select("root", "first"), ["root"]).where("__text_hash <> first").select(*key)
+    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
+    gone = stored(found.where("not kept").select(*key).unionByName(spare).distinct(), "removed")
+    rest = small_join(marked, gone, key, "left_anti")
     if twice.limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+        doubled = stored(small_join(kept, twice.select("root"), ["root"], "left_semi").select(*key).distinct(), "doubled")
+        rest = small_join(rest, doubled, key, "left_anti").unionByName(small_join(rest, doubled, key, "left_semi").dropDuplicates(key))
+    return rest.select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
