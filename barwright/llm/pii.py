@@ -29,6 +29,8 @@ PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0
 CONTEXT, TERM = 160, (1, 160)
 #: Part of an entity's information that a term must carry to be generalised, and to be removed; contexts that must show it.
 DISCLOSES, NAMES, SUPPORT = 0.8, 0.98, 3
+#: One document in so many gives the first lower bound of the terms' counts.
+ONE_IN = 16
 #: Elements of an array that are summed up in one stretch.
 STRETCH = 256
 
@@ -160,14 +162,22 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
     carries = F.log(n * F.col("joint") / (F.col("df_c") * F.col("df_t"))) / F.log(n / F.col("df_c"))
     joint = joint.where(F.col("contexts") >= support).join(entities, "entity").where(F.col("df_c") < n).join(near, "term")
     joint = stored(joint.where(carries >= discloses).drop("df_t"), "joint")
-    # A document's rows share its one count; rows that nothing repeats need no partner.
-    rows = small_join(_held(keyed, stored(joint.select("term").distinct(), "terms")), repeated, ["__k1", "__k2"], "left", limit=BROADCAST_ROWS // 2)
-    frequency = rows.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("__n", F.lit(1)))).alias("df_t"))
+    # One document in ONE_IN already tells most common words: a term has at least as many in all. What is left is counted in full.
+    some = _frequency(keyed.where(F.pmod("__k1", F.lit(ONE_IN)) == 0), joint, repeated)
+    joint = stored(joint.join(some, "term", "left").withColumn("df_t", F.coalesce("df_t", F.lit(1.0))).where(carries >= discloses).drop("df_t"), "joint")
+    frequency = _frequency(keyed, joint, repeated)
     judged = joint.join(frequency, "term").groupBy("term").agg(F.max(carries).alias("carries"))
     disclosing = stored(judged.where(F.col("carries") >= discloses), "disclosing")
     return disclosing, stored(_held(keyed, disclosing.select("term")).distinct(), "holders")
 
 
+def _frequency(keyed: DataFrame, joint: DataFrame, repeated: DataFrame) -> DataFrame:
+    """term, df_t: in how many documents of keyed each of joint's terms stands. A repeated document's rows share its one count."""
+    held = _held(keyed, stored(joint.select("term").distinct(), "terms"))
+    rows = small_join(held, repeated, ["__k1", "__k2"], "left", limit=BROADCAST_ROWS // 2)
+    return rows.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("__n", F.lit(1)))).alias("df_t"))
+
+
 def _held(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """__k1, __k2, term: the wanted terms that each document holds, once each."""
     words = keyed.select("__k1", "__k2", F.explode(F.array_distinct(_terms(F.col("__text")))).alias("term"))
