@@ -38,5 +38,10 @@ def overview(instruments: DataFrame, models: DataFrame, log: DataFrame) -> DataF
 
 def status(models: DataFrame, log: DataFrame) -> DataFrame:
     """symbol, version, k, trained_at, training_bars, requests of each symbol's latest model."""
+    return latest_status(models, request_counts(log))
+
+
+def latest_status(models: DataFrame, counts: DataFrame) -> DataFrame:
+    """status() from request_counts() that are there already."""
     rows = latest_models(models).select("symbol", F.col("schema_version").alias("version"), "k", "metadata.trained_at", "metadata.training_bars")
-    return rows.join(request_counts(log).select("symbol", "requests"), "symbol", "left").fillna(0, ["requests"])
+    return rows.join(counts.select("symbol", "requests"), "symbol", "left").fillna(0, ["requests"])

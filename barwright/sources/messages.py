@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.operators.hmm import validated
 from barwright.sources.bars import cleaned, coerced, normalised, symbol_of
-from barwright.sources.schema import MODEL, REQUEST
+from barwright.sources.schema import MODEL, REQUEST, TICKS
 
 
 def read_trades(spark: SparkSession, path: str, account: str = "default") -> tuple[DataFrame, DataFrame]:
@@ -55,6 +55,30 @@ def encode(responses: DataFrame) -> DataFrame:
     return responses.select(F.to_json(F.struct(*responses.columns)).alias("value"))
 
 
+def ticks_of(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ticks, rejected) of rows with the columns of TICKS, batch or stream: a tick has a symbol, a time, a kind B, A or L, a
+    positive price, and a volume of at least 0 (null as 0). seq breaks ties of ts; where it is null, rows of one ts are in no order."""
+    named = raw.select(*(F.col(c).cast(t).alias(c) for c, t in (part.split(" ") for part in TICKS.split(", ")))).fillna({"volume": 0.0, "seq": 0})
+    good = F.col("symbol").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isin("B", "A", "L") & (F.col("price") > 0) & (F.col("volume") >= 0)
+    good = F.coalesce(good, F.lit(False))
+    return named.where(good), named.where(~good)
+
+
+def read_ticks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(ticks, rejected) of a folder of Parquet files with the columns of TICKS."""
+    return ticks_of(spark.read.schema(TICKS).parquet(path))
+
+
+def stream_ticks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_ticks() of the files that appear in a folder, as streams."""
+    return ticks_of(spark.readStream.schema(TICKS).parquet(path))
+
+
+def write_responses(responses: DataFrame, path: str, checkpoint: str):
+    """Start writing a stream of response rows as JSON messages, one a line; it stops once what is present is written."""
+    return encode(responses).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_exports(spark: SparkSession, folder: str, table: str, checkpoint: str, header: list[str]):
     """Start taking in the CSV files that appear in `folder`, each once; a file replaces its symbol's bars in `table`.
 
@@ -66,14 +90,18 @@ def ingest_exports(spark: SparkSession, folder: str, table: str, checkpoint: str
     named = raw.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_modification_time").alias("__time"))
     names = [*normalised(header), "__file", "__time"]
 
-    def take(batch: DataFrame, _: int) -> None:
-        rows = coerced(batch.toDF(*names)).withColumn("symbol", symbol_of(F.col("__file"))).withColumn("seq", F.monotonically_increasing_id())
-        rows.where("symbol is null").select("__file").distinct().write.mode("append").parquet(f"{table}-quarantine")
-        known = rows.where("symbol is not null")
-        newest = known.groupBy("symbol").agg(F.max(F.struct("__time", "__file")).alias("__newest"))
-        known = known.join(F.broadcast(newest), "symbol").where(F.struct("__time", "__file") == F.col("__newest"))
-        bars = known.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume")
-        bars.where("ts is null or open is null or high is null or low is null or close is null").write.mode("append").parquet(f"{table}-dropped")
-        cleaned(bars).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(table)
+    def take(batch: DataFrame, number: int) -> None:
+        # Read once, and written under the batch's number: a batch that is tried again replaces what it left.
+        rows = coerced(batch.toDF(*names)).withColumn("symbol", symbol_of(F.col("__file"))).withColumn("seq", F.monotonically_increasing_id()).persist()
+        try:
+            rows.where("symbol is null").select("__file").distinct().write.mode("overwrite").parquet(f"{table}-quarantine/batch={number}")
+            known = rows.where("symbol is not null")
+            newest = known.groupBy("symbol").agg(F.max(F.struct("__time", "__file")).alias("__newest"))
+            known = known.join(newest, "symbol").where(F.struct("__time", "__file") == F.col("__newest"))
+            bars = known.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume")
+            bars.where("ts is null or open is null or high is null or low is null or close is null").write.mode("overwrite").parquet(f"{table}-dropped/batch={number}")
+            cleaned(bars).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(table)
+        finally:
+            rows.unpersist()
 
     return named.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

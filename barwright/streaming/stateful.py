@@ -16,17 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barwright.functions.scalar import SMALL
+from barwright.operators import drift
 from barwright.operators.features import PERIOD, VOL_WINDOW, VOLUME_WINDOW, WARM_UP, Z_WINDOW
 from barwright.sources.schema import FEATURES
 
-SHUFFLE_STATE = "value string"
+STATE = "value string"
 
 
 class _Keyed(StatefulProcessor):
     """One JSON document of state a key; `step` turns an event and the state into an output row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", SHUFFLE_STATE)
+        self._state = handle.getValueState("state", STATE)
 
     def fresh(self) -> dict:
         raise NotImplementedError
@@ -159,22 +160,45 @@ class HysteresisState(_Keyed):
 
 
 class DriftState(_Keyed):
-    """The last states and likelihoods of one symbol; occupancy drift and mean likelihood after each event."""
+    """The last states, likelihoods and features of one symbol; after each event the measures against its model, and whether to retrain.
 
-    OUT = "symbol string, ts timestamp, seq bigint, n int, occupancy_drift double, mean_ll double"
+    Events hold state, step_ll, the six features and model (JSON text). The same measures as operators.drift on the same rows.
+    """
 
-    def __init__(self, k: int = 3, window: int = 500):
-        self.k, self.window = k, window
+    OUT = "symbol string, ts timestamp, seq bigint, n int, ready boolean, occupancy_drift double, transition_drift double, likelihood_drop double, mean_ll double, reasons string, retrain boolean"
+
+    def __init__(self, k: int = 3, window: int = drift.WINDOW, baseline: str = "per_bar"):
+        self.k, self.window, self.baseline = k, window, baseline
 
     def fresh(self):
-        return {"states": [], "lls": []}
+        return {"states": [], "lls": [], "features": []}
 
     def step(self, e, s):
-        s["states"], s["lls"] = [*s["states"], int(e.state)][-self.window :], [*s["lls"], float(e.step_ll)][-self.window :]
-        n = len(s["states"])
-        even = n / self.k
-        drift = sum((s["states"].count(i) - even) ** 2 / even for i in range(self.k)) / self.k
-        return {"symbol": e.symbol, "ts": e.ts, "seq": e.seq, "n": n, "occupancy_drift": drift, "mean_ll": sum(s["lls"]) / n}
+        s["states"] = [*s["states"], int(e.state)][-self.window :]
+        s["lls"] = [*s["lls"], float(e.step_ll)][-self.window :]
+        s["features"] = [*s["features"], [float(getattr(e, f)) for f in FEATURES]][-self.window :]
+        model, n, k = json.loads(e.model), len(s["states"]), self.k
+        states, x = np.array(s["states"]), np.array(s["features"])
+        even = n / k
+        occupancy = float((((np.bincount(states[(states >= 0) & (states < k)], minlength=k) - even) ** 2 / even).sum()) / k)
+        moves = np.zeros((k, k))
+        np.add.at(moves, (states[:-1], states[1:]), 1)
+        p = np.clip(moves / np.maximum(moves.sum(axis=1, keepdims=True), 1), SMALL, 1)
+        q = np.clip(np.array(model["transition_matrix"]), SMALL, 1)
+        transition = 0.0 if n < drift.LEAST_STATES else max(0.0, float((p * np.log(p / q)).sum() / k))
+        trained = model["metadata"]["log_likelihood"] / (max(model["metadata"]["training_bars"], 1) if self.baseline == "per_bar" else 1)
+        mean = sum(s["lls"]) / n
+        drop = 0.0 if trained == 0 else min(max((trained - mean) / max(1.0, abs(trained)), 0.0), 1.0)
+        moved = np.zeros(len(FEATURES))
+        if n >= drift.LEAST_ROWS:
+            std = np.maximum(model["feature_std"], SMALL)
+            moved = 0.7 * np.abs(x.mean(axis=0) - model["feature_mean"]) / std + 0.3 * np.abs(np.log(np.maximum(x.std(axis=0, ddof=1), SMALL) / std))
+        measures, ready = {"occupancy": round(occupancy, 4), "transition": round(transition, 4), "likelihood": round(drop, 4)}, n >= min(drift.READY, self.window)
+        reasons = [name for name, value in measures.items() if value > drift.THRESHOLDS[name]]
+        reasons += [f"feature:{f}" for f, d in zip(FEATURES, moved, strict=True) if round(float(d), 4) > drift.THRESHOLDS["feature"]][:1]
+        reasons = reasons if ready else []
+        found = {"n": n, "ready": ready, "occupancy_drift": measures["occupancy"], "transition_drift": measures["transition"], "likelihood_drop": measures["likelihood"], "mean_ll": mean}
+        return {"symbol": e.symbol, "ts": e.ts, "seq": e.seq, **found, "reasons": ",".join(reasons), "retrain": bool(reasons)}
 
 
 class RiskState(_Keyed):
@@ -200,14 +224,15 @@ class RiskState(_Keyed):
         elif e.kind == "stop":
             s["state"] = "emergency_stop"
         elif e.kind == "exit":
-            s["pnl"] += e.pnl
-            s["losses"] = s["losses"] + 1 if e.pnl < 0 else 0
+            pnl = 0.0 if e.pnl is None or math.isnan(e.pnl) else e.pnl
+            s["pnl"] += pnl
+            s["losses"] = s["losses"] + 1 if pnl < 0 else 0
             if s["state"] != "emergency_stop":
                 locked = s["pnl"] <= -max_loss or profit_lock > 0 and s["pnl"] >= profit_lock or s["losses"] >= max_losses
                 s["state"] = "locked" if locked else "halted" if s["trades"] >= max_trades else "idle"
         elif s["state"] in ("idle", "armed"):
             if e.kind == "entry":
-                s["state"], s["trades"] = "in_trade", s["trades"] + 1
+                s["state"], s["trades"] = "in_trade", min(s["trades"] + 1, max_trades)
             elif e.kind == "signal":
                 s["state"] = "armed"
         return {"account": e.account, "ts": e.ts, "seq": e.seq, "live_state": s["state"], "day_pnl": s["pnl"], "day_trades": s["trades"], "losses": s["losses"]}

@@ -5,7 +5,7 @@ import pytest
 from helpers import bars, sequential_features, walk
 from pyspark.sql import functions as F
 
-from barwright.operators import hmm
+from barwright.operators import drift, hmm, risk
 from barwright.operators import orderflow as O
 from barwright.operators.features import features
 from barwright.plans import frames
@@ -112,19 +112,50 @@ def test_streaming_flow_equals_the_batch(spark, tmp_path):
     assert got and all(batch[k] == v for k, v in got.items()) and len(got) >= len(batch) - 10
 
 
-def test_streaming_regimes_drift_and_risk(spark, tmp_path):
+def test_streaming_regimes_and_risk(spark, tmp_path):
     from test_flow_and_risk import proposals, sequential_hysteresis
 
     states = [0, 0, 1, 1, 1, 2, 1, 2, 2, 2, 0] * 6
     batch = proposals(spark, states, 10**6).withColumns({"seq": F.col("bar_no"), "step_ll": F.lit(-2.0)})
-    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir(), (tmp_path / "c").mkdir()
+    (tmp_path / "a").mkdir(), (tmp_path / "c").mkdir()
     found = streamed(spark, tmp_path / "a", batch, lambda s: stateful.apply(s, stateful.HysteresisState(max_flips=2))).orderBy("seq").collect()
     assert [(r.regime, r.flips) for r in found] == sequential_hysteresis(states, 10**6)
-    seen = streamed(spark, tmp_path / "b", batch, lambda s: stateful.apply(s, stateful.DriftState(window=30))).orderBy(F.desc("seq")).first()
-    assert seen.n == 30 and seen.mean_ll == -2.0
-    events = spark.createDataFrame([("a", batch.first().ts, i, k, p) for i, (k, p) in enumerate([("signal", 0.0), ("entry", 0.0), ("exit", -2000.0), ("entry", 0.0), ("stop", 0.0), ("exit", 5.0), ("clear", 0.0)])], "account string, ts timestamp, seq bigint, kind string, pnl double")
-    live = streamed(spark, tmp_path / "c", events, lambda s: stateful.apply(s, stateful.RiskState(), "account")).orderBy("seq").collect()
-    assert [r.live_state for r in live] == ["armed", "in_trade", "locked", "locked", "emergency_stop", "emergency_stop", "idle"]
+    from test_flow_and_risk import RISK, risk_events
+
+    rows = spark.createDataFrame(risk_events(5), RISK)
+    batch_states = {r.seq: (r.live_state, r.day_pnl, r.day_trades, r.losses) for r in risk.live_state(rows, 60, 70, 2, 3).collect()}
+    live = streamed(spark, tmp_path / "c", rows, lambda s: stateful.apply(s, stateful.RiskState(60, 70, 2, 3), "account")).collect()
+    assert {r.seq: (r.live_state, r.day_pnl, r.day_trades, r.losses) for r in live} == batch_states
+
+
+def test_streaming_drift_equals_the_batch(spark, tmp_path):
+    from test_models import evidence
+
+    states = [i % 3 if i % 7 else 0 for i in range(160)]
+    rows = evidence(spark, states, ll=-3.5, shift=0.1)
+    models = spark.createDataFrame([SAMPLE_MODEL], MODEL)
+    batch = drift.decision(drift.metrics(rows, models, 3)).first()
+    asked = rows.withColumn("model", F.lit(json.dumps(SAMPLE_MODEL)))
+    last = streamed(spark, tmp_path, asked, lambda s: stateful.apply(s, stateful.DriftState())).orderBy(F.desc("seq")).first()
+    for name in ("n", "ready", "occupancy_drift", "transition_drift", "likelihood_drop", "retrain"):
+        assert last[name] == batch[name], name
+    assert last.reasons.split(",") == batch.reasons
+
+
+def test_ticks_responses_and_status(spark, tmp_path):
+    rows = [("NQ", "2024-01-02 10:00:00", 1, "B", 9.0, 1.0), ("NQ", "2024-01-02 10:00:00", 2, "L", 9.0, None), ("NQ", None, 3, "L", 9.0, 1.0), ("NQ", "2024-01-02 10:00:00", 4, "X", 9.0, 1.0), ("NQ", "2024-01-02 10:00:00", 5, "A", -1.0, 1.0), (None, "2024-01-02 10:00:00", 6, "L", 9.0, 1.0)]
+    raw = spark.createDataFrame(rows, "symbol string, ts string, seq bigint, kind string, price double, volume double").withColumn("ts", F.col("ts").cast("timestamp"))
+    raw.write.parquet(str(tmp_path / "ticks"))
+    good, bad = M.read_ticks(spark, str(tmp_path / "ticks"))
+    assert [(r.seq, r.volume) for r in good.orderBy("seq").collect()] == [(1, 1.0), (2, 0.0)] and bad.count() == 4
+    stream, _ = M.stream_ticks(spark, str(tmp_path / "ticks"))
+    M.write_responses(stream.select("symbol", "seq"), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+    assert sorted(json.loads(r.value)["seq"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [1, 2]
+    models = spark.createDataFrame([SAMPLE_MODEL], MODEL)
+    log = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "ticks")).select("symbol", F.lit(False).alias("is_error"), F.lit(1.0).alias("latency_ms"))
+    flows.write_status(log, lambda: models, str(tmp_path / "status"), str(tmp_path / "c2")).awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "status")).first()
+    assert (row.symbol, row.k, row.requests) == ("NQ", 3, 5)
 
 
 def test_status_stream(spark, tmp_path):
