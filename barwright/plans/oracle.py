@@ -231,6 +231,13 @@ SQL = {
     "p13_percentile": f"WITH {TRADES} SELECT account, {_r6('quantile_cont(pnl, 0.05)')} AS p5, {_r6('quantile_cont(pnl, 0.5)')} AS p50, {_r6('quantile_cont(pnl, 0.95)')} AS p95 FROM trades GROUP BY account",
     "p15_profile_match": "SELECT o_orderkey, ['NQ', 'ES', 'CL', NULL][o_orderkey % 4 + 1] AS profile FROM orders",
     "s3_s4_clean_bars": f"""WITH {TICKS} SELECT symbol, seq, date_trunc('second', ts) AS ts, {_r6('price')} AS close, CASE WHEN seq % 17 = 5 THEN 0.0 ELSE volume END AS volume FROM ticks WHERE seq % 17 NOT IN (0, 1, 2, 3, 4)""",
+    "s1_s8_bars_from_csv": f"""WITH {BARS}, named AS (SELECT symbol AS event_type, ['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB'][row_number() OVER (ORDER BY symbol)] AS symbol FROM (SELECT DISTINCT symbol FROM bars))
+      SELECT n.symbol, ts, {_r6('open')} AS open, {_r6('close')} AS close, volume FROM bars b JOIN named n ON b.symbol = n.event_type""",
+    "s9_trades_from_text": f"""WITH {TRADES} SELECT 'default' AS account, count(*) FILTER (WHERE trade_id % 11 > 2) AS n, round(sum(pnl) FILTER (WHERE trade_id % 11 > 2), 2) AS pnl, count(*) FILTER (WHERE trade_id % 11 = 2) AS rejected FROM trades""",
+    "s10_s12_model_files": """SELECT ['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB'][p_partkey % 9 + 1] AS symbol, lpad(max(p_partkey)::VARCHAR, 9, '0') AS trained_at, 3 AS k FROM part WHERE p_partkey % 9 < 8 GROUP BY 1""",
+    "s13_s14_p17_messages": f"""WITH {BARS} SELECT CASE WHEN hour(ts) = 0 THEN 'none' ELSE symbol END AS symbol, sum(CASE WHEN hour(ts) BETWEEN 1 AND 5 THEN 2 ELSE 1 END)::BIGINT AS n,
+      CASE WHEN max(hour(ts)) = 0 THEN -1 ELSE 2 END AS size FROM bars GROUP BY 1""",
+    "s15_ticks": f"""WITH {TICKS} SELECT CASE WHEN seq % 13 = 0 OR seq % 17 = 0 OR NOT price > 0 THEN 'rejected' ELSE kind END AS kind, count(*) AS n FROM ticks GROUP BY 1""",
     "s5_bar_numbers": f"WITH {NUMBERED} SELECT symbol, ts, bar_no FROM numbered",
     "v_quality": f'WITH {_QUALITY} SELECT symbol, "check", n FROM listed WHERE n > 0',
     "v8_report": f"""WITH {_QUALITY} SELECT symbol, n_bars, count_if(n > 0) = 0 AS clean, coalesce(string_agg("check", ',' ORDER BY place) FILTER (WHERE n > 0), '') AS issues FROM listed GROUP BY symbol, n_bars""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from barwright.operators import orderflow as O
 from barwright.plans import frames, oracle
 from barwright.plans.frames import SAMPLE_MODEL
 from barwright.sources import bars as bar_source
-from barwright.sources import schema
-from barwright.sources.shared import stored
+from barwright.sources import messages, schema
+from barwright.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -138,6 +139,66 @@ def s3_s4_clean_bars(spark, d):
     return bar_source.cleaned(bar_source.coerced(text)).select("symbol", "seq", "ts", r6("close").alias("close"), "volume")
 
 
+@query
+def s1_s8_bars_from_csv(spark, d):
+    """The bars written as CSV exports under names that tell the instrument, with other headers, and read back from the folder."""
+    listed = F.array(*(F.lit(x) for x in schema.SYMBOLS))
+    names = frames.table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct()
+    names = names.withColumn("file", F.element_at(listed, (F.pmod(F.row_number().over(Window.orderBy("symbol")) - 1, F.lit(len(schema.SYMBOLS))) + 1).cast("int")))
+    rows = frames.bars(spark, d).join(names, "symbol").select("file", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date/Time"), "open", "high", "low", F.col("close").alias("Last"), F.col("volume").alias("Vol"))
+    folder = new_path(spark, "exports")
+    for symbol in schema.SYMBOLS:
+        rows.where(F.col("file") == symbol).drop("file").write.option("header", True).csv(f"{folder}/{symbol}_export")
+    parts = [bar_source.cleaned(bar_source.read_bars_csv(spark, f"{folder}/{symbol}_export", symbol)) for symbol in schema.SYMBOLS]
+    return reduce(DataFrame.unionByName, parts).select("symbol", "ts", r6("open").alias("open"), r6("close").alias("close"), "volume")
+
+
+@query
+def s9_trades_from_text(spark, d):
+    """One P&L a line, with comments and lines that are no numbers between them, written and read back."""
+    path = new_path(spark, "trades")
+    cents = frames.trades(spark, d).withColumn("bad", F.col("trade_id") % 11)
+    line = F.when(F.col("bad") == 0, "# note").when(F.col("bad") == 1, "").when(F.col("bad") == 2, "n/a").otherwise(F.col("pnl").cast("string"))
+    cents.select(line).write.text(path)
+    good, bad = messages.read_trades(spark, path)
+    return good.groupBy("account").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 2).alias("pnl")).crossJoin(bad.agg(F.count("*").alias("rejected")))
+
+
+@query
+def s10_s12_model_files(spark, d):
+    """Models as JSON files, some of them broken, read and validated, and the latest of each symbol from the registry."""
+    sample = spark.createDataFrame([SAMPLE_MODEL], schema.MODEL)
+    symbol = F.element_at(F.array(*(F.lit(x) for x in (*schema.SYMBOLS, "XX"))), (F.col("p_partkey") % 9 + 1).cast("int"))
+    rows = frames.table(spark, d, "part").select("p_partkey", symbol.alias("symbol")).crossJoin(F.broadcast(sample.drop("symbol")))
+    rows = rows.withColumn("metadata", F.col("metadata").withField("trained_at", F.lpad(F.col("p_partkey").cast("string"), 9, "0"))).drop("p_partkey")
+    path, registry = new_path(spark, "models"), new_path(spark, "registry")
+    rows.select(F.to_json(F.struct(*rows.columns))).write.text(path)
+    # One document a line here; a folder of one document a file is read by messages.read_models.
+    sound = hmm.validated(spark.read.schema(schema.MODEL).json(path)).where("error is null").drop("error")
+    messages.write_models(sound, registry)
+    return messages.registry(spark, registry).select("symbol", F.col("metadata.trained_at").alias("trained_at"), "k")
+
+
+@query
+def s13_s14_p17_messages(spark, d):
+    """Requests of the bars as JSON, single or in arrays, and what is no JSON; parsed, answered and encoded again."""
+    rows = frames.bars(spark, d)
+    one = F.to_json(F.struct(F.lit("infer").alias("type"), "symbol", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.array("open", "close").alias("features")))
+    text = rows.select(F.when(F.hour("ts") == 0, F.lit("oops")).when(F.hour("ts") < 6, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]"))).otherwise(one).alias("value"))
+    asked = messages.parse_requests(text)
+    replies = messages.encode(asked.select("type", "symbol", F.size("features").alias("size")))
+    parsed = replies.select(F.from_json("value", "type string, symbol string, size int").alias("r"))
+    return parsed.groupBy(F.coalesce("r.symbol", F.lit("none")).alias("symbol")).agg(F.count("*").alias("n"), F.coalesce(F.max("r.size"), F.lit(-1)).alias("size"))
+
+
+@query
+def s15_ticks(spark, d):
+    """Ticks of which some are not valid: how many pass, by kind."""
+    rows = frames.ticks(spark, d).withColumns({"kind": F.when(F.col("seq") % 13 == 0, "?").otherwise(F.col("kind")), "price": F.when(F.col("seq") % 17 == 0, -1.0).otherwise(F.col("price"))})
+    good, bad = messages.ticks_of(rows)
+    return good.select("kind").unionByName(bad.select(F.lit("rejected").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query
 def s5_bar_numbers(spark, d):
     return bar_source.numbered(frames.bars(spark, d)).select("symbol", "ts", "bar_no")
