@@ -1,5 +1,6 @@
 import hashlib
 
+import brute
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,31 @@ def test_near_stage_takes_pairs_from_four_fifths_on(spark, documents):
     assert kept == {2 * i for i in range(40)} | {2 * i + 1 for i in range(0, 40, 2)}
 
 
+def test_near_duplicates_of_the_given_documents(spark):
+    """The query on all documents of sf0.01, against all pairs."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    expected = brute.near(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_near_dedup(spark, sf).collect()}
+    assert {i: n for i, (n, _) in found.items()} == {i: n for i, (n, _) in expected.items()}
+    assert sum(found[i] == expected[i] for i in expected) >= 0.999 * len(expected)
+
+
+def test_personal_data_of_the_given_documents(spark):
+    """The query's counts and base spans on all documents of sf0.001, against the plain patterns."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op1_pii(spark, SF).collect():
+        spans = brute.base_spans(texts[r.doc_id])
+        assert r.base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+
+
+def test_languages_of_the_given_documents(spark):
+    docs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = [r for r in queries.op5_language_id(spark, "/root/testdata/sf0.01").collect() if r.held_out and docs[r.doc_id] is not None and r.lang_pred != "und"]
+    assert len(rows) > 100 and sum(r.lang_pred == docs[r.doc_id] for r in rows) >= 0.98 * len(rows)
+
+
 def test_held_out_rows_follow_crc32(spark):
     import zlib
 
