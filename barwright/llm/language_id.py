@@ -19,8 +19,8 @@ from barwright.llm.common import pieces, slices
 DIMENSIONS = 1024
 UNKNOWN = "und"
 _SEED = 7919
-#: Characters that are looked at together, and different trigrams whose vectors are held at once (16 MB).
-CHARACTERS, TRIGRAMS = 1 << 20, 4096
+#: Characters that are looked at together, and different trigrams whose vectors are held at once (32 MB).
+CHARACTERS, TRIGRAMS = 1 << 20, 8192
 
 
 @cache

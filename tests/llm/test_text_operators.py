@@ -342,7 +342,7 @@ def test_language_vectors_equal_plain_ones(monkeypatch):
     r = random.Random(5)
     texts = ["".join(r.choice("abcdefghij klm日本語 é1.") for _ in range(400)), "", "X", "12", "ab" * 50, sentence(r, 60)]
     expected = np.array([plain_language_sums(t) for t in texts])
-    for characters, trigrams in ((1 << 20, 4096), (50, 16), (1, 4)):
+    for characters, trigrams in ((1 << 20, 8192), (50, 16), (1, 4)):
         monkeypatch.setattr(language_id, "CHARACTERS", characters)
         monkeypatch.setattr(language_id, "TRIGRAMS", trigrams)
         found, counts = language_id.bundled(texts, np.arange(len(texts)), len(texts), language_id._Letters())
