@@ -6,20 +6,24 @@ values of an order; how many orders and values, follows from the similarity (pla
 Pairs whose signatures are far apart are passed over; the others are confirmed on the full sets, and give components.
 
 Regions that still hold several components go deeper: their nodes get longer signatures, and more orders of them, and meet the
-NEAREST nodes before them in each order, across components only. In a region of few nodes that is every pair; the more nodes a
-region holds, the longer the prefix that neighbours share, so the depth follows each region's density, while the work for a
-node stays the same. No group's pairs are ever listed.
+NEAREST nodes of other components on both sides in each order. The prefix shared with the last of them is the depth that the
+node has reached there: whatever shares more was met. A region of few nodes is met whole; the more nodes a region holds, the
+deeper it goes. A node is settled once its depths bound the chance of a missed partner by NO_REGION. Regions where unsettled
+nodes of several components are left take another turn with new hash functions; what is unsettled after TURNS of them is
+joined exactly, on the rarest shingles of each set. No group's pairs are ever listed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import comb
+from functools import cache
+from itertools import count
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.common import slices, small_join, stored, utf8
@@ -28,11 +32,9 @@ from barwright.llm.common import slices, small_join, stored, utf8
 VALUES, DEPTH = 64, 3
 #: Bounds of the probability that a pair at the least similarity shares no region, and that its signatures agree too little.
 NO_REGION, TOO_FAR = 1.1e-5, 5e-6
-#: Where regions are mixed: values of a longer signature (one byte each), its orders, and how many nodes before it a node meets.
-WIDE, ORDERS, NEAREST = 256, 32, 16
-_RANDOM = np.random.default_rng(20240229)
-_FACTORS = _RANDOM.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, WIDE, dtype=np.uint64)
+#: Where regions are mixed: values of a longer signature (one byte each), its orders, how many nodes a node meets on each side,
+#: and turns before the exact join.
+WIDE, ORDERS, NEAREST, TURNS = 256, 32, 16, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,11 +105,20 @@ def shingles(text: bytes, hashes: dict, size: int = 5) -> np.ndarray:
     return np.unique(runs ^ (runs >> np.uint64(32)))
 
 
-def signature(shingle_set: np.ndarray, values: int = VALUES) -> np.ndarray:
+@cache
+def _functions(turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of a turn's hash functions."""
+    random = np.random.default_rng(20240229 + turn)
+    factors = random.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, random.integers(0, 1 << 63, WIDE, dtype=np.uint64)
+
+
+def signature(shingle_set: np.ndarray, values: int = VALUES, turn: int = 0) -> np.ndarray:
     """`values` minima under different hash functions, two bytes of each; a longer signature begins with the shorter one."""
+    factors, shifts = _functions(turn)
     least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingle_set), 1 << 12):
-        mixed = np.multiply.outer(_FACTORS[:values], shingle_set[start : start + (1 << 12)]) + _SHIFTS[:values, None]
+        mixed = np.multiply.outer(factors[:values], shingle_set[start : start + (1 << 12)]) + shifts[:values, None]
         np.minimum(least, mixed.min(axis=1), out=least)
     return ((least * _STEP) >> np.uint64(48)).astype(np.uint16)
 
@@ -293,20 +304,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _wide_labels(batches, by: Plan, size: int):
-    """label, node, component: each node's longer signature in every order, behind the head of the order's region.
+def _wide_labels(batches, by: Plan, size: int, turn: int):
+    """label, node, component: each node's longer signature in every order, behind a head of the region's bytes.
 
-    The first orders are the forest's own, so whoever shared a region there does so here.
+    In the first turn the first orders' heads are the forest's own, so whoever shared a region there does so here.
     """
     hashes, spread = _WordHashes(), VALUES // by.trees
     for batch in slices(batches, 512):
-        values = np.array([signature(shingles(text, hashes, size), WIDE) for text in utf8(batch.column("text"))], np.uint16).reshape(-1, WIDE)
+        values = np.array([signature(shingles(text, hashes, size), WIDE, turn) for text in utf8(batch.column("text"))], np.uint16).reshape(-1, WIDE)
         n, low = len(values), values.astype(np.uint8)
         out = np.zeros((ORDERS, n, 1 + 2 * DEPTH + WIDE), np.uint8)
         for order in range(ORDERS):
             turned = np.roll(low, -order * (WIDE // ORDERS), axis=1)
             out[order, :, 0] = order
-            if order < by.trees:
+            if turn == 0 and order < by.trees:
                 out[order, :, 1 : by.head] = np.roll(values[:, :VALUES], -order * spread, axis=1)[:, : by.depth].astype(">u2").view(np.uint8).reshape(n, 2 * by.depth)
             else:
                 out[order, :, 1 : 1 + by.depth] = turned[:, : by.depth]
@@ -316,33 +327,55 @@ def _wide_labels(batches, by: Plan, size: int):
         yield pa.record_batch([flat, *(pa.array(np.tile(batch.column(c).to_numpy(), ORDERS)) for c in ("node", "component"))], names=["label", "node", "component"])
 
 
-def _wide_met(labels: np.ndarray, node: np.ndarray, component: np.ndarray, first: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row from `first` on and one of the NEAREST rows before it: of one region and two components, with signatures that agree."""
-    head, a, b = 1 + 2 * DEPTH, [], []
-    for back in range(1, NEAREST + 1):
-        i = np.arange(max(first, back), len(labels))
-        j = i - back
-        same = (component[i] != component[j]) & (labels[i, :head] == labels[j, :head]).all(axis=1)
-        i, j = i[same], j[same]
-        close = (labels[i, head:] == labels[j, head:]).sum(axis=1) >= agree
-        a.append(np.minimum(node[i[close]], node[j[close]]))
-        b.append(np.maximum(node[i[close]], node[j[close]]))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _wide_walk(batches, agree: int):
-    """Along one sorted stretch: candidate pairs (part null), and the stretch's first and last rows (part and its end)."""
-    from pyspark import TaskContext
+def _met_before(values: np.ndarray, region: np.ndarray, component: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Along sorted rows, each row's NEAREST rows before it of its region and other components: those that agree, as pairs of row
+    numbers; and for every row how many values in common make sure that another row is among them.
 
-    part, held, opening = TaskContext.get().partitionId(), None, None
-    names = ["a", "b", "part", "last", "label"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    That is 0 where the region's beginning was reached, and -1, for unknown, where it lies before the first row.
+    """
+    starts = np.concatenate(([False], component[1:] != component[:-1]))
+    # The last row before the run of one component that a row lies in.
+    before = np.maximum.accumulate(np.where(starts, np.arange(len(component)) - 1, -1))
+    depth = np.where(region > 0, 0, -1)
+    row = np.arange(len(component))
+    at, pairs = row, []
+    for _ in range(NEAREST):
+        at = at - 1
+        at = np.where((at >= 0) & (component[at] == component[row]), before[at], at)
+        inside = (at >= 0) & (region[at] == region[row])
+        row, at = row[inside], at[inside]
+        same = values[row] == values[at]
+        close = same.sum(axis=1) >= agree
+        pairs.append((row[close], at[close]))
+    if len(row):
+        depth[row] = 1 + np.where(same.all(axis=1), values.shape[1], same.argmin(axis=1))
+    return *(np.concatenate([p[k] for p in pairs]) for k in (0, 1)), depth
+
+
+def _still_near(component: np.ndarray) -> np.ndarray:
+    """The rows that may be among the NEAREST of other components before any later row: each component's last ones."""
+    order = np.argsort(component, kind="stable")
+    ordered = component[order]
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1)
+    to_end = ends[np.searchsorted(ends, np.arange(len(ordered)))] - np.arange(len(ordered))
+    return np.sort(order[to_end < NEAREST])[-2 * NEAREST :]
+
+
+def _credit(depth: np.ndarray, order: np.ndarray, like: float, by: Plan, turn: int) -> np.ndarray:
+    """Logarithm of the chance that this order misses a partner at the least similarity; 0 where the depth is unknown.
+
+    Orders lie WIDE / ORDERS values apart: of deeper ones, which share values, only every second, third, ... one counts.
+    """
+    own_head = (order < by.trees) & (turn == 0)
+    used = np.where(own_head, depth + by.depth, np.maximum(depth, by.depth))
+    return np.where(depth < 0, 0.0, np.log1p(-(like**used)) / np.ceil(used / (WIDE // ORDERS)))
 
-    def ends(rows, last):
-        n = len(rows[1])
-        return pa.record_batch([pa.array(rows[1]), pa.array(rows[2]), pa.array([part] * n, kinds[2]), pa.array([last] * n, kinds[3]), pa.array([x.tobytes() for x in rows[0]], kinds[4])], names=names)
 
-    for batch in slices(batches, 4096):
+def _wide_walk(batches, agree: int, like: float, by: Plan, turn: int):
+    """Along one sorted stretch: candidate pairs a, b, and what each order adds to the certainty about a node (a, credit)."""
+    held, head = None, 1 + 2 * DEPTH
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
+    for batch in slices(batches, 16384):
         if not batch.num_rows:
             continue
         labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -350,50 +383,83 @@ def _wide_walk(batches, agree: int):
         if held is not None:
             first = len(held[1])
             rows = tuple(np.concatenate(pair) for pair in zip(held, rows, strict=True))
-        if opening is None or len(opening[1]) < NEAREST:
-            opening = tuple(x[:NEAREST].copy() for x in rows)
-        a, b = _wide_met(*rows, first, agree)
-        if len(a):
-            a, b = np.unique(np.stack((a, b), axis=1), axis=0).T
-            empty = [pa.nulls(len(a), k) for k in kinds[2:]]
-            yield pa.record_batch([pa.array(a.copy()), pa.array(b.copy()), *empty], names=names)
-        held = tuple(x[-NEAREST:].copy() for x in rows)
-    if held is not None:
-        yield ends(opening, False)
-        yield ends(held, True)
-
-
-def _wide_seams(ends: DataFrame, agree: int) -> DataFrame:
-    """Candidate pairs across neighbouring stretches: NEAREST rows on both sides of each seam meet, seam by seam."""
-    parts = [r.part for r in ends.select("part").distinct().orderBy("part").collect()]
-    if len(parts) < 2:
-        return ends.select("a", "b").limit(0)
-    session = ends.sparkSession
-    seams = session.createDataFrame([(p, True, i) for i, p in enumerate(parts[:-1])] + [(p, False, i) for i, p in enumerate(parts[1:])], "part int, last boolean, seam int")
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("label", "ascending"), ("a", "ascending")])
-        labels = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(len(table), -1)
-        a, b = _wide_met(labels, table.column("a").to_numpy(), table.column("b").to_numpy(), 0, agree)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        labels, node, component = rows
+        region = np.concatenate(([0], np.cumsum((labels[1:, :head] != labels[:-1, :head]).any(axis=1))))
+        i, j, back = _met_before(labels[:, head:], region, component, agree)
+        x, y, ahead = _met_before(labels[::-1, head:], region[-1] - region[::-1], component[::-1], agree)
+        last = len(node) - 1
+        i, j, ahead = np.concatenate((i, last - x)), np.concatenate((j, last - y)), ahead[::-1]
+        a, b = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1), axis=0).T
+        depth = np.where((back < 0) | (ahead < 0), -1, np.maximum(back, ahead))[first:]
+        credit = _credit(depth, labels[first:, 0], like, by, turn)
+        yield pa.record_batch([pa.array(a.copy(), kinds[0]), pa.array(b.copy(), kinds[1]), pa.nulls(len(a), kinds[2])], names=["a", "b", "credit"])
+        yield pa.record_batch([pa.array(node[first:], kinds[0]), pa.nulls(len(credit), kinds[1]), pa.array(credit, kinds[2])], names=["a", "b", "credit"])
+        near = _still_near(component)
+        held = tuple(part[near] for part in rows)
+
+
+def _rarest_in_common(texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs a, b of nodes of different components that could be linked: all of them share one of the rarest shingles of each.
+
+    Sets that have `percent` of either in common share a shingle among the first n * (100 - percent) / 100 + 1 of each, in one
+    order of all shingles: rare ones first, so that what many nodes hold is seldom joined. Shingles of one component are left out.
+    """
 
-    return ends.join(F.broadcast(seams), ["part", "last"]).groupBy("seam").applyInArrow(meet, "a long, b long").where("a <> b")
+    def spell(batches):
+        hashes = _WordHashes()
+        for batch in slices(batches, 64):
+            found = [shingles(text, hashes, size).view(np.int64) for text in utf8(batch.column("text"))]
+            yield pa.record_batch([batch.column("node"), batch.column("component"), pa.array(found, pa.list_(pa.int64()))], names=["node", "component", "shingles"])
+
+    sets = texts.join(nodes, "node").select("node", "component", "text").mapInArrow(spell, "node long, component long, shingles array<long>")
+    rows = stored(sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
+    heads = stored(ranked.where(F.col("place") <= F.expr(f"n * {100 - percent}L div 100 + 1")).select("node", "component", "n", "shingle"), "heads")
+    across = heads.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    heads = stored(heads.join(across, "shingle", "left_semi"), "heads")
+    other = heads.select("shingle", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
+    pairs = heads.withColumnRenamed("node", "a").join(other, "shingle").where(f"a < b and component <> other and 100L * least(n, m) >= {percent}L * greatest(n, m)")
+    return pairs.select("a", "b").distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) with more links a, b: only the components that these join run through the steps again."""
+    raised = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = stored(components(raised.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
+    first = labels.select("node", F.col("component").alias("c1")).unionByName(merged.select(F.col("node"), F.col("node").alias("c1"))).groupBy("node").agg(F.min("c1").alias("c1"))
+    final = first.join(merged.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
+    return stored(final.select("node", F.coalesce("c2", "c1").alias("component")), "components")
 
 
 def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: DataFrame | None, size: int, percent: int, by: Plan) -> DataFrame:
-    """Links between components that share a region. members: region, node."""
-    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = stored(mixed.where("n > 2 and low < high").select("region"), "regions")
-    nodes = stored(small_join(known, mixed, ["region"], "left_semi").select("node", "component").distinct(), "nodes")
-    texts = _texts(docs, nodes.select("node"), shared, size)
+    """labels (node, component) joined by the links between components that share a region. members: region, node."""
     like = percent / 100
     agree = least_agreement(like + (1 - like) / 256, WIDE)
-    spread = texts.join(nodes, "node").mapInArrow(lambda batches: _wide_labels(batches, by, size), "label binary, node long, component long")
-    walked = spread.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
-    found = stored(walked.mapInArrow(lambda batches: _wide_walk(batches, agree), "a long, b long, part int, last boolean, label binary"), "forest")
-    pairs = found.where("part is null").select("a", "b").unionByName(_wide_seams(found.where("part is not null"), agree)).distinct()
-    return _confirmed(stored(pairs, "pairs"), texts, size, percent)
+    texts = credits = None
+    for turn in count():
+        known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        # Two nodes alone in their region have met.
+        mixed = stored(mixed.where("n > 2 and low < high" if turn == 0 else "low < high").select("region"), "regions")
+        if not mixed.limit(1).count():
+            return labels
+        members = stored(small_join(members, mixed, ["region"], "left_semi"), "members")
+        nodes = stored(small_join(known, mixed, ["region"], "left_semi").select("node", "component").distinct(), "nodes")
+        if texts is None:
+            texts = _texts(docs, nodes.select("node"), shared, size)
+        if turn == TURNS:
+            pairs = _rarest_in_common(texts, nodes, size, percent)
+            return _joined(labels, stored(_confirmed(stored(pairs, "pairs"), texts, size, percent), "links"))
+        spread = texts.join(nodes, "node").mapInArrow(lambda batches, turn=turn: _wide_labels(batches, by, size, turn), "label binary, node long, component long")
+        walked = spread.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+        found = stored(walked.mapInArrow(lambda batches, turn=turn: _wide_walk(batches, agree, like, by, turn), "a long, b long, credit double"), "forest")
+        pairs = found.where("b is not null").select("a", "b").distinct()
+        labels = _joined(labels, stored(_confirmed(stored(pairs, "pairs"), texts, size, percent), "links"))
+        more = found.where("b is null").select(F.col("a").alias("node"), "credit")
+        credits = stored((more if credits is None else more.unionByName(credits)).groupBy("node").agg(F.sum("credit").alias("credit")), "credits")
+        unsettled = stored(credits.where(F.col("credit") > log(NO_REGION)).select("node"), "unsettled")
+        members = stored(small_join(members, unsettled, ["node"], "left_semi"), "members")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
@@ -428,18 +494,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shared, size)
     links = stored(_confirmed(pairs, texts, size, percent), "links")
     labels = stored(components(links), "components")
-    more = stored(_deeper(found.where("kind = 1").select("region", F.col("a").alias("node")).distinct(), labels, docs, shared, size, percent, by), "links")
-    # Links between components, joined to them: only what is new runs through the components again.
-    raised = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    merged = stored(components(raised.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
-    first = labels.select("node", F.col("component").alias("c1")).unionByName(merged.select(F.col("node"), F.col("node").alias("c1"))).groupBy("node").agg(F.min("c1").alias("c1"))
-    final = first.join(merged.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left").select("node", F.coalesce("c2", "c1").alias("root"))
-    placed = small_join(members, stored(final, "final"), ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    labels = _deeper(found.where("kind = 1").select("region", F.col("a").alias("node")).distinct(), labels, docs, shared, size, percent, by)
+    final = labels.select("node", F.col("component").alias("root"))
+    placed = small_join(members, final, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     if shared is None:
         rows = placed.withColumn("component_id", F.col("root"))
     else:
         # A root made from a fingerprint is no doc_id: the smallest one of its members is looked up.
-        least = small_join(classes.select("node", "rep"), stored(final, "final"), ["node"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("component_id"))
+        least = small_join(classes.select("node", "rep"), final, ["node"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("component_id"))
         rows = placed.join(least, "root")
     columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", "root"]
     alone = sketch.where("n_shingles = 0 or doc_id is null").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("long")})

@@ -223,6 +223,50 @@ def test_a_node_meets_a_bounded_number_of_others(spark, documents, monkeypatch):
     assert counts[-1] < 8 * counts[1]
 
 
+def test_what_turns_leave_unsettled_is_joined_exactly(spark, documents, monkeypatch):
+    """Without any turn, the join on the rarest shingles alone finds the pairs of a dense family, and lists few others."""
+    r, counts = random.Random(5), []
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "TURNS", 0)
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: (counts.append(pairs.count()), plain(pairs, *rest))[1])
+    rows = []
+    for i, words in enumerate(family(r, 300, 164, 53)):
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:
+            k = r.randrange(170, 205)
+            rows.append((2 * i + 1, " ".join([*words[:k], f"new{i}", *words[k + 1 :]])))
+    # The forest's own candidates are passed over, so that all is left to the join.
+    monkeypatch.setattr(near_dedup, "least_agreement", lambda like, values: values + 1)
+    found = {x.doc_id: x.component_id for x in near_duplicates(documents(rows)).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+    assert counts[0] == 0 and counts[-1] <= 60
+
+
+def test_rows_met_before_equal_a_plain_search():
+    r = np.random.default_rng(8)
+    for components_, regions in ((3, 2), (40, 3), (200, 1), (1, 1)):
+        n = 300
+        region = np.sort(r.integers(0, regions, n))
+        component = r.integers(0, components_, n)
+        component[100:180] = 0
+        values = r.integers(0, 2, (n, 12)).astype(np.uint8)
+        i, j, depth = near_dedup._met_before(values, region, component, 7)
+        want = set()
+        for row in range(n):
+            others = [k for k in range(row - 1, -1, -1) if region[k] == region[row] and component[k] != component[row]][: near_dedup.NEAREST]
+            want |= {(row, k) for k in others if (values[row] == values[k]).sum() >= 7}
+            if len(others) == near_dedup.NEAREST:
+                same = values[row] == values[others[-1]]
+                assert depth[row] == 1 + (12 if same.all() else int(same.argmin()))
+            else:
+                assert depth[row] == (0 if region[row] > region[0] else -1)
+        assert set(zip(i.tolist(), j.tolist())) == want
+        # What is held for later rows gives them the same neighbours.
+        near = near_dedup._still_near(component)
+        for c in range(components_ + 1):
+            assert [k for k in near[::-1] if component[k] != c][: near_dedup.NEAREST] == [k for k in range(n - 1, -1, -1) if component[k] != c][: near_dedup.NEAREST]
+
+
 def test_one_id_with_several_texts(spark, documents):
     """Texts under one id are documents of their own: 5 has a text near 1's, and one that nothing is near."""
     r = random.Random(9)
