@@ -7,7 +7,9 @@ Pairs whose signatures are far apart are passed over; the others are confirmed o
 
 Regions that still hold several components go deeper: their nodes get longer signatures, and more orders of them, and meet the
 NEAREST nodes of other components on both sides in each order. The prefix shared with the last of them is the depth that the
-node has reached there: whatever shares more was met. A region of few nodes is met whole; the more nodes a region holds, the
+node has reached there: whatever shares more was met. Shingles that no other component holds are
+left out beforehand, so that nodes of mostly their own text take no part, and met pairs are passed over where the rest of their
+sets, bucket by bucket, cannot have enough in common; no link is lost by either. A region of few nodes is met whole; the more nodes a region holds, the
 deeper it goes. A node is settled once its depths bound the chance of a missed partner by NO_REGION. Regions where unsettled
 nodes of several components are left take another turn with new hash functions; what is unsettled after TURNS of them is
 joined exactly, on the rarest shingles of each set. No group's pairs are ever listed.
@@ -304,16 +306,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+#: What a node's labels carry along; buckets of shingles, by their first byte, whose sizes follow the signature.
+_CARRIED, BUCKETS = ("node", "component", "n", "beyond"), 256
+
+
 def _wide_labels(batches, by: Plan, size: int, turn: int):
-    """label, node, component: each node's longer signature in every order, behind a head of the region's bytes.
+    """label, node, component, n, beyond: each node's longer signature in every order, behind a head of the region's bytes.
 
-    In the first turn the first orders' heads are the forest's own, so whoever shared a region there does so here.
+    In the first turn the first orders' heads are the forest's own, so whoever shared a region there does so here. The sizes of
+    the node's buckets follow, each up to 255; beyond is the sum of what is above that.
     """
     hashes, spread = _WordHashes(), VALUES // by.trees
     for batch in slices(batches, 512):
         values = np.array([signature(shingles(text, hashes, size), WIDE, turn) for text in utf8(batch.column("text"))], np.uint16).reshape(-1, WIDE)
         n, low = len(values), values.astype(np.uint8)
-        out = np.zeros((ORDERS, n, 1 + 2 * DEPTH + WIDE), np.uint8)
+        sizes = np.array([np.bincount(np.array(b, np.int8).view(np.uint8), minlength=BUCKETS) for b in batch.column("buckets").to_pylist()]).reshape(-1, BUCKETS)
+        beyond = pa.array(np.maximum(sizes - 255, 0).sum(axis=1), pa.int64())
+        out = np.zeros((ORDERS, n, 1 + 2 * DEPTH + WIDE + BUCKETS), np.uint8)
+        out[:, :, 1 + 2 * DEPTH + WIDE :] = np.minimum(sizes, 255)
         for order in range(ORDERS):
             turned = np.roll(low, -order * (WIDE // ORDERS), axis=1)
             out[order, :, 0] = order
@@ -321,10 +331,10 @@ def _wide_labels(batches, by: Plan, size: int, turn: int):
                 out[order, :, 1 : by.head] = np.roll(values[:, :VALUES], -order * spread, axis=1)[:, : by.depth].astype(">u2").view(np.uint8).reshape(n, 2 * by.depth)
             else:
                 out[order, :, 1 : 1 + by.depth] = turned[:, : by.depth]
-            out[order, :, 1 + 2 * DEPTH :] = turned
-        width = out.shape[2]
+            out[order, :, 1 + 2 * DEPTH : 1 + 2 * DEPTH + WIDE] = turned
+        width, batch = out.shape[2], batch.append_column("beyond", beyond)
         flat = pa.Array.from_buffers(pa.binary(width), n * ORDERS, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
-        yield pa.record_batch([flat, *(pa.array(np.tile(batch.column(c).to_numpy(), ORDERS)) for c in ("node", "component"))], names=["label", "node", "component"])
+        yield pa.record_batch([flat, *(pa.array(np.tile(batch.column(c).to_numpy(), ORDERS)) for c in _CARRIED)], names=["label", *_CARRIED])
 
 
 def _met_before(values: np.ndarray, region: np.ndarray, component: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,39 +381,48 @@ def _credit(depth: np.ndarray, order: np.ndarray, like: float, by: Plan, turn: i
     return np.where(depth < 0, 0.0, np.log1p(-(like**used)) / np.ceil(used / (WIDE // ORDERS)))
 
 
-def _wide_walk(batches, agree: int, like: float, by: Plan, turn: int):
-    """Along one sorted stretch: candidate pairs a, b, and what each order adds to the certainty about a node (a, credit)."""
+def _most_in_common(sizes: np.ndarray, beyond: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The most shingles that rows i and j can share, bucket by bucket."""
+    parts = [np.minimum(sizes[i[at : at + 8192]], sizes[j[at : at + 8192]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), 8192)]
+    return np.concatenate([np.zeros(0, np.int64), *parts]) + np.minimum(beyond[i], beyond[j])
+
+
+def _wide_walk(batches, agree: int, percent: int, by: Plan, turn: int):
+    """Along one sorted stretch: candidate pairs a, b, and what each order adds to the certainty about a node (a, credit).
+
+    Pairs whose sets cannot have enough in common, by the sizes of their buckets, are passed over.
+    """
     held, head = None, 1 + 2 * DEPTH
     kinds = [pa.int64(), pa.int64(), pa.float64()]
     for batch in slices(batches, 16384):
         if not batch.num_rows:
             continue
         labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        rows, first = (labels, batch.column("node").to_numpy(), batch.column("component").to_numpy()), 0
+        rows, first = (labels, *(batch.column(c).to_numpy() for c in _CARRIED)), 0
         if held is not None:
             first = len(held[1])
             rows = tuple(np.concatenate(pair) for pair in zip(held, rows, strict=True))
-        labels, node, component = rows
+        labels, node, component, n, beyond = rows
+        values, sizes = labels[:, head : head + WIDE], labels[:, head + WIDE :]
         region = np.concatenate(([0], np.cumsum((labels[1:, :head] != labels[:-1, :head]).any(axis=1))))
-        i, j, back = _met_before(labels[:, head:], region, component, agree)
-        x, y, ahead = _met_before(labels[::-1, head:], region[-1] - region[::-1], component[::-1], agree)
+        i, j, back = _met_before(values, region, component, agree)
+        x, y, ahead = _met_before(values[::-1], region[-1] - region[::-1], component[::-1], agree)
         last = len(node) - 1
-        i, j, ahead = np.concatenate((i, last - x)), np.concatenate((j, last - y)), ahead[::-1]
+        i, j = np.unique(np.stack((np.concatenate((i, last - y)), np.concatenate((j, last - x))), axis=1), axis=0).T
+        ahead, most = ahead[::-1], _most_in_common(sizes, beyond, i, j)
+        able = 100 * most >= percent * (n[i] + n[j] - most)
+        i, j = i[able], j[able]
         a, b = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1), axis=0).T
         depth = np.where((back < 0) | (ahead < 0), -1, np.maximum(back, ahead))[first:]
-        credit = _credit(depth, labels[first:, 0], like, by, turn)
+        credit = _credit(depth, labels[first:, 0], percent / 100, by, turn)
         yield pa.record_batch([pa.array(a.copy(), kinds[0]), pa.array(b.copy(), kinds[1]), pa.nulls(len(a), kinds[2])], names=["a", "b", "credit"])
         yield pa.record_batch([pa.array(node[first:], kinds[0]), pa.nulls(len(credit), kinds[1]), pa.array(credit, kinds[2])], names=["a", "b", "credit"])
         near = _still_near(component)
         held = tuple(part[near] for part in rows)
 
 
-def _rarest_in_common(texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs a, b of nodes of different components that could be linked: all of them share one of the rarest shingles of each.
-
-    Sets that have `percent` of either in common share a shingle among the first n * (100 - percent) / 100 + 1 of each, in one
-    order of all shingles: rare ones first, so that what many nodes hold is seldom joined. Shingles of one component are left out.
-    """
+def _spelled(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, component, n, shingle: a row for each shingle of the nodes' sets of n shingles; stored."""
 
     def spell(batches):
         hashes = _WordHashes()
@@ -412,12 +431,37 @@ def _rarest_in_common(texts: DataFrame, nodes: DataFrame, size: int, percent: in
             yield pa.record_batch([batch.column("node"), batch.column("component"), pa.array(found, pa.list_(pa.int64()))], names=["node", "component", "shingles"])
 
     sets = texts.join(nodes, "node").select("node", "component", "text").mapInArrow(spell, "node long, component long, shingles array<long>")
-    rows = stored(sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    return stored(sets.select("node", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+
+
+def _common(rows: DataFrame) -> DataFrame:
+    """The rows (component, shingle, ...) whose shingle is held in several components."""
+    across = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    return rows.join(across, "shingle", "left_semi")
+
+
+def _open_nodes(spelled: DataFrame, percent: int) -> DataFrame:
+    """node, n, buckets: of the nodes that could be linked with another component, the set's size, and the first byte of each shingle
+    that other components hold too; stored.
+
+    Two nodes of different components have no more in common than the lesser number of such shingles, in each bucket of a first
+    byte. Components only grow, so this holds in later turns as well.
+    """
+    found = _common(spelled).groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.shiftright("shingle", 56).cast("byte")).alias("buckets"))
+    return stored(found.where(f"100L * size(buckets) >= {percent}L * n"), "open")
+
+
+def _rarest_in_common(spelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of nodes of different components that could be linked: all of them share one of the rarest shingles of each.
+
+    Sets that have `percent` of either in common share a shingle among the first n * (100 - percent) / 100 + 1 of each, in one
+    order of all shingles: rare ones first, so that what many nodes hold is seldom joined. Shingles of one component are left out.
+    """
+    rows = spelled.drop("component").join(nodes.select("node", "component"), "node")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
     heads = stored(ranked.where(F.col("place") <= F.expr(f"n * {100 - percent}L div 100 + 1")).select("node", "component", "n", "shingle"), "heads")
-    across = heads.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    heads = stored(heads.join(across, "shingle", "left_semi"), "heads")
+    heads = stored(_common(heads), "heads")
     other = heads.select("shingle", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
     pairs = heads.withColumnRenamed("node", "a").join(other, "shingle").where(f"a < b and component <> other and 100L * least(n, m) >= {percent}L * greatest(n, m)")
     return pairs.select("a", "b").distinct()
@@ -436,7 +480,7 @@ def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: Data
     """labels (node, component) joined by the links between components that share a region. members: region, node."""
     like = percent / 100
     agree = least_agreement(like + (1 - like) / 256, WIDE)
-    texts = credits = None
+    texts = credits = spelled = able = None
     for turn in count():
         known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -448,12 +492,14 @@ def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: Data
         nodes = stored(small_join(known, mixed, ["region"], "left_semi").select("node", "component").distinct(), "nodes")
         if texts is None:
             texts = _texts(docs, nodes.select("node"), shared, size)
+            spelled = _spelled(texts, nodes, size)
+            able = _open_nodes(spelled, percent)
         if turn == TURNS:
-            pairs = _rarest_in_common(texts, nodes, size, percent)
+            pairs = _rarest_in_common(spelled, nodes, percent)
             return _joined(labels, stored(_confirmed(stored(pairs, "pairs"), texts, size, percent), "links"))
-        spread = texts.join(nodes, "node").mapInArrow(lambda batches, turn=turn: _wide_labels(batches, by, size, turn), "label binary, node long, component long")
+        spread = texts.join(able, "node").join(nodes, "node").mapInArrow(lambda batches, turn=turn: _wide_labels(batches, by, size, turn), "label binary, node long, component long, n long, beyond long")
         walked = spread.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
-        found = stored(walked.mapInArrow(lambda batches, turn=turn: _wide_walk(batches, agree, like, by, turn), "a long, b long, credit double"), "forest")
+        found = stored(walked.mapInArrow(lambda batches, turn=turn: _wide_walk(batches, agree, percent, by, turn), "a long, b long, credit double"), "forest")
         pairs = found.where("b is not null").select("a", "b").distinct()
         labels = _joined(labels, stored(_confirmed(stored(pairs, "pairs"), texts, size, percent), "links"))
         more = found.where("b is null").select(F.col("a").alias("node"), "credit")

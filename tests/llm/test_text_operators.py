@@ -267,6 +267,20 @@ def test_rows_met_before_equal_a_plain_search():
             assert [k for k in near[::-1] if component[k] != c][: near_dedup.NEAREST] == [k for k in range(n - 1, -1, -1) if component[k] != c][: near_dedup.NEAREST]
 
 
+def test_sets_have_no_more_in_common_than_their_buckets():
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 63, 90_000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(r.choice(base, size)) for size in (1, 40, 300, 5_000, 90_000, 120_000)]
+    counts = np.array([np.bincount((s >> np.uint64(56)).astype(int), minlength=near_dedup.BUCKETS) for s in sets])
+    sizes, beyond = np.minimum(counts, 255).astype(np.uint8), np.maximum(counts - 255, 0).sum(axis=1)
+    assert beyond[-1] > 0
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    most = near_dedup._most_in_common(sizes, beyond, i, j)
+    for a, b, bound in zip(i, j, most, strict=True):
+        assert len(np.intersect1d(sets[a], sets[b])) <= bound <= min(len(sets[a]), len(sets[b]))
+    assert len(near_dedup._most_in_common(sizes, beyond, i[:0], j[:0])) == 0
+
+
 def test_one_id_with_several_texts(spark, documents):
     """Texts under one id are documents of their own: 5 has a text near 1's, and one that nothing is near."""
     r = random.Random(9)
