@@ -11,6 +11,7 @@ from barwright.llm import language_id, pii, quality
 from barwright.llm.chat import format_chat, parse, unescape
 from barwright.llm.common import held_out
 from barwright.llm.decontamination import decontaminate
+from barwright.llm.fim import fill_in_middle, restore
 from barwright.llm.line_dedup import dedup_lines
 from barwright.llm.near_dedup import near_duplicates
 from barwright.llm.packing import pack
@@ -128,8 +129,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The text is rebuilt from nothing but output and form.
+    docs = docs.select("doc_id", "fim").withColumn("back", restore(F.col("fim.output"), F.col("fim.form")))
+    return docs.select("doc_id", *(f"fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256")), F.col("back.sha256").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k, op13_fill_in_middle)}
 
 
 OP2_SQL = """
@@ -209,6 +217,22 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP13_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), k AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d FROM t
+), f AS (
+  SELECT doc_id, n, text, least(a, b) AS p, greatest(a, b) - least(a, b) AS m,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), s AS (SELECT *, substring(text, 1, p) AS pre, substring(text, p + 1, m) AS mid, substring(text, p + m + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL, "op10_top_k": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL, "op10_top_k": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
