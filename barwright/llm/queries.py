@@ -16,6 +16,7 @@ from barwright.llm.line_dedup import dedup_lines
 from barwright.llm.near_dedup import near_duplicates
 from barwright.llm.packing import pack
 from barwright.llm.top_k import top_k
+from barwright.llm.variants import variants
 from barwright.llm.warc import read_warc, write_warc
 
 #: Length of a packed sequence, and the id that ends each document.
@@ -129,6 +130,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
     # The text is rebuilt from nothing but output and form.
@@ -137,7 +142,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k, op12_spelling_variants, op13_fill_in_middle)}
 
 
 OP2_SQL = """
@@ -217,6 +222,41 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents WHERE text IS NOT NULL)
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+), raw AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM raw, crc
+), spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cuts AS (
+  SELECT word, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT x.word, y.word AS near FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.a || c.b
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.a || c.b
+), ranked AS (
+  SELECT p.word, w.n, p.near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS place
+  FROM pairs p JOIN words w ON w.word = p.word JOIN words v ON v.word = p.near
+), led AS (SELECT word, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM ranked WHERE place = 1
+), way(word, tip, step) AS (
+  SELECT word, form, 1 FROM led WHERE form IS NOT NULL
+  UNION ALL SELECT y.word, l.form, step + 1 FROM way y JOIN led l ON l.word = y.tip WHERE l.form IS NOT NULL
+), ends AS (SELECT word, arg_max(tip, step) AS root FROM way GROUP BY word)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM words w LEFT JOIN led l ON l.word = w.word LEFT JOIN ends r ON r.word = w.word
+"""
+
 OP13_SQL = """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
@@ -235,4 +275,4 @@ FROM s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL, "op10_top_k": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_chat": OP9_SQL, "op10_top_k": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
