@@ -15,6 +15,7 @@ from barwright.llm.fim import fill_in_middle, restore
 from barwright.llm.line_dedup import dedup_lines
 from barwright.llm.near_dedup import near_duplicates
 from barwright.llm.packing import pack
+from barwright.llm.token_files import read_tokens, write_tokens
 from barwright.llm.top_k import top_k
 from barwright.llm.variants import variants
 from barwright.llm.warc import read_warc, write_warc
@@ -130,6 +131,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index, folder = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return read_tokens(index, folder, kind, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -142,7 +152,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k, op12_spelling_variants, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_line_dedup, op4_packing, op5_language_id, op6_decontamination, op7_near_dedup, op8_quality, op9_chat, op10_top_k, op11_token_files, op12_spelling_variants, op13_fill_in_middle)}
 
 
 OP2_SQL = """

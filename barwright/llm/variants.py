@@ -28,6 +28,8 @@ SLIPS = 199
 LETTERS = "A-Za-zÀ-ÿ"
 #: Words that a group may hold before it is split, and distinct words that a task counts before it sends them on.
 GROUP, HELD = 4096, 300_000
+#: Rows of words that one broadcast may hold (some 20 MB); beyond it words meet by a shuffle.
+WORDS = 200_000
 
 
 def _spelt(run: str, start: int, slips: int) -> str:
@@ -141,8 +143,8 @@ def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
         if not large.limit(1).count():
             ready.append(keyed)
             break
-        ready.append(small_join(keyed, large, ["key"], "left_anti"))
-        waiting = stored(_halved(small_join(keyed, large, ["key"], "left_semi")), "halves")
+        ready.append(small_join(keyed, large, ["key"], "left_anti", WORDS))
+        waiting = stored(_halved(small_join(keyed, large, ["key"], "left_semi", WORDS)), "halves")
     members = ready[0]
     for more in ready[1:]:
         members = members.unionByName(more)
@@ -194,7 +196,7 @@ def roots(forms: DataFrame) -> DataFrame:
         further = ways.select(F.col("word").alias("root"), F.col("root").alias("__next"))
         if not ways.join(further, "root", "left_semi").limit(1).count():
             return ways
-        ways = stored(small_join(ways, further, ["root"], "left").select("word", F.coalesce("__next", "root").alias("root")), "ways")
+        ways = stored(small_join(ways, further, ["root"], "left", WORDS).select("word", F.coalesce("__next", "root").alias("root")), "ways")
 
 
 def variants(docs: DataFrame, least_length: int = LENGTH, least_n: int = OCCURRENCES, times: int = TIMES, slips: int = SLIPS, group: int = GROUP) -> DataFrame:
@@ -210,5 +212,5 @@ def variants(docs: DataFrame, least_length: int = LENGTH, least_n: int = OCCURRE
     led = -F.col("best.n") >= times * F.col("n")
     nearest = stored(nearest.select("word", "n_near", F.when(led, F.col("best.near")).alias("form"), F.when(led, -F.col("best.n")).alias("form_n")), "nearest")
     last = roots(nearest.where("form is not null"))
-    found = small_join(small_join(words, nearest, ["word"], "left"), last, ["word"], "left")
+    found = small_join(small_join(words, nearest, ["word"], "left", WORDS), last, ["word"], "left", WORDS)
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
