@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from barwright.functions.scalar import regime_label
 from barwright.operators import fit
+from barwright.plans import scan
+from barwright.sources.shared import small_join, stored
 
 TRAIN, TEST, STEP = 2000, 500, 500
+#: Fitted models that one broadcast may hold.
+MODELS = 20_000
 
 
 def window_plan(rows: DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP) -> DataFrame:
@@ -51,13 +55,14 @@ def dominant(states: DataFrame, *by: str, k: int = 3) -> DataFrame:
 
 def test_scores(assigned: DataFrame, fitted: DataFrame, number: str = "bar_no") -> DataFrame:
     """symbol, window_idx, bar_no, state, step_ll of the test rows, scored and decoded with their window's model."""
-    test = assigned.where("part = 'test'").select("symbol", "window_idx", number, "features").join(F.broadcast(fitted.select("symbol", "window_idx", "initial_probs", "transition_matrix", "means", "variances")), ["symbol", "window_idx"])
+    models = fitted.select("symbol", "window_idx", "initial_probs", "transition_matrix", "means", "variances")
+    test = small_join(assigned.where("part = 'test'").select("symbol", "window_idx", number, "features"), models, ["symbol", "window_idx"], limit=MODELS)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(number)
         x = np.array(part["features"].tolist(), float)
         initial, move, means, variances = (np.array(list(map(np.asarray, part[c].iloc[0])), float) for c in ("initial_probs", "transition_matrix", "means", "variances"))
-        log_e = fit._log_emission(x, means, variances)
+        log_e = scan.log_density(x, means, variances)
         alpha, steps, best, back = initial, [], None, []
         log_move = np.log(np.maximum(move, 1e-300))
         for t, e in enumerate(log_e):
@@ -87,7 +92,7 @@ def walk_forward(featured: DataFrame, k: int = 3, train: int = TRAIN, test: int
     """(windows, summary) over all symbols of rows (symbol, bar_no from 0, features); too little data gives no rows."""
     assigned = assign(featured.select("symbol", "bar_no", "features"), train, test, step)
     keys = ["symbol", "window_idx"]
-    fitted = fit.best(fit.fits(assigned.where("part = 'train'"), keys, k, restarts, **training), keys)
+    fitted = stored(fit.best(fit.fits(assigned.where("part = 'train'"), keys, k, restarts, **training), keys), "fits")
     scored = test_scores(assigned, fitted)
     likelihoods = scored.groupBy(*keys).agg(F.sum("step_ll").alias("test_ll"))
     windows = (

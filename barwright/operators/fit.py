@@ -17,11 +17,6 @@ ITERATIONS, TOLERANCE, RESTARTS = 200, 1e-4, 5
 FIT = "k int, restart int, initial_probs array<double>, transition_matrix array<array<double>>, means array<array<double>>, variances array<array<double>>, log_likelihood double, converged boolean, n_iterations int, n_rows bigint"
 
 
-def _log_emission(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
-    v = np.maximum(variances, VARIANCE_FLOOR)
-    return -0.5 * (x.shape[1] * np.log(2 * np.pi) + np.log(v).sum(axis=1) + (((x[:, None, :] - means) ** 2) / v).sum(axis=2))
-
-
 def _smooth(log_e: np.ndarray, initial: np.ndarray, move: np.ndarray):
     """Scaled forward-backward: state posteriors, summed transition posteriors, log likelihood.
 
@@ -93,7 +88,7 @@ def expectation_maximisation(x: np.ndarray, k: int, seed: int, iterations: int =
     initial, move, means, variances = start(x, k, seed)
     last, converged, step = -np.inf, False, 0
     for step in range(1, iterations + 1):
-        gamma, pairs, total = _smooth(_log_emission(x, means, variances), initial, move)
+        gamma, pairs, total = _smooth(scan.log_density(x, means, variances), initial, move)
         weight = np.maximum(gamma.sum(axis=0), 1e-12)
         initial = gamma[0]
         move = (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True)
@@ -103,7 +98,7 @@ def expectation_maximisation(x: np.ndarray, k: int, seed: int, iterations: int =
             converged = True
             break
         last = total
-    _, _, total = _smooth(_log_emission(x, means, variances), initial, move)
+    _, _, total = _smooth(scan.log_density(x, means, variances), initial, move)
     return {"initial_probs": initial, "transition_matrix": move, "means": means, "variances": variances, "log_likelihood": total, "converged": converged, "n_iterations": step}
 
 

@@ -23,8 +23,28 @@ SAMPLE_MODEL = {
     "feature_mean": [0.0, 0.0, 0.0, 0.0, 1.0, 0.0],
     "feature_std": [1.0, 1.0, 0.5, 1.0, 0.5, 1.0],
     "regime_labels": ["low_vol", "trending", "high_vol"],
-    "metadata": {"trained_at": "2026-02-20T22:00:00Z", "training_bars": 10000, "log_likelihood": -25000.0, "converged": True, "n_iterations": 150, "random_restarts": 5, "data_start": "2024-01-01", "data_end": "2026-02-20"},
+    "metadata": {"trained_at": "2024-03-01T00:00:00Z", "training_bars": 8000, "log_likelihood": -20000.0, "converged": True, "n_iterations": 40, "random_restarts": 3, "data_start": "2023-01-01", "data_end": "2023-12-31"},
 }
+#: A model of two states, and one whose states never change but by the filter's floor: values of this library's tests and queries.
+TWO_STATES = SAMPLE_MODEL | {
+    "k": 2,
+    "initial_probs": [0.6, 0.4],
+    "transition_matrix": [[0.9, 0.1], [0.2, 0.8]],
+    "means": [[0.0, -0.4, 0.0, 0.0, 0.8, 0.0], [0.0, 0.6, 0.0, 0.1, 1.3, 0.1]],
+    "variances": [[0.6, 0.4, 0.3, 0.6, 0.3, 0.6], [1.5, 0.9, 0.6, 1.2, 0.9, 1.2]],
+    "regime_labels": ["low_vol", "high_vol"],
+}
+LASTING = SAMPLE_MODEL | {"initial_probs": [1.0, 0.0, 0.0], "transition_matrix": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]}
+#: symbol, version, in force from (null: always), model: two series keep a model, two change it in mid-series, one reaches the floor.
+VERSIONS = [
+    ("click", "v1", None, SAMPLE_MODEL),
+    ("error", "v1", None, TWO_STATES),
+    ("purchase", "v1", None, SAMPLE_MODEL),
+    ("purchase", "v2", "2024-01-16 00:00:00", TWO_STATES),
+    ("signup", "v1", None, TWO_STATES),
+    ("signup", "v2", "2024-01-12 06:00:00", SAMPLE_MODEL),
+    ("view", "v1", None, LASTING),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +101,9 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample model for every symbol of the bars."""
     sample = spark.createDataFrame([SAMPLE_MODEL], MODEL).drop("symbol")
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct().crossJoin(F.broadcast(sample))
+
+
+def versions(spark: SparkSession) -> DataFrame:
+    """The models of VERSIONS, with when each comes into force."""
+    rows = [model | {"symbol": symbol, "metadata": model["metadata"] | {"trained_at": version}, "valid_from": start} for symbol, version, start, model in VERSIONS]
+    return spark.createDataFrame(rows, f"{MODEL}, valid_from string").withColumn("valid_from", F.col("valid_from").cast("timestamp"))

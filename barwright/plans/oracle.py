@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barwright.plans.frames import SAMPLE_MODEL
+from barwright.plans.frames import LASTING, SAMPLE_MODEL, VERSIONS
 
 
 def _r6(x: str) -> str:
@@ -195,6 +195,60 @@ _VITERBI = f"""{FEATURES}, emitted AS (SELECT symbol, ts, bar_no, {", ".join(f"{
   UNION ALL
   SELECT b.symbol, b.bar_no - 1, CASE p.state WHEN 0 THEN b.b0 WHEN 1 THEN b.b1 ELSE b.b2 END FROM path p JOIN best b ON b.symbol = p.symbol AND b.bar_no = p.bar_no WHERE b.bar_no > 0
 )"""
+
+
+def _own_models(versions: list[tuple]) -> str:
+    """Emissions and parameters of every bar under its symbol's model in force, numbered anew under each; two states have a third out of reach."""
+    columns = [f"i{i}" for i in range(3)] + [f"a{i}{j}" for i in range(3) for j in range(3)] + [f"m{i}{f}" for i in range(3) for f in range(6)] + [f"v{i}{f}" for i in range(3) for f in range(6)]
+    rows = []
+    for symbol, version, start, model in versions:
+        k = model["k"]
+        later = [s for y, _, s, _ in versions if y == symbol and s and (start is None or s > start)]
+        pad = lambda rows, width, fill, k=k: [[*row, *[fill] * (width - len(row))] for row in rows] + [[fill] * width] * (3 - k)
+        numbers = [*pad([model["initial_probs"]], 3, 0.0, 3)[0], *(x for row in pad(model["transition_matrix"], 3, 0.0) for x in row), *(x for row in pad(model["means"], 6, 0.0) for x in row), *(x for row in pad(model["variances"], 6, 1.0) for x in row)]
+        span = ", ".join(f"TIMESTAMP '{t}'" if t else "NULL::TIMESTAMP" for t in (start, min(later, default=None)))
+        rows.append(f"('{symbol}', '{version}', {span}, {k}, {', '.join(f'{float(x)!r}::DOUBLE' for x in numbers)})")
+    density = lambda i: "-0.5 * (6 * ln(2 * pi()) + " + " + ".join(f"ln(v{i}{f}) + ({x} - m{i}{f}) * ({x} - m{i}{f}) / v{i}{f}" for f, x in enumerate(NAMES)) + ")"
+    return f"""{FEATURES}, models(symbol, model_version, since, until, k, {", ".join(columns)}) AS (VALUES {", ".join(rows)}), emitted AS (
+  SELECT f.symbol, ts, model_version, row_number() OVER (PARTITION BY f.symbol, model_version ORDER BY bar_no) - 1 AS n, {", ".join(columns[:12])},
+    {density(0)} AS e0, {density(1)} AS e1, CASE WHEN k = 3 THEN {density(2)} ELSE -1e300 END AS e2
+  FROM features f JOIN models m ON m.symbol = f.symbol AND (since IS NULL OR ts >= since) AND (until IS NULL OR ts < until))"""
+
+
+def _filtered_by_own(versions: list[tuple]) -> str:
+    joint = lambda q, e: [f"ln(greatest({' + '.join(f'{q}{i} * {e}a{i}{j}' for i in range(3))}, 1e-300)) + {e}e{j}" for j in range(3)]
+
+    def step(joint: list[str], source: str) -> str:
+        return f"""SELECT symbol, model_version, n, exp(j0 - m - ln(t)) AS p0, exp(j1 - m - ln(t)) AS p1, exp(j2 - m - ln(t)) AS p2, m + ln(t) AS step_ll FROM (
+    SELECT *, exp(j0 - m) + exp(j1 - m) + exp(j2 - m) AS t FROM (SELECT *, greatest(j0, j1, j2) AS m FROM (
+      SELECT e.symbol, e.model_version, e.n, {", ".join(f"{x} AS j{i}" for i, x in enumerate(joint))} FROM {source})))"""
+
+    return f"""{_own_models(versions)}, forward AS (
+  {step(joint("e.i", "e."), "emitted e WHERE e.n = 0")}
+  UNION ALL
+  {step(joint("f.p", "e."), "forward f JOIN emitted e ON e.symbol = f.symbol AND e.model_version = f.model_version AND e.n = f.n + 1")}
+), scored AS (
+  SELECT e.ts, f.*, greatest(f.p0, f.p1, f.p2) AS confidence, CASE WHEN f.p0 >= f.p1 AND f.p0 >= f.p2 THEN 0 WHEN f.p1 >= f.p2 THEN 1 ELSE 2 END::INTEGER AS state
+  FROM emitted e JOIN forward f USING (symbol, model_version, n))"""
+
+
+def _path_by_own(versions: list[tuple]) -> str:
+    way = lambda i, j: f"v.v{i} + ln(greatest(e.a{i}{j}, 1e-300))"
+    most = lambda j: f"greatest({', '.join(way(i, j) for i in range(3))})"
+    came = lambda j: "CASE " + " ".join(f"WHEN {way(i, j)} = {most(j)} THEN {i}" for i in range(3)) + " END"
+    return f"""{_own_models(versions)}, best AS (
+  SELECT symbol, model_version, n, {", ".join(f"ln(greatest(i{i}, 1e-300)) + e{i} AS v{i}" for i in range(3))}, 0 AS b0, 0 AS b1, 0 AS b2 FROM emitted WHERE n = 0
+  UNION ALL
+  SELECT e.symbol, e.model_version, e.n, {", ".join(f"{most(j)} + e.e{j}" for j in range(3))}, {", ".join(came(j) for j in range(3))}
+  FROM best v JOIN emitted e ON e.symbol = v.symbol AND e.model_version = v.model_version AND e.n = v.n + 1
+), path AS (
+  SELECT symbol, model_version, n, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS state FROM best QUALIFY row_number() OVER (PARTITION BY symbol, model_version ORDER BY n DESC) = 1
+  UNION ALL
+  SELECT b.symbol, b.model_version, b.n - 1, CASE p.state WHEN 0 THEN b.b0 WHEN 1 THEN b.b1 ELSE b.b2 END FROM path p JOIN best b ON b.symbol = p.symbol AND b.model_version = p.model_version AND b.n = p.n WHERE b.n > 0
+)"""
+
+
+_FLOORED = [(symbol, "v1", None, LASTING) for symbol in ("click", "error", "purchase", "signup", "view")]
 #: The risk engine one event after another: every value is what the engine holds after the event before.
 _LIVE = """e AS (
   SELECT (o_custkey % 100)::VARCHAR AS account, date_trunc('quarter', o_orderdate) AS day, o_orderkey AS seq, ((o_orderkey % 7) - 3) * 10.0::DOUBLE AS pnl,
@@ -246,6 +300,10 @@ SQL = {
     "m1_emissions": f"WITH RECURSIVE {FEATURES} SELECT symbol, ts, {', '.join(f'{_r6(_log_density(i))} AS state_{i}' for i in range(3))} FROM features",
     "m1_emissions_by_model_table": f"WITH RECURSIVE {FEATURES} SELECT symbol, ts, {', '.join(f'{_r6(_log_density(i))} AS state_{i}' for i in range(3))} FROM features",
     "m2_forward_filter": f"WITH RECURSIVE {SCORED} SELECT symbol, ts, {_r6('p0')} AS p0, {_r6('p1')} AS p1, {_r6('p2')} AS p2, state, {_r6('confidence')} AS confidence, {_r6('step_ll')} AS step_ll FROM scored",
+    "m2_by_model_table": f"WITH RECURSIVE {_filtered_by_own(VERSIONS)} SELECT symbol, ts, model_version, {_r6('p0')} AS p0, {_r6('p1')} AS p1, {_r6('p2')} AS p2, state, {_r6('confidence')} AS confidence, {_r6('step_ll')} AS step_ll FROM scored",
+    "m4_filter_floor": f"WITH RECURSIVE {_filtered_by_own(_FLOORED)} SELECT symbol, ts, {_r6('p0')} AS p0, {_r6('p1')} AS p1, {_r6('p2')} AS p2, state, {_r6('step_ll')} AS step_ll FROM scored",
+    "m5_by_model_table": f"WITH RECURSIVE {_path_by_own(VERSIONS)} SELECT symbol, ts, model_version, state::INTEGER AS state FROM path JOIN emitted USING (symbol, model_version, n)",
+    "m10_scoring_by_model_table": f"WITH RECURSIVE {_filtered_by_own(VERSIONS)} SELECT symbol, ts, model_version, state, round(round(confidence, 6), 6) + 0.0 AS confidence FROM scored",
     "m3_log_likelihood": f"WITH RECURSIVE {SCORED} SELECT symbol, round(sum(step_ll), 3) AS log_likelihood, count(*) AS n_bars FROM scored GROUP BY symbol",
     "m5_viterbi": f"WITH RECURSIVE {_VITERBI} SELECT symbol, ts, state::INTEGER AS state FROM path JOIN emitted USING (symbol, bar_no)",
     "m8_validation": """SELECT CASE p_size WHEN 1 THEN 'schema version 99' WHEN 2 THEN 'unknown symbol: INVALID' WHEN 3 THEN 'initial_probs has the wrong length' WHEN 4 THEN 'means has the wrong shape'
@@ -314,12 +372,12 @@ SQL = {
     "x4_stability": f"WITH RECURSIVE {SCORED} SELECT symbol, {_r6('coalesce(avg(same), 1)')} AS stability FROM (SELECT symbol, (state = lag(state) OVER (PARTITION BY symbol ORDER BY bar_no))::INTEGER AS same FROM scored) GROUP BY symbol",
     "x5_dominant_regime": f"""WITH RECURSIVE {SCORED}, c AS (SELECT symbol, state, count(*) AS n FROM scored GROUP BY ALL), d AS (SELECT symbol, state AS dominant_state FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC, state) = 1)
       SELECT *, ['low_vol', 'trending', 'high_vol'][dominant_state + 1] AS dominant_regime FROM d""",
-    "b1_model_details": "SELECT DISTINCT event_type AS symbol, 3 AS k, '2026-02-20T22:00:00Z' AS trained_at, 10000::BIGINT AS training_bars, -25000.0::DOUBLE AS log_likelihood, true AS converged FROM events",
+    "b1_model_details": "SELECT DISTINCT event_type AS symbol, 3 AS k, '2024-03-01T00:00:00Z' AS trained_at, 8000::BIGINT AS training_bars, -20000.0::DOUBLE AS log_likelihood, true AS converged FROM events",
     "b2_transition_table": f"""SELECT symbol, ['low_vol', 'trending', 'high_vol'][i + 1] AS from_label, ['low_vol', 'trending', 'high_vol'][j + 1] AS to_label, ({_TRANSITION}[i + 1][j + 1])::DOUBLE AS probability
       FROM (SELECT DISTINCT event_type AS symbol FROM events), (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)""",
     "b3_request_counts": "SELECT event_type AS symbol, count(*) AS requests, count_if(event_id % 50 = 0)::BIGINT AS errors, round(avg(event_id % 7), 3) AS mean_latency_ms FROM events GROUP BY 1",
     "b4_overview": """WITH names AS (SELECT DISTINCT event_type AS symbol FROM events UNION ALL SELECT unnest(['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB']))
       SELECT n.symbol, CASE WHEN e.n > 0 AND n.symbol <> 'click' THEN 'low_vol,trending,high_vol' END AS labels, coalesce(e.n, 0) AS requests, NOT (coalesce(e.n, 0) > 0 AND n.symbol <> 'click') AS missing_model
       FROM names n LEFT JOIN (SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY 1) e ON e.symbol = n.symbol""",
-    "m12_model_status": "SELECT event_type AS symbol, 2 AS version, 3 AS k, '2026-02-20T22:00:00Z' AS trained_at, 10000::BIGINT AS training_bars, count(*) AS requests FROM events GROUP BY 1",
+    "m12_model_status": "SELECT event_type AS symbol, 2 AS version, 3 AS k, '2024-03-01T00:00:00Z' AS trained_at, 8000::BIGINT AS training_bars, count(*) AS requests FROM events GROUP BY 1",
 }

@@ -239,6 +239,21 @@ def m2_forward_filter(spark, d):
     return rows.select("symbol", "ts", *(r6(F.col("state_probs")[i]).alias(f"p{i}") for i in range(3)), "state", r6("confidence").alias("confidence"), r6("step_ll").alias("step_ll"))
 
 
+@query
+def m2_by_model_table(spark, d):
+    """Each symbol under its own model, of two or three states; two symbols change theirs in mid-series, one model reaches the floor."""
+    rows = hmm.filtered(frames.featured(spark, d), frames.versions(spark), block=128)
+    p = lambda i: F.coalesce(F.try_element_at("state_probs", F.lit(i + 1)), F.lit(0.0))
+    return rows.select("symbol", "ts", "model_version", *(r6(p(i)).alias(f"p{i}") for i in range(3)), "state", r6("confidence").alias("confidence"), r6("step_ll").alias("step_ll"))
+
+
+@query
+def m4_filter_floor(spark, d):
+    """All symbols under a model whose transitions are zero: states come and go by the floor of predictions alone."""
+    rows = hmm.filtered(frames.featured(spark, d), frames.LASTING, block=64)
+    return rows.select("symbol", "ts", *(r6(F.col("state_probs")[i]).alias(f"p{i}") for i in range(3)), "state", r6("step_ll").alias("step_ll"))
+
+
 @query
 def m3_log_likelihood(spark, d):
     rows = hmm.likelihood(hmm.filtered(frames.featured(spark, d), SAMPLE_MODEL))
@@ -250,6 +265,11 @@ def m5_viterbi(spark, d):
     return hmm.viterbi(frames.featured(spark, d), SAMPLE_MODEL, block=256).select("symbol", "ts", "state")
 
 
+@query
+def m5_by_model_table(spark, d):
+    return hmm.viterbi(frames.featured(spark, d), frames.versions(spark), block=128).select("symbol", "ts", "model_version", "state")
+
+
 @query
 def m6_trained_models(spark, d):
     """Models of every symbol, trained on its features."""
@@ -290,6 +310,13 @@ def m10_batch_scoring(spark, d):
     return rows.select("symbol", "ts", "state", "confidence")
 
 
+@query
+def m10_scoring_by_model_table(spark, d):
+    """Responses of each symbol's own model, under the name of the version that gave them."""
+    rows = hmm.filtered(frames.featured(spark, d), frames.versions(spark))
+    return hmm.response(rows).select("symbol", "ts", "model_version", "state", r6("confidence").alias("confidence"))
+
+
 def _scored(spark, d):
     return hmm.filtered(frames.featured(spark, d), SAMPLE_MODEL)
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that one broadcast may hold (about 50 MB).
+BROADCAST_ROWS = 2_000_000
 
 _written: list[str] = []
 
@@ -35,6 +39,13 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a table that is cheap to count: broadcast if it has at most `limit` rows, else by a shuffle that AQE splits."""
+    if small.limit(limit + 1).count() <= limit:
+        small = F.broadcast(small)
+    return big.join(small, on, how)
+
+
 def release(spark: SparkSession) -> int:
     """Remove what this process has stored so far; call it once the results that read it are written. Returns how many paths went."""
     n = 0

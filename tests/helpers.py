@@ -67,6 +67,11 @@ def sequential_filter(x, model):
         log_e = -0.5 * (len(row) * math.log(2 * math.pi) + np.log(variances).sum(axis=1) + ((row - means) ** 2 / variances).sum(axis=1))
         joint = np.log(np.maximum(alpha @ move, 1e-300)) + log_e
         top = joint.max()
+        if not np.isfinite(top):  # no state explains the row
+            alpha = np.full(len(alpha), 1 / len(alpha))
+            out.append(alpha)
+            steps.append(0.0)
+            continue
         weights = np.exp(joint - top)
         alpha = weights / weights.sum()
         out.append(alpha)
@@ -77,9 +82,10 @@ def sequential_filter(x, model):
 def sequential_path(x, model):
     move, means, variances = (np.array(model[k]) for k in ("transition_matrix", "means", "variances"))
     log_e = [-0.5 * (len(r) * math.log(2 * math.pi) + np.log(variances).sum(axis=1) + ((r - means) ** 2 / variances).sum(axis=1)) for r in x]
-    score, back = np.log(model["initial_probs"]) + log_e[0], []
+    log = lambda p: np.log(np.maximum(p, 1e-300))
+    score, back = log(model["initial_probs"]) + log_e[0], []
     for e in log_e[1:]:
-        both = score[:, None] + np.log(move)
+        both = score[:, None] + log(move)
         back.append(both.argmax(axis=0))
         score = both.max(axis=0) + e
     path = [int(score.argmax())]

@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import numpy as np
 import pytest
 from helpers import START, bars, sequential_filter, sequential_path, walk
@@ -5,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barwright.operators import drift, evaluate, fit, hmm, report
 from barwright.operators.features import features, trainable
-from barwright.plans.frames import SAMPLE_MODEL
+from barwright.plans import scan
+from barwright.plans.frames import LASTING, SAMPLE_MODEL, TWO_STATES
 from barwright.sources.schema import MODEL
 
 
@@ -40,6 +43,79 @@ def test_forward_filter_where_its_floor_acts(spark):
     assert all(np.allclose(r.state_probs, 1 / 3) and r.step_ll == 0 for r in hmm.filtered(vectors(spark, far), model, 2).collect())
 
 
+def test_floor_in_long_series_needs_no_rows_in_the_chain(spark, monkeypatch):
+    """Models with zero transitions, over many blocks: summaries stay small, and what a wrong guess touches is run again."""
+    sizes = []
+    plain = scan.Forward.advance
+    monkeypatch.setattr(scan.Forward, "advance", lambda self, state, summary: (sizes.append(len(summary)), plain(self, state, summary))[1])
+    turns = {
+        "cycle": [[0.7, 0.3, 0.0], [0.0, 0.6, 0.4], [0.5, 0.0, 0.5]],
+        "trap": [[0.5, 0.5, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]],
+        "apart": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]],
+    }
+    for seed, (name, transition) in enumerate(turns.items()):
+        model = SAMPLE_MODEL | {"transition_matrix": transition, "initial_probs": [1.0, 0.0, 0.0]}
+        x = np.random.default_rng(seed).standard_normal((3000, 6))
+        x[700:760] *= 30
+        x[1500:1503, 0] = np.nan
+        x[2200] = np.inf
+        with np.errstate(all="ignore"):
+            probabilities, steps = sequential_filter(x, model)
+        found = hmm.filtered(vectors(spark, x), model, 100).orderBy("bar_no").collect()
+        assert np.abs(np.array([r.state_probs for r in found]) - probabilities).max() < 1e-9, name
+        assert np.allclose([r.step_ll for r in found], steps), name
+    assert all(n == 12 for n in sizes)
+
+
+def test_wrong_guesses_are_run_again(spark, monkeypatch):
+    """Guesses that are no use at all: the blocks settle one after another, whatever the model forgets."""
+    monkeypatch.setattr(scan.Forward, "advance", lambda self, state, summary: [1 / 3] * 3)
+    model = SAMPLE_MODEL | {"transition_matrix": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], "initial_probs": [0.2, 0.3, 0.5]}
+    x = 0.1 * np.random.default_rng(3).standard_normal((120, 6))
+    found = hmm.filtered(vectors(spark, x), model, 40).orderBy("bar_no").collect()
+    assert np.abs(np.array([r.state_probs for r in found]) - sequential_filter(x, model)[0]).max() < 1e-9
+
+
+def versions_of(spark, rows):
+    found = [model | {"symbol": symbol, "metadata": model["metadata"] | {"trained_at": version}, "valid_from": start} for symbol, version, start, model in rows]
+    return spark.createDataFrame(found, f"{MODEL}, valid_from timestamp")
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_each_symbol_is_scored_by_its_own_model(spark, block):
+    """Models of two and three states, changes in mid-series (also on a block's edge), one symbol without a model, one late model."""
+    at = lambda i: START + timedelta(minutes=i)
+    plan = [("A", "1", None, SAMPLE_MODEL), ("B", "1", None, TWO_STATES), ("C", "1", at(0), TWO_STATES), ("C", "2", at(70), SAMPLE_MODEL), ("C", "3", at(71), TWO_STATES), ("D", "1", at(50), LASTING)]
+    x = {s: np.random.default_rng(i).standard_normal((150, 6)) for i, s in enumerate("ABCDE")}
+    rows = [(s, at(i), i, i, "mine", [float(v) for v in row]) for s, values in x.items() for i, row in enumerate(values)]
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp, seq bigint, bar_no bigint, model_version string, features array<double>")
+    models = versions_of(spark, plan)
+    scored = hmm.filtered(frame, models, block).collect()
+    paths = {(r.symbol, r.bar_no): r for r in hmm.viterbi(frame, models, block).collect()}
+    spans = [("A", "1", 0, 150, SAMPLE_MODEL), ("B", "1", 0, 150, TWO_STATES), ("C", "1", 0, 70, TWO_STATES), ("C", "2", 70, 71, SAMPLE_MODEL), ("C", "3", 71, 150, TWO_STATES), ("D", "1", 50, 150, LASTING)]
+    expected = {}
+    for symbol, version, first, last, model in spans:
+        probabilities, steps = sequential_filter(x[symbol][first:last], model)
+        for i, state in enumerate(sequential_path(x[symbol][first:last], model)):
+            expected[symbol, first + i] = version, probabilities[i], steps[i], state
+    assert {(r.symbol, r.bar_no) for r in scored} == set(expected) == set(paths)
+    for r in scored:
+        version, probabilities, step, state = expected[r.symbol, r.bar_no]
+        assert r.model_version == version and np.abs(np.array(r.state_probs) - probabilities).max() < 1e-9 and abs(r.step_ll - step) < 1e-6
+        assert r.state == int(np.argmax(probabilities)) and paths[r.symbol, r.bar_no].state == state and paths[r.symbol, r.bar_no].model_version == version
+
+
+def test_without_times_the_model_trained_last_is_in_force(spark):
+    x = np.random.default_rng(5).standard_normal((30, 6))
+    models = versions_of(spark, [("NQ", "2024", None, SAMPLE_MODEL), ("NQ", "2025", None, TWO_STATES)])
+    for table in (models.drop("valid_from"), models):
+        found = hmm.filtered(vectors(spark, x), table, 8).orderBy("bar_no").collect()
+        assert {r.model_version for r in found} == {"2025"}
+        assert np.allclose([r.state_probs for r in found], sequential_filter(x, TWO_STATES)[0])
+    assert hmm.filtered(vectors(spark, x).limit(0), models).count() == 0
+    assert hmm.filtered(vectors(spark, x), models.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [2, 63, 64, 65, 200])
 def test_smoothing_in_chunks_equals_the_plain_one(n):
     random = np.random.default_rng(n)

@@ -98,10 +98,16 @@ def test_streaming_scores_restart_with_a_new_model(spark, tmp_path):
     models = spark.createDataFrame([SAMPLE_MODEL], MODEL)
     batch = {r.seq: r.state_probs for r in hmm.filtered(rows, SAMPLE_MODEL).collect()}
     asked = flows.with_latest_models(rows.drop("bar_no"), models)
-    renewed = asked.withColumn("model", F.when(F.col("seq") >= 40, F.regexp_replace("model", "2026-02-20T22", "2026-02-21T22")).otherwise(F.col("model")))
+    renewed = asked.withColumn("model", F.when(F.col("seq") >= 40, F.regexp_replace("model", "2024-03-01T00", "2024-03-02T00")).otherwise(F.col("model")))
     found = {r.seq: r for r in streamed(spark, tmp_path, renewed, lambda s: stateful.apply(s, stateful.ScoreState())).collect()}
     assert all(np.allclose(found[i].state_probs, batch[i]) for i in range(40))
     assert found[40].model_version != found[39].model_version
+    # The batch form under both versions of the model equals the stream.
+    later = rows.agg(F.min(F.when(F.col("seq") >= 40, F.col("ts")))).first()[0]
+    first = models.withColumn("valid_from", F.lit(None).cast("timestamp"))
+    second = models.withColumns({"valid_from": F.lit(later), "metadata": F.col("metadata").withField("trained_at", F.lit("2024-03-02T00:00:00Z"))})
+    for r in hmm.filtered(rows, first.unionByName(second)).collect():
+        assert np.allclose(found[r.seq].state_probs, r.state_probs) and found[r.seq].model_version == r.model_version
 
 
 def test_streaming_flow_equals_the_batch(spark, tmp_path):
