@@ -48,10 +48,12 @@ class _Model:
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
         self.bits = max(18, alphabet.bit_length() + 2)
+        # Shares of a step fit into 32 bits, unless there are very many ids.
+        self.kind = np.int32 if CASE_BITS + self.bits < 31 else np.int64
         self.raw_bits = max(1, (alphabet - 1).bit_length())
         nothing = alphabet * (SURE + 1)
-        self.second = np.full(1 << HASH_BITS, nothing, np.int64)
-        self.first = np.full(alphabet + 1, nothing, np.int64)
+        self.second = np.full(1 << HASH_BITS, nothing, np.int32)
+        self.first = np.full(alphabet + 1, nothing, np.int32)
         self.cases = np.zeros((2, SURE + 1, SURE + 1, 3), np.int64)
         self.counts = np.zeros(alphabet, np.int64)
         self.refresh()
@@ -65,16 +67,16 @@ class _Model:
         first = (by_first + 8 * share) / (by_first.sum(axis=-1, keepdims=True) + 8)
         mixed = (self.cases + 8 * (second[:, :, None] + first[:, None])) / (self.cases.sum(axis=-1, keepdims=True) + 16)
         whole = 1 << CASE_BITS
-        self.hit2 = (1 + (mixed[..., 0] * (whole - 3)).astype(np.int64)).ravel()
-        self.hit1 = self.hit2 + (1 + (mixed[..., 1] * (whole - 3)).astype(np.int64)).ravel()
+        self.hit2 = (1 + (mixed[..., 0] * (whole - 3)).astype(self.kind)).ravel()
+        self.hit1 = self.hit2 + (1 + (mixed[..., 1] * (whole - 3)).astype(self.kind)).ravel()
 
-        self.seen = np.flatnonzero(self.counts)
+        self.seen = np.flatnonzero(self.counts).astype(np.int32)
         n, counts = len(self.seen), self.counts[self.seen]
         free = (1 << self.bits) - n - 1
         width = 1 + free * counts // max(1, int(counts.sum()) + n)
-        self.cum = np.concatenate(([0], width.cumsum()))
-        self.width = np.append(width, (1 << self.bits) - self.cum[-1])
-        self.place = np.full(self.alphabet, n, np.int64)
+        self.cum = np.concatenate(([0], width.cumsum())).astype(self.kind)
+        self.width = np.append(width, (1 << self.bits) - self.cum[-1]).astype(self.kind)
+        self.place = np.full(self.alphabet, n, np.int32)
         self.place[self.seen] = np.arange(n)
 
     def slots(self) -> np.ndarray:
@@ -83,11 +85,11 @@ class _Model:
 
     def look(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """Keys of order 2, what order 2 and order 1 say, and the cell of the case table."""
-        key = before.astype(np.uint32) * np.uint32(0x9E3779B1) + last.astype(np.uint32) * np.uint32(0x85EBCA6B)
-        key = (key ^ (key >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - HASH_BITS)
-        second, first = self.second[key], self.first[last]
+        key = before.view(np.uint32) * np.uint32(0x9E3779B1) + last.view(np.uint32) * np.uint32(0x85EBCA6B)
+        key = ((key ^ (key >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+        second, first = self.second.take(key), self.first.take(last)
         same = (second >> 3) == (first >> 3)
-        return key, second, first, (same << 6) + ((second & SURE) << 3) + (first & SURE)
+        return key, second, first, (same.astype(np.int32) << 6) + ((second & SURE) << 3) + (first & SURE)
 
     @staticmethod
     def _learned(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -109,7 +111,15 @@ class _Encoder:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.words, self.n = np.zeros((lanes, 2 * steps + 2), np.uint64), np.zeros(lanes, np.int64)
+        self.words, self.n = np.zeros((lanes, 2 * steps + 2), np.uint32), np.zeros(lanes, np.int64)
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        """One more in the lanes' last words, and in those before as long as that makes zeros of them."""
+        at = self.n[lanes] - 1
+        while lanes.size:
+            self.words[lanes, at] += np.uint32(1)
+            over = self.words[lanes, at] == 0
+            lanes, at = lanes[over], at[over] - 1
 
     def code(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
         """Narrow the intervals of `lanes` (a slice or places) to [start, start + width) of 2 ** bits."""
@@ -118,8 +128,7 @@ class _Encoder:
         moved = low + unit * start
         span = unit * width
         if (over := np.flatnonzero(moved < low)).size:
-            over_lanes = over if isinstance(lanes, slice) else lanes[over]
-            self.words[over_lanes, self.n[over_lanes] - 1] += np.uint64(1)
+            self._carry(over if isinstance(lanes, slice) else lanes[over])
         self.low[lanes], self.range[lanes] = moved, span
         if (full := np.flatnonzero(span <= _LOW)).size:
             full = full if isinstance(lanes, slice) else lanes[full]
@@ -132,14 +141,11 @@ class _Encoder:
     def finish(self) -> bytes:
         """Numbers of words and the words, lane by lane."""
         ends = self.low + _LOW
-        over = np.flatnonzero(ends < self.low)
-        self.words[over, self.n[over] - 1] += np.uint64(1)
+        self._carry(np.flatnonzero(ends < self.low))
         self.words[np.arange(len(self.n)), self.n] = ends >> _WORD
         self.n += 1
-        for at in range(int(self.n.max()) - 1, 0, -1):
-            self.words[:, at - 1] += self.words[:, at] >> _WORD
-        held = np.arange(self.words.shape[1]) < self.n[:, None]
-        return self.n.astype("<u4").tobytes() + (self.words & _LOW)[held].astype("<u4").tobytes()
+        held = np.arange(int(self.n.max())) < self.n[:, None]
+        return self.n.astype("<u4").tobytes() + self.words[:, : held.shape[1]][held].astype("<u4").tobytes()
 
 
 class _Decoder:
@@ -157,15 +163,15 @@ class _Decoder:
         at = self.at[lanes]
         self.at[lanes] = at + 1
         end = self.end[lanes]
-        return np.where(at < end, self.words[np.minimum(at, end)], np.uint64(0))
+        return np.where(at < end, self.words.take(np.minimum(at, end)), np.uint64(0))
 
-    def target(self, lanes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def target(self, lanes, bits: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
         unit = self.range[lanes] >> np.uint64(bits)
-        return unit, np.minimum(self.value[lanes] // unit, np.uint64((1 << bits) - 1)).view(np.int64)
+        return unit, np.minimum(self.value[lanes] // unit, np.uint64((1 << bits) - 1)).astype(kind)
 
     def take(self, lanes, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        self.value[lanes] -= unit * start.view(np.uint64)
-        span = unit * width.view(np.uint64)
+        self.value[lanes] -= unit * start.astype(np.uint64)
+        span = unit * width.astype(np.uint64)
         self.range[lanes] = span
         if (low := np.flatnonzero(span <= _LOW)).size:
             low = low if isinstance(lanes, slice) else lanes[low]
@@ -182,14 +188,14 @@ def _shape(n: int) -> tuple[int, int, int]:
 
 def encode(ids: np.ndarray) -> bytes:
     """One block of ids (at least one, below 2 ** 24): a head with checksums of data and ids, and the coded lanes."""
-    ids = np.ascontiguousarray(ids, np.int64)
+    ids = np.ascontiguousarray(ids, np.int32)
     n, alphabet = len(ids), int(ids.max()) + 1
     lanes, steps, last_steps = _shape(n)
     model, coder = _Model(alphabet), _Encoder(lanes, steps)
-    table = np.zeros((lanes, steps), np.int64)
+    table = np.zeros((lanes, steps), np.int32)
     table.ravel()[:n] = ids
     table = np.ascontiguousarray(table.T)
-    history = np.concatenate((np.full((2, lanes), alphabet), table))
+    history = np.concatenate((np.full((2, lanes), alphabet, np.int32), table))
     for begin, end in _epochs(steps):
         live = [lanes if t < last_steps else lanes - 1 for t in range(begin, end)]
         if live[-1] == lanes:
@@ -197,18 +203,19 @@ def encode(ids: np.ndarray) -> bytes:
         else:
             own, last, before = (np.concatenate([x[t + d, :w] for t, w in zip(range(begin, end), live, strict=True)]) for x, d in ((table, 0), (history, 1), (history, 0)))
         key, second, first, cell = model.look(before, last)
-        case = np.where((second >> 3) == own, 0, np.where((first >> 3) == own, 1, 2))
-        hit2, hit1, place = model.hit2[cell], model.hit1[cell], model.place[own]
+        in2, in1 = (second >> 3) == own, (first >> 3) == own
+        case = np.where(in2, 0, np.where(in1, 1, 2)).astype(np.int32)
+        hit2, hit1, place = model.hit2.take(cell), model.hit1.take(cell), model.place.take(own)
         rest = (1 << CASE_BITS) - hit1
-        start = np.where(case == 0, 0, np.where(case == 1, hit2 << model.bits, (hit1 << model.bits) + rest * model.cum[place])).view(np.uint64)
-        width = np.where(case == 0, hit2 << model.bits, np.where(case == 1, hit1 - hit2 << model.bits, rest * model.width[place])).view(np.uint64)
+        start = np.where(in2, 0, np.where(in1, hit2 << model.bits, (hit1 << model.bits) + rest * model.cum.take(place))).astype(np.uint64)
+        width = np.where(in2, hit2 << model.bits, np.where(in1, hit1 - hit2 << model.bits, rest * model.width.take(place))).astype(np.uint64)
         escape = (case == 2) & (place == len(model.seen))
         at = 0
         for w in live:
             row = slice(at, at + w)
             coder.code(slice(0, w), start[row], width[row], CASE_BITS + model.bits)
             if (new := np.flatnonzero(escape[row])).size:
-                coder.code(new, own[row][new].view(np.uint64), np.uint64(1), model.raw_bits)
+                coder.code(new, own[row][new].astype(np.uint64), np.uint64(1), model.raw_bits)
             at += w
         model.update(key, last, second, first, cell, case, own)
     data = coder.finish()
@@ -230,7 +237,7 @@ def decode(block: bytes) -> np.ndarray:
     if lanes != expected_lanes:
         raise ValueError("a block of ids has another number of lanes than its ids need")
     model, coder = _Model(alphabet), _Decoder(lanes, data)
-    history = np.full((steps + 2, lanes), alphabet)
+    history = np.full((steps + 2, lanes), alphabet, np.int32)
     for begin, end in _epochs(steps):
         slots, bits, told = model.slots(), model.bits, []
         for t in range(begin, end):
@@ -238,23 +245,25 @@ def decode(block: bytes) -> np.ndarray:
             row = slice(0, w)
             last = history[t + 1, :w]
             key, second, first, cell = model.look(history[t, :w], last)
-            hit2, hit1 = model.hit2[cell], model.hit1[cell]
-            unit, target = coder.target(row, CASE_BITS + bits)
+            hit2, hit1 = model.hit2.take(cell), model.hit1.take(cell)
+            unit, target = coder.target(row, CASE_BITS + bits, model.kind)
             part = target >> bits
-            case = np.where(part < hit2, 0, np.where(part < hit1, 1, 2))
-            start, width = np.where(case == 0, 0, hit2 << bits), np.where(case == 0, hit2, hit1 - hit2) << bits
-            own = np.where(case == 0, second, first) >> 3
-            other = np.flatnonzero(case == 2)
-            base = hit1[other] << bits
-            rest = (1 << CASE_BITS) - hit1[other]
-            place = slots[(target[other] - base) // rest]
-            start[other], width[other] = base + rest * model.cum[place], rest * model.width[place]
+            not2, not1 = part >= hit2, part >= hit1
+            case = not2.astype(np.int32) + not1
+            start, width = np.where(not2, hit2, 0) << bits, np.where(not2, hit1 - hit2, hit2) << bits
+            own = np.where(not2, first, second) >> 3
+            other = np.flatnonzero(not1)
+            base = hit1.take(other)
+            rest = (1 << CASE_BITS) - base
+            base <<= bits
+            place = slots.take((target.take(other) - base) // rest)
+            start[other], width[other] = base + rest * model.cum.take(place), rest * model.width.take(place)
             coder.take(row, unit, start, width)
-            known = place < len(model.seen)
-            own[other[known]] = model.seen[place[known]]
-            if (new := other[~known]).size:
-                unit, raw = coder.target(new, model.raw_bits)
-                coder.take(new, unit, raw, np.ones(len(new), np.int64))
+            known = model.seen.take(place, mode="clip") if len(model.seen) else np.zeros(len(place), np.int32)
+            own[other] = known
+            if (new := other[place == len(model.seen)]).size:
+                unit, raw = coder.target(new, model.raw_bits, np.int32)
+                coder.take(new, unit, raw, np.ones(len(new), np.int32))
                 own[new] = np.minimum(raw, alphabet - 1)
             history[t + 2, :w] = own
             told.append((key, last, second, first, cell, case, own))

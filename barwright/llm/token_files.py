@@ -34,7 +34,7 @@ NO_ID = 0xFFFFFFFF
 #: Texts of these characters alone are split by the pattern below as byte-level tokenizers split them; others go to the tokenizer whole.
 _SAFE = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_SPLIT = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_SPLIT = re.compile(f" ?[{_L}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _PROBE = "Probe: d\xe9j\xe0 vu,  \xdcbergr\xf6\xdfe... it's we'll 42%!!\n\n a_b x<y\tEND\r\n(one) two&&&'s 3x  "
 _workers: dict = {}
 
