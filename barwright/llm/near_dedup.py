@@ -11,8 +11,9 @@ node has reached there: whatever shares more was met. Shingles that no other com
 left out beforehand, so that nodes of mostly their own text take no part, and met pairs are passed over where the rest of their
 sets, bucket by bucket, cannot have enough in common; no link is lost by either. A region of few nodes is met whole; the more nodes a region holds, the
 deeper it goes. A node is settled once its depths bound the chance of a missed partner by NO_REGION. Regions where unsettled
-nodes of several components are left take another turn with new hash functions; what is unsettled after TURNS of them is
-joined exactly, on the rarest shingles of each set. No group's pairs are ever listed.
+nodes of several components are left take another turn with new hash functions. After TURNS of them what is unsettled is
+joined exactly, on the rarest shingles of each set, if that join lists no more pairs than a turn would; if their rarest shingles
+are common ones (pages of one template), turns go on. No group's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ VALUES, DEPTH = 64, 3
 #: Bounds of the probability that a pair at the least similarity shares no region, and that its signatures agree too little.
 NO_REGION, TOO_FAR = 1.1e-5, 5e-6
 #: Where regions are mixed: values of a longer signature (one byte each), its orders, how many nodes a node meets on each side,
-#: and turns before the exact join.
-WIDE, ORDERS, NEAREST, TURNS = 256, 32, 16, 3
+#: turns before the exact join, and the pairs for each node that it may list.
+WIDE, ORDERS, NEAREST, TURNS, LISTED = 256, 32, 16, 3, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -320,7 +321,7 @@ def _wide_labels(batches, by: Plan, size: int, turn: int):
     for batch in slices(batches, 512):
         values = np.array([signature(shingles(text, hashes, size), WIDE, turn) for text in utf8(batch.column("text"))], np.uint16).reshape(-1, WIDE)
         n, low = len(values), values.astype(np.uint8)
-        sizes = np.array([np.bincount(np.array(b, np.int8).view(np.uint8), minlength=BUCKETS) for b in batch.column("buckets").to_pylist()]).reshape(-1, BUCKETS)
+        sizes = _bucket_sizes(batch.column("buckets"))
         beyond = pa.array(np.maximum(sizes - 255, 0).sum(axis=1), pa.int64())
         out = np.zeros((ORDERS, n, 1 + 2 * DEPTH + WIDE + BUCKETS), np.uint8)
         out[:, :, 1 + 2 * DEPTH + WIDE :] = np.minimum(sizes, 255)
@@ -451,20 +452,48 @@ def _open_nodes(spelled: DataFrame, percent: int) -> DataFrame:
     return stored(found.where(f"100L * size(buckets) >= {percent}L * n"), "open")
 
 
-def _rarest_in_common(spelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of nodes of different components that could be linked: all of them share one of the rarest shingles of each.
+def _heads(spelled: DataFrame, nodes: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """node, component, n, shingle: the rarest shingles of each open node's set, one of which it shares with whoever it may be linked
+    with; stored.
 
     Sets that have `percent` of either in common share a shingle among the first n * (100 - percent) / 100 + 1 of each, in one
     order of all shingles: rare ones first, so that what many nodes hold is seldom joined. Shingles of one component are left out.
     """
-    rows = spelled.drop("component").join(nodes.select("node", "component"), "node")
+    rows = spelled.drop("component").join(nodes.join(able.select("node"), "node").select("node", "component"), "node")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
     heads = stored(ranked.where(F.col("place") <= F.expr(f"n * {100 - percent}L div 100 + 1")).select("node", "component", "n", "shingle"), "heads")
-    heads = stored(_common(heads), "heads")
+    return stored(_common(heads), "heads")
+
+
+def _few_pairs(heads: DataFrame, listed: int) -> bool:
+    """Whether the join of heads by shingle lists at most `listed` pairs for each node."""
+    shared = heads.groupBy("shingle").agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+    return (shared or 0) <= listed * heads.select("node").distinct().count()
+
+
+def _rarest_in_common(heads: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of nodes of different components that share a head and, bucket by bucket, may have enough in common."""
     other = heads.select("shingle", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
     pairs = heads.withColumnRenamed("node", "a").join(other, "shingle").where(f"a < b and component <> other and 100L * least(n, m) >= {percent}L * greatest(n, m)")
-    return pairs.select("a", "b").distinct()
+    sizes = lambda side, name: able.select(F.col("node").alias(side), F.col("buckets").alias(name))
+    both = pairs.select("a", "b", "n", "m").distinct().join(sizes("a", "x"), "a").join(sizes("b", "y"), "b")
+
+    def bounded(batches):
+        for batch in slices(batches, 4096):
+            x, y = (_bucket_sizes(batch.column(c)) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(axis=1)
+            keep = 100 * most >= percent * (batch.column("n").to_numpy() + batch.column("m").to_numpy() - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a long, b long")
+
+
+def _bucket_sizes(buckets: pa.Array) -> np.ndarray:
+    """How many shingles each row has in each bucket, from lists of their buckets."""
+    owner = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy(zero_copy_only=False))
+    number = buckets.flatten().to_numpy(zero_copy_only=False).view(np.uint8)
+    return np.bincount(owner * BUCKETS + number, minlength=len(buckets) * BUCKETS).reshape(-1, BUCKETS)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -494,8 +523,8 @@ def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: Data
             texts = _texts(docs, nodes.select("node"), shared, size)
             spelled = _spelled(texts, nodes, size)
             able = _open_nodes(spelled, percent)
-        if turn == TURNS:
-            pairs = _rarest_in_common(spelled, nodes, percent)
+        if turn >= TURNS and _few_pairs(heads := _heads(spelled, nodes, able, percent), LISTED):
+            pairs = _rarest_in_common(heads, able, percent)
             return _joined(labels, stored(_confirmed(stored(pairs, "pairs"), texts, size, percent), "links"))
         spread = texts.join(able, "node").join(nodes, "node").mapInArrow(lambda batches, turn=turn: _wide_labels(batches, by, size, turn), "label binary, node long, component long, n long, beyond long")
         walked = spread.repartitionByRange("label", "node").sortWithinPartitions("label", "node")

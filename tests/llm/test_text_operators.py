@@ -211,18 +211,67 @@ def test_pairs_in_a_dense_family_are_found(spark, documents):
     assert found == {i: i - i % 2 for i, _ in rows}
 
 
+def pages(r, n, sections=30, words=8):
+    """n texts of one template: each keeps most of the same sections, in order, and has hardly any words of its own."""
+    fixed = [" ".join(f"s{i}w{k}" for k in range(words)) for i in range(sections)]
+    return [(i, " ".join([f"page{i}", *(s for s in fixed if r.random() < 0.85)])) for i in range(n)]
+
+
+def _plain_components(rows, percent):
+    """Components of texts by a matrix of all their shingles: quick where the texts share theirs."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    number = {s: i for i, s in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for i, found in enumerate(sets):
+        held[i, [number[s] for s in found]] = 1
+    sizes = held.sum(axis=1)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for at in range(0, len(rows), 500):
+        both = held[at : at + 500] @ held.T
+        for i, j in zip(*np.nonzero(100 * both >= percent * (sizes[at : at + 500, None] + sizes - both)), strict=True):
+            a, b = sorted((top(at + i), top(j)))
+            root[b] = a
+    return {rows[i][0]: rows[top(i)][0] for i in range(len(rows))}
+
+
 def test_a_node_meets_a_bounded_number_of_others(spark, documents, monkeypatch):
-    """Candidate pairs of a dense family grow as its texts do, not as their square."""
+    """Candidate pairs of pages of one template, which share all but their names, grow as their number does, not as its square."""
     counts = []
     plain = near_dedup._confirmed
     monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: (counts.append(pairs.count()), plain(pairs.limit(0), *rest))[1])
     monkeypatch.setattr(near_dedup, "least_agreement", lambda like, values: 1)
+    # One turn for each number of pages.
+    monkeypatch.setattr(near_dedup, "_credit", lambda depth, *rest: np.full(len(depth), -1.0))
     for n in (500, 2000):
-        near_duplicates(documents([(i, " ".join(w)) for i, w in enumerate(family(random.Random(4), n, 164, 53))])).count()
-        assert counts[-1] <= n * near_dedup.ORDERS * near_dedup.NEAREST
+        near_duplicates(documents(pages(random.Random(4), n))).count()
+        assert 0 < counts[-1] <= n * near_dedup.ORDERS * near_dedup.NEAREST
     assert counts[-1] < 8 * counts[1]
 
 
+@pytest.mark.parametrize("turns", [0, 3])
+def test_pages_of_one_template(spark, documents, monkeypatch, turns):
+    """Their rarest shingles are common ones: the exact join would list all pairs, so turns go on; every component is found."""
+    counts = []
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "TURNS", turns)
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: (counts.append(pairs.count()), plain(pairs, *rest))[1])
+    listed = []
+    for n in (400, 1600):
+        rows = pages(random.Random(6), n)
+        counts.clear()
+        found = {x.doc_id: x.component_id for x in near_duplicates(documents(rows)).collect()}
+        want = _plain_components(rows, 85)
+        assert sum(found[i] != want[i] for i, _ in rows) <= n // 400
+        listed.append(sum(counts))
+    assert listed[1] < 8 * listed[0]
+
+
 def test_what_turns_leave_unsettled_is_joined_exactly(spark, documents, monkeypatch):
     """Without any turn, the join on the rarest shingles alone finds the pairs of a dense family, and lists few others."""
     r, counts = random.Random(5), []
