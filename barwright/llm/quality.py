@@ -36,10 +36,9 @@ def features(word: str) -> list[int]:
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of the neighbouring words' pairs, from the words' hashes. A word twice is one and the same pair whatever the word."""
-    first, second = hashes[:-1], hashes[1:]
-    mixed = (first * _PAIR + second) * _PAIR
-    return np.where(first == second, 0, mixed >> np.uint64(48)).astype(np.int64) % BUCKETS
+    """Buckets of the neighbouring words' pairs, from the words' hashes."""
+    mixed = (hashes[:-1] * _PAIR + hashes[1:]) * _PAIR
+    return (mixed >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
 def word_hash(word: str) -> int:
