@@ -248,6 +248,81 @@ def _path_by_own(versions: list[tuple]) -> str:
 )"""
 
 
+def _em_step() -> str:
+    """Forward and backward recursions over all bars from the sample model, and the parameters that their posteriors give."""
+    p, a = SAMPLE_MODEL["initial_probs"], SAMPLE_MODEL["transition_matrix"]
+    later = [" + ".join(f"f.a{i} * {a[i][j]}" for i in range(3)) for j in range(3)]
+    back = [" + ".join(f"{a[i][j]} * exp(e.e{j} - greatest(e.e0, e.e1, e.e2)) * b.b{j}" for j in range(3)) for i in range(3)]
+
+    def forward(prediction: list, source: str) -> str:
+        return f"""SELECT symbol, bar_no, {", ".join(f"w{i} / (w0 + w1 + w2) AS a{i}" for i in range(3))}, m + ln(w0 + w1 + w2) AS ll FROM (
+    SELECT e.symbol, e.bar_no, greatest(e.e0, e.e1, e.e2) AS m, {", ".join(f"({x}) * exp(e.e{i} - greatest(e.e0, e.e1, e.e2)) AS w{i}" for i, x in enumerate(prediction))} FROM {source})"""
+
+    moves = [f"f.a{i} * {a[i][j]} * exp(e.e{j} - greatest(e.e0, e.e1, e.e2)) * b.b{j} AS x{i}{j}" for i in range(3) for j in range(3)]
+    total = " + ".join(f"x{i}{j}" for i in range(3) for j in range(3))
+    per_state = []
+    for i in range(3):
+        row = " + ".join(f"n{i}{j} + 1e-12" for j in range(3))
+        means = [f"s{i}{c} / greatest(g{i}, 1e-12)" for c in range(6)]
+        spread = [f"greatest(q{i}{c} / greatest(g{i}, 1e-12) - pow({means[c]}, 2), 1e-6)" for c in range(6)]
+        cells = [f"{_r6(f'first{i}')} AS initial_prob", *(f"{_r6(f'(n{i}{j} + 1e-12) / ({row})')} AS move_{j}" for j in range(3)), *(f"{_r6(m)} AS mean_{c}" for c, m in enumerate(means)), *(f"{_r6(v)} AS variance_{c}" for c, v in enumerate(spread))]
+        per_state.append(f"SELECT symbol, {i}::INTEGER AS state, round(ll, 3) AS log_likelihood, {', '.join(cells)} FROM sums JOIN moved USING (symbol)")
+    return f"""{FEATURES}, emitted AS (SELECT symbol, bar_no, {", ".join(NAMES)}, {", ".join(f"{_log_density(i)} AS e{i}" for i in range(3))} FROM features
+), ahead AS (
+  {forward(p, "emitted e WHERE e.bar_no = 0")}
+  UNION ALL
+  {forward(later, "ahead f JOIN emitted e ON e.symbol = f.symbol AND e.bar_no = f.bar_no + 1")}
+), behind AS (
+  SELECT symbol, max(bar_no) AS bar_no, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM emitted GROUP BY symbol
+  UNION ALL
+  SELECT symbol, bar_no, {", ".join(f"v{i} / (v0 + v1 + v2)" for i in range(3))} FROM (
+    SELECT e.symbol, e.bar_no - 1 AS bar_no, {", ".join(f"{x} AS v{i}" for i, x in enumerate(back))} FROM behind b JOIN emitted e ON e.symbol = b.symbol AND e.bar_no = b.bar_no WHERE e.bar_no > 0)
+), post AS (
+  SELECT e.*, f.ll, {", ".join(f"f.a{i} * b.b{i} / (f.a0 * b.b0 + f.a1 * b.b1 + f.a2 * b.b2) AS g{i}" for i in range(3))} FROM emitted e JOIN ahead f USING (symbol, bar_no) JOIN behind b USING (symbol, bar_no)
+), sums AS (
+  SELECT symbol, sum(ll) AS ll, {", ".join(f"sum(g{i}) AS g{i}, max(g{i}) FILTER (WHERE bar_no = 0) AS first{i}" for i in range(3))},
+    {", ".join(f"sum(g{i} * {x}) AS s{i}{c}, sum(g{i} * {x} * {x}) AS q{i}{c}" for i in range(3) for c, x in enumerate(NAMES))}
+  FROM post GROUP BY symbol
+), moved AS (
+  SELECT symbol, {", ".join(f"sum(x{i}{j} / ({total})) AS n{i}{j}" for i in range(3) for j in range(3))} FROM (
+    SELECT e.symbol, {", ".join(moves)} FROM ahead f JOIN emitted e ON e.symbol = f.symbol AND e.bar_no = f.bar_no + 1 JOIN behind b ON b.symbol = e.symbol AND b.bar_no = e.bar_no) GROUP BY symbol
+), stepped AS ({" UNION ALL ".join(per_state)})"""
+
+
+def _mixed(x: str, out: str, source: str) -> str:
+    """source with a column of 64 scattered bits: the two rounds of resample.mixed, in 128-bit numbers."""
+    folds = ((1 << 30, 0xBF58476D1CE4E5B9), (1 << 27, 0x94D049BB133111EB))
+    for fold, factor in folds:
+        source = f"(SELECT *, xor({x}, {x} // {fold}::UHUGEINT) * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT AS {out}__{fold} FROM {source})"
+        x = f"{out}__{fold}"
+    return f"(SELECT *, xor({x}, {x} // {1 << 31}::UHUGEINT) AS {out} FROM {source})"
+
+
+def _simulated(n_sims: int, skip: float, slippage: float, seed: int) -> str:
+    """Every trade in every simulation with its draws; then sums and runs in the drawn order, as resample.simulated has them."""
+    whole = "18446744073709551616::UHUGEINT"
+    source = f"""(SELECT account, pnl, h, n, place, sim FROM (
+    SELECT *, count(*) OVER (PARTITION BY account) AS n, row_number() OVER (PARTITION BY account ORDER BY CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END, pnl) - 1 AS place
+    FROM (SELECT *, ('0x' || md5(account || ':' || trade_id)[1:16])::UHUGEINT AS h FROM trades)), range({n_sims}) s(sim))"""
+    for stream in range(4 if slippage else 2):
+        source = _mixed(f"(sim * 4 + {stream + 1})::UHUGEINT", f"a{stream}", source)
+        source = _mixed(f"((a{stream} + {seed}) % {whole})", f"b{stream}", source)
+        source = _mixed(f"((b{stream} + h) % {whole})", f"d{stream}", source)
+    uniform = lambda d: f"(({d} // 2048::UHUGEINT)::DOUBLE + 0.5) / 9007199254740992"
+    noise = f" + {slippage} * sqrt(-2 * ln({uniform('d2')})) * cos(2 * pi() * {uniform('d3')})" if slippage else ""
+    return f"""{TRADES}, drawn AS (
+  SELECT account, sim, d0 // (pow(2, length(bin(greatest(n - 1, 1))))::UHUGEINT) AS high, place, pnl{noise} AS value, {uniform("d1")} >= {skip} AS kept FROM {source}
+), ordered AS (
+  SELECT *, CASE WHEN kept THEN value ELSE 0.0 END AS v, row_number() OVER (PARTITION BY account, sim ORDER BY high, place) AS i FROM drawn
+), curves AS (
+  SELECT *, sum(v) OVER w AS cum, count_if(v < 0) OVER w AS lost, count_if(kept) OVER w > 0 AS begun FROM ordered WINDOW w AS (PARTITION BY account, sim ORDER BY i ROWS UNBOUNDED PRECEDING)
+), falls AS (
+  SELECT *, max(CASE WHEN begun THEN cum END) OVER w - cum AS fall, lost - coalesce(max(CASE WHEN kept AND v >= 0 THEN lost END) OVER w, 0) AS run
+  FROM curves WINDOW w AS (PARTITION BY account, sim ORDER BY i ROWS UNBOUNDED PRECEDING)
+), simulated AS (
+  SELECT account, sim::INTEGER AS sim, sum(v) AS final_pnl, coalesce(max(fall), 0) AS max_dd, max(run)::BIGINT AS max_losses FROM falls GROUP BY account, sim)"""
+
+
 _FLOORED = [(symbol, "v1", None, LASTING) for symbol in ("click", "error", "purchase", "signup", "view")]
 #: The risk engine one event after another: every value is what the engine holds after the event before.
 _LIVE = """e AS (
@@ -287,6 +362,10 @@ SQL = {
     "s3_s4_clean_bars": f"""WITH {TICKS} SELECT symbol, seq, date_trunc('second', ts) AS ts, {_r6('price')} AS close, CASE WHEN seq % 17 = 5 THEN 0.0 ELSE volume END AS volume FROM ticks WHERE seq % 17 NOT IN (0, 1, 2, 3, 4)""",
     "s1_s8_bars_from_csv": f"""WITH {BARS}, named AS (SELECT symbol AS event_type, ['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB'][row_number() OVER (ORDER BY symbol)] AS symbol FROM (SELECT DISTINCT symbol FROM bars))
       SELECT n.symbol, ts, {_r6('open')} AS open, {_r6('close')} AS close, volume FROM bars b JOIN named n ON b.symbol = n.event_type""",
+    "s6_directory_of_bars": f"""WITH {BARS}, named AS (SELECT symbol AS event_type, ['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB'][row_number() OVER (ORDER BY symbol)] AS symbol FROM (SELECT DISTINCT symbol FROM bars))
+      SELECT n.symbol, ts, {", ".join(f"{_r6(c)} AS {c}" for c in ("open", "high", "low", "close"))}, volume FROM bars b JOIN named n ON b.symbol = n.event_type WHERE ts >= '2024-01-03'""",
+    "s7_ingested_exports": f"""WITH {_QUALITY}, named AS (SELECT symbol AS event_type, ['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB'][row_number() OVER (ORDER BY symbol)] AS symbol FROM (SELECT DISTINCT symbol FROM bars)), w AS (SELECT symbol, string_agg("check" || '=' || n, ',' ORDER BY "check" || '=' || n) AS warnings FROM listed WHERE n > 0 GROUP BY symbol)
+      SELECT n.symbol, count(*) AS n_bars, {_r6('sum(close)')} AS close, coalesce(any_value(warnings), '') AS warnings FROM bars b JOIN named n ON b.symbol = n.event_type LEFT JOIN w ON w.symbol = b.symbol GROUP BY n.symbol""",
     "s9_trades_from_text": f"""WITH {TRADES} SELECT 'default' AS account, count(*) FILTER (WHERE trade_id % 11 > 2) AS n, round(sum(pnl) FILTER (WHERE trade_id % 11 > 2), 2) AS pnl, count(*) FILTER (WHERE trade_id % 11 = 2) AS rejected FROM trades""",
     "s10_s12_model_files": """SELECT ['NQ', 'ES', 'CL', 'NG', 'GC', 'SI', 'ZB', 'UB'][p_partkey % 9 + 1] AS symbol, lpad(max(p_partkey)::VARCHAR, 9, '0') AS trained_at, 3 AS k FROM part WHERE p_partkey % 9 < 8 GROUP BY 1""",
     "s13_s14_p17_messages": f"""WITH {BARS} SELECT CASE WHEN hour(ts) = 0 THEN 'none' ELSE symbol END AS symbol, sum(CASE WHEN hour(ts) BETWEEN 1 AND 5 THEN 2 ELSE 1 END)::BIGINT AS n,
@@ -304,6 +383,10 @@ SQL = {
     "m4_filter_floor": f"WITH RECURSIVE {_filtered_by_own(_FLOORED)} SELECT symbol, ts, {_r6('p0')} AS p0, {_r6('p1')} AS p1, {_r6('p2')} AS p2, state, {_r6('step_ll')} AS step_ll FROM scored",
     "m5_by_model_table": f"WITH RECURSIVE {_path_by_own(VERSIONS)} SELECT symbol, ts, model_version, state::INTEGER AS state FROM path JOIN emitted USING (symbol, model_version, n)",
     "m10_scoring_by_model_table": f"WITH RECURSIVE {_filtered_by_own(VERSIONS)} SELECT symbol, ts, model_version, state, round(round(confidence, 6), 6) + 0.0 AS confidence FROM scored",
+    "m6_em_step": f"WITH RECURSIVE {_em_step()} SELECT * FROM stepped",
+    "r1_few_simulations": f"WITH {_simulated(5, 0.1, 0.0, 42)} SELECT account, sim, round(final_pnl, 2) AS final_pnl, round(max_dd, 2) AS max_dd, max_losses FROM simulated",
+    "r1_few_with_slippage": f"WITH {_simulated(3, 0.05, 20.0, 7)} SELECT account, sim, round(final_pnl, 4) AS final_pnl, round(max_dd, 4) AS max_dd, max_losses FROM simulated",
+    "r5_few_simulations": f"WITH {_simulated(12, 0.0, 0.0, 42)} SELECT account, count(*) AS n_sims, {_r6('avg(final_pnl)')} AS mean_pnl, {_r6('quantile_cont(final_pnl, 0.05)')} AS p5_pnl, {_r6('quantile_cont(final_pnl, 0.5)')} AS median_pnl, {_r6('quantile_cont(final_pnl, 0.95)')} AS p95_pnl, {_r6('avg(max_dd)')} AS mean_dd, {_r6('quantile_cont(max_dd, 0.05)')} AS p5_dd, {_r6('quantile_cont(max_dd, 0.5)')} AS median_dd, {_r6('quantile_cont(max_dd, 0.95)')} AS p95_dd, max(max_losses) AS max_losses, {_r6('avg((final_pnl > 500 AND max_dd < 400)::INTEGER)')} AS pass_rate FROM simulated GROUP BY account",
     "m3_log_likelihood": f"WITH RECURSIVE {SCORED} SELECT symbol, round(sum(step_ll), 3) AS log_likelihood, count(*) AS n_bars FROM scored GROUP BY symbol",
     "m5_viterbi": f"WITH RECURSIVE {_VITERBI} SELECT symbol, ts, state::INTEGER AS state FROM path JOIN emitted USING (symbol, bar_no)",
     "m8_validation": """SELECT CASE p_size WHEN 1 THEN 'schema version 99' WHEN 2 THEN 'unknown symbol: INVALID' WHEN 3 THEN 'initial_probs has the wrong length' WHEN 4 THEN 'means has the wrong shape'

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import scalar as S
-from barwright.operators import decide, drift, evaluate, features, fit, hmm, quality, report, resample, risk
+from barwright.operators import blocked_fit, decide, drift, evaluate, features, fit, hmm, quality, report, resample, risk
 from barwright.operators import orderflow as O
 from barwright.plans import frames, oracle
 from barwright.plans.frames import SAMPLE_MODEL
@@ -153,6 +153,71 @@ def s1_s8_bars_from_csv(spark, d):
     return reduce(DataFrame.unionByName, parts).select("symbol", "ts", r6("open").alias("open"), r6("close").alias("close"), "volume")
 
 
+#: Headers of exports, in other orders and under other names; the columns that stand behind them.
+HEADERS = [
+    {"Date/Time": "ts", "open": "open", "high": "high", "low": "low", "Last": "close", "Vol": "volume"},
+    {"timestamp": "ts", "open": "open", "high": "high", "low": "low", "close": "close", "volume": "volume"},
+    {"Volume": "volume", " Close ": "close", "LOW": "low", "High": "high", "Open": "open", "note": "note", "Date": "ts"},
+]
+
+
+def _exports(spark, d) -> str:
+    """A folder of CSV files, several for each instrument that stands for a symbol of the bars, under three headers in turn; and one file
+    whose name tells no instrument."""
+    rows = frames.bars(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "high", "low", "close", "volume", F.lit("x").alias("note"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, parts = new_path(spark, "exports"), new_path(spark, "export-parts")
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(conf)
+    files.mkdirs(path(folder))
+    symbols = [r.symbol for r in rows.select("symbol").distinct().orderBy("symbol").limit(len(schema.SYMBOLS)).collect()]
+    for i, symbol in enumerate(symbols):
+        own = rows.where(F.col("symbol") == symbol)
+        columns = [F.col(c).alias(h) for h, c in HEADERS[i % 3].items()]
+        own.repartition(2, "ts").select(*columns).write.option("header", True).csv(f"{parts}/{i}")
+        written = sorted(s.getPath().getName() for s in files.listStatus(path(f"{parts}/{i}")) if s.getPath().getName().startswith("part-"))
+        for n, name in enumerate(written):
+            files.rename(path(f"{parts}/{i}/{name}"), path(f"{folder}/{schema.SYMBOLS[i].lower()} export {n}.csv"))
+    rows.limit(0).select(*(F.col(c).alias(h) for h, c in HEADERS[0].items())).coalesce(1).write.option("header", True).csv(f"{parts}/none")
+    for s in files.listStatus(path(f"{parts}/none")):
+        if s.getPath().getName().startswith("part-"):
+            files.rename(s.getPath(), path(f"{folder}/readme.csv"))
+    return folder
+
+
+@query
+def s6_directory_of_bars(spark, d):
+    """The bars written as exports of many files and three headers, and read back in one scan."""
+    found = bar_source.read_directory(spark, _exports(spark, d), start="2024-01-03")
+    return found.select("symbol", "ts", *rounded(found, "open", "high", "low", "close"), "volume")
+
+
+@query
+def s7_ingested_exports(spark, d):
+    """The exports taken in as a stream, where an instrument's newest file replaces its series: what is kept, and what the quality
+    checks say of it."""
+    folder, table = new_path(spark, "incoming"), new_path(spark, "bars-table")
+    rows = frames.bars(spark, d)
+    names = rows.select("symbol").distinct().withColumn("at", F.row_number().over(Window.orderBy("symbol")) - 1)
+    listed = F.array(*(F.lit(x) for x in schema.SYMBOLS))
+    named = rows.join(names, "symbol").select(F.element_at(listed, (F.pmod("at", F.lit(len(schema.SYMBOLS))) + 1).cast("int")).alias("name"), "ts", "open", "high", "low", "close", "volume")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(conf)
+    files.mkdirs(path(folder))
+    for i, symbol in enumerate(schema.SYMBOLS):
+        parts = new_path(spark, "export-parts")
+        columns = [(F.date_format("ts", "yyyy-MM-dd HH:mm:ss") if c == "ts" else F.lit("x") if c == "note" else F.col(c)).alias(h) for h, c in HEADERS[i % 3].items()]
+        named.where(F.col("name") == symbol).select(*columns).coalesce(1).write.option("header", True).csv(parts)
+        for s in files.listStatus(path(parts)):
+            if s.getPath().getName().startswith("part-"):
+                files.rename(s.getPath(), path(f"{folder}/{symbol}.csv"))
+    messages.ingest_exports(spark, folder, table, new_path(spark, "ingest-checkpoint")).awaitTermination()
+    kept = spark.read.parquet(table).groupBy("symbol").agg(F.count("*").alias("n_bars"), r6(F.sum("close")).alias("close"))
+    warned = spark.read.parquet(f"{table}-warnings").groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "check", F.col("n").cast("string")))), ",").alias("warnings"))
+    return kept.join(warned, "symbol", "left").select("symbol", "n_bars", "close", F.coalesce("warnings", F.lit("")).alias("warnings"))
+
+
 @query
 def s9_trades_from_text(spark, d):
     """One P&L a line, with comments and lines that are no numbers between them, written and read back."""
@@ -277,6 +342,18 @@ def m6_trained_models(spark, d):
     return fit.models(stored(rows, "trainable"), k=3, trained_at="2026-01-01T00:00:00Z")
 
 
+@query
+def m6_em_step(spark, d):
+    """One step of training every symbol from the sample model, in blocks: a row for each state with its new parameters."""
+    blocks = blocked_fit.blocks_of(frames.featured(spark, d), ["symbol"], block=128)
+    start = frames.models(spark, d).select("symbol", F.lit(0).alias("restart"), *blocked_fit.PARAMETERS)
+    found = blocked_fit.em_step(blocks, start, ["symbol"], k=3, width=6)
+    rows = found.select("symbol", "log_likelihood", F.posexplode(F.arrays_zip(*blocked_fit.PARAMETERS)).alias("state", "p"))
+    cells = [r6("p.initial_probs").alias("initial_prob")]
+    cells += [r6(F.col(f"p.{c}")[i]).alias(f"{n}_{i}") for c, n, width in (("transition_matrix", "move", 3), ("means", "mean", 6), ("variances", "variance", 6)) for i in range(width)]
+    return rows.select("symbol", "state", F.round("log_likelihood", 3).alias("log_likelihood"), *cells)
+
+
 @query
 def m8_validation(spark, d):
     """Model rows of which some are broken, by symbol."""
@@ -371,6 +448,25 @@ def r5_stress_summary(spark, d):
     return rows.select("account", "n_sims", *(r6(c).alias(c) for c in ("mean_pnl", "p5_pnl", "median_pnl", "p95_pnl", "mean_dd", "p5_dd", "median_dd", "p95_dd")), "max_losses", r6("pass_rate").alias("pass_rate"))
 
 
+@query
+def r1_few_simulations(spark, d):
+    """As r1_simulations, few enough for SQL to make the same draws."""
+    rows = resample.simulations(frames.trades(spark, d), n_sims=5, skip_rate=0.1)
+    return rows.select("account", "sim", F.round("final_pnl", 2).alias("final_pnl"), F.round("max_dd", 2).alias("max_dd"), "max_losses")
+
+
+@query
+def r1_few_with_slippage(spark, d):
+    rows = resample.simulations(frames.trades(spark, d), n_sims=3, skip_rate=0.05, slippage=20.0, seed=7)
+    return rows.select("account", "sim", F.round("final_pnl", 4).alias("final_pnl"), F.round("max_dd", 4).alias("max_dd"), "max_losses")
+
+
+@query
+def r5_few_simulations(spark, d):
+    rows = resample.summary(resample.simulations(frames.trades(spark, d), n_sims=12), target=500.0, limit=400.0)
+    return rows.select("account", "n_sims", *(r6(c).alias(c) for c in ("mean_pnl", "p5_pnl", "median_pnl", "p95_pnl", "mean_dd", "p5_dd", "median_dd", "p95_dd")), "max_losses", r6("pass_rate").alias("pass_rate"))
+
+
 def _curve(spark, d):
     order = Window.partitionBy("account").orderBy("ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = frames.trades(spark, d)

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.sources.schema import SYMBOLS
+from barwright.sources.shared import small_join, stored
 
-#: Header names, after normalising, that stand for another column.
+#: Cells of a line that are read, different headers that one folder may hold, and files of which one broadcast may hold the headers.
+WIDTH, HEADERS, FILES = 40, 500, 100_000
+#: Header names, after normalising, that stand for another column, and the columns of a bar: fixed values of the file contract.
 ALIASES = {"date": "timestamp", "datetime": "timestamp", "date_time": "timestamp", "time": "timestamp", "timestamp": "timestamp", "last": "close", "vol": "volume"}
 REQUIRED = ["timestamp", "open", "high", "low", "close", "volume"]
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyyMMdd HHmmss", "yyyy-MM-dd"]
@@ -67,16 +70,45 @@ def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) ->
     return coerced(named).select(owner.alias("symbol"), "ts", seq.alias("seq"), "open", "high", "low", "close", "volume")
 
 
+def cells_of(reader, path: str) -> DataFrame:
+    """Every line of the CSV files as text cells by place (c0 ...), headers too, with the file, its time, and where its block begins; for
+    batch and stream readers. Cells beyond WIDTH are left out."""
+    lines = reader.schema(", ".join(f"c{i} string" for i in range(WIDTH))).option("header", False).csv(path)
+    meta = {"__path": "file_path", "__file": "file_name", "__time": "file_modification_time", "__start": "file_block_start"}
+    return lines.select("*", *(F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()))
+
+
+def by_header(cells: DataFrame) -> DataFrame:
+    """The data lines of cells_of() with the required columns by name, each file by its own header, and a seq in the order of lines.
+
+    A file's header is its first line: all of a block's lines pass one task in order, so a partial aggregate finds it. One row a
+    file is joined back (broadcast behind a count); only the different headers reach the driver. A header that lacks a
+    required column is an error.
+    """
+    whole = F.array(*(F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(WIDTH)))
+    headers = stored(cells.where("__start = 0").groupBy("__path").agg(F.first(whole).alias("__header")), "headers")
+    kinds = [row[0] for row in headers.select("__header").distinct().limit(HEADERS + 1).collect()]
+    if len(kinds) > HEADERS:
+        raise ValueError(f"more than {HEADERS} different headers")
+    places = [normalised(h) for h in kinds]
+    kind = F.coalesce(*(F.when(F.col("__header") == F.array(*map(F.lit, h)), F.lit(i)) for i, h in enumerate(kinds)), F.lit(-1))
+    rows = small_join(cells.withColumn("seq", F.monotonically_increasing_id()), headers.withColumn("__kind", kind), ["__path"], limit=FILES)
+    pick = lambda c: F.coalesce(*(F.when(F.col("__kind") == i, F.col(f"c{names.index(c)}")) for i, names in enumerate(places)), F.lit(None).cast("string"))
+    data = rows.where(~((F.col("__start") == 0) & (whole == F.col("__header"))))
+    return data.select("seq", "__file", "__time", *(pick(c).alias(c) for c in REQUIRED))
+
+
 def read_directory(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Clean bars of every CSV file of a directory whose name tells its symbol; files may differ in their headers.
 
-    start and end bound the time, start inclusive.
+    start and end bound the time, start inclusive. One pass finds the headers and one scan reads the bars, however many files and
+    headers there are. A line that repeats its file's header is no bar.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").collect()
-    parts = [read_bars_csv(spark, row.path) for row in sorted(files, key=lambda r: r.path)]
-    if not parts:
-        raise ValueError(f"no CSV file in {path}")
-    bars = cleaned(reduce(DataFrame.unionByName, parts)).where("symbol is not null")
+    cells = cells_of(spark.read.option("pathGlobFilter", "*.csv"), path)
+    if not cells.limit(1).count():
+        raise ValueError(f"no CSV file with any line in {path}")
+    bars = coerced(by_header(cells)).select(symbol_of(F.col("__file")).alias("symbol"), "ts", "seq", "open", "high", "low", "close", "volume")
+    bars = cleaned(bars).where("symbol is not null")
     if start:
         bars = bars.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     return bars.where(F.col("ts") < F.lit(end).cast("timestamp")) if end else bars

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.operators.hmm import validated
-from barwright.sources.bars import cleaned, coerced, normalised, symbol_of
+from barwright.sources.bars import by_header, cells_of, cleaned, coerced, symbol_of
 from barwright.sources.schema import MODEL, REQUEST, TICKS
 
 
@@ -79,29 +79,34 @@ def write_responses(responses: DataFrame, path: str, checkpoint: str):
     return encode(responses).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_exports(spark: SparkSession, folder: str, table: str, checkpoint: str, header: list[str]):
-    """Start taking in the CSV files that appear in `folder`, each once; a file replaces its symbol's bars in `table`.
+def ingest_exports(spark: SparkSession, folder: str, table: str, checkpoint: str):
+    """Start taking in the CSV files that appear in `folder`, each once and by its own header; a file replaces its symbol's bars in `table`.
 
-    header is the export's header. Files whose name tells no symbol, and rows that do not parse, go to the folders
-    `table`-quarantine and `table`-dropped. Returns the streaming query; it stops once all files present are taken in.
+    Files whose name tells no symbol, and rows that do not parse, go to the folders `table`-quarantine and `table`-dropped; what
+    the quality checks find in a symbol's new bars goes to `table`-warnings (symbol, check, n) and keeps nothing out. All of them
+    are kept by batch, under its number, so a batch that is tried again replaces what it left. Returns the streaming query; it
+    stops once all files present are taken in.
     """
-    schema = ", ".join(f"`{c}` string" for c in header)
-    raw = spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(folder)
-    named = raw.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_modification_time").alias("__time"))
-    names = [*normalised(header), "__file", "__time"]
+    from barwright.operators.quality import quality
+
+    raw = cells_of(spark.readStream.option("pathGlobFilter", "*.csv"), folder)
 
     def take(batch: DataFrame, number: int) -> None:
-        # Read once, and written under the batch's number: a batch that is tried again replaces what it left.
-        rows = coerced(batch.toDF(*names)).withColumn("symbol", symbol_of(F.col("__file"))).withColumn("seq", F.monotonically_increasing_id()).persist()
+        cells = batch.persist()
         try:
+            if not cells.limit(1).count():
+                return
+            rows = coerced(by_header(cells)).withColumn("symbol", symbol_of(F.col("__file")))
             rows.where("symbol is null").select("__file").distinct().write.mode("overwrite").parquet(f"{table}-quarantine/batch={number}")
             known = rows.where("symbol is not null")
             newest = known.groupBy("symbol").agg(F.max(F.struct("__time", "__file")).alias("__newest"))
             known = known.join(newest, "symbol").where(F.struct("__time", "__file") == F.col("__newest"))
             bars = known.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume")
             bars.where("ts is null or open is null or high is null or low is null or close is null").write.mode("overwrite").parquet(f"{table}-dropped/batch={number}")
-            cleaned(bars).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(table)
+            good = cleaned(bars)
+            good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(table)
+            quality(good).write.mode("overwrite").parquet(f"{table}-warnings/batch={number}")
         finally:
-            rows.unpersist()
+            cells.unpersist()
 
-    return named.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return raw.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

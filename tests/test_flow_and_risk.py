@@ -169,7 +169,7 @@ def test_simulations_equal_plain_ones(spark, skip, slip):
     import numpy as np
 
     pnls = [(-1) ** i * (i % 7) for i in range(50)]
-    df = trades(spark, pnls).withColumn("h", F.xxhash64("account", "trade_id"))
+    df = trades(spark, pnls).withColumn("h", resample.trade_hash(F.col("account"), F.col("trade_id")))
     known = sorted((r.h, r.pnl) for r in df.collect())
     hashes = np.array([h for h, _ in known]).view(np.uint64)
     sims = np.arange(40)

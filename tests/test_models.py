@@ -5,7 +5,7 @@ import pytest
 from helpers import START, bars, sequential_filter, sequential_path, walk
 from pyspark.sql import functions as F
 
-from barwright.operators import drift, evaluate, fit, hmm, report
+from barwright.operators import blocked_fit, drift, evaluate, fit, hmm, report
 from barwright.operators.features import features, trainable
 from barwright.plans import scan
 from barwright.plans.frames import LASTING, SAMPLE_MODEL, TWO_STATES
@@ -167,6 +167,35 @@ def test_fit_improves_and_orders_states(spark):
     assert scores == sorted(scores)
 
 
+def many(spark, series):
+    rows = [(name, 0, at + i, [float(v) for v in row]) for name, at, x in series for i, row in enumerate(x)]
+    return spark.createDataFrame(rows, "symbol string, window_idx int, bar_no bigint, features array<double>").repartition(5)
+
+
+def test_blocked_fit_equals_the_whole_one(spark):
+    """Series of one block, of several, of a block's exact length and not from a block's edge on; converged fits and others."""
+    dice = np.random.default_rng(12)
+    mixed = lambda n: np.where(dice.random((n, 1)) < 0.5, dice.normal(0, 1, (n, 3)), dice.normal(3, 2, (n, 3)))
+    series = [("A", 0, mixed(300)), ("B", 37, mixed(64)), ("C", 0, mixed(128)), ("D", 5, mixed(2)), ("E", 0, np.ones((70, 3)))]
+    for iterations in (1, 6):
+        found = {(r.symbol, r.restart): r for r in blocked_fit.fits(many(spark, series), ["symbol", "window_idx"], 2, 2, iterations, 0.5, block=64).collect()}
+        assert set(found) == {(s, r) for s in "ABCE" for r in (0, 1)}
+        for name, _, x in series:
+            for restart in (0, 1) if name != "D" else ():
+                whole, r = fit.canonical(fit.expectation_maximisation(x, 2, 42 * restart + 1, iterations, 0.5)), found[name, restart]
+                for column in blocked_fit.PARAMETERS:
+                    assert np.abs(np.array(r[column]) - np.array(whole[column])).max() < 1e-9, (name, restart, column)
+                assert abs(r.log_likelihood - whole["log_likelihood"]) < 1e-6 and (r.converged, r.n_iterations, r.n_rows) == (whole["converged"], whole["n_iterations"], len(x))
+
+
+def test_long_series_are_fitted_in_blocks(spark, monkeypatch):
+    dice = np.random.default_rng(13)
+    rows = many(spark, [("long", 0, dice.standard_normal((90, 2))), ("short", 0, dice.standard_normal((60, 2)))])
+    both = [sorted(map(str, fit.fits(rows, ["symbol"], 2, 1, 3, long=long).select("symbol", "restart", "n_iterations", "n_rows", F.round("log_likelihood", 6)).collect())) for long in (80, 10**6)]
+    assert both[0] == both[1] and len(both[0]) == 2
+    assert blocked_fit.fits(rows.limit(0), ["symbol"], 2, 1, 2).count() == 0
+
+
 def test_trained_models_are_sound(spark):
     rows = trainable(features(bars(spark, walk(400))))
     trained = fit.models(rows, k=3, restarts=1, iterations=5)

@@ -35,18 +35,63 @@ def test_csv_directory(spark, tmp_path):
     assert B.dropped_rows(raw).first().dropped == 2
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    """300 files under 3 headers: as many scans as for one file, and every bar under its own header's names."""
+    heads = ["timestamp,open,high,low,close,volume", "Vol,Last,LOW,High,Open,note,Date/Time", " Date ,Open,High,Low,Close,Volume"]
+    cells = {"timestamp": "2024-01-02 10:{:02d}:00", "open": "{0}.1", "high": "{0}.4", "low": "{0}.0", "close": "{0}.2", "volume": "{0}"}
+    for i in range(300):
+        names = [n for n in B.normalised(heads[i % 3].split(","))]
+        lines = [",".join(cells.get(n, "free").format(k) for n in names) for k in range(i % 4)]
+        (tmp_path / f"{'NQ ES CL'.split()[i % 3]} {i}.csv").write_text("\n".join([heads[i % 3], *lines]) + "\n")
+    (tmp_path / "empty NQ.csv").write_text("")
+    found = B.read_directory(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    rows = found.collect()
+    assert len(rows) == sum(i % 4 for i in range(300)) and {r.symbol for r in rows} == {"NQ", "ES", "CL"}
+    for r in rows:
+        k = r.ts.minute
+        assert (r.open, r.high, r.low, r.close, r.volume) == (float(f"{k}.1"), float(f"{k}.4"), float(f"{k}.0"), float(f"{k}.2"), float(k))
+    (tmp_path / "GC.csv").write_text("timestamp,open,high,low,volume\n")
+    with pytest.raises(ValueError, match="missing: close"):
+        B.read_directory(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no CSV"):
+        B.read_directory(spark, str(tmp_path / "none"))
+
+
 def test_export_ingest_replaces_a_symbol(spark, tmp_path):
     folder, table, checkpoint = (str(tmp_path / x) for x in ("in", "bars", "check"))
     (tmp_path / "in").mkdir()
-    head = ["timestamp", "open", "high", "low", "close", "volume"]
+    head, other = "timestamp,open,high,low,close,volume", "Vol,Last,Low,High,Open,Date"
     line = "2024-01-02 18:0{}:00,1,2,0.5,1.5,10\n"
     for name, n in (("NQ_a.csv", 3), ("ES.csv", 2), ("memo.csv", 1)):
-        (tmp_path / "in" / name).write_text(",".join(head) + "\n" + "".join(line.format(i) for i in range(n)))
-    M.ingest_exports(spark, folder, table, checkpoint, head).awaitTermination()
-    (tmp_path / "in" / "NQ_b.csv").write_text(",".join(head) + "\n" + line.format(9))
-    M.ingest_exports(spark, folder, table, checkpoint, head).awaitTermination()
-    assert {r.symbol: r["count"] for r in spark.read.parquet(table).groupBy("symbol").count().collect()} == {"NQ": 1, "ES": 2}
-    assert spark.read.parquet(f"{table}-quarantine").count() == 1
+        (tmp_path / "in" / name).write_text(head + "\n" + "".join(line.format(i) for i in range(n)))
+    (tmp_path / "in" / "CL.csv").write_text(other + "\n10,-1.5,3,2,1,2024-01-02 18:00:00\n10,-1.5,0.5,2,1,2024-01-02 18:00:00\n10,x,0.5,2,1,2024-01-02 18:00:00\n")
+    M.ingest_exports(spark, folder, table, checkpoint).awaitTermination()
+    (tmp_path / "in" / "NQ_b.csv").write_text(head + "\n" + line.format(9))
+    M.ingest_exports(spark, folder, table, checkpoint).awaitTermination()
+    assert {r.symbol: r["count"] for r in spark.read.parquet(table).groupBy("symbol").count().collect()} == {"NQ": 1, "ES": 2, "CL": 2}
+    assert spark.read.parquet(f"{table}-quarantine").count() == 1 and spark.read.parquet(f"{table}-dropped").count() == 1
+    warned = {(r.batch, r.symbol, r.check): r.n for r in spark.read.parquet(f"{table}-warnings").collect()}
+    assert warned[0, "CL", "duplicate_timestamps"] == 1 and warned[0, "CL", "high_below_low"] == 1 and warned[0, "CL", "close_not_positive"] == 2
+    assert warned[0, "NQ", "few_bars"] == 3 and warned[1, "NQ", "few_bars"] == 1 and (1, "ES", "few_bars") not in warned
+
+
+def test_a_batch_that_is_tried_again_replaces_what_it_left(spark, tmp_path):
+    """A batch that fails once it has written its bars runs again under its number: nothing is there twice."""
+    from unittest import mock
+
+    from barwright.operators import quality
+
+    folder, table, checkpoint = (str(tmp_path / x) for x in ("in", "bars", "check"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "NQ.csv").write_text("timestamp,open,high,low,close,volume\n2024-01-02 18:00:00,1,2,0.5,1.5,10\nsoon,1,2,0.5,1.5,10\n")
+    with mock.patch.object(quality, "quality", side_effect=RuntimeError("lost")), pytest.raises(Exception, match="lost"):
+        M.ingest_exports(spark, folder, table, checkpoint).awaitTermination()
+    assert spark.read.parquet(table).count() == 1
+    M.ingest_exports(spark, folder, table, checkpoint).awaitTermination()
+    assert spark.read.parquet(table).count() == 1 and spark.read.parquet(f"{table}-dropped").count() == 1 and spark.read.parquet(f"{table}-warnings").count() == 1
 
 
 def test_trades_models_requests(spark, tmp_path):
