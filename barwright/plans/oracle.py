@@ -404,6 +404,7 @@ SQL = {
       SELECT account, max(n) AS max_losses FROM (SELECT account, island, count_if(pnl < 0)::BIGINT AS n FROM i GROUP BY ALL) GROUP BY account""",
     "o1_prevailing_quotes": f"WITH {QUOTED} SELECT symbol, seq, ts, price, bid, ask FROM quoted",
     "o2_trade_sides": f"WITH {QUOTED} SELECT symbol, seq, buy_vol, sell_vol FROM sided",
+    "o3_streamed_flow": f"WITH {QUOTED} SELECT symbol, ts, buy_vol, sell_vol, {_r6('imbalance')} AS imbalance FROM flow JOIN (SELECT symbol, max(ts) AS latest FROM ticks GROUP BY symbol) USING (symbol) WHERE ts + INTERVAL 1 HOUR <= latest - INTERVAL 96 HOUR",
     "o3_bar_flow": f"WITH {QUOTED} SELECT symbol, ts, buy_vol, sell_vol, delta, total, {_r6('imbalance')} AS imbalance FROM flow",
     "o4_cumulative_delta": f"WITH {QUOTED} SELECT symbol, ts, sum(delta) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS cum_delta FROM flow",
     "o5_large_orders": f"""WITH {TICKS}, t AS (

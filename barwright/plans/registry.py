@@ -16,6 +16,8 @@ from barwright.plans.frames import SAMPLE_MODEL
 from barwright.sources import bars as bar_source
 from barwright.sources import messages, schema
 from barwright.sources.shared import new_path, stored
+from barwright.streaming import stateful
+from barwright.streaming import ticks as tick_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -467,20 +469,14 @@ def r5_few_simulations(spark, d):
     return rows.select("account", "n_sims", *(r6(c).alias(c) for c in ("mean_pnl", "p5_pnl", "median_pnl", "p95_pnl", "mean_dd", "p5_dd", "median_dd", "p95_dd")), "max_losses", r6("pass_rate").alias("pass_rate"))
 
 
-def _curve(spark, d):
-    order = Window.partitionBy("account").orderBy("ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = frames.trades(spark, d)
-    return rows.withColumns({"at": F.struct("ts", "trade_id"), "cum": F.sum("pnl").over(order)})
-
-
 @query
 def r3_max_drawdown(spark, d):
-    return resample.max_drawdown(_curve(spark, d), ["account"]).select("account", F.round("max_dd", 2).alias("max_dd"))
+    return risk.drawdowns(frames.trades(spark, d), block=512).select("account", F.round("max_dd", 2).alias("max_dd"))
 
 
 @query
 def r4_losing_streak(spark, d):
-    return resample.losing_streaks(_curve(spark, d), ["account"])
+    return risk.streaks(frames.trades(spark, d), block=512)
 
 
 @query
@@ -498,6 +494,21 @@ def o3_bar_flow(spark, d):
     return frames.flow(spark, d).select("symbol", "ts", "buy_vol", "sell_vol", "delta", "total", r6("imbalance").alias("imbalance"))
 
 
+@query
+def o3_streamed_flow(spark, d):
+    """The ticks as a stream of files, a few days at a time: the bars that are final four days before each symbol's last tick."""
+    stateful.use_rocksdb(spark)
+    rows, folder = frames.ticks(spark, d), new_path(spark, "tick-files")
+    for first in range(1, 32, 6):
+        rows.where(F.dayofmonth("ts").between(first, first + 5)).repartition(4).write.mode("append").parquet(folder)
+    good, _ = messages.ticks_of(spark.readStream.schema(schema.TICKS).option("maxFilesPerTrigger", 4).parquet(folder))
+    bars, late = new_path(spark, "stream-bars"), new_path(spark, "late-ticks")
+    tick_stream.write_tick_flow(good, bars, late, new_path(spark, "tick-checkpoint"), lateness="96 hours").awaitTermination()
+    found = spark.read.parquet(bars).select("symbol", "ts", "buy_vol", "sell_vol", r6("imbalance").alias("imbalance"))
+    # A late tick would be a row of its own here, which the SQL does not have.
+    return found.unionByName(spark.read.parquet(late).select("symbol", "ts", F.lit(-1.0).alias("buy_vol"), F.lit(-1.0).alias("sell_vol"), F.lit(0.0).alias("imbalance")))
+
+
 @query
 def o4_cumulative_delta(spark, d):
     return O.cumulative_delta(frames.flow(spark, d)).select("symbol", "ts", "cum_delta")

@@ -114,14 +114,14 @@ def read_directory(spark: SparkSession, path: str, start: str | None = None, end
     return bars.where(F.col("ts") < F.lit(end).cast("timestamp")) if end else bars
 
 
-def numbered(bars: DataFrame, by: str = "symbol") -> DataFrame:
-    """bars with bar_no, from 0 in the order of (ts, seq) within each symbol, without bringing a symbol into one task.
+def numbered(bars: DataFrame, by: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """bars with bar_no, from 0 in the given order (time first) within each symbol, without bringing a symbol into one task.
 
     Rows are counted by symbol and day, the small counts are summed up, and rows are numbered within their day.
     """
-    dated = bars.withColumn("__day", F.to_date("ts"))
+    dated = bars.withColumn("__day", F.to_date(order[0]))
     days = dated.groupBy(by, "__day").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
     days = days.select(by, "__day", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(by, "__day").orderBy("ts", "seq"))
+    within = F.row_number().over(Window.partitionBy(by, "__day").orderBy(*order))
     return dated.withColumn("__row", within).join(days, [by, "__day"]).withColumn("bar_no", F.col("__before") + F.col("__row") - 1).drop("__day", "__row", "__before")

@@ -13,12 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barwright.functions.scalar import SMALL
 from barwright.operators import drift
 from barwright.operators.features import PERIOD, VOL_WINDOW, VOLUME_WINDOW, WARM_UP, Z_WINDOW
-from barwright.sources.schema import FEATURES
+from barwright.sources.schema import FEATURES, session_id
 
 STATE = "value string"
 
@@ -93,7 +94,7 @@ class FeatureState(_Keyed):
             atr = s["atr"] = (sum(s["ranges"]) + true_range) / PERIOD
         else:
             atr = s["atr"] = (s["atr"] * (PERIOD - 1) + true_range) / PERIOD
-        day = str(e.ts.date())
+        day = e.session
         if day != s["session"]:
             s["session"], s["pv"], s["v"] = day, 0.0, 0.0
         s["pv"] += (e.high + e.low + e.close) / 3 * e.volume
@@ -110,11 +111,16 @@ class ScoreState(_Keyed):
 
     OUT = "symbol string, ts timestamp, seq bigint, state_probs array<double>, state int, confidence double, step_ll double, model_version string"
 
+    #: The model read last, as text and parsed: events that follow one another mostly share theirs.
+    _read = (None, None)
+
     def fresh(self):
         return {"version": None, "alpha": None}
 
     def step(self, e, s):
-        model = json.loads(e.model)
+        if self._read[0] != e.model:
+            self._read = (e.model, json.loads(e.model))
+        model = self._read[1]
         version = model["metadata"]["trained_at"]
         if s["version"] != version:
             s["version"], s["alpha"] = version, model["initial_probs"]
@@ -142,7 +148,7 @@ class HysteresisState(_Keyed):
         return {"regime": -1, "candidate": -1, "count": 0, "flips": 0, "session": None}
 
     def step(self, e, s):
-        day = str(e.ts.date())
+        day = e.session
         if day != s["session"]:
             s["session"], s["flips"] = day, 0
         if e.confidence >= self.confidence and s["flips"] < self.max_flips:
@@ -214,7 +220,7 @@ class RiskState(_Keyed):
 
     def step(self, e, s):
         max_loss, profit_lock, max_trades, max_losses = self.limits
-        day = str(e.ts.date())
+        day = e.session
         if day != s["day"]:
             s["day"] = day
             if s["state"] != "emergency_stop":
@@ -238,9 +244,14 @@ class RiskState(_Keyed):
         return {"account": e.account, "ts": e.ts, "seq": e.seq, "live_state": s["state"], "day_pnl": s["pnl"], "day_trades": s["trades"], "losses": s["losses"]}
 
 
-def apply(stream: DataFrame, processor: _Keyed, key: str = "symbol") -> DataFrame:
-    """The processor's output rows for a stream (or a batch frame) grouped by key. Needs the RocksDB state store, see use_rocksdb()."""
-    return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUT, outputMode="append", timeMode="none")
+def apply(stream: DataFrame, processor: _Keyed, key: str = "symbol", session: str = "UTC", session_start: str = "00:00") -> DataFrame:
+    """The processor's output rows for a stream (or a batch frame) grouped by key. Needs the RocksDB state store, see use_rocksdb().
+
+    Sessions, which reset what a processor keeps for a day, begin at session_start in the time zone `session`, through its changes
+    of clocks, as in schema.session_id; each event carries its own and the state keeps the last one.
+    """
+    rows = stream.withColumn("session", session_id(F.col("ts"), session, session_start).cast("string"))
+    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUT, outputMode="append", timeMode="none")
 
 
 def use_rocksdb(spark) -> None:

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,42 @@ def test_risk_states_and_locks(spark):
     assert [r.peak for r in locked] == [50, 50, 50, 55, 55, 85] and locked[3].progress == 0.55
 
 
+def plain_evaluation(pnls, days, trailing_limit, daily_limit):
+    """Trade by trade: (cum, peak, fall, day's sum, lock), and the curve's largest fall and longest run of losses."""
+    out, cum, peak, day, locked, today, down = [], 0.0, 0.0, None, False, 0.0, False
+    top, fall, run, longest = None, 0.0, 0, 0
+    for pnl, own in zip(pnls, days, strict=True):
+        if own != day:
+            day, today, down = own, 0.0, False
+        cum, today = cum + pnl, today + pnl
+        peak = max(peak, cum)
+        locked |= peak - cum >= trailing_limit
+        down |= today <= -daily_limit
+        out.append((cum, peak, peak - cum, today, "trailing" if locked else "daily" if down else None))
+        top = cum if top is None else max(top, cum)
+        fall, run = max(fall, top - cum), run + 1 if pnl < 0 else 0
+        longest = max(longest, run)
+    return out, fall, longest
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_accounts_are_judged_in_blocks(spark, block):
+    """Whole-account sums, peaks, locks, falls and runs from blocks of three trades, against trade by trade."""
+    dice = np.random.default_rng(21)
+    accounts = {"up": dice.integers(-5, 8, 90), "down": dice.integers(-8, 5, 90), "flat": np.zeros(20, int), "lost": np.full(40, -1), "one": np.array([-3])}
+    frame = None
+    for name, pnls in accounts.items():
+        own = trades(spark, pnls, name, day_every=7)
+        frame = own if frame is None else frame.unionByName(own)
+    found = {(r.account, r.trade_id): (r.cum_pnl, r.peak, r.trailing_dd, r.day_pnl, r.lock) for r in risk.evaluation(frame.repartition(4), 30, 9, 50, block=block).collect()}
+    falls = {r.account: r.max_dd for r in risk.drawdowns(frame, block=block).collect()}
+    runs = {r.account: r.max_losses for r in risk.streaks(frame, block=block).collect()}
+    for name, pnls in accounts.items():
+        rows, fall, longest = plain_evaluation(pnls.tolist(), [i // 7 for i in range(len(pnls))], 30, 9)
+        assert [found[name, i] for i in range(len(pnls))] == rows
+        assert (falls[name], runs[name]) == (fall, longest)
+
+
 def test_fills_pair_with_the_entry_before_them(spark):
     rows = [("a", "ES", T0, 1, 1, 1, 100.0, True), ("a", "ES", T0, 2, -1, 1, 101.0, False), ("a", "ES", T0, 3, -1, 1, 90.0, False), ("a", "ES", T0, 4, -1, 2, 100.0, True), ("a", "ES", T0, 5, 1, 2, 99.0, False)]
     found = risk.paired_fills(spark.createDataFrame(rows, schema.FILLS), schema.instruments(spark)).orderBy("seq").collect()

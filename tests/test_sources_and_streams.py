@@ -12,8 +12,8 @@ from barwright.plans import frames
 from barwright.plans.frames import SAMPLE_MODEL
 from barwright.sources import bars as B
 from barwright.sources import messages as M
-from barwright.sources.schema import FEATURES, MODEL, instruments, match_profile
-from barwright.streaming import flows, stateful
+from barwright.sources.schema import FEATURES, MODEL, instruments, match_profile, session_id
+from barwright.streaming import flows, stateful, ticks
 
 
 def test_headers():
@@ -163,6 +163,102 @@ def test_streaming_flow_equals_the_batch(spark, tmp_path):
     assert got and all(batch[k] == v for k, v in got.items()) and len(got) >= len(batch) - 10
 
 
+def tick_rows(n=4000, seed=3):
+    """Ticks of three symbols over a day and a half; many share a time."""
+    from datetime import datetime, timedelta
+
+    dice = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        at = datetime(2024, 1, 2) + timedelta(seconds=int(30 * (i // 2)))
+        rows.append((("A", "B", "C")[i % 3], at, i, "BAL"[int(dice.integers(0, 3))], float(100 + dice.integers(-3, 4)), float(dice.integers(0, 9))))
+    return rows
+
+
+TICK = "symbol string, ts timestamp, seq bigint, kind string, price double, volume double"
+
+
+def feed(spark, folder, batches):
+    """Files of ticks, each of which a stream takes in as a batch of its own."""
+    import time
+
+    for rows in batches:
+        spark.createDataFrame(rows, TICK).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+
+
+def run_ticks(spark, tmp_path, folder, lateness="1 hour"):
+    stateful.use_rocksdb(spark)
+    good, _ = M.ticks_of(spark.readStream.schema(TICK).option("maxFilesPerTrigger", 1).parquet(folder))
+    out = {name: str(tmp_path / name) for name in ("bars", "late", "check")}
+    ticks.write_tick_flow(good, out["bars"], out["late"], out["check"], "1 hour", lateness).awaitTermination()
+    read = lambda name: spark.read.parquet(out[name])
+    return {(r.symbol, r.ts): (r.buy_vol, r.sell_vol, r.delta, r.imbalance) for r in read("bars").collect()}, sorted(r.seq for r in read("late").collect())
+
+
+def batch_flow(spark, rows):
+    found = O.bar_flow(O.with_sides(O.with_quotes(spark.createDataFrame(rows, TICK))))
+    return {(r.symbol, r.ts): (r.buy_vol, r.sell_vol, r.delta, r.imbalance) for r in found.collect()}
+
+
+def test_a_tick_stream_gives_the_batch_bars(spark, tmp_path):
+    """Ticks out of order by less than the lateness, within files and between them: bars, quotes and sides are the batch's."""
+    dice, rows = np.random.default_rng(9), tick_rows()
+    # Each tick moves by up to 50 of the 60 minutes that are allowed.
+    order = sorted(range(len(rows)), key=lambda i: rows[i][1].timestamp() + 60 * dice.integers(0, 50))
+    shuffled = [rows[i] for i in order]
+    folder = str(tmp_path / "in")
+    feed(spark, folder, [shuffled[i : i + 900] for i in range(0, len(shuffled), 900)])
+    found, late = run_ticks(spark, tmp_path, folder)
+    batch = batch_flow(spark, rows)
+    assert late == [] and all(found[k] == batch[k] for k in found)
+    # Only the bars that the last hour keeps open are missing.
+    assert len(batch) - 9 <= len(found) < len(batch)
+
+
+def test_late_ticks_reach_the_side_table_and_change_no_bar(spark, tmp_path):
+    rows = tick_rows(2400)
+    clock = {s: max(r[1] for r in rows[:1600] if r[0] == s) for s in "ABC"}
+    behind = [(s, clock[s].replace(hour=clock[s].hour - 3), 10_000 + i, kind, 101.0, 1e6) for i, (s, kind) in enumerate([("A", "L"), ("A", "B"), ("B", "A"), ("C", "L")])]
+    folder = str(tmp_path / "in")
+    feed(spark, folder, [rows[:800], rows[800:1600], [*behind, *rows[1600:2000]], rows[2000:]])
+    found, late = run_ticks(spark, tmp_path, folder)
+    batch = batch_flow(spark, rows)
+    assert late == [r[2] for r in behind]
+    assert found and all(found[k] == batch[k] for k in found) and len(found) >= len(batch) - 9
+
+
+def test_sessions_of_another_time_zone(spark, tmp_path):
+    """Sessions from 18:00 in New York, over a change of clocks, in the stream as in the batch."""
+    from datetime import datetime, timedelta
+
+    rows = [(s, datetime(2024, 3, 8, 12) + timedelta(minutes=30 * i), *rest) for i, (s, _, *rest) in enumerate(walk(230))]
+    frame = bars(spark, rows)
+    zone = {"session": "America/New_York", "session_start": "18:00"}
+    (tmp_path / "f").mkdir(), (tmp_path / "h").mkdir(), (tmp_path / "r").mkdir()
+    found = {r.seq: r.vwap_distance for r in streamed(spark, tmp_path / "f", frame, lambda s: stateful.apply(s, stateful.FeatureState(), **zone)).collect()}
+    batch = features(frame, **zone).collect()
+    assert all(abs(found[r.seq] - r.vwap_distance) < 1e-6 for r in batch)
+    other = {r.seq: r.vwap_distance for r in features(frame).collect()}
+    assert sum(abs(found[i] - other[i]) > 1e-3 for i in found) > 20
+    # The session that begins on the evening of the 9th has an hour less: 18:00 is 23:00 UTC before the change and 22:00 after it.
+    sessions = {r.ts: r.session_id for r in batch}
+    assert sessions[datetime(2024, 3, 9, 23)] != sessions[datetime(2024, 3, 9, 22, 30)] and sessions[datetime(2024, 3, 10, 22)] != sessions[datetime(2024, 3, 10, 21, 30)]
+
+    from barwright.operators import decide
+    from test_flow_and_risk import RISK, risk_events
+
+    dice = np.random.default_rng(2)
+    proposals = frame.select("symbol", "ts", "seq", F.col("seq").alias("bar_no")).withColumns({"session_id": session_id(F.col("ts"), "America/New_York", "18:00"), "state": F.array(*(F.lit(int(x)) for x in dice.integers(0, 3, 230)))[F.col("seq").cast("int")], "confidence": F.lit(0.9), "step_ll": F.lit(0.0)})
+    want = {r.bar_no: (r.regime, r.flips) for r in decide.hysteresis(proposals, dwell=1, max_flips=2).collect()}
+    got = streamed(spark, tmp_path / "h", proposals, lambda s: stateful.apply(s, stateful.HysteresisState(dwell=1, max_flips=2), **zone)).collect()
+    assert {r.seq: (r.regime, r.flips) for r in got} == want
+    events = spark.createDataFrame(risk_events(5), RISK).withColumn("ts", F.expr("timestamp '2024-03-08 12:00:00' + make_dt_interval(0, 0, 0, seq * 1300.0)"))
+    want = {(r.account, r.seq): (r.live_state, r.day_pnl, r.day_trades, r.losses) for r in risk.live_state(events, 60, 70, 2, 3, **zone).collect()}
+    got = streamed(spark, tmp_path / "r", events, lambda s: stateful.apply(s, stateful.RiskState(60, 70, 2, 3), "account", **zone)).collect()
+    assert {(r.account, r.seq): (r.live_state, r.day_pnl, r.day_trades, r.losses) for r in got} == want
+
+
 def test_streaming_regimes_and_risk(spark, tmp_path):
     from test_flow_and_risk import proposals, sequential_hysteresis
 
