@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import SMALL
+from barwright.operators.features import BUCKET, by_halo
 from barwright.sources.schema import FEATURES
+from barwright.sources.shared import small_join
 
 #: Fixed limits: rows of the window, rows that make it ready, states and rows that the measures need.
 WINDOW, READY, LEAST_STATES, LEAST_ROWS = 500, 100, 10, 30
+#: Models that one broadcast may hold.
+MODELS = 20_000
 THRESHOLDS = {"occupancy": 0.3, "transition": 0.5, "likelihood": 0.2, "feature": 0.15}
 
 
@@ -106,12 +110,53 @@ def feature_drift(recent: DataFrame, models: DataFrame) -> DataFrame:
     return _with_models(recent, models, 1).select("symbol", F.explode(_features()).alias("x")).select("symbol", "x.feature", "x.drift")
 
 
-def metrics(scored: DataFrame, models: DataFrame, k: int, window: int = WINDOW, baseline: str = "per_bar") -> DataFrame:
-    """One row a symbol: n, ready and the four measures to four places; feature drifts as a map. One pass over the last `window` rows."""
-    rows = _with_models(latest(scored, window), models, k)
+def _measured(rows: DataFrame, k: int, window: int, baseline: str, *keys: str) -> DataFrame:
+    """keys, n, the four measures to four places (feature drifts as a map) and ready, of rows of evidence beside their models."""
     drifts = F.map_from_entries(F.transform(_features(), lambda x: F.struct(x["feature"], F.round(x["drift"], 4))))
     rounded = {"occupancy_drift": _occupancy(k), "transition_drift": _transitions(), "likelihood_drop": _likelihood(baseline)}
-    return rows.select("symbol", "n", *(F.round(x, 4).alias(name) for name, x in rounded.items()), drifts.alias("feature_drift"), (F.col("n") >= min(READY, window)).alias("ready"))
+    return rows.select(*keys, "n", *(F.round(x, 4).alias(name) for name, x in rounded.items()), drifts.alias("feature_drift"), (F.col("n") >= min(READY, window)).alias("ready"))
+
+
+def metrics(scored: DataFrame, models: DataFrame, k: int, window: int = WINDOW, baseline: str = "per_bar") -> DataFrame:
+    """One row a symbol: n, ready and the four measures to four places; feature drifts as a map. One pass over the last `window` rows."""
+    return _measured(_with_models(latest(scored, window), models, k), k, window, baseline, "symbol")
+
+
+def rolling_evidence(scored: DataFrame, k: int, window: int = WINDOW, rows: int = BUCKET) -> DataFrame:
+    """For every row of scored (symbol, ts, seq, bar_no, state, step_ll, features by name) what evidence() says of the `window` rows up to it.
+
+    Counts and sums slide as differences of running ones, in buckets that repeat `window` rows: the cost of a row does not depend on
+    the window, and no series meets in one task. A deviation too small for the sums' precision counts as 0.
+    """
+    order = Window.partitionBy("symbol", "bucket").orderBy("bar_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    spread = by_halo(scored, rows, window).withColumn("__from", F.lag("state").over(order))
+    state = lambda i: F.col("state") == i
+    summed = {"n": F.lit(1), "ll": F.col("step_ll")}
+    summed |= {f"c{i}": state(i).cast("int") for i in range(k)}
+    summed |= {f"m{i}_{j}": F.coalesce((F.col("__from") == i) & state(j), F.lit(False)).cast("int") for i in range(k) for j in range(k)}
+    summed |= {f"s{i}": F.col(f) for i, f in enumerate(FEATURES)} | {f"q{i}": F.col(f) * F.col(f) for i, f in enumerate(FEATURES)}
+    spread = spread.withColumns({f"__{name}": F.sum(x).over(upto) for name, x in summed.items()})
+    # A window's first row has no row before it: of changes between rows there is one less.
+    behind = lambda name: window - 1 if name.startswith("m") else window
+    slid = lambda name: F.col(f"__{name}") - F.coalesce(F.lag(f"__{name}", behind(name)).over(order), F.lit(0))
+    found = spread.withColumns({f"__w_{name}": slid(name) for name in summed}).where(~F.col("in_halo"))
+    w = lambda name: F.col(f"__w_{name}")
+    n = w("n")
+    means = [w(f"s{i}") / n for i in range(len(FEATURES))]
+    spreads = [w(f"q{i}") / n - m * m for i, m in enumerate(means)]
+    deviations = [F.when(n > 1, F.sqrt(F.when(v > 1e-11 * w(f"q{i}") / n, v).otherwise(0.0) * n / (n - 1))) for i, v in enumerate(spreads)]
+    return found.select(
+        "symbol", "ts", "seq", "bar_no", n.alias("n"), F.array(*(w(f"c{i}") for i in range(k))).alias("c"), F.array(*(w(f"m{i}_{j}") for i in range(k) for j in range(k))).alias("moves"),
+        (w("ll") / n).alias("mean_ll"), F.array(*means).alias("seen_mean"), F.array(*deviations).alias("seen_std"),
+    )
+
+
+def rolling_metrics(scored: DataFrame, models: DataFrame, k: int, window: int = WINDOW, baseline: str = "per_bar", rows: int = BUCKET) -> DataFrame:
+    """metrics() after every row: symbol, ts, seq, bar_no, n, the measures and ready, of the `window` rows up to it; as the stream has them."""
+    own = models.select("symbol", "transition_matrix", "feature_mean", "feature_std", "metadata")
+    met = small_join(rolling_evidence(scored, k, window, rows), own, ["symbol"], limit=MODELS)
+    return _measured(met, k, window, baseline, "symbol", "ts", "seq", "bar_no")
 
 
 def decision(measured: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:

@@ -248,6 +248,26 @@ def _path_by_own(versions: list[tuple]) -> str:
 )"""
 
 
+def _rolling_drift(window: int) -> str:
+    """The drift measures of the last rows at every row, by frames."""
+    q, mean, std = (SAMPLE_MODEL[c] for c in ("transition_matrix", "feature_mean", "feature_std"))
+    sums = [f"sum((state = {i})::INTEGER) OVER w AS c{i}" for i in range(3)] + [f"coalesce(sum((before = {i} AND state = {j})::INTEGER) OVER v, 0) AS m{i}{j}" for i in range(3) for j in range(3)]
+    sums += [f"avg({x}) OVER w AS mean{c}, stddev_samp({x}) OVER w AS std{c}" for c, x in enumerate(NAMES)]
+    share = lambda i, j: f"least(greatest(CASE WHEN m{i}0 + m{i}1 + m{i}2 > 0 THEN m{i}{j} / (m{i}0 + m{i}1 + m{i}2) ELSE 0.0 END, 1e-10), 1)"
+    moved = " + ".join(f"{share(i, j)} * ln({share(i, j)} / {q[i][j]})" for i in range(3) for j in range(3))
+    drifts = [f"round(CASE WHEN n < 30 THEN 0 ELSE 0.7 * abs(mean{c} - {mean[c]}) / {std[c]} + 0.3 * abs(ln(greatest(coalesce(std{c}, 0), 1e-10) / {std[c]})) END, 4) AS f{c}" for c in range(6)]
+    first = "CASE " + " ".join(f"WHEN f{c} > 0.15 THEN 'feature:{x}'" for c, x in enumerate(NAMES)) + " END"
+    return f"""{SCORED}, slid AS (
+  SELECT symbol, ts, count(*) OVER w AS n, avg(step_ll) OVER w AS mean_ll, {", ".join(sums)} FROM (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY bar_no) AS before FROM scored)
+  WINDOW w AS (PARTITION BY symbol ORDER BY bar_no ROWS {window - 1} PRECEDING), v AS (PARTITION BY symbol ORDER BY bar_no ROWS {window - 2} PRECEDING)
+), measured AS (
+  SELECT symbol, ts, n, n >= 100 AS ready, round((pow(c0 - n / 3, 2) + pow(c1 - n / 3, 2) + pow(c2 - n / 3, 2)) / (n / 3) / 3, 4) AS occupancy_drift,
+    round(CASE WHEN n < 10 THEN 0.0 ELSE greatest(({moved}) / 3, 0) END, 4) AS transition_drift, round(least(greatest((-2.5 - mean_ll) / 2.5, 0), 1), 4) AS likelihood_drop, {", ".join(drifts)}
+  FROM slid
+), told AS (
+  SELECT *, CASE WHEN ready THEN concat_ws(',', CASE WHEN occupancy_drift > 0.3 THEN 'occupancy' END, CASE WHEN transition_drift > 0.5 THEN 'transition' END, CASE WHEN likelihood_drop > 0.2 THEN 'likelihood' END, {first}) ELSE '' END AS reasons FROM measured)"""
+
+
 def _em_step() -> str:
     """Forward and backward recursions over all bars from the sample model, and the parameters that their posteriors give."""
     p, a = SAMPLE_MODEL["initial_probs"], SAMPLE_MODEL["transition_matrix"]
@@ -387,6 +407,7 @@ SQL = {
     "r1_few_simulations": f"WITH {_simulated(5, 0.1, 0.0, 42)} SELECT account, sim, round(final_pnl, 2) AS final_pnl, round(max_dd, 2) AS max_dd, max_losses FROM simulated",
     "r1_few_with_slippage": f"WITH {_simulated(3, 0.05, 20.0, 7)} SELECT account, sim, round(final_pnl, 4) AS final_pnl, round(max_dd, 4) AS max_dd, max_losses FROM simulated",
     "r5_few_simulations": f"WITH {_simulated(12, 0.0, 0.0, 42)} SELECT account, count(*) AS n_sims, {_r6('avg(final_pnl)')} AS mean_pnl, {_r6('quantile_cont(final_pnl, 0.05)')} AS p5_pnl, {_r6('quantile_cont(final_pnl, 0.5)')} AS median_pnl, {_r6('quantile_cont(final_pnl, 0.95)')} AS p95_pnl, {_r6('avg(max_dd)')} AS mean_dd, {_r6('quantile_cont(max_dd, 0.05)')} AS p5_dd, {_r6('quantile_cont(max_dd, 0.5)')} AS median_dd, {_r6('quantile_cont(max_dd, 0.95)')} AS p95_dd, max(max_losses) AS max_losses, {_r6('avg((final_pnl > 500 AND max_dd < 400)::INTEGER)')} AS pass_rate FROM simulated GROUP BY account",
+    "d1_rolling_drift": f"WITH RECURSIVE {_rolling_drift(200)} SELECT symbol, ts, n, ready, occupancy_drift, transition_drift, likelihood_drop, reasons <> '' AS retrain, reasons FROM told",
     "m3_log_likelihood": f"WITH RECURSIVE {SCORED} SELECT symbol, round(sum(step_ll), 3) AS log_likelihood, count(*) AS n_bars FROM scored GROUP BY symbol",
     "m5_viterbi": f"WITH RECURSIVE {_VITERBI} SELECT symbol, ts, state::INTEGER AS state FROM path JOIN emitted USING (symbol, bar_no)",
     "m8_validation": """SELECT CASE p_size WHEN 1 THEN 'schema version 99' WHEN 2 THEN 'unknown symbol: INVALID' WHEN 3 THEN 'initial_probs has the wrong length' WHEN 4 THEN 'means has the wrong shape'

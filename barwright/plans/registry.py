@@ -426,6 +426,13 @@ def d7_retrain_decision(spark, d):
     return rows.select("symbol", "n", "ready", "occupancy_drift", "retrain", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query
+def d1_rolling_drift(spark, d):
+    """The measures and the decision after every bar, of the 200 bars up to it."""
+    rows = drift.decision(drift.rolling_metrics(_scored(spark, d), frames.models(spark, d), 3, window=200, rows=256))
+    return rows.select("symbol", "ts", "n", "ready", "occupancy_drift", "transition_drift", "likelihood_drop", "retrain", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query
 def d8_bars_to_retrain(spark, d):
     decided = drift.decision(drift.metrics(_scored(spark, d), frames.models(spark, d), 3))

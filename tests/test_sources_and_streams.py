@@ -287,6 +287,19 @@ def test_streaming_drift_equals_the_batch(spark, tmp_path):
     for name in ("n", "ready", "occupancy_drift", "transition_drift", "likelihood_drop", "retrain"):
         assert last[name] == batch[name], name
     assert last.reasons.split(",") == batch.reasons
+    # The batch's rolling form equals the stream after every event, over a window that slides, in buckets.
+    (tmp_path / "w").mkdir()
+    found = streamed(spark, tmp_path / "w", asked, lambda s: stateful.apply(s, stateful.DriftState(window=60))).collect()
+    for size in (64, 10**6):
+        rolling = {r.seq: r for r in drift.decision(drift.rolling_metrics(B.numbered(rows), models, 3, window=60, rows=size)).collect()}
+        assert len(rolling) == len(found)
+        for r in found:
+            own = rolling[r.seq]
+            for name in ("n", "ready", "retrain"):
+                assert r[name] == own[name], (name, r.seq)
+            for name in ("occupancy_drift", "transition_drift", "likelihood_drop"):
+                assert abs(r[name] - own[name]) < 1.1e-4, (name, r.seq)
+            assert r.reasons == ",".join(own.reasons)
 
 
 def test_ticks_responses_and_status(spark, tmp_path):
