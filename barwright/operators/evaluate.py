@@ -93,6 +93,13 @@ def walk_forward(featured: DataFrame, k: int = 3, train: int = TRAIN, test: int
     assigned = assign(featured.select("symbol", "bar_no", "features"), train, test, step)
     keys = ["symbol", "window_idx"]
     fitted = stored(fit.best(fit.fits(assigned.where("part = 'train'"), keys, k, restarts, **training), keys), "fits")
+    return judged(featured, assigned, fitted, k, train, test, step)
+
+
+def judged(featured: DataFrame, assigned: DataFrame, fitted: DataFrame, k: int = 3, train: int = TRAIN, test: int = TEST, step: int = STEP) -> tuple[DataFrame, DataFrame]:
+    """(windows, summary) of models that are there already: fitted has a row for each symbol and window_idx with its parameters and
+    log_likelihood, assigned is assign() of featured. Windows without a model are left out."""
+    keys = ["symbol", "window_idx"]
     scored = test_scores(assigned, fitted)
     likelihoods = scored.groupBy(*keys).agg(F.sum("step_ll").alias("test_ll"))
     windows = (

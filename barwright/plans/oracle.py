@@ -248,6 +248,41 @@ def _path_by_own(versions: list[tuple]) -> str:
 )"""
 
 
+def _judged(train: int, test: int, step: int) -> str:
+    """The test part of every window that fits, filtered and decoded under the sample model from its own first bar."""
+    p, a = SAMPLE_MODEL["initial_probs"], SAMPLE_MODEL["transition_matrix"]
+    later = [" + ".join(f"f.p{i} * {a[i][j]}" for i in range(3)) for j in range(3)]
+
+    def forward(prediction: list, source: str) -> str:
+        return f"""SELECT symbol, window_idx, n, exp(j0 - m - ln(t)) AS p0, exp(j1 - m - ln(t)) AS p1, exp(j2 - m - ln(t)) AS p2, m + ln(t) AS step_ll FROM (
+    SELECT *, exp(j0 - m) + exp(j1 - m) + exp(j2 - m) AS t FROM (SELECT *, greatest(j0, j1, j2) AS m FROM (
+      SELECT e.symbol, e.window_idx, e.n, {", ".join(f"ln(greatest({x}, 1e-300)) + e.e{i} AS j{i}" for i, x in enumerate(prediction))} FROM {source})))"""
+
+    return f"""{FEATURES}, plan AS (
+  SELECT symbol, i::INTEGER AS window_idx, i * {step} AS start, i * {step} + {train} AS train_end, i * {step} + {train + test} AS test_end
+  FROM (SELECT symbol, unnest(range((count(*) - {train + test}) // {step} + 1)) AS i FROM features GROUP BY symbol HAVING count(*) >= {train + test})
+), emitted AS (
+  SELECT f.symbol, window_idx, bar_no - train_end AS n, {", ".join(f"{_log_density(i)} AS e{i}" for i in range(3))} FROM features f JOIN plan w ON w.symbol = f.symbol AND bar_no >= train_end AND bar_no < test_end
+), forward AS (
+  {forward(p, "emitted e WHERE e.n = 0")}
+  UNION ALL
+  {forward(later, "forward f JOIN emitted e ON e.symbol = f.symbol AND e.window_idx = f.window_idx AND e.n = f.n + 1")}
+), best AS (
+  SELECT symbol, window_idx, n, {", ".join(f"ln({p[i]}) + e{i} AS v{i}" for i in range(3))}, 0 AS b0, 0 AS b1, 0 AS b2 FROM emitted WHERE n = 0
+  UNION ALL
+  SELECT e.symbol, e.window_idx, e.n, {", ".join(f"{_VITERBI_MOVE(j, 'v')} + e.e{j}" for j in range(3))}, {", ".join(_CAME(j) for j in range(3))} FROM best v JOIN emitted e ON e.symbol = v.symbol AND e.window_idx = v.window_idx AND e.n = v.n + 1
+), path AS (
+  SELECT symbol, window_idx, n, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS state FROM best QUALIFY row_number() OVER (PARTITION BY symbol, window_idx ORDER BY n DESC) = 1
+  UNION ALL
+  SELECT b.symbol, b.window_idx, b.n - 1, CASE p.state WHEN 0 THEN b.b0 WHEN 1 THEN b.b1 ELSE b.b2 END FROM path p JOIN best b ON b.symbol = p.symbol AND b.window_idx = p.window_idx AND b.n = p.n WHERE b.n > 0
+), same AS (SELECT *, (state = lag(state) OVER (PARTITION BY symbol, window_idx ORDER BY n))::INTEGER AS same FROM path
+), stable AS (SELECT symbol, window_idx, coalesce(avg(same), 1) AS stability FROM same GROUP BY ALL
+), counted AS (SELECT symbol, window_idx, state, count(*) AS c FROM path GROUP BY ALL
+), top AS (SELECT symbol, window_idx, state::INTEGER AS dominant_state FROM counted QUALIFY row_number() OVER (PARTITION BY symbol, window_idx ORDER BY c DESC, state) = 1
+), likely AS (SELECT symbol, window_idx, sum(step_ll) AS test_ll FROM forward GROUP BY ALL
+), judged AS (SELECT * FROM plan JOIN likely USING (symbol, window_idx) JOIN stable USING (symbol, window_idx) JOIN top USING (symbol, window_idx))"""
+
+
 def _rolling_drift(window: int) -> str:
     """The drift measures of the last rows at every row, by frames."""
     q, mean, std = (SAMPLE_MODEL[c] for c in ("transition_matrix", "feature_mean", "feature_std"))
@@ -408,6 +443,8 @@ SQL = {
     "r1_few_with_slippage": f"WITH {_simulated(3, 0.05, 20.0, 7)} SELECT account, sim, round(final_pnl, 4) AS final_pnl, round(max_dd, 4) AS max_dd, max_losses FROM simulated",
     "r5_few_simulations": f"WITH {_simulated(12, 0.0, 0.0, 42)} SELECT account, count(*) AS n_sims, {_r6('avg(final_pnl)')} AS mean_pnl, {_r6('quantile_cont(final_pnl, 0.05)')} AS p5_pnl, {_r6('quantile_cont(final_pnl, 0.5)')} AS median_pnl, {_r6('quantile_cont(final_pnl, 0.95)')} AS p95_pnl, {_r6('avg(max_dd)')} AS mean_dd, {_r6('quantile_cont(max_dd, 0.05)')} AS p5_dd, {_r6('quantile_cont(max_dd, 0.5)')} AS median_dd, {_r6('quantile_cont(max_dd, 0.95)')} AS p95_dd, max(max_losses) AS max_losses, {_r6('avg((final_pnl > 500 AND max_dd < 400)::INTEGER)')} AS pass_rate FROM simulated GROUP BY account",
     "d1_rolling_drift": f"WITH RECURSIVE {_rolling_drift(200)} SELECT symbol, ts, n, ready, occupancy_drift, transition_drift, likelihood_drop, reasons <> '' AS retrain, reasons FROM told",
+    "x3_windows_of_a_given_model": f"WITH RECURSIVE {_judged(90, 60, 30)} SELECT symbol, window_idx, start, train_end, test_end, round(test_ll, 3) AS test_ll, {_r6('stability')} AS stability, dominant_state, ['low_vol', 'trending', 'high_vol'][dominant_state + 1] AS dominant_regime FROM judged",
+    "x6_summary_of_a_given_model": f"WITH RECURSIVE {_judged(90, 60, 30)} SELECT symbol, round(avg(test_ll), 3) AS mean_test_ll, {_r6('avg(stability)')} AS mean_stability, count(*) AS n_windows FROM judged GROUP BY symbol",
     "m3_log_likelihood": f"WITH RECURSIVE {SCORED} SELECT symbol, round(sum(step_ll), 3) AS log_likelihood, count(*) AS n_bars FROM scored GROUP BY symbol",
     "m5_viterbi": f"WITH RECURSIVE {_VITERBI} SELECT symbol, ts, state::INTEGER AS state FROM path JOIN emitted USING (symbol, bar_no)",
     "m8_validation": """SELECT CASE p_size WHEN 1 THEN 'schema version 99' WHEN 2 THEN 'unknown symbol: INVALID' WHEN 3 THEN 'initial_probs has the wrong length' WHEN 4 THEN 'means has the wrong shape'

@@ -689,6 +689,26 @@ def x6_walk_forward_summary(spark, d):
     return evaluate.walk_forward(stored(frames.featured(spark, d), "features"), train=300, test=100, step=100)[1]
 
 
+def _judged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Walk-forward windows under the sample model, whatever a training would have found."""
+    rows = stored(frames.featured(spark, d), "features")
+    assigned = evaluate.assign(rows.select("symbol", "bar_no", "features"), 90, 60, 30)
+    given = evaluate.window_plan(rows, 90, 60, 30).select("symbol", "window_idx")
+    sample = frames.models(spark, d).select("symbol", "initial_probs", "transition_matrix", "means", "variances", F.col("metadata.log_likelihood").alias("log_likelihood"))
+    return evaluate.judged(rows, assigned, stored(given.join(sample, "symbol"), "given"), 3, 90, 60, 30)
+
+
+@query
+def x3_windows_of_a_given_model(spark, d):
+    found = _judged(spark, d)[0]
+    return found.select("symbol", "window_idx", "start", "train_end", "test_end", F.round("test_ll", 3).alias("test_ll"), r6("stability").alias("stability"), "dominant_state", "dominant_regime")
+
+
+@query
+def x6_summary_of_a_given_model(spark, d):
+    return _judged(spark, d)[1].select("symbol", F.round("mean_test_ll", 3).alias("mean_test_ll"), r6("mean_stability").alias("mean_stability"), "n_windows")
+
+
 def _log(spark, d):
     return frames.table(spark, d, "events").select(F.col("event_type").alias("symbol"), (F.col("event_id") % 50 == 0).alias("is_error"), (F.col("event_id") % 7).cast("double").alias("latency_ms"))
 
