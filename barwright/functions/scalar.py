@@ -84,14 +84,3 @@ def regime_signal(regime: Column, label: Column, return_z: Column, rsi_deviation
     wild = (F.coalesce(label, F.lit("")) == "high_vol") | (regime == 2)
     sign = lambda x, y, bound: F.when(x > bound, 1).when(y > bound, -1).otherwise(0)
     return F.when(quiet, 0).when(trending, sign(return_z, -return_z, trend)).when(wild, sign(-rsi_deviation, rsi_deviation, fade)).otherwise(0)
-
-
-def uniform(*parts: Column) -> Column:
-    """A number in (0, 1) that depends on the parts alone, whatever the partitioning."""
-    text = F.concat_ws("|", *(p.cast("string") for p in parts))
-    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
-def normal(first: Column, second: Column) -> Column:
-    """A standard normal number from two uniform ones."""
-    return F.sqrt(F.lit(-2.0) * F.log(first)) * F.cos(F.lit(2 * math.pi) * second)

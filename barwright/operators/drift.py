@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barwright.functions.scalar import SMALL
 from barwright.operators.features import BUCKET, by_halo
 from barwright.sources.schema import FEATURES
-from barwright.sources.shared import small_join
+from barwright.sources.shared import small_join, stored
 
 #: Fixed limits: rows of the window, rows that make it ready, states and rows that the measures need.
 WINDOW, READY, LEAST_STATES, LEAST_ROWS = 500, 100, 10, 30
@@ -170,5 +170,6 @@ def decision(measured: DataFrame, thresholds: dict[str, float] = THRESHOLDS) ->
 
 def to_retrain(decided: DataFrame, bars: DataFrame) -> DataFrame:
     """The bars of the symbols whose models are to be trained again."""
-    return bars.join(F.broadcast(decided.where("retrain").select("symbol")), "symbol", "left_semi")
+    due = stored(decided.where("retrain").select("symbol"), "to-retrain")
+    return small_join(bars, due, ["symbol"], "left_semi")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.scalar import regime_label
 from barwright.operators import fit
+from barwright.operators.features import BUCKET, by_halo
 from barwright.plans import scan
 from barwright.sources.shared import small_join, stored
 
@@ -38,11 +39,21 @@ def assign(rows: DataFrame, train: int = TRAIN, test: int = TEST, step: int = ST
     return joined.withColumn("part", F.when(F.col(number) < F.col("train_end"), "train").otherwise("test")).drop("start", "train_end")
 
 
-def stability(states: DataFrame, *by: str, order: str = "bar_no") -> DataFrame:
-    """by, stability: the share of rows with the state of the row before them; 1 for a single row."""
-    by = by or ("symbol",)
-    same = F.col("state") == F.lag("state").over(Window.partitionBy(*by).orderBy(order))
-    return states.withColumn("__same", same.cast("double")).groupBy(*by).agg(F.coalesce(F.avg("__same"), F.lit(1.0)).alias("stability"))
+def stability(states: DataFrame, *by: str, order: str = "bar_no", rows: int = BUCKET) -> DataFrame:
+    """by (symbol), stability: the share of rows with the state of the row before them; 1 for a single row.
+
+    By symbol, with order a number that runs on, it works in buckets of `rows` rows that repeat the one before them; by other
+    keys (windows of a walk-forward) each group is one window.
+    """
+    keys = list(by or ("symbol",))
+    if keys == ["symbol"] and order == "bar_no":
+        states = by_halo(states, rows, 1)
+        same = F.col("state") == F.lag("state").over(Window.partitionBy("symbol", "bucket").orderBy(order))
+        found = states.withColumn("__same", same.cast("double")).where("not in_halo")
+    else:
+        same = F.col("state") == F.lag("state").over(Window.partitionBy(*keys).orderBy(order))
+        found = states.withColumn("__same", same.cast("double"))
+    return found.groupBy(*keys).agg(F.coalesce(F.avg("__same"), F.lit(1.0)).alias("stability"))
 
 
 def dominant(states: DataFrame, *by: str, k: int = 3) -> DataFrame:

@@ -208,6 +208,6 @@ def train_all(bars: DataFrame, featured: DataFrame, k: int = 3, **training) -> t
     from barwright.operators.features import trainable
     from barwright.operators.quality import training_status
 
-    status = training_status(bars, featured)
-    usable = trainable(featured).join(F.broadcast(status.where("status = 'ok'").select("symbol")), "symbol", "left_semi")
+    status = stored(training_status(bars, featured), "training-status")
+    usable = small_join(trainable(featured), status.where("status = 'ok'").select("symbol"), ["symbol"], "left_semi")
     return models(usable, k, **training), status

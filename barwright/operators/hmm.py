@@ -33,7 +33,7 @@ def emissions_from(rows: DataFrame, models: DataFrame) -> DataFrame:
         total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
         return F.lit(-0.5) * (F.size(mean) * F.log(F.lit(6.283185307179586)) + total)
 
-    joined = rows.join(F.broadcast(models.select("symbol", "k", "means", "variances")), "symbol")
+    joined = small_join(rows, models.select("symbol", "k", "means", "variances"), ["symbol"], limit=MODELS)
     return joined.withColumn("log_emission", F.zip_with("means", "variances", state)).drop("means", "variances")
 
 
@@ -140,10 +140,10 @@ def validated(models: DataFrame) -> DataFrame:
 def answered(requests: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests that can be scored, joined with their model's row, and error rows (symbol, code, message) for the others.
 
-    The model table is small and broadcast; a request of unknown type, without a model, or with the wrong number of features is
+    The model table is broadcast behind a count; a request of unknown type, without a model, or with the wrong number of features is
     an error.
     """
-    joined = requests.join(F.broadcast(models.select("symbol", "k", "n_features", F.col("metadata.trained_at").alias("model_version"))), "symbol", "left")
+    joined = small_join(requests, models.select("symbol", "k", "n_features", F.col("metadata.trained_at").alias("model_version")), ["symbol"], "left", MODELS)
     code = F.coalesce(
         F.when(F.coalesce(F.col("type"), F.lit("")) != "infer", F.lit("INVALID_REQUEST")),
         F.when(F.col("k").isNull(), F.lit("MODEL_NOT_FOUND")),

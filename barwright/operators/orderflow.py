@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.operators.features import by_halo
+from barwright.operators.features import BUCKET, by_halo
 from barwright.sources.bars import numbered
 
 #: Fixed by the contract: sizes looked back on, how many are needed, and how many times the mean is large.
@@ -94,13 +94,19 @@ def bar_proxy(bars: DataFrame, flow: DataFrame | None = None) -> DataFrame:
     return joined.withColumns({"delta": F.coalesce("__d", place * F.col("volume")), "imbalance": F.coalesce("__i", place)}).drop("__d", "__i")
 
 
-def delta_z(flow: DataFrame, lookback: int = 5) -> DataFrame:
-    """flow with delta_z: the mean of the last `lookback` deltas against mean and deviation of the last max(2 lookback, 50); and n_deltas."""
-    order = Window.partitionBy("symbol").orderBy("ts")
-    short, wide = order.rowsBetween(1 - lookback, 0), order.rowsBetween(1 - max(2 * lookback, 50), 0)
+def delta_z(flow: DataFrame, lookback: int = 5, rows: int = BUCKET) -> DataFrame:
+    """flow with delta_z: the mean of the last `lookback` deltas against mean and deviation of the last max(2 lookback, 50); and n_deltas.
+
+    Works in buckets of `rows` bars that repeat those they look back on. flow has one row for each symbol and ts.
+    """
+    far = max(2 * lookback, 50)
+    spread_out = by_halo(numbered(flow, order=("ts",)), rows, far)
+    order = Window.partitionBy("symbol", "bucket").orderBy("bar_no")
+    short, wide = order.rowsBetween(1 - lookback, 0), order.rowsBetween(1 - far, 0)
     spread = F.coalesce(F.stddev_samp("delta").over(wide), F.lit(0.0))
     z = (F.avg("delta").over(short) - F.avg("delta").over(wide)) / spread
-    return flow.withColumns({"delta_z": F.when(spread > 1e-10, z).otherwise(0.0), "n_deltas": F.row_number().over(order)})
+    found = spread_out.withColumns({"delta_z": F.when(spread > 1e-10, z).otherwise(0.0), "n_deltas": (F.col("bar_no") + 1).cast("int")})
+    return found.where("not in_halo").drop("bar_no", "bucket", "in_halo")
 
 
 def confirmation(signal: Column, z: Column, imbalance: Column, n_deltas: Column, lookback: int = 5, delta_threshold: float = 1.5, imbalance_threshold: float = 0.15) -> Column:

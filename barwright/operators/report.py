@@ -32,7 +32,7 @@ def request_counts(log: DataFrame) -> DataFrame:
 def overview(instruments: DataFrame, models: DataFrame, log: DataFrame) -> DataFrame:
     """Every instrument with its model's labels, its requests, and whether it lacks a model."""
     known = latest_models(models).select("symbol", "regime_labels", F.col("metadata.trained_at").alias("trained_at"))
-    joined = F.broadcast(instruments.select("symbol")).join(known, "symbol", "left").join(request_counts(log).select("symbol", "requests"), "symbol", "left")
+    joined = instruments.select("symbol").join(known, "symbol", "left").join(request_counts(log).select("symbol", "requests"), "symbol", "left")
     return joined.select("symbol", F.array_join("regime_labels", ",").alias("labels"), F.coalesce("requests", F.lit(0)).alias("requests"), F.col("trained_at").isNull().alias("missing_model"))
 
 

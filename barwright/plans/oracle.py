@@ -431,6 +431,8 @@ SQL = {
     "v8_report": f"""WITH {_QUALITY} SELECT symbol, n_bars, count_if(n > 0) = 0 AS clean, coalesce(string_agg("check", ',' ORDER BY place) FILTER (WHERE n > 0), '') AS issues FROM listed GROUP BY symbol, n_bars""",
     "v9_training_status": f"""WITH {NUMBERED}, n AS (SELECT symbol, count(*) AS n_bars, count_if(bar_no >= 100)::BIGINT AS n_trainable FROM numbered GROUP BY symbol)
       SELECT *, CASE WHEN n_bars < 500 THEN 'too_few_bars' WHEN n_trainable < 500 THEN 'too_few_after_warm_up' ELSE 'ok' END AS status FROM n""",
+    "m9_train_all": f"""WITH {NUMBERED}, n AS (SELECT symbol, count(*) AS n_bars, count_if(bar_no >= 100)::BIGINT AS n_trainable FROM numbered GROUP BY symbol),
+      s AS (SELECT *, CASE WHEN n_bars < 500 THEN 'too_few_bars' WHEN n_trainable < 500 THEN 'too_few_after_warm_up' ELSE 'ok' END AS status FROM n) SELECT *, status = 'ok' AS trained FROM s""",
     "m1_emissions": f"WITH RECURSIVE {FEATURES} SELECT symbol, ts, {', '.join(f'{_r6(_log_density(i))} AS state_{i}' for i in range(3))} FROM features",
     "m1_emissions_by_model_table": f"WITH RECURSIVE {FEATURES} SELECT symbol, ts, {', '.join(f'{_r6(_log_density(i))} AS state_{i}' for i in range(3))} FROM features",
     "m2_forward_filter": f"WITH RECURSIVE {SCORED} SELECT symbol, ts, {_r6('p0')} AS p0, {_r6('p1')} AS p1, {_r6('p2')} AS p2, state, {_r6('confidence')} AS confidence, {_r6('step_ll')} AS step_ll FROM scored",

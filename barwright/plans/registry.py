@@ -48,30 +48,37 @@ def o0_hourly_bars(spark, d):
     return frames.bars(spark, d)
 
 
+def _haloed(spark, d) -> DataFrame:
+    """Bars in buckets that repeat the rows they look back on, for windows over (symbol, bucket)."""
+    return features.by_halo(bar_source.numbered(frames.bars(spark, d)))
+
+
 @query
 def f0_log_return_z(spark, d):
-    return features.window_features(frames.bars(spark, d)).select("symbol", "ts", r6("log_return").alias("log_return"), r6("log_return_z").alias("log_return_z"))
+    return features.window_features(_haloed(spark, d), ("symbol", "bucket")).where("not in_halo").select("symbol", "ts", r6("log_return").alias("log_return"), r6("log_return_z").alias("log_return_z"))
 
 
 @query
 def f1_realised_vol_z(spark, d):
-    return features.window_features(frames.bars(spark, d)).select("symbol", "ts", r6("realised_vol").alias("realised_vol"), r6("realised_vol_z").alias("realised_vol_z"))
+    return features.window_features(_haloed(spark, d), ("symbol", "bucket")).where("not in_halo").select("symbol", "ts", r6("realised_vol").alias("realised_vol"), r6("realised_vol_z").alias("realised_vol_z"))
 
 
 @query
 def f5_volume_z(spark, d):
-    return features.window_features(frames.bars(spark, d)).select("symbol", "ts", r6("volume_z").alias("volume_z"))
+    return features.window_features(_haloed(spark, d), ("symbol", "bucket")).where("not in_halo").select("symbol", "ts", r6("volume_z").alias("volume_z"))
 
 
 @query
 def w1_rolling_stats(spark, d):
-    rows = frames.bars(spark, d)
-    return rows.select("symbol", "ts", r6(features.rolling_mean(F.col("close"), 20, ["symbol"])).alias("mean20"), r6(features.rolling_std(F.col("close"), 20, ["symbol"])).alias("std20"))
+    by = ["symbol", "bucket"]
+    rows = _haloed(spark, d).withColumns({"mean20": features.rolling_mean(F.col("close"), 20, by), "std20": features.rolling_std(F.col("close"), 20, by)})
+    return rows.where("not in_halo").select("symbol", "ts", *rounded(rows, "mean20", "std20"))
 
 
 @query
 def w2_z_score(spark, d):
-    return frames.bars(spark, d).select("symbol", "ts", r6(S.finite(features.z_score(F.col("close"), 50, ["symbol"]))).alias("z50"))
+    rows = _haloed(spark, d).withColumn("z50", S.finite(features.z_score(F.col("close"), 50, ["symbol", "bucket"])))
+    return rows.where("not in_halo").select("symbol", "ts", r6("z50").alias("z50"))
 
 
 @query
@@ -110,7 +117,7 @@ def f6_features_never_reset(spark, d):
 
 @query
 def p_scalars(spark, d):
-    bars = frames.bars(spark, d).withColumn("previous", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")))
+    bars = _haloed(spark, d).withColumn("previous", F.lag("close").over(Window.partitionBy("symbol", "bucket").orderBy("bar_no"))).where("not in_halo")
     change = F.coalesce(F.col("close") - F.col("previous"), F.lit(0.0))
     return bars.select(
         "symbol", "ts", r6(S.true_range(F.col("high"), F.col("low"), F.col("previous"))).alias("true_range"), r6(S.typical_price(F.col("high"), F.col("low"), F.col("close"))).alias("typical_price"),
@@ -356,6 +363,16 @@ def m6_em_step(spark, d):
     return rows.select("symbol", "state", F.round("log_likelihood", 3).alias("log_likelihood"), *cells)
 
 
+@query
+def m9_train_all(spark, d):
+    """Every symbol with bars enough is trained, the others are told why not; whether a sound model came of it."""
+    bars = frames.bars(spark, d)
+    models, status = fit.train_all(bars, stored(features.features(bars), "features"))
+    # The bars' symbols are not the contract's: the name of one stands for each.
+    sound = hmm.validated(models.withColumns({"own": F.col("symbol"), "symbol": F.lit("NQ")})).where("error is null").select(F.col("own").alias("symbol"))
+    return status.join(sound.withColumn("trained", F.lit(True)), "symbol", "left").select("symbol", "n_bars", "n_trainable", "status", F.coalesce("trained", F.lit(False)).alias("trained"))
+
+
 @query
 def m8_validation(spark, d):
     """Model rows of which some are broken, by symbol."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.operators.orderflow import bar_flow
 from barwright.operators.report import latest_status, request_counts
+from barwright.sources.shared import small_join
 
 
 def flow_stream(sided: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -35,4 +36,4 @@ def with_latest_models(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """requests with `model`, the JSON of their symbol's latest model. Call it in foreachBatch on a registry read anew, or on a
     stream with a static registry."""
     models = registry.select("symbol", F.to_json(F.struct(*registry.columns)).alias("model"))
-    return requests.join(F.broadcast(models), "symbol")
+    return small_join(requests, models, ["symbol"], limit=20_000)
