@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.sources.shared import new_path, shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "held_out", "new_path", "pieces", "shared_dir", "slices", "small_join", "stored", "texts", "utf8"]
+__all__ = ["BROADCAST_ROWS", "held_out", "new_path", "pieces", "shared_dir", "slices", "small_join", "stored", "texts", "tidy", "utf8"]
 
 #: Rows of two or three longs that one broadcast may hold (about 50 MB); beyond it the operators join by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -27,6 +27,12 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(small, on, how)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what jobs that are done have left: plans, task metrics, generated classes. An operator of very many
+    small jobs would else fill the driver with them before a collection is due."""
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 modulo 4: rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

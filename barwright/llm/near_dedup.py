@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import slices, small_join, stored, utf8
+from barwright.llm.common import slices, small_join, stored, tidy, utf8
 
 #: Values in a signature; the most values that two nodes must share at the head of an order.
 VALUES, DEPTH = 64, 3
@@ -511,6 +511,7 @@ def _deeper(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: Data
     agree = least_agreement(like + (1 - like) / 256, WIDE)
     texts = credits = spelled = able = None
     for turn in count():
+        tidy(docs.sparkSession)
         known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = known.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         # Two nodes alone in their region have met.
@@ -549,6 +550,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     kept true. An empty table gives no rows; other columns of docs are not read.
     """
     by = plan(percent)
+    tidy(docs.sparkSession)
     sketch = sketches(docs, size)
     whole = sketch.where("n_shingles > 0 and doc_id is not null")
     # Stored, so that the join below is one of two plain shuffles, which AQE can split where copies are very many.

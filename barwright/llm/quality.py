@@ -84,7 +84,7 @@ class _Words(dict):
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """at (where the text stands in the sample's order), label, buckets, counts of each labelled text."""
+    """at (where the text stands in the sample's order), label, buckets, counts (32-bit integers, as bytes) of each labelled text."""
 
     def count(batches):
         for batch in slices(batches, 256):
@@ -93,12 +93,12 @@ def _counts(texts: DataFrame) -> DataFrame:
                 split = (text or "").split()
                 hashes = np.fromiter(map(word_hash, split), np.uint64, len(split))
                 present, times = np.unique(np.concatenate([*(np.array(features(w), np.int64) for w in split), pair_buckets(hashes)]).astype(np.int64), return_counts=True)
-                buckets.append(present.astype(np.int32))
-                counts.append(times.astype(np.int32))
-            yield pa.record_batch([batch.column("at"), batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["at", "label", "buckets", "counts"])
+                buckets.append(present.astype("<i4").tobytes())
+                counts.append(times.astype("<i4").tobytes())
+            yield pa.record_batch([batch.column("at"), batch.column("label"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["at", "label", "buckets", "counts"])
 
     kind = "struct<h: bigint, doc_id: " + texts.schema["at"].dataType["doc_id"].dataType.simpleString() + ", text: bigint>"
-    return texts.mapInArrow(count, f"at {kind}, label int, buckets array<int>, counts array<int>")
+    return texts.mapInArrow(count, f"at {kind}, label int, buckets binary, counts binary")
 
 
 @dataclass(frozen=True)
@@ -123,10 +123,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_feat
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(at.alias("at"), "text", "label").dropDuplicates(["at", "label"])
     sample, total = [], 0
     for row in stored(_counts(texts), "features").orderBy("at", "label").limit(rows).toLocalIterator():
-        total += len(row.buckets)
+        total += len(row.buckets) // 4
         if total > most_features:
             break
-        sample.append((row.label, np.array(row.buckets, np.int64), np.array(row.counts, np.float32)))
+        sample.append((row.label, np.frombuffer(row.buckets, "<i4"), np.frombuffer(row.counts, "<i4").astype(np.float32)))
     return fit(sample, epochs)
 
 
