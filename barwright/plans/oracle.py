@@ -447,6 +447,10 @@ SQL = {
     "d1_rolling_drift": f"WITH RECURSIVE {_rolling_drift(200)} SELECT symbol, ts, n, ready, occupancy_drift, transition_drift, likelihood_drop, reasons <> '' AS retrain, reasons FROM told",
     "x3_windows_of_a_given_model": f"WITH RECURSIVE {_judged(90, 60, 30)} SELECT symbol, window_idx, start, train_end, test_end, round(test_ll, 3) AS test_ll, {_r6('stability')} AS stability, dominant_state, ['low_vol', 'trending', 'high_vol'][dominant_state + 1] AS dominant_regime FROM judged",
     "x6_summary_of_a_given_model": f"WITH RECURSIVE {_judged(90, 60, 30)} SELECT symbol, round(avg(test_ll), 3) AS mean_test_ll, {_r6('avg(stability)')} AS mean_stability, count(*) AS n_windows FROM judged GROUP BY symbol",
+    "f9_streamed_features": f"WITH RECURSIVE {FEATURES} SELECT symbol, ts, {_FEATURE_LIST}, bar_no >= 99 AS ready FROM features",
+    "m11_streamed_scores": f"WITH RECURSIVE {SCORED} SELECT symbol, ts, {_r6('p0')} AS p0, {_r6('p1')} AS p1, {_r6('p2')} AS p2, state, {_r6('step_ll')} AS step_ll FROM scored",
+    "t1_streamed_regimes": f"WITH RECURSIVE {_HYSTERESIS} SELECT symbol, ts, regime, flips FROM decided",
+    "d9_streamed_drift": f"WITH RECURSIVE {_rolling_drift(200)} SELECT symbol, ts, n, ready, occupancy_drift, transition_drift, likelihood_drop, reasons <> '' AS retrain, reasons FROM told",
     "m3_log_likelihood": f"WITH RECURSIVE {SCORED} SELECT symbol, round(sum(step_ll), 3) AS log_likelihood, count(*) AS n_bars FROM scored GROUP BY symbol",
     "m5_viterbi": f"WITH RECURSIVE {_VITERBI} SELECT symbol, ts, state::INTEGER AS state FROM path JOIN emitted USING (symbol, bar_no)",
     "m8_validation": """SELECT CASE p_size WHEN 1 THEN 'schema version 99' WHEN 2 THEN 'unknown symbol: INVALID' WHEN 3 THEN 'initial_probs has the wrong length' WHEN 4 THEN 'means has the wrong shape'

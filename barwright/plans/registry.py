@@ -16,7 +16,7 @@ from barwright.plans.frames import SAMPLE_MODEL
 from barwright.sources import bars as bar_source
 from barwright.sources import messages, schema
 from barwright.sources.shared import new_path, stored
-from barwright.streaming import stateful
+from barwright.streaming import flows, stateful
 from barwright.streaming import ticks as tick_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,14 +518,61 @@ def o3_bar_flow(spark, d):
     return frames.flow(spark, d).select("symbol", "ts", "buy_vol", "sell_vol", "delta", "total", r6("imbalance").alias("imbalance"))
 
 
+def _files(rows: DataFrame, ts: str = "ts") -> tuple[DataFrame, str]:
+    """A stream of the rows as files, those of some days of a month in each micro-batch, later months after earlier ones."""
+    spark = rows.sparkSession
+    stateful.use_rocksdb(spark)
+    rows, folder = stored(rows.withColumn("__slice", F.date_format(ts, "yyyyMM").cast("int") * 10 + F.floor((F.dayofmonth(ts) - 1) / 6).cast("int")), "stream-rows"), new_path(spark, "stream-files")
+    edges = rows.agg(F.percentile_approx("__slice", [0.2, 0.4, 0.6, 0.8])).first()[0] or []
+    for i in range(len(edges) + 1):
+        own = F.lit(True) if not i else F.col("__slice") > edges[i - 1]
+        part = rows.where(own if i == len(edges) else own & (F.col("__slice") <= edges[i])).drop("__slice")
+        if part.limit(1).count():
+            part.repartition(4).write.mode("append").parquet(folder)
+    return spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 4).parquet(folder), folder
+
+
+def _streamed(rows: DataFrame, processor, key: str = "symbol") -> DataFrame:
+    """What a processor of keyed state gives for the rows as a stream."""
+    spark, out = rows.sparkSession, new_path(rows.sparkSession, "stream-out")
+    found = stateful.apply(_files(rows)[0], processor, key)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@query
+def f9_streamed_features(spark, d):
+    """The features of the bars as a stream, from the state of each symbol."""
+    rows = _streamed(frames.bars(spark, d), stateful.FeatureState())
+    return rows.select("symbol", "ts", *rounded(rows, *schema.FEATURES), "ready")
+
+
+@query
+def m11_streamed_scores(spark, d):
+    """The forward filter of the bars as a stream, against the latest model of each symbol."""
+    asked = flows.with_latest_models(frames.featured(spark, d).select("symbol", "ts", "seq", "features"), frames.models(spark, d))
+    rows = _streamed(asked, stateful.ScoreState())
+    return rows.select("symbol", "ts", *(r6(F.col("state_probs")[i]).alias(f"p{i}") for i in range(3)), "state", r6("step_ll").alias("step_ll"))
+
+
+@query
+def t1_streamed_regimes(spark, d):
+    rows = _streamed(_scored(spark, d).select("symbol", "ts", "seq", "state", "confidence", "step_ll"), stateful.HysteresisState())
+    return rows.select("symbol", "ts", "regime", "flips")
+
+
+@query
+def d9_streamed_drift(spark, d):
+    """The drift measures after every bar of a stream, and whether to train again."""
+    asked = flows.with_latest_models(_scored(spark, d).select("symbol", "ts", "seq", "state", "step_ll", *schema.FEATURES), frames.models(spark, d))
+    rows = _streamed(asked, stateful.DriftState(window=200))
+    return rows.select("symbol", "ts", F.col("n").cast("long").alias("n"), "ready", "occupancy_drift", "transition_drift", "likelihood_drop", "retrain", "reasons")
+
+
 @query
 def o3_streamed_flow(spark, d):
     """The ticks as a stream of files, a few days at a time: the bars that are final four days before each symbol's last tick."""
-    stateful.use_rocksdb(spark)
-    rows, folder = frames.ticks(spark, d), new_path(spark, "tick-files")
-    for first in range(1, 32, 6):
-        rows.where(F.dayofmonth("ts").between(first, first + 5)).repartition(4).write.mode("append").parquet(folder)
-    good, _ = messages.ticks_of(spark.readStream.schema(schema.TICKS).option("maxFilesPerTrigger", 4).parquet(folder))
+    good, _ = messages.ticks_of(_files(frames.ticks(spark, d))[0])
     bars, late = new_path(spark, "stream-bars"), new_path(spark, "late-ticks")
     tick_stream.write_tick_flow(good, bars, late, new_path(spark, "tick-checkpoint"), lateness="96 hours").awaitTermination()
     found = spark.read.parquet(bars).select("symbol", "ts", "buy_vol", "sell_vol", r6("imbalance").alias("imbalance"))

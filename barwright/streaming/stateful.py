@@ -53,6 +53,11 @@ def _mean_std(values: list[float]) -> tuple[float, float]:
     return float(array.mean()), float(array.std(ddof=1)) if len(array) > 1 else 0.0
 
 
+def _rounded(x: float) -> float:
+    """To four places, halves up as in the batch."""
+    return math.floor(x * 1e4 + 0.5) / 1e4
+
+
 def _z(values: list[float]) -> float:
     mean, std = _mean_std(values)
     z = (values[-1] - mean) / max(std, SMALL)
@@ -199,9 +204,9 @@ class DriftState(_Keyed):
         if n >= drift.LEAST_ROWS:
             std = np.maximum(model["feature_std"], SMALL)
             moved = 0.7 * np.abs(x.mean(axis=0) - model["feature_mean"]) / std + 0.3 * np.abs(np.log(np.maximum(x.std(axis=0, ddof=1), SMALL) / std))
-        measures, ready = {"occupancy": round(occupancy, 4), "transition": round(transition, 4), "likelihood": round(drop, 4)}, n >= min(drift.READY, self.window)
+        measures, ready = {"occupancy": _rounded(occupancy), "transition": _rounded(transition), "likelihood": _rounded(drop)}, n >= min(drift.READY, self.window)
         reasons = [name for name, value in measures.items() if value > drift.THRESHOLDS[name]]
-        reasons += [f"feature:{f}" for f, d in zip(FEATURES, moved, strict=True) if round(float(d), 4) > drift.THRESHOLDS["feature"]][:1]
+        reasons += [f"feature:{f}" for f, d in zip(FEATURES, moved, strict=True) if _rounded(float(d)) > drift.THRESHOLDS["feature"]][:1]
         reasons = reasons if ready else []
         found = {"n": n, "ready": ready, "occupancy_drift": measures["occupancy"], "transition_drift": measures["transition"], "likelihood_drop": measures["likelihood"], "mean_ll": mean}
         return {"symbol": e.symbol, "ts": e.ts, "seq": e.seq, **found, "reasons": ",".join(reasons), "retrain": bool(reasons)}
