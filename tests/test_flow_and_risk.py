@@ -227,6 +227,41 @@ def test_simulations_equal_plain_ones(spark, skip, slip):
         assert abs(found[s].final_pnl - total) < 1e-9 and abs(found[s].max_dd - fall) < 1e-9 and found[s].max_losses == longest
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 512, 1100])
+@pytest.mark.parametrize("skip", [0.0, 0.3])
+def test_quick_kernels_equal_simulated(n, skip):
+    import numpy as np
+
+    random = np.random.default_rng(n)
+    pnl, hashes, sims = random.normal(2, 30, n).round(2), np.sort(random.integers(-(2**63), 2**63 - 1, n)).view(np.uint64), np.arange(3, 303)
+    plain = resample.simulated(pnl, hashes, sims, skip, 0.0, 5)
+    for kind in (None, np.uint64):
+        for one, other in zip(plain, resample.shuffled(pnl, hashes, sims, skip, 5, kind), strict=True):
+            assert (one == other).all()
+    for slippage in (0.0, 20.0):
+        assert np.abs(resample.simulated(pnl, hashes, sims, skip, slippage, 5)[0] - resample.totals(pnl, hashes, sims, skip, slippage, 5)).max() < 1e-8
+
+
+def test_stress_equals_summary_of_simulations(spark):
+    from functools import reduce
+
+    frames = [trades(spark, [(-1) ** i * (i % 11) * 10.25 for i in range(n)]).withColumn("account", F.lit(str(n))) for n in (1, 30, 90)]
+    df = reduce(lambda a, b: a.unionByName(b), frames)
+    theirs = resample.summary(resample.simulations(df, 2600, 0.2, seed=3), target=5.0, limit=90.0).orderBy("account").collect()
+    ours = resample.stress(df, 2600, 0.2, seed=3, target=5.0, limit=90.0).orderBy("account").collect()
+    assert len(ours) == 3 and 0 < sum(r.pass_rate for r in ours)
+    for one, other in zip(ours, theirs, strict=True):
+        assert {k: v if isinstance(v, str) else round(v, 9) for k, v in one.asDict().items()} == {k: v if isinstance(v, str) else round(v, 9) for k, v in other.asDict().items()}
+    assert resample.stress(trades(spark, []), 5).count() == 0
+
+
+def test_simulations_are_dealt_to_many_tasks_and_leave_out_what_is_not_asked_for(spark):
+    df = trades(spark, [1.0, -2.0, 3.0])
+    rows = resample.simulations(df, 30, falls=False)
+    assert rows.columns == ["account", "sim", "final_pnl"] and rows.rdd.getNumPartitions() >= resample.TASKS * spark.sparkContext.defaultParallelism
+    assert {round(r.final_pnl, 9) for r in rows.collect()} == {2.0}
+
+
 def test_drawdown_and_streak(spark):
     curve = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate([0, 10, 5, 8, 3])], "account string, at int, cum double")
     assert resample.max_drawdown(curve, ["account"]).first().max_dd == 7
