@@ -117,12 +117,19 @@ def live_state(events: DataFrame, max_loss: float = 1000.0, profit_lock: float =
     return found.drop("__pnl", "__epoch", "__island", "__code", "__period", "__live", "bar_no").withColumn("can_enter", F.col("live_state").isin("idle", "armed"))
 
 
+#: evaluation() sums whole millionths, as which amounts in cents add up exactly (to 9 x 10^9): what reaches a limit does not hang on the order of adding.
+UNITS = 1e6
+
+
 def evaluation(trades: DataFrame, trailing_limit: float = 2500.0, daily_limit: float = 1000.0, target: float = 3000.0, order: tuple[str, ...] = ("ts", "trade_id"), block: int = scan.BLOCK) -> DataFrame:
     """trades with day, cum_pnl, peak (from 0), trailing_dd, day_pnl, lock, progress and target_reached.
 
     The trailing limit locks for good; the daily limit locks until the day ends. An account's trades are cut into blocks, which
-    hand on their sum, peak and whether the limit was reached, one row a block; no window holds a whole account.
+    hand on their sum, peak and whether the limit was reached, one row a block; no window holds a whole account. P&L counts in
+    millionths, to which it is rounded: a sum that equals a limit reaches it.
     """
+    trailing_limit, daily_limit, target = (float(round(x * UNITS)) for x in (trailing_limit, daily_limit, target))
+    trades = trades.withColumns({"__given": F.col("pnl"), "pnl": F.rint(F.col("pnl") * UNITS)})
     today = Window.partitionBy("account", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = trades.withColumn("day", F.to_date("ts")).withColumn("day_pnl", F.sum("pnl").over(today))
     by_day = F.max((F.col("day_pnl") <= -daily_limit).cast("int")).over(today) == 1
@@ -140,7 +147,8 @@ def evaluation(trades: DataFrame, trailing_limit: float = 2500.0, daily_limit: f
     rows = rows.withColumn("lock", F.when(trailing, "trailing").when(F.col("__daily"), "daily"))
     progress = F.least(F.col("cum_pnl") / target, F.lit(1.0)) if target > 0 else F.lit(0.0)
     rows = rows.withColumns({"progress": progress, "target_reached": F.lit(target > 0) & (F.col("cum_pnl") >= target)})
-    return rows.drop("__block", "__at", "__start", "__peak", "__hit", "__sum", "__top", "__daily")
+    rows = rows.withColumns({"pnl": F.col("__given")} | {c: F.col(c) / UNITS for c in ("cum_pnl", "peak", "trailing_dd", "day_pnl")})
+    return rows.drop("__block", "__at", "__start", "__peak", "__hit", "__sum", "__top", "__daily", "__given")
 
 
 def curve_blocks(trades: DataFrame, order: tuple[str, ...], block: int) -> tuple[DataFrame, DataFrame]:

@@ -507,11 +507,14 @@ SQL = {
       count(*) AS n FROM daily GROUP BY ALL""",
     "k4_live_state": f"""WITH RECURSIVE {_LIVE} SELECT account, seq, live AS live_state, live IN ('idle', 'armed') AS can_enter, total AS day_pnl, trades::INTEGER AS day_trades, run::BIGINT AS losses
       FROM engine JOIN n USING (account, i)""",
-    "k5_k7_evaluation": f"""WITH {CURVE}, p AS (
-      SELECT *, greatest(0, max(cum) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING)) AS peak, sum(pnl) OVER (PARTITION BY account, ts::DATE ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS day_pnl FROM curve
+    # In decimals: P&L is whole cents, and a sum that equals a limit reaches it, whatever doubles would make of it.
+    "k5_k7_evaluation": f"""WITH {TRADES}, curve AS (
+      SELECT *, pnl::DECIMAL(18, 2) AS cents, sum(pnl::DECIMAL(18, 2)) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM trades
+      ), p AS (
+      SELECT *, greatest(0, max(cum) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING)) AS peak, sum(cents) OVER (PARTITION BY account, ts::DATE ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS day_pnl FROM curve
       ), q AS (SELECT *, max((peak - cum >= 40)::INTEGER) OVER (PARTITION BY account ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS t, max((day_pnl <= -25)::INTEGER) OVER (PARTITION BY account, ts::DATE ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING) AS d FROM p)
-      SELECT account, trade_id, ts, round(cum, 2) AS cum_pnl, round(peak, 2) AS peak, round(peak - cum, 2) AS trailing_dd, CASE WHEN t = 1 THEN 'trailing' WHEN d = 1 THEN 'daily' END AS lock,
-        {_r6("least(cum / 300.0, 1)")} AS progress, cum >= 300 AS target_reached FROM q""",
+      SELECT account, trade_id, ts, cum::DOUBLE AS cum_pnl, peak::DOUBLE AS peak, (peak - cum)::DOUBLE AS trailing_dd, CASE WHEN t = 1 THEN 'trailing' WHEN d = 1 THEN 'daily' END AS lock,
+        {_r6("least(cum::DOUBLE / 300.0, 1)")} AS progress, cum >= 300 AS target_reached FROM q""",
     "x1_window_plan": f"""WITH {NUMBERED}, n AS (SELECT symbol, count(*) AS n FROM numbered GROUP BY symbol HAVING count(*) >= 400), w AS (SELECT symbol, unnest(range(0, n - 399, 100)) AS start FROM n)
       SELECT symbol, (start // 100)::INTEGER AS window_idx, start, start + 300 AS train_end, start + 400 AS test_end FROM w""",
     "x2_window_assignment": f"""WITH {NUMBERED}, n AS (SELECT symbol, count(*) AS n FROM numbered GROUP BY symbol HAVING count(*) >= 400), w AS (SELECT symbol, unnest(range(0, n - 399, 100)) AS start FROM n)

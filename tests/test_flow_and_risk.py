@@ -182,6 +182,16 @@ def test_accounts_are_judged_in_blocks(spark, block):
         assert (falls[name], runs[name]) == (fall, longest)
 
 
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_a_sum_that_equals_a_limit_reaches_it(spark, block):
+    """Ten times 0.1 is 0.9999999999999999 in doubles."""
+    won = risk.evaluation(trades(spark, [0.1] * 11), 2, 2, 1, block=block).orderBy("trade_id").collect()
+    assert [r.target_reached for r in won] == [False] * 9 + [True] * 2 and won[9].cum_pnl == 1.0 and won[9].pnl == 0.1
+    for trailing, daily, lock in ((1, 2, "trailing"), (2, 1, "daily")):
+        lost = risk.evaluation(trades(spark, [-0.1] * 11), trailing, daily, 1, block=block).orderBy("trade_id").collect()
+        assert [r.lock for r in lost] == [None] * 9 + [lock] * 2
+
+
 def test_fills_pair_with_the_entry_before_them(spark):
     rows = [("a", "ES", T0, 1, 1, 1, 100.0, True), ("a", "ES", T0, 2, -1, 1, 101.0, False), ("a", "ES", T0, 3, -1, 1, 90.0, False), ("a", "ES", T0, 4, -1, 2, 100.0, True), ("a", "ES", T0, 5, 1, 2, 99.0, False)]
     found = risk.paired_fills(spark.createDataFrame(rows, schema.FILLS), schema.instruments(spark)).orderBy("seq").collect()
