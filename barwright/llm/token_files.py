@@ -7,11 +7,9 @@ file. Names of files are random and only those that the stored index lists are r
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,73 +17,93 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm import id_coder
-from barwright.llm.common import new_path, slices, stored
+from barwright.llm.common import new_path, slices, stored, utf8
+from barwright.llm.piece_ids import BLANK, LETTER, OTHER, SPACE, Known, Spelled, Stretch
 from barwright.llm.warc import _filesystem
 
 #: A file is closed at the end of the document with which it reaches so many ids.
 FILE_IDS = 256 << 20
-#: Distinct pieces of text whose ids a worker keeps, in each of two generations.
-CACHE = 400_000
+#: Texts that are split at once: this many, of so many bytes if that is more than one text.
+ROWS, BYTES = 2048, 8 << 20
 HEAD, TAIL, TABLE = struct.Struct("<8sI"), struct.Struct("<8sqq"), struct.Struct("<IIII")
 MAGIC, END = b"idfile01", b"idend-01"
 #: Documents of a block whose id is null.
 NO_ID = 0xFFFFFFFF
 
-#: Texts of these characters alone are split by the pattern below as byte-level tokenizers split them; others go to the tokenizer whole.
-_SAFE = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_SPLIT = re.compile(f" ?[{_L}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _PROBE = "Probe: d\xe9j\xe0 vu,  \xdcbergr\xf6\xdfe... it's we'll 42%!!\n\n a_b x<y\tEND\r\n(one) two&&&'s 3x  "
 _workers: dict = {}
 
 
-class _Pieces(dict):
-    """Piece of text -> its ids as bytes, for a tokenizer that splits as _SPLIT does."""
+def _begins(texts: Stretch) -> np.ndarray:
+    """Where byte-level tokenizers begin a piece, in texts without OTHER bytes: their pattern is
 
-    def __init__(self, tokenizer, kind: str):
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer, self.kind, self.model, self.spell = tokenizer, kind, tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.code, self.older = "H" if kind == "<u2" else "I", {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            spelt = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else self.spell.pre_tokenize_str(piece)[0][0]
-            ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def encoded(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def split(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
-
-
-def _encoder(path: str, end_id: int):
-    """A function from a text to its ids and the end id, as an array; kept by the Python worker from task to task."""
-    if (path, end_id) not in _workers:
+    '(?:[stmd]|re|ve|ll)| ?letters| ?digits| ?marks|white space before white space or the end|white space
+    """
+    own, before, after = texts.classes, texts.before, texts.after
+    white = own >= BLANK
+    # A space goes with what follows it; of several blanks the last one stands apart.
+    blank = (before < BLANK) | (after != OTHER) & (after < BLANK)
+    begins = np.where(white, blank, (own != before) & (before != SPACE))
+    begins[texts.first] = True
+    quotes = np.flatnonzero((texts.bytes == 0x27) & begins & (after == LETTER))
+    letters = np.append(texts.bytes, np.zeros(2, np.uint8))
+    one, two = letters[quotes + 1], letters[quotes + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    long &= after[np.minimum(quotes + 1, len(own) - 1)] == LETTER
+    begins[quotes[short | long] + 1] = False
+    for ended in (quotes[short] + 2, quotes[long] + 3):
+        begins[ended[ended < len(own)]] = True
+    return begins
+
+
+class _Encoder:
+    """Ids of texts with the end id, as arrays."""
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        kind = "<u2" if max(tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4"
-        pieces, end = _Pieces(tokenizer, kind), np.asarray([end_id], kind).tobytes()
+        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4"
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         try:
-            by_piece = pieces.split(_PROBE) == pieces.encoded(_PROBE)
+            self.known = Known(Spelled(self.tokenizer), self.kind)
+            self.by_piece = (self._by_piece([_PROBE.encode()])[0] == self._whole(_PROBE)).all()
         except Exception:  # a model without these parts
-            by_piece = False
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-        def ids_of(text: str) -> np.ndarray:
-            short = by_piece and _SAFE.fullmatch(text) and not any(s in text for s in special)
-            return np.frombuffer((pieces.split(text) if short else pieces.encoded(text)) + end, kind)
-
-        _workers[path, end_id] = ids_of
+            self.by_piece = False
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], self.kind)
+
+    def _by_piece(self, rows: list[bytes], texts: Stretch | None = None) -> list[np.ndarray]:
+        texts = texts or Stretch(rows)
+        ids, ends = self.known.gathered(*texts.pieces(_begins(texts)), self.end)
+        return np.split(ids, ends[:-1])
+
+    def many(self, rows: list[bytes]) -> list[np.ndarray]:
+        """Texts whose bytes are all of known classes are split by _begins; the others go to the tokenizer whole."""
+        if not rows:
+            return []
+        if not self.by_piece:
+            return [self._whole(row.decode()) for row in rows]
+        texts = Stretch(rows)
+        odd = texts.texts_with(np.flatnonzero(texts.classes == OTHER))
+        for special in self.special:
+            if special in texts.raw:
+                odd |= {i for i, row in enumerate(rows) if special in row}
+        if not odd:
+            return self._by_piece(rows, texts)
+        rest = iter(self._by_piece([row for i, row in enumerate(rows) if i not in odd]))
+        return [self._whole(row.decode()) if i in odd else next(rest) for i, row in enumerate(rows)]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text.encode()])[0]
+
+
+def _encoder(path: str, end_id: int) -> _Encoder:
+    """Kept by the Python worker from task to task."""
+    if (path, end_id) not in _workers:
+        _workers[path, end_id] = _Encoder(path, end_id)
     return _workers[path, end_id]
 
 
@@ -151,10 +169,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         def closed(writer):
             return {"part": part, "no": len(rows), "file": writer.name, "bytes": writer.close(), "n_docs": writer.docs, "n_ids": writer.ids}
 
-        for batch in slices(batches, 256):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in slices(batches, ROWS, BYTES):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of.many(list(utf8(batch.column("text")))), strict=True):
                 writer = writer or _Writer(system, base, end_id)
-                writer.add(doc_id, ids_of(text or ""))
+                writer.add(doc_id, ids)
                 if writer.ids >= file_ids:
                     rows.append(closed(writer))
                     writer = None

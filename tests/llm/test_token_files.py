@@ -54,6 +54,26 @@ def test_short_cut_equals_the_tokenizer():
         assert ids_of(text).tolist() == plain_ids(tokenizer, text), repr(text)
 
 
+def test_many_texts_at_once_equal_the_tokenizer():
+    """Stretches of texts, some empty or for the tokenizer whole; of the pieces only new ones meet the model, also after a new beginning."""
+    tokenizer, encoder = Tokenizer.from_file(PATH), tf._Encoder(PATH, 0)
+    assert encoder.by_piece
+    model, asked = encoder.known.ids_of, []
+    encoder.known.ids_of = lambda pieces: (asked.append(len(pieces)), model(pieces))[1]
+    dice = random.Random(7)
+    letters = list("abTHE 'sretvlmd019.,!?-_()<|>\n\r\t\x0bé ÜßÀ'  ") + ["'ll", "'re", "'ve", "'s'd", "  ", " the", "n't", "x" * 90]
+    for most in (300, 1_000_000):
+        encoder.known.most = most
+        for _ in range(60):
+            rows = ["".join(dice.choice(letters) for _ in range(dice.randrange(30))) + dice.choice(["", "’", "<|endoftext|>", "÷"]) * (dice.random() < 0.2) for _ in range(dice.randrange(50))]
+            assert [ids.tolist() for ids in encoder.many([row.encode() for row in rows])] == [plain_ids(tokenizer, row) for row in rows]
+    asked.clear()
+    same = "some words, some other words"
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.many([same.encode()] * 3000)] == [plain_ids(tokenizer, same)] * 3000
+    assert sum(asked) <= 5
+
+
 def test_files_come_back(spark, documents, monkeypatch):
     """Odd rows, several files a task, and documents through many blocks."""
     dice = random.Random(4)
