@@ -8,78 +8,94 @@ from __future__ import annotations
 
 import re
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import slices, stored
+from barwright.llm.common import slices, stored, utf8
+from barwright.llm.piece_ids import BLANK, DIGIT, LETTER, MARK, OTHER, Known, Stretch, byte_letters
 
 #: White space or marks at which splitting first could give other ids than the tokenizer does: such texts go to it whole.
 _WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-#: Letters whose lower case and normal form are beyond doubt, and marks that follow them as a piece of their own.
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Distinct words whose ids a worker keeps at once, in each of two generations, and a text on which the short cut is tried before it is used.
-CACHE_WORDS = 400_000
+#: Letters whose lower case and normal form are beyond doubt.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Distinct pieces whose ids a worker keeps from task to task (some 75 MB), and texts that are split at once, of so many bytes if more than one.
+PIECES, ROWS, BYTES = 600_000, 1024, 4 << 20
+#: A text on which the short cut is tried before it is used.
 _PROBE = "Probe: d\xe9j\xe0 vu, \xdcbergr\xf6\xdfe... it's 42%!! a_b x<y\tEND\n(one)two&&& \u2013 fin"
 _workers: dict = {}
 
 
-class _Words(dict):
-    """Word -> its ids as bytes (of a little-endian machine), for a tokenizer that drops white space, never joins across it, and parts letters from marks."""
-
-    def __init__(self, tokenizer, kind: str):
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer, self.kind, self.model, self.spell = tokenizer, kind, tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.code, self.older = "H" if kind == "<u2" else "I", {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is not None:
-            self[word] = ids
-            return ids
-        plain = _PLAIN.fullmatch(word)
-        if plain and plain[2]:
-            ids = self[plain[1]] + self[plain[2]]
-        elif plain:
-            lower = word.lower()
-            if lower == word:
-                spelt = word if word.isascii() else self.spell.pre_tokenize_str(word)[0][0]
-                ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            else:
-                ids = self[lower]
-        else:
-            ids = self.encoded(word)
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def encoded(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def split(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def _encoder(path: str, end_id: int):
-    """A function from a text to its ids, and their width; kept by the Python worker from task to task."""
-    if path not in _workers:
+def _begins(texts: Stretch) -> np.ndarray:
+    """Where words begin, each with the white space before it, and the marks that follow a word of plain letters."""
+    own, before = texts.classes, texts.before
+    begins = (own >= BLANK) & (before < BLANK)
+    begins[texts.first] = True
+    at = np.flatnonzero(begins)
+    if len(at):
+        odd = (own == OTHER) | (own == DIGIT) | (texts.bytes == 0x27) | (own == LETTER) & (before == MARK)
+        marks = np.flatnonzero((own == MARK) & (before == LETTER))
+        begins[marks[~np.logical_or.reduceat(odd, at)[np.searchsorted(at, marks, "right") - 1]]] = True
+    return begins
+
+
+class _Encoder:
+    """Ids of texts and the end id, for a tokenizer that drops white space, never joins across it, and parts letters from marks; others get whole texts."""
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        kind = "<u2" if max(tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4"
-        words = _Words(tokenizer, kind)
+        self.tokenizer, self.end, self.letters = Tokenizer.from_file(path), end_id, byte_letters()
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4"
+        self.known = Known(self._of_pieces, self.kind, PIECES)
         try:
-            by_word = words.split(_PROBE) == words.encoded(_PROBE)
+            self.by_piece = self._by_piece([_PROBE.encode()])[0].tolist() == self._whole(_PROBE).tolist()
         except Exception:  # a model without these parts
-            by_word = False
-        _workers[path] = (lambda text: words.split(text) if by_word and not _WHOLE.search(text) else words.encoded(text)), kind
-    return _workers[path]
+            self.by_piece = False
+
+    def _of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends, id_of, model = array("I"), array("q"), attrgetter("id"), self.tokenizer.model
+        for piece in pieces:
+            word = piece.strip().decode()
+            if _PLAIN.fullmatch(word):
+                ids.extend(map(id_of, model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))))
+            elif word:
+                ids.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], self.kind)
+
+    def _by_piece(self, rows: list[bytes], texts: Stretch | None = None) -> list[np.ndarray]:
+        texts = texts or Stretch(rows)
+        ids, ends = self.known.gathered(*texts.pieces(_begins(texts)), self.end)
+        return np.split(ids, ends[:-1])
+
+    def many(self, rows: list[bytes]) -> list[np.ndarray]:
+        if not rows:
+            return []
+        if not self.by_piece:
+            return [self._whole(row.decode()) for row in rows]
+        texts = Stretch(rows)
+        odd = texts.texts_with(np.flatnonzero(texts.classes == OTHER))
+        if b"<|" in texts.raw:
+            odd |= {i for i, row in enumerate(rows) if b"<|" in row}
+        odd = {i for i in odd if _WHOLE.search(rows[i].decode())}
+        if not odd:
+            return self._by_piece(rows, texts)
+        rest = iter(self._by_piece([row for i, row in enumerate(rows) if i not in odd]) if len(odd) < len(rows) else [])
+        return [self._whole(row.decode()) if i in odd else next(rest) for i, row in enumerate(rows)]
+
+
+def _encoder(path: str, end_id: int) -> _Encoder:
+    """Kept by the Python worker from task to task."""
+    if (path, end_id) not in _workers:
+        _workers[path, end_id] = _Encoder(path, end_id)
+    return _workers[path, end_id]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -93,17 +109,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches):
         from pyspark import TaskContext
 
-        ids_of, width = _encoder(tokenizer_path, end_id)
-        size, end = np.dtype(width).itemsize, np.asarray([end_id], width).tobytes()
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 1024):
+        encoder, part, at = _encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, ROWS, BYTES):
             rows, places, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = (ids_of(text) if text else b"") + end
-                rows.append(ids)
+            for ids in encoder.many(list(utf8(batch.column("text")))):
+                rows.append(ids.tobytes())
                 places.append(at)
-                counts.append(len(ids) // size)
-                at += counts[-1]
+                counts.append(len(ids))
+                at += len(ids)
             n = len(rows)
             yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], names=["part", "at", "doc_id", "n", "ids"])
 

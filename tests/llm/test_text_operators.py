@@ -531,3 +531,22 @@ def test_quality_by_held_out_texts(spark, documents):
     assert {round(x.quality_score, 6) for x in quality.score(documents(rows), nothing).collect()} == {0.5}
     small = quality.train(documents(rows), labels, rows=10, most_features=500)
     assert np.isfinite(small.weights).all()
+
+
+def test_packing_keeps_a_bounded_number_of_words():
+    """Texts of ever new words, and odd ones: ids are the tokenizer's, and a worker never knows more pieces than it may."""
+    import public_tokenizers
+
+    from barwright.llm import packing
+
+    encoder = packing._Encoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    assert encoder.by_piece and packing.PIECES <= 600_000
+    encoder.known.most = 1000
+    dice = random.Random(5)
+    odd = ["", " ", "it's", "x-1", "ÉTÉ,", "a\xa0b", "ét", "– no", "<|x|>", "(one)", "\x1c", "Ω", "two...\n"]
+    for _ in range(30):
+        words = ["".join(dice.choice("abcdeéÜ") for _ in range(6)) + dice.choice(["", ",", "..."]) for _ in range(300)]
+        rows = [" ".join([*words[i : i + 30], *dice.sample(odd, 3)]) for i in range(0, 300, 30)] + dice.sample(odd, 4)
+        expected = [[*encoder.tokenizer.encode(row, add_special_tokens=False).ids, 1] for row in rows]
+        assert [ids.tolist() for ids in encoder.many([row.encode() for row in rows])] == expected
+        assert len(encoder.known.ends) <= 1001
