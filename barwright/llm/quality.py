@@ -83,8 +83,20 @@ class _Words(dict):
         return found
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes, in integers of 1, 2 or 4 bytes, as narrow as the largest allows."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts from bytes; the integers stay as narrow as they came."""
+    present = np.frombuffer(buckets, "<u2")
+    return present, np.frombuffer(counts, f"<u{len(counts) // len(present)}" if len(present) else "<u1")
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """at (where the text stands in the sample's order), label, buckets, counts (32-bit integers, as bytes) of each labelled text."""
+    """at (where the text stands in the sample's order), label, buckets (16-bit integers, as bytes), counts (packed) of each labelled text."""
 
     def count(batches):
         for batch in slices(batches, 256):
@@ -93,8 +105,8 @@ def _counts(texts: DataFrame) -> DataFrame:
                 split = (text or "").split()
                 hashes = np.fromiter(map(word_hash, split), np.uint64, len(split))
                 present, times = np.unique(np.concatenate([*(np.array(features(w), np.int64) for w in split), pair_buckets(hashes)]).astype(np.int64), return_counts=True)
-                buckets.append(present.astype("<i4").tobytes())
-                counts.append(times.astype("<i4").tobytes())
+                buckets.append(present.astype("<u2").tobytes())
+                counts.append(packed_counts(times))
             yield pa.record_batch([batch.column("at"), batch.column("label"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["at", "label", "buckets", "counts"])
 
     kind = "struct<h: bigint, doc_id: " + texts.schema["at"].dataType["doc_id"].dataType.simpleString() + ", text: bigint>"
@@ -113,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_feat
     """A model from docs (doc_id, text) and labels (doc_id, label 0 or 1).
 
     The sample is the `rows` distinct labels with the smallest hashes of doc_id, or as many of their texts, in that order, as have
-    `most_features` features in all: the driver holds no more, whatever the tables. It does not depend on how the tables are
-    partitioned or ordered. Null ids and other labels teach nothing, null texts are empty, rows that repeat id and text teach
+    `most_features` features in all: the driver holds no more, whatever the tables, in 3 bytes a feature (more where counts pass
+    255), and gets them a sorted partition at a time. It does not depend on how the tables are partitioned or ordered. Null ids and other labels teach nothing, null texts are empty, rows that repeat id and text teach
     once; with no sample every score is 0.5, with one label scores lean to it.
     """
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
@@ -122,11 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_feat
     at = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("text"))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(at.alias("at"), "text", "label").dropDuplicates(["at", "label"])
     sample, total = [], 0
-    for row in stored(_counts(texts), "features").orderBy("at", "label").limit(rows).toLocalIterator():
-        total += len(row.buckets) // 4
-        if total > most_features:
+    # No limit in the plan: it would bring all rows to one task, and from there to the driver at once.
+    for row in stored(_counts(texts), "features").orderBy("at", "label").toLocalIterator():
+        total += len(row.buckets) // 2
+        if total > most_features or len(sample) == rows:
             break
-        sample.append((row.label, np.frombuffer(row.buckets, "<i4"), np.frombuffer(row.counts, "<i4").astype(np.float32)))
+        sample.append((row.label, *unpacked(row.buckets, row.counts)))
     return fit(sample, epochs)
 
 
@@ -139,6 +152,7 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     for _ in range(epochs):
         for i in random.permutation(len(sample)):
             label, buckets, counts = sample[i]
+            counts = counts.astype(np.float32)
             rate = RATE * (1 - step / steps)
             step += 1
             share = counts / counts.sum() if len(counts) else counts

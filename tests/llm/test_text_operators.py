@@ -3,6 +3,7 @@ import re
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,26 @@ def test_what_turns_leave_unsettled_is_joined_exactly(spark, documents, monkeypa
     assert counts[0] == 0 and counts[-1] <= 60
 
 
+def test_longer_labels_are_sorted_by_short_keys():
+    """Sorting by ranges samples keys into the driver's memory: they are short, and key and rest together are the whole label."""
+    texts, by = ["one two three four five six", "one two three four five seven"], near_dedup.plan(85)
+    columns = {"node": [1, 2], "component": [1, 2], "n": [2, 2], "text": texts, "buckets": pa.array([[0, 1], [0, 2]], pa.list_(pa.int8()))}
+    (found,) = near_dedup._wide_labels(iter([pa.record_batch(columns)]), by, 5, 1)
+    assert {len(x) for x in found.column("label").to_pylist()} == {1 + 2 * near_dedup.DEPTH + near_dedup.SORTED} and near_dedup.SORTED <= 64
+    full = near_dedup.signature(near_dedup.shingles(texts[1].encode(), near_dedup._WordHashes()), near_dedup.WIDE, 1).astype(np.uint8)
+    label, rest = found.column("label")[2 * 3 + 1].as_py(), found.column("rest")[2 * 3 + 1].as_py()
+    assert label[1 + 2 * near_dedup.DEPTH :] + rest[: near_dedup.WIDE - near_dedup.SORTED] == np.roll(full, -3 * (near_dedup.WIDE // near_dedup.ORDERS)).tobytes()
+    assert len(rest) == near_dedup.WIDE - near_dedup.SORTED + near_dedup.BUCKETS
+
+
+def test_rows_met_before_share_no_known_depth_beyond_what_is_sorted():
+    """Rows alike in all sorted values say nothing about deeper ones, even where those differ."""
+    values = np.zeros((near_dedup.NEAREST + 1, near_dedup.SORTED + 8), np.uint8)
+    values[:, near_dedup.SORTED + 2] = np.arange(len(values))
+    depth = near_dedup._met_before(values, np.zeros(len(values), int) + 1, np.arange(len(values)), 7)[2]
+    assert depth[-1] == 1 + values.shape[1]
+
+
 def test_rows_met_before_equal_a_plain_search():
     r = np.random.default_rng(8)
     for components_, regions in ((3, 2), (40, 3), (200, 1), (1, 1)):
@@ -497,6 +518,30 @@ def test_quality_scores_equal_plain_sums(spark, documents):
         assert abs(found[i] - 1 / (1 + np.exp(-logit))) < 1e-12
 
 
+@pytest.mark.parametrize("most, width", [(1, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4)])
+def test_quality_sample_is_as_narrow_as_its_counts(most, width):
+    """Three bytes a feature travel to the driver where a text repeats nothing very often, and come back as they were."""
+    times = np.array([1, most, 1])
+    counts = quality.packed_counts(times)
+    assert len(counts) == 3 * width
+    present, back = quality.unpacked(np.array([0, 7, 65_535], "<u2").tobytes(), counts)
+    assert present.tolist() == [0, 7, 65_535] and back.tolist() == times.tolist() and back.itemsize == width
+
+
+def test_quality_sample_comes_to_the_driver_in_parts(spark, documents, monkeypatch):
+    """A sorted partition at a time, not all rows out of one task; the smallest hashes of ids still come first."""
+    r, plans = random.Random(8), []
+    rows = [(i, sentence(r, 12)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, label int")
+    fetch, samples = type(labels).toLocalIterator, []
+    monkeypatch.setattr(type(labels), "toLocalIterator", lambda self, *a, **k: (plans.append(self._jdf.queryExecution().optimizedPlan().toString()), fetch(self, *a, **k))[1])
+    monkeypatch.setattr(quality, "fit", lambda sample, epochs: samples.append(sample))
+    quality.train(documents(rows), labels, rows=30)
+    assert len(plans) == 1 and "Limit" not in plans[0] and "Sort" in plans[0]
+    first = [x.label for x in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(30).collect()]
+    assert [label for label, *_ in samples[0]] == first
+
+
 def test_quality_model_does_not_depend_on_partitions(spark, documents):
     r = random.Random(4)
     rows = [(i, sentence(r, 12)) for i in range(80)] + [(3, "another text of one id")] * 5 + [(7, None)]
