@@ -46,10 +46,15 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(small, on, how)
 
 
+def remove(spark: SparkSession, name: str) -> bool:
+    """Delete a path, whatever file system it is on; false if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Remove what this process has stored so far; call it once the results that read it are written. Returns how many paths went."""
     n = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        n += bool(remove(spark, _written.pop()))
     return n

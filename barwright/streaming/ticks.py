@@ -1,122 +1,87 @@
-"""Order flow of a tick stream: quotes and open bars in keyed state, ticks that come too late in a table of their own.
+"""Order flow of a tick stream: ticks that wait in a table of their own, ticks that come too late in another.
 
 A symbol's clock is the latest event time it has shown, less the allowed lateness. Ticks behind the clock are late: they go to the side
-table as they are and change no bar. Others wait until the clock passes them, and are then taken in the order of (ts, seq), so bars
-are those of the batch on the same ticks, in whatever order files bring them. A bar is given out once the clock passes its end.
+table as they are and change no bar. Others wait until the clock passes the end of their bar, and are then taken in the order of (ts, seq), so
+bars are those of the batch on the same ticks, in whatever order files bring them.
+
+Each micro-batch is joins, windows and sums over what waits and what is new, by symbol and day; no symbol is one task. What it leaves to
+the next lies in two tables under the checkpoint: `clocks`, and `waiting` with the ticks not taken and the last bid and ask of those taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-#: What the processor gives out: bars (late false; at is the bar's start) and late ticks (at is the tick's own time), in microseconds.
-OUT = "symbol string, late boolean, at long, seq long, kind string, price double, volume double, buy_vol double, sell_vol double"
-_TICK = "at long, seq long, kind string, price double, volume double"
-_CLOCK = "latest long, bid double, ask double, open long, buy double, sell double"
-
-
-def _carried(values: np.ndarray, first: float | None) -> np.ndarray:
-    """values with every NaN replaced by the last number before it, at the beginning by `first`."""
-    place = np.maximum.accumulate(np.where(np.isnan(values), -1, np.arange(len(values))))
-    return np.where(place < 0, np.nan if first is None else first, values[place])
-
-
-def sides(price: np.ndarray, volume: np.ndarray, bid: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bought and sold volume of trades, as orderflow.with_sides has them; NaN quotes are unknown."""
-    bought, sold = price >= ask, price <= bid
-    buy = np.where(bought, volume, np.where(sold, 0.0, volume / 2))
-    return buy, volume - buy
-
-
-class TickFlow(StatefulProcessor):
-    """One symbol: ticks that wait, the last bid and ask, and the bar that is open."""
-
-    def __init__(self, width: int, lateness: int):
-        self.width, self.lateness = width, lateness
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._waiting = handle.getListState("waiting", _TICK)
-        self._clock = handle.getValueState("clock", _CLOCK)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest, bid, ask, open_, buy, sell = self._clock.get() if self._clock.exists() else (None,) * 6
-        new = pd.concat(list(rows), ignore_index=True)
-        columns = ["at", "seq", "kind", "price", "volume"]
-        late = new["at"] < latest - self.lateness if latest is not None else pd.Series(False, new.index)
-        waiting = pd.DataFrame(list(self._waiting.get()), columns=columns)
-        ticks = pd.concat([waiting, new.loc[~late, columns]], ignore_index=True) if len(waiting) else new.loc[~late, columns]
-        latest = int(max(new["at"].max(), latest if latest is not None else new["at"].min()))
-        clock = latest - self.lateness
-        ready = ticks["at"] < clock
-        rest = ticks[~ready]
-        ticks = ticks[ready].sort_values(["at", "seq"], kind="stable")
-        bars: dict[int, list[float]] = {} if open_ is None else {open_: [buy, sell]}
-        if len(ticks):
-            at, kind, price, volume = (ticks[c].to_numpy() for c in ("at", "kind", "price", "volume"))
-            price, volume = price.astype(float), volume.astype(float)
-            bids, asks = (_carried(np.where(kind == side, price, np.nan), first) for side, first in (("B", bid), ("A", ask)))
-            bid, ask = (None if np.isnan(q[-1]) else float(q[-1]) for q in (bids, asks))
-            trades = (kind == "L") & (volume > 0)
-            starts = at[trades] // self.width * self.width
-            bought, sold = sides(price[trades], volume[trades], bids[trades], asks[trades])
-            for start in np.unique(starts).tolist():
-                own, sums = starts == start, bars.setdefault(start, [0.0, 0.0])
-                sums[0] += float(bought[own].sum())
-                sums[1] += float(sold[own].sum())
-        done = sorted(start for start in bars if start + self.width <= clock)
-        # All that is ready lies before the clock, so at most one bar is still open.
-        open_ = next((start for start in bars if start + self.width > clock), None)
-        buy, sell = bars[open_] if open_ is not None else (None, None)
-        if len(rest):
-            self._waiting.put([tuple(v.item() if hasattr(v, "item") else v for v in row) for row in rest.itertuples(index=False)])
-        else:
-            self._waiting.clear()
-        self._clock.update((latest, bid, ask, open_, buy, sell))
-        kept = new.loc[late, columns]
-        none = [None] * len(done)
-        out = pd.DataFrame({"symbol": key[0], "late": False, "at": done, "seq": none, "kind": none, "price": none, "volume": none, "buy_vol": [bars[s][0] for s in done], "sell_vol": [bars[s][1] for s in done]})
-        side = kept.assign(symbol=key[0], late=True, buy_vol=None, sell_vol=None)
-        found = pd.concat([part for part in (out, side) if len(part)], ignore_index=True) if len(out) or len(side) else out
-        yield found[["symbol", "late", "at", "seq", "kind", "price", "volume", "buy_vol", "sell_vol"]]
-
-    def close(self) -> None:
-        pass
-
-
-def tick_flow(ticks: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Rows of OUT for a stream of ticks (sources.messages.ticks_of): finished bars, and late ticks as they came."""
-    micros = lambda text: int(pd.Timedelta(text).value // 1000)
-    rows = ticks.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("seq").cast("long").alias("seq"), "kind", F.col("price").cast("double").alias("price"), F.col("volume").cast("double").alias("volume"))
-    return rows.groupBy("symbol").transformWithStateInPandas(TickFlow(micros(width), micros(lateness)), outputStructType=OUT, outputMode="append", timeMode="none")
-
-
-def bars_of(found: DataFrame) -> DataFrame:
-    """The finished bars of tick_flow(), with the columns of orderflow.bar_flow()."""
-    total, delta = F.col("buy_vol") + F.col("sell_vol"), F.col("buy_vol") - F.col("sell_vol")
-    imbalance = F.when(total > 0, delta / total).otherwise(0.0)
-    return found.where("not late").select("symbol", F.timestamp_micros("at").alias("ts"), "buy_vol", "sell_vol", delta.alias("delta"), total.alias("total"), imbalance.alias("imbalance"))
-
-
-def late_of(found: DataFrame) -> DataFrame:
-    """The late ticks of tick_flow(): for the next batch run, which repairs history."""
-    return found.where("late").select("symbol", F.timestamp_micros("at").alias("ts"), "seq", "kind", "price", "volume")
+
+from barwright.operators import orderflow as O
+from barwright.sources.shared import remove, small_join
+
+_TICK = "symbol string, ts timestamp, seq long, kind string, price double, volume double"
+_CLOCK = "symbol string, latest timestamp"
+
+
+def _micros(text: str) -> int:
+    return int(pd.Timedelta(text).value // 1000)
+
+
+def advanced(clocks: DataFrame, ticks: DataFrame) -> DataFrame:
+    """symbol, latest: the clocks once these ticks have come."""
+    new = ticks.groupBy("symbol").agg(F.max("ts").alias("latest"))
+    return clocks.unionByName(new).groupBy("symbol").agg(F.max("latest").alias("latest"))
+
+
+def by_lateness(ticks: DataFrame, clocks: DataFrame, lateness: str) -> tuple[DataFrame, DataFrame]:
+    """(in time, late) of new ticks, by the clocks before they came; a symbol's first ticks are all in time."""
+    behind = F.unix_micros("ts") < F.unix_micros("latest") - _micros(lateness)
+    rows = small_join(ticks, clocks, ["symbol"], "left").withColumn("__late", F.coalesce(behind, F.lit(False))).drop("latest")
+    return rows.where("not __late").drop("__late"), rows.where("__late").drop("__late")
+
+
+def by_edge(ticks: DataFrame, clocks: DataFrame, width: str, lateness: str) -> tuple[DataFrame, DataFrame]:
+    """(ready, waiting): a tick is ready once its bar ends at or before its symbol's clock."""
+    clock: Column = F.unix_micros("latest") - _micros(lateness)
+    edge = clock - F.pmod(clock, F.lit(_micros(width)))
+    rows = small_join(ticks, clocks, ["symbol"]).withColumn("__ready", F.unix_micros("ts") < edge).drop("latest")
+    return rows.where("__ready").drop("__ready"), rows.where("not __ready").drop("__ready")
+
+
+def last_quotes(ticks: DataFrame) -> DataFrame:
+    """The last bid and the last ask of each symbol, as ticks."""
+    quotes = ticks.where("kind in ('B', 'A') and price is not null")
+    # Times alone are found by hashing; only the ticks of the last time are compared as structs, which Spark does by sorting.
+    latest = quotes.groupBy("symbol", "kind").agg(F.max("ts").alias("ts"))
+    last = F.max_by(F.struct(*ticks.columns), "seq").alias("q")
+    return quotes.join(F.broadcast(latest), ["symbol", "kind", "ts"]).groupBy("symbol", "kind").agg(last).select("q.*")
 
 
 def write_tick_flow(ticks: DataFrame, bars: str, late: str, checkpoint: str, width: str = "1 hour", lateness: str = "10 minutes"):
-    """Start the stream into two tables, bars and late ticks, kept by batch under its number: one tried again replaces what it left."""
+    """Start the stream of ticks (sources.messages.ticks_of) into two tables: finished bars with the columns of orderflow.bar_flow(), and
+    late ticks as they came, for the next batch run, which repairs history.
+
+    All tables are kept by batch under its number. A batch tried again replaces what it left, and starts from what the one before it left.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
-        found = batch.persist()
+        spark = batch.sparkSession
+        table = lambda name, n: f"{checkpoint}/flow/{name}/batch={n}"
+        left = lambda name, n, schema: spark.read.schema(schema).parquet(table(name, n)) if n >= 0 else spark.createDataFrame([], schema)
+        new = batch.persist()
         try:
-            bars_of(found).write.mode("overwrite").parquet(f"{bars}/batch={number}")
-            late_of(found).write.mode("overwrite").parquet(f"{late}/batch={number}")
+            before = left("clocks", number - 1, _CLOCK)
+            advanced(before, new).coalesce(1).write.mode("overwrite").parquet(table("clocks", number))
+            in_time, behind = by_lateness(new, before, lateness)
+            behind.write.mode("overwrite").parquet(f"{late}/batch={number}")
+            pending = left("waiting", number - 1, _TICK).unionByName(in_time)
+            ready, waiting = by_edge(pending, left("clocks", number, _CLOCK), width, lateness)
+            flow = O.bar_flow(O.with_sides(O.with_quotes(ready)), width)
+            flow.coalesce(8).write.mode("overwrite").parquet(f"{bars}/batch={number}")
+            waiting.unionByName(last_quotes(ready).coalesce(1)).write.mode("overwrite").parquet(table("waiting", number))
+            # The batch before this one is kept: this one may be tried again.
+            for name in ("clocks", "waiting"):
+                remove(spark, table(name, number - 2))
         finally:
-            found.unpersist()
+            new.unpersist()
 
-    return tick_flow(ticks, width, lateness).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = ticks.select(*(F.col(c).cast(t).alias(c) for c, t in (part.split(" ") for part in _TICK.split(", "))))
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barwright.operators import drift, hmm, risk
 from barwright.operators import orderflow as O
 from barwright.operators.features import features
-from barwright.plans import frames
+from barwright.plans import frames, registry
 from barwright.plans.frames import SAMPLE_MODEL
 from barwright.sources import bars as B
 from barwright.sources import messages as M
@@ -228,6 +228,34 @@ def test_late_ticks_reach_the_side_table_and_change_no_bar(spark, tmp_path):
     assert found and all(found[k] == batch[k] for k in found) and len(found) >= len(batch) - 9
 
 
+def test_what_a_tick_stream_keeps_between_batches(spark, tmp_path):
+    """Tables of the ticks whose bars are open, and two quotes a symbol; a batch tried again gives the same. Quotes that are no numbers count as in the batch."""
+    rows = [r if i % 97 else (*r[:3], "BA"[i % 2], float("nan"), r[5]) for i, r in enumerate(tick_rows(3200))]
+    folder = str(tmp_path / "in")
+    feed(spark, folder, [rows[i : i + 800] for i in range(0, 3200, 800)])
+    first = run_ticks(spark, tmp_path, folder)
+    batch = batch_flow(spark, rows)
+    assert all(first[0][k] == batch[k] for k in first[0]) and len(first[0]) >= len(batch) - 9 and first[1] == []
+    kept = tmp_path / "check" / "flow" / "waiting"
+    assert sorted(p.name for p in kept.iterdir()) == ["batch=2", "batch=3"]
+    edge = {s: (max(r[1] for r in rows if r[0] == s)).replace(minute=0, second=0) for s in "ABC"}
+    waiting = spark.read.parquet(str(kept / "batch=3")).collect()
+    open_ = [r for r in rows if (edge[r[0]] - r[1]).total_seconds() <= 3600]
+    assert sorted(r.seq for r in waiting if (edge[r.symbol] - r.ts).total_seconds() <= 3600) == sorted(r[2] for r in open_)
+    assert len(waiting) == len(open_) + 6
+    for name in ("3", ".3.crc"):
+        (tmp_path / "check" / "commits" / name).unlink()
+    assert run_ticks(spark, tmp_path, folder) == first
+
+
+def test_a_stream_of_more_rows_is_more_files(spark, monkeypatch):
+    rows = spark.createDataFrame(tick_rows(), TICK)
+    files = lambda: spark.read.parquet(registry._files(rows)[1]).select(F.input_file_name()).distinct().count()
+    assert files() == 4
+    monkeypatch.setattr(registry, "ROWS_A_FILE", 1000)
+    assert files() == 8
+
+
 def test_sessions_of_another_time_zone(spark, tmp_path):
     """Sessions from 18:00 in New York, over a change of clocks, in the stream as in the batch."""
     from datetime import datetime, timedelta
