@@ -252,6 +252,57 @@ def test_quick_kernels_equal_simulated(n, skip):
         assert np.abs(resample.simulated(pnl, hashes, sims, skip, slippage, 5)[0] - resample.totals(pnl, hashes, sims, skip, slippage, 5)).max() < 1e-8
 
 
+@pytest.mark.parametrize("n", [1, 3, 300, 1023, 1024])
+@pytest.mark.parametrize("skip", [0.0, 0.1, 0.97])
+def test_sums_of_whole_cents_are_exact(n, skip):
+    """In doubles a thousand simulations of dimes add up to many numbers near the right one."""
+    import numpy as np
+
+    random = np.random.default_rng(n)
+    cents, hashes, sims = random.integers(-30, 50, n) * 10, np.sort(random.integers(-(2**63), 2**63 - 1, n)).view(np.uint64), np.arange(1000)
+    final, fall, longest = resample._measured(cents / 100, hashes, sims, skip, 0.0, 5, True)
+    whole = resample.simulated(cents, hashes, sims, skip, 0.0, 5)
+    assert (final == whole[0] / 100).all() and (fall == whole[1] / 100).all() and (longest == whole[2]).all()
+    wide = resample.shuffled(cents * 10**9, hashes, sims, skip, 5)
+    assert all((one == other * factor).all() for one, other, factor in zip(wide, whole, (10**9, 10**9, 1), strict=True))
+
+
+def test_parts_of_a_cent_stay_doubles():
+    import numpy as np
+
+    assert resample._hundredths(np.array([0.125, 1.0])) is None and resample._hundredths(np.array([1e300, 0.0])) is None
+    assert resample._hundredths(np.array([0.29, -1.1])).tolist() == [29, -110] and resample._hundredths(np.array([3e7])).dtype == np.int64
+
+
+def test_trades_tied_in_their_keys_are_settled():
+    """Hashes that differ in their lowest bits alone differ anywhere in their draws; equal ones stay in place."""
+    import numpy as np
+
+    hashes, pnl = np.sort(np.arange(500) // 2 * 3).astype(np.uint64), np.arange(500) % 7 - 3.0
+    sims = np.arange(2000)
+    for one, other in zip(resample.simulated(pnl, hashes, sims, 0.2, 0.0, 5), resample.shuffled(pnl, hashes, sims, 0.2, 5), strict=True):
+        assert (one == other).all()
+
+
+def test_longest_runs_of_any_length():
+    import numpy as np
+
+    marks = np.zeros((300, 11), bool)
+    lengths = [0, 1, 2, 63, 64, 65, 66, 130, 299, 300, 7]
+    for i, length in enumerate(lengths):
+        marks[:length, i] = True
+    marks[200:203, 1] = True
+    assert resample._longest_runs(np.packbits(marks, axis=1), 11).tolist() == [0, 3, *lengths[2:]]
+
+
+def test_trades_are_copied_only_where_accounts_are_few(spark):
+    one = trades(spark, [1.0] * 40)
+    many = one.withColumn("account", F.col("trade_id").cast("string"))
+    assert resample._blocks(one, 10_000, 16) == 4 and resample._blocks(many, 10_000, 16) == 1 and resample._blocks(one.limit(0), 10_000, 16) == 1
+    rows = resample.simulations(one, 7_001, falls=False).groupBy("sim").count().orderBy("sim").collect()
+    assert [(r.sim, r["count"]) for r in rows] == [(i, 1) for i in range(7_001)]
+
+
 def test_stress_equals_summary_of_simulations(spark):
     from functools import reduce
 
