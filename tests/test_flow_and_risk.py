@@ -284,6 +284,32 @@ def test_trades_tied_in_their_keys_are_settled():
         assert (one == other).all()
 
 
+@pytest.mark.parametrize("n", [1, 37, 600])
+def test_a_draw_next_to_the_skip_rate_is_told_by_all_bits(n):
+    """Quick kernels look at the draws' upper 31 bits first: here one draw has those of the skip rate."""
+    import numpy as np
+
+    random = np.random.default_rng(n)
+    pnl, hashes, sims = random.normal(2, 30, n).round(2), np.sort(random.integers(-(2**63), 2**63 - 1, n)).view(np.uint64), np.arange(200)
+    own = resample._uniform(resample.draws(5, 1, sims[7:8], hashes))[0, n // 2]
+    found = []
+    for skip in (own, np.nextafter(own, 1)):
+        plain = resample.simulated(pnl, hashes, sims, skip, 0.0, 5)
+        assert all((one == other).all() for one, other in zip(plain, resample.shuffled(pnl, hashes, sims, skip, 5), strict=True))
+        for slippage in (0.0, 20.0):
+            assert np.abs(resample.simulated(pnl, hashes, sims, skip, slippage, 5)[0] - resample.totals(pnl, hashes, sims, skip, slippage, 5)).max() < 1e-8
+        found.append(plain[0][7])
+    assert found[0] != found[1]
+
+
+def test_cosine_of_the_bits_of_a_draw():
+    import numpy as np
+
+    v = np.linspace(1, 2, 100_001)
+    x, square = np.empty_like(v), np.empty_like(v)
+    assert np.abs(resample._cosine(v.copy(), x, square) - np.cos(2 * np.pi * (v - 1))).max() < 2e-15
+
+
 def test_longest_runs_of_any_length():
     import numpy as np
 
