@@ -342,6 +342,12 @@ def test_stress_equals_summary_of_simulations(spark):
     assert resample.stress(trades(spark, []), 5).count() == 0
 
 
+def test_stress_of_a_total_that_equals_the_target(spark):
+    """The same trades in any order end at the same total, which is not above itself."""
+    row = resample.stress(trades(spark, [0.1, 0.7, -0.3] * 50), 500, target=25.0, limit=1e9).first()
+    assert (row.pass_rate, row.mean_pnl, row.p5_pnl, row.p95_pnl) == (0.0, 25.0, 25.0, 25.0)
+
+
 def test_simulations_are_dealt_to_many_tasks_and_leave_out_what_is_not_asked_for(spark):
     df = trades(spark, [1.0, -2.0, 3.0])
     rows = resample.simulations(df, 30, falls=False)
